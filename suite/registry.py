@@ -14,6 +14,9 @@ from kiln.session import configure
 from kiln.sources.derived import derived
 from kiln.sources.io import read_table
 from kiln.operators import quality as Q
+from kiln.operators import clean as C
+from kiln.operators import impute as I
+from suite import clean_sql as CS
 from suite import quality_sql as QS
 
 AS_OF_YEAR = 2026  # fixed "today" for the impossible-date rule (both sides)
@@ -81,6 +84,31 @@ register("quality_class_imbalance_labels",
          QS.class_imbalance("labelled_documents", "quality", "int"))
 
 
+# ---- cleaning ----------------------------------------------------------------
+def _first(step):
+    def op(df: DataFrame) -> DataFrame:
+        return step(df)[0]
+    op.__name__ = getattr(step, "__name__", "step")
+    return op
+
+
+register("clean_empty_strings", _on("dirty_customer", _first(C.normalize_empty_strings)),
+         CS.empty_strings("dirty_customer"))
+register("clean_convert_numeric", _on("dirty_customer", _first(C.convert_types)),
+         CS.convert_numeric("dirty_customer", ["age_text"]))
+register("clean_domain_invalid",
+         _on("dirty_customer", lambda d: C.null_domain_invalid(C.convert_types(d)[0])[0]),
+         CS.domain_invalid("dirty_customer", ["age_text"]))
+register("clean_impute_numeric_events", _on("dirty_events", _first(I.impute_missing)),
+         None)
+register("clean_outliers_clip", _on("dirty_events", _first(lambda d: C.handle_outliers(d, "clip"))),
+         CS.outliers_clip("dirty_events"))
+register("clean_outliers_remove", _on("dirty_events", _first(lambda d: C.handle_outliers(d, "remove"))),
+         CS.outliers_remove("dirty_events"))
+register("clean_drop_duplicate_rows", _on("dirty_events", _first(C.drop_duplicate_rows)),
+         CS.drop_duplicate_rows("dirty_events"))
+
+
 def queries() -> dict[str, SparkFn]:
     return dict(_QUERIES)
 
