@@ -16,7 +16,9 @@ from kiln.sources.io import read_table
 from kiln.operators import quality as Q
 from kiln.operators import clean as C
 from kiln.operators import impute as I
+from kiln.operators import features as FE
 from suite import clean_sql as CS
+from suite import features_sql as FS
 from suite import quality_sql as QS
 
 AS_OF_YEAR = 2026  # fixed "today" for the impossible-date rule (both sides)
@@ -109,6 +111,23 @@ register("clean_drop_duplicate_rows", _on("dirty_events", _first(C.drop_duplicat
          CS.drop_duplicate_rows("dirty_events"))
 
 
+# ---- feature engineering -----------------------------------------------------
+register("features_datetime_orders", _on("orders", _first(FE.engineer_datetime)),
+         FS.datetime_parts("orders", "o_orderdate", with_time=False))
+register("features_datetime_lineitem", _on("lineitem", _first(FE.engineer_datetime)),
+         FS.datetime_parts("lineitem", "l_shipdate", with_time=False))
+register("features_text_documents", _on("documents", _first(FE.engineer_text)),
+         FS.text_counts("documents", "text"))
+register("features_text_conversations", _on("conversations", _first(FE.engineer_text)),
+         FS.unchanged_if_identifier("conversations", "text"))
+register("features_numeric_documents", _on("documents", _first(FE.engineer_numeric)),
+         FS.log_feature("documents", "n_chars"))
+register("features_pipeline_events", _on("events", _first(FE.engineer)), None)
+register("features_pipeline_dates",
+         _on("dirty_dates", _first(lambda d: FE.engineer(d, pairs=[("order_date", "ship_date", "duration")]))),
+         None)
+
+
 def queries() -> dict[str, SparkFn]:
     return dict(_QUERIES)
 
