@@ -17,7 +17,9 @@ from kiln.operators import quality as Q
 from kiln.operators import clean as C
 from kiln.operators import impute as I
 from kiln.operators import features as FE
+from kiln.operators import select as S
 from suite import clean_sql as CS
+from suite import select_sql as SS
 from suite import features_sql as FS
 from suite import quality_sql as QS
 
@@ -128,6 +130,29 @@ register("features_pipeline_dates",
          None)
 
 
+# ---- feature selection -------------------------------------------------------
+def _net_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem numeric columns plus net price, a column correlated with the price."""
+    from pyspark.sql import functions as F
+    li = load(spark, sf_dir, "lineitem")
+    return li.select("l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                     (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net_price"))
+
+
+register("select_correlated_pairs", lambda spark, sf: S.correlated_pairs(_net_price(spark, sf)),
+         SS.correlated_pairs(SS.NET_PRICE, SS.NET_PRICE_COLS))
+register("select_vif", lambda spark, sf: S.vif(_net_price(spark, sf).select("l_extendedprice", "l_discount", "net_price")),
+         SS.vif3(SS.NET_PRICE, ["l_extendedprice", "l_discount", "net_price"]))
+register("select_mutual_information",
+         _on("labelled_documents", lambda d: S.mutual_information(d, "quality", ["lang", "source", "n_chars", "toxic"])),
+         SS.mutual_information("labelled_documents", "quality", ["n_chars", "toxic"], ["lang", "source"]))
+register("select_mutual_information_customer",
+         _on("dirty_customer", lambda d: S.mutual_information(d, "churn", ["age", "salary", "city", "gender", "segment"])),
+         SS.mutual_information("dirty_customer", "churn", ["age", "salary"], ["city", "gender", "segment"]))
+register("select_feature_quality", _on("dirty_customer", lambda d: S.feature_quality(d, "churn")), None)
+register("select_decisions", _on("dirty_customer", lambda d: S.analyze_selection(d, "churn")["decisions"]), None)
+
+
 def queries() -> dict[str, SparkFn]:
     return dict(_QUERIES)
 
