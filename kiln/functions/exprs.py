@@ -27,6 +27,9 @@ DATETIME_FORMATS: tuple[tuple[str, str], ...] = (
     ("M/d/yyyy H:mm", "%m/%d/%Y %H:%M"),
     ("M/d/yyyy H:mm:ss", "%m/%d/%Y %H:%M:%S"),
 )
+# Every format above has this shape; text without it cannot parse, so parse
+# attempts (costly on failure) are skipped for it.
+DATE_SHAPE = r"^\d{1,4}[-/]\d{1,2}[-/]\d{1,4}([ T]\d{1,2}:\d{2}(:\d{2})?)?$"
 BOOLEAN_LITERALS = ("true", "false", "yes", "no", "y", "n", "0", "1", "t", "f")
 # ---- end of fixed values ----------------------------------------------------
 
@@ -101,13 +104,14 @@ def parse_timestamp(c: Column, dt: T.DataType) -> Column:
         return F.lit(None).cast("timestamp_ntz")
     s = strip(c)
     parsed = [F.try_to_timestamp(s, F.lit(spark_fmt)) for spark_fmt, _ in DATETIME_FORMATS]
-    return F.coalesce(*parsed).cast("timestamp_ntz")
+    return F.when(s.rlike(DATE_SHAPE), F.coalesce(*parsed)).cast("timestamp_ntz")
 
 
 def best_single_format_ratio(c: Column, dt: T.DataType) -> list[Column]:
     """Per-format parse indicators (one consistent format must carry a column)."""
     s = strip(c)
-    return [F.try_to_timestamp(s, F.lit(f)).isNotNull() for f, _ in DATETIME_FORMATS]
+    return [F.coalesce(F.when(s.rlike(DATE_SHAPE), F.try_to_timestamp(s, F.lit(f))).isNotNull(), F.lit(False))
+            for f, _ in DATETIME_FORMATS]
 
 
 def as_text(c: Column, dt: T.DataType) -> Column:

@@ -28,7 +28,7 @@ from kiln.functions.exprs import (
     strip,
 )
 from kiln.operators.quality import _orderable, datetime_like_ratio
-from kiln.operators.stats import missing
+from kiln.operators.stats import distinct_counts, missing
 
 # ---- fixed values: thresholds ----------------------------------------------
 LOW_CARDINALITY_MAX = 10
@@ -71,7 +71,7 @@ def column_facts(df: DataFrame, names: list[str] | None = None) -> dict[str, Col
         v = F.when(~missing(df, c), col(c))
         t = as_text(v, dt)
         num = is_numeric_type(dt)
-        aggs += [F.count(v).alias(f"nn{i}"), F.count_distinct(v).alias(f"d{i}"),
+        aggs += [F.count(v).alias(f"nn{i}"),
                  F.coalesce(F.bool_and(F.when(v.isNotNull(), F.lower(strip(t)).isin(*BOOLEAN_LITERALS))),
                             F.lit(False)).alias(f"b{i}")]
         if is_string_type(dt) or is_timestamp_type(dt):
@@ -84,12 +84,13 @@ def column_facts(df: DataFrame, names: list[str] | None = None) -> dict[str, Col
             r = F.rint(x)
             aggs.append(F.count_if(F.abs(x - r) > F.lit(1e-8) + F.lit(1e-5) * F.abs(r)).alias(f"f{i}"))
     row = df.agg(*aggs).first().asDict()
+    dist = distinct_counts(df, names)
     n = int(row["n"])
     facts: dict[str, ColumnFacts] = {}
     for i, c in enumerate(names):
         dt = df.schema[c].dataType
         nn = int(row[f"nn{i}"])
-        d = int(row[f"d{i}"])
+        d = dist[c]
         bool_like = isinstance(dt, T.BooleanType) or (nn > 0 and d <= 4 and bool(row[f"b{i}"]))
         facts[c] = ColumnFacts(
             name=c, dtype=dt, n_rows=n, non_null=nn, distinct=d, top_share=None, bool_like=bool_like,

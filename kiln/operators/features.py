@@ -13,6 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -337,13 +338,27 @@ def engineer(df: DataFrame, selected: list[str] | None = None,
         return df, rep
     sel = set(selected) if selected is not None else None
     originals = list(df.columns)
-    out = df
+    # every stage fits with several aggregate jobs over its input: keep each
+    # input persisted (memory, spilling to disk; recomputed from lineage if an
+    # executor is lost) so the jobs do not re-run the upstream plan
+    held = [df.persist(StorageLevel.MEMORY_AND_DISK)]
+    out = held[0]
     for stage in (lambda d: engineer_datetime(d, sel, pairs), lambda d: engineer_numeric(d, sel),
                   lambda d: engineer_text(d, sel)):
         out, r = stage(out)
+        if r.generated:
+            out = out.persist(StorageLevel.MEMORY_AND_DISK)
+            held.append(out)
         for k in ("generated", "skipped", "issues"):
             getattr(rep, k).extend(getattr(r, k))
     generated = [c for c in out.columns if c not in originals]
     out, r = validate_features(out, originals, generated)
     rep.removed.extend(r.removed)
+    if len(held) > 1:
+        # materialize the last stage, then release the earlier ones
+        held[-1].count()
+        for h in held[:-1]:
+            h.unpersist()
+    else:
+        held[0].unpersist()
     return out, rep

@@ -22,7 +22,7 @@ from kiln.functions.exprs import (
     strip,
 )
 from kiln.operators.quality import _report, datetime_like_ratio, _orderable
-from kiln.operators.stats import missing, numeric_stats, numeric_view
+from kiln.operators.stats import distinct_counts, missing, numeric_stats, numeric_view
 
 # ---- fixed values: thresholds ----------------------------------------------
 CATEGORICAL_UNIQUE_MAX = 50
@@ -85,24 +85,26 @@ def _r(x: float | None, digits: int = 4) -> Column:
 
 
 # ------------------------------------------------------------ PRF-1 .. PRF-4
-def _bool_like(df: DataFrame, c: str) -> Column:
+def _bool_like(df: DataFrame, c: str, distinct: int) -> Column:
     """Boolean dtype, or <= 4 distinct values all in the boolean literal set."""
     dt = df.schema[c].dataType
     if isinstance(dt, T.BooleanType):
         return F.lit(True)
+    if distinct > 4:
+        return F.lit(False)
     t = F.lower(strip(as_text(col(c), dt)))
     nn = F.count(F.when(~missing(df, c), col(c)))
-    return ((nn > 0) & (F.count_distinct(F.when(~missing(df, c), col(c))) <= 4)
-            & F.coalesce(F.bool_and(F.when(~missing(df, c), t.isin(*BOOLEAN_LITERALS))), F.lit(False)))
+    return (nn > 0) & F.coalesce(F.bool_and(F.when(~missing(df, c), t.isin(*BOOLEAN_LITERALS))), F.lit(False))
 
 
-def semantic_type_expr(df: DataFrame, c: str, distinct: Column, n_rows: Column) -> Column:
+def semantic_type_expr(df: DataFrame, c: str, distinct: int, n_rows: Column) -> Column:
     """Profile type: boolean -> datetime -> numerical -> categorical -> text."""
     dt = df.schema[c].dataType
     dtl = datetime_like_ratio(df, c) >= DATETIME_PARSE_RATIO if (
         is_string_type(dt) or is_timestamp_type(dt)) else F.lit(False)
-    cat = (distinct <= CATEGORICAL_UNIQUE_MAX) | ((n_rows > 0) & (distinct / n_rows <= CATEGORICAL_RATIO_MAX))
-    return (F.when(_bool_like(df, c), F.lit("boolean"))
+    cat = (F.lit(distinct <= CATEGORICAL_UNIQUE_MAX)
+           | ((n_rows > 0) & (F.lit(distinct) / n_rows <= CATEGORICAL_RATIO_MAX)))
+    return (F.when(_bool_like(df, c, distinct), F.lit("boolean"))
             .when(dtl, F.lit("datetime"))
             .when(F.lit(is_numeric_type(dt)), F.lit("numerical"))
             .when(cat, F.lit("categorical"))
@@ -121,17 +123,18 @@ def profile_columns(df: DataFrame) -> DataFrame:
     """
     rows = []
     n_rows = F.count(F.lit(1))
+    dist = distinct_counts(df, [c for c in df.columns if _orderable(df.schema[c].dataType)])
     for c in df.columns:
         dt = df.schema[c].dataType
         ok = _orderable(dt)
         v = F.when(~missing(df, c), col(c))
-        nd = F.count_distinct(v) if ok else F.lit(None).cast("long")
+        nd = F.lit(dist[c]).cast("long") if ok else F.lit(None).cast("long")
         ex = F.min(as_text(v, dt)) if ok else F.lit(None).cast("string")
         rows.append(F.struct(
             F.lit(c).alias("column_name"), F.lit(_dtype_label(dt)).alias("data_type"),
             F.count(v).alias("non_null_count"), F.count_if(missing(df, c)).alias("null_count"),
             nd.alias("unique_values"), ex.alias("example_raw"),
-            (semantic_type_expr(df, c, nd, n_rows) if ok else F.lit("text")).alias("semantic_type")))
+            (semantic_type_expr(df, c, dist[c], n_rows) if ok else F.lit("text")).alias("semantic_type")))
     rep = _report(df, rows)
     ex = F.col("example_raw")
     example = F.when(F.length(ex) <= EXAMPLE_MAX_LEN, ex).otherwise(

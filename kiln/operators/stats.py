@@ -86,14 +86,13 @@ def numeric_stats(df: DataFrame, names: list[str], coerce: bool = False,
             F.count_if(v < 0).alias(_k(i, "neg")),
             F.count_if(F.abs(v - r) > F.lit(1e-8) + F.lit(1e-5) * F.abs(r)).alias(_k(i, "frac")),
         ]
-        if distinct:
-            aggs.append(F.count_distinct(v).alias(_k(i, "nd")))
         if quantiles:
             probs = F.array(*[F.lit(float(p)) for p in quantiles])
             q = (F.percentile(v, probs) if exact
                  else F.percentile_approx(v, probs, APPROX_ACCURACY))
             aggs.append(q.alias(_k(i, "q")))
     row = df.agg(*aggs).first()
+    nd = distinct_counts(df, names, values={n: numeric_view(df, n, coerce) for n in names}) if distinct else {}
     n_rows = int(row["n_rows"])
     out: dict[str, NumericStats] = {}
     for i, name in enumerate(names):
@@ -104,7 +103,7 @@ def numeric_stats(df: DataFrame, names: list[str], coerce: bool = False,
             skew = float(pop) * (nn * (nn - 1)) ** 0.5 / (nn - 2)
         st = NumericStats(
             name=name, n_rows=n_rows, non_null=nn,
-            distinct=int(row[_k(i, "nd")]) if distinct else None,
+            distinct=nd.get(name) if distinct else None,
             min=row[_k(i, "min")], max=row[_k(i, "max")], mean=row[_k(i, "mean")],
             std_pop=row[_k(i, "std")], skew=skew,
             zeros=int(row[_k(i, "zero")]), negatives=int(row[_k(i, "neg")]),
@@ -152,14 +151,34 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*exprs)
 
 
-def distinct_counts(df: DataFrame, names: list[str], exact: bool = True) -> dict[str, int]:
-    """Distinct non-null values per column (NaN counts as missing)."""
+def distinct_counts(df: DataFrame, names: list[str], exact: bool = True,
+                    values: dict[str, Column] | None = None) -> dict[str, int]:
+    """Distinct non-null values per column (NaN counts as missing).
+
+    Exact counts unpivot the columns to (column index, value) and count
+    distinct pairs: one shuffle whose map side already drops repeats. This is
+    much cheaper than many ``count(DISTINCT ...)`` in one aggregate, which
+    makes Spark expand *every* aggregate of the job once per column.
+    ``values`` may give the expression to count per name (default: the column).
+    """
     if not names:
         return {}
-    aggs = []
-    for i, name in enumerate(names):
-        c = F.when(~missing(df, name), col(name))
-        aggs.append((F.count_distinct(c) if exact else F.approx_count_distinct(c, 0.01))
-                    .alias(_k(i, "nd")))
-    row = df.agg(*aggs).first()
-    return {n: int(row[_k(i, "nd")]) for i, n in enumerate(names)}
+    exprs = {n: (values or {}).get(n, F.when(~missing(df, n), col(n))) for n in names}
+    if not exact:
+        row = df.agg(*[F.approx_count_distinct(exprs[n], 0.01).alias(_k(i, "nd"))
+                       for i, n in enumerate(names)]).first()
+        return {n: int(row[_k(i, "nd")]) for i, n in enumerate(names)}
+    cells = []
+    for i, n in enumerate(names):
+        e = exprs[n]
+        dt = df.select(e.alias("x")).schema["x"].dataType
+        num = dt.typeName() in ("byte", "short", "integer", "long", "float", "double") or \
+            dt.typeName().startswith("decimal")
+        cells.append(F.struct(F.lit(i).alias("i"),
+                              (e.cast("double") if num else F.lit(None).cast("double")).alias("d"),
+                              (F.lit(None).cast("string") if num else e.cast("string")).alias("s")))
+    pairs = (df.select(F.inline(F.array(*cells)))
+             .where(F.col("d").isNotNull() | F.col("s").isNotNull())
+             .distinct())
+    counts = {r["i"]: r["k"] for r in pairs.groupBy("i").agg(F.count(F.lit(1)).alias("k")).collect()}
+    return {n: int(counts.get(i, 0)) for i, n in enumerate(names)}

@@ -18,7 +18,10 @@ from kiln.operators import clean as C
 from kiln.operators import impute as I
 from kiln.operators import features as FE
 from kiln.operators import select as S
+from kiln.operators import detect as D
+from kiln.operators import profile as P
 from suite import clean_sql as CS
+from suite import profile_sql as PS
 from suite import select_sql as SS
 from suite import features_sql as FS
 from suite import quality_sql as QS
@@ -50,6 +53,21 @@ def _on(table: str, op: Callable[[DataFrame], DataFrame]) -> SparkFn:
     return run
 
 
+# ---- profiling ---------------------------------------------------------------
+register("profile_numeric_lineitem", _on("lineitem", P.numeric_report), PS.numeric_report("lineitem"))
+register("profile_numeric_events", _on("events", P.numeric_report), PS.numeric_report("events"))
+register("profile_numeric_customer", _on("dirty_customer", P.numeric_report), PS.numeric_report("dirty_customer"))
+register("profile_columns_orders", _on("orders", P.profile_columns), None)
+register("profile_columns_customer", _on("dirty_customer", P.profile_columns), None)
+register("profile_identifiers_customer",
+         _on("dirty_customer", lambda d: P.identifier_columns(P.profile_columns(d))), None)
+register("profile_high_cardinality_documents",
+         _on("documents", lambda d: P.high_cardinality(P.profile_columns(d))), None)
+register("profile_datetime_dates",
+         _on("dirty_dates", lambda d: P.datetime_profile(d, ["order_date", "ship_date"])), None)
+register("detect_feature_types_customer", _on("dirty_customer", D.feature_types), None)
+register("detect_feature_types_events", _on("events", D.feature_types), None)
+
 # ---- quality ---------------------------------------------------------------
 register("quality_missing_customer", _on("dirty_customer", Q.missing_values),
          QS.missing_values("dirty_customer"))
@@ -81,6 +99,7 @@ register("quality_iqr_outliers_events", _on("events", Q.iqr_outliers),
          QS.iqr_outliers("events"))
 register("quality_iqr_outliers_customer", _on("dirty_customer", Q.iqr_outliers),
          QS.iqr_outliers("dirty_customer"))
+register("quality_score_customer", _on("dirty_customer", lambda d: Q.quality_score(d, AS_OF_YEAR)), None)
 register("quality_class_imbalance", _on("dirty_customer", Q.class_imbalance),
          QS.class_imbalance("dirty_customer", "churn", "int"))
 register("quality_class_imbalance_labels",
@@ -109,6 +128,9 @@ register("clean_outliers_clip", _on("dirty_events", _first(lambda d: C.handle_ou
          CS.outliers_clip("dirty_events"))
 register("clean_outliers_remove", _on("dirty_events", _first(lambda d: C.handle_outliers(d, "remove"))),
          CS.outliers_remove("dirty_events"))
+register("clean_impute_categorical_customer",
+         _on("dirty_customer", lambda d: I.impute_missing(C.normalize_empty_strings(d)[0], key="customer_id")[0]),
+         None)
 register("clean_drop_duplicate_rows", _on("dirty_events", _first(C.drop_duplicate_rows)),
          CS.drop_duplicate_rows("dirty_events"))
 
