@@ -1,0 +1,8 @@
+"""Streaming.
+
+The reference has no streams, windows or watermarks: every operator takes a
+fully loaded table. Nothing is built here. The fitted literals of the cleaning
+and feature operators are plain Column expressions, so a caller can apply the
+transform part to a ``readStream`` DataFrame themselves; no extra operator is
+added for it.
+"""

@@ -18,6 +18,7 @@ from kiln.operators import clean as C
 from kiln.operators import impute as I
 from kiln.operators import features as FE
 from kiln.operators import select as S
+from kiln.plans import pipelines as PL
 from kiln.operators import detect as D
 from kiln.operators import profile as P
 from suite import clean_sql as CS
@@ -131,6 +132,8 @@ register("clean_outliers_remove", _on("dirty_events", _first(lambda d: C.handle_
 register("clean_impute_categorical_customer",
          _on("dirty_customer", lambda d: I.impute_missing(C.normalize_empty_strings(d)[0], key="customer_id")[0]),
          None)
+register("clean_pipeline_customer",
+         _on("dirty_customer", lambda d: PL.clean(d, key="customer_id")[0]), None)
 register("clean_drop_duplicate_rows", _on("dirty_events", _first(C.drop_duplicate_rows)),
          CS.drop_duplicate_rows("dirty_events"))
 
