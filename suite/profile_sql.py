@@ -43,3 +43,34 @@ SELECT s.column_name, CAST(s.n - s.nn AS BIGINT) AS missing_count,
   CASE WHEN {fenced} THEN round(s.q3 + 1.5 * (s.q3 - s.q1), 4) END AS upper_bound,
   CASE WHEN {fenced} THEN CAST(o.oc AS BIGINT) END AS outlier_count
 FROM s JOIN o ON s.column_name = o.column_name"""
+
+
+def datetime_profile(table: str, names: list[str]) -> str:
+    """Per datetime column: min/max, distinct calendar dates, range in days, time part, parse counts."""
+    src = source_sql(table)
+    kinds = dict(cols(table))
+    parts = []
+    for c in names:
+        t = G.ts(c, kinds[c])
+        parts.append(f"""SELECT {G.lit(c)} AS column_name, min({t}) AS min_date, max({t}) AS max_date,
+  CAST(count(DISTINCT CAST({t} AS DATE)) AS BIGINT) AS unique_dates,
+  round((epoch_us(max({t})) - epoch_us(min({t}))) / 86400e6, 2) AS date_range_days,
+  coalesce(bool_or(hour({t}) + minute({t}) + second({t}) <> 0), false) AS has_time,
+  CAST(count({t}) AS BIGINT) AS parseable_count,
+  CAST(count({G.q(c)}) - count({t}) AS BIGINT) AS invalid_count FROM {src} t""")
+    return G.union_all(parts)
+
+
+def identifier_columns(table: str) -> str:
+    """ID-like name, or more than one distinct value with distinct/rows >= 0.95."""
+    from kiln.functions import names as N
+    src = source_sql(table)
+    parts = []
+    for c, k in cols(table):
+        name_hit = "true" if N.is_identifier_name(c) else "false"
+        v = f"(CASE WHEN NOT {G.missing(c, k)} THEN {G.q(c)} END)"
+        uniq = (f"(count(*) > 1 AND count(DISTINCT {v}) > 1 AND "
+                f"CAST(count(DISTINCT {v}) AS DOUBLE) / count(*) >= 0.95)")
+        parts.append(f"SELECT {G.lit(c)} AS column_name, {name_hit} AS name_match, {uniq} AS high_uniqueness "
+                     f"FROM {src} t")
+    return f"SELECT * FROM ({G.union_all(parts)}) r WHERE name_match OR high_uniqueness"

@@ -61,11 +61,19 @@ register("profile_numeric_customer", _on("dirty_customer", P.numeric_report), PS
 register("profile_columns_orders", _on("orders", P.profile_columns), None)
 register("profile_columns_customer", _on("dirty_customer", P.profile_columns), None)
 register("profile_identifiers_customer",
-         _on("dirty_customer", lambda d: P.identifier_columns(P.profile_columns(d))), None)
+         _on("dirty_customer", lambda d: P.identifier_columns(P.profile_columns(d))),
+         PS.identifier_columns("dirty_customer"))
+register("profile_identifiers_events",
+         _on("events", lambda d: P.identifier_columns(P.profile_columns(d))),
+         PS.identifier_columns("events"))
 register("profile_high_cardinality_documents",
          _on("documents", lambda d: P.high_cardinality(P.profile_columns(d))), None)
 register("profile_datetime_dates",
-         _on("dirty_dates", lambda d: P.datetime_profile(d, ["order_date", "ship_date"])), None)
+         _on("dirty_dates", lambda d: P.datetime_profile(d, ["order_date", "ship_date"])),
+         PS.datetime_profile("dirty_dates", ["order_date", "ship_date"]))
+register("profile_datetime_orders",
+         _on("orders", lambda d: P.datetime_profile(d, ["o_orderdate"])),
+         PS.datetime_profile("orders", ["o_orderdate"]))
 register("detect_feature_types_customer", _on("dirty_customer", D.feature_types), None)
 register("detect_feature_types_events", _on("events", D.feature_types), None)
 
@@ -124,7 +132,7 @@ register("clean_domain_invalid",
          _on("dirty_customer", lambda d: C.null_domain_invalid(C.convert_types(d)[0])[0]),
          CS.domain_invalid("dirty_customer", ["age_text"]))
 register("clean_impute_numeric_events", _on("dirty_events", _first(I.impute_missing)),
-         None)
+         CS.impute_numeric("dirty_events"))
 register("clean_outliers_clip", _on("dirty_events", _first(lambda d: C.handle_outliers(d, "clip"))),
          CS.outliers_clip("dirty_events"))
 register("clean_outliers_remove", _on("dirty_events", _first(lambda d: C.handle_outliers(d, "remove"))),
