@@ -216,3 +216,27 @@ def datetime_profile(df: DataFrame, names: list[str]) -> DataFrame:
                       F.round(days, 2).alias("date_range_days"), "has_time",
                       F.col("parseable_count").cast("long").alias("parseable_count"),
                       F.col("invalid_count").cast("long").alias("invalid_count"))
+
+
+# --------------------------------------------------------------------- PRF-9
+def overview(df: DataFrame, profile_df: DataFrame | None = None) -> DataFrame:
+    """Counts per semantic type, first target by priority, and the problem type."""
+    from kiln.operators.select import detect_target, target_task
+
+    prof = profile_df if profile_df is not None else profile_columns(df)
+    counts = {r["semantic_type"]: r["n"] for r in
+              prof.groupBy("semantic_type").agg(F.count(F.lit(1)).alias("n")).collect()}
+    target = detect_target(df)
+    problem = None
+    if target is not None:
+        d = df.agg(F.count_distinct(col(target))).first()[0]
+        if d == 2:
+            problem = "binary_classification"
+        elif target_task(df, target) == "classification":
+            problem = "multiclass_classification"
+        else:
+            problem = "regression"
+    row = (counts.get("numerical", 0), counts.get("categorical", 0), counts.get("datetime", 0),
+           counts.get("text", 0), counts.get("boolean", 0), target, problem)
+    return df.sparkSession.createDataFrame([row], "numerical long, categorical long, datetime long, text long, "
+                                                  "boolean long, target string, problem_type string")

@@ -335,3 +335,40 @@ def apply_selection(df: DataFrame, decisions_df: DataFrame, target: str | None =
         drop = [r["feature"] for r in rows if r["feature"] not in keep_always and
                 (r["decision"] == "REMOVE" or (r["decision"] == "REVIEW" and r["feature"] in review_drop))]
     return df.select(*[col(c) for c in df.columns if c not in set(drop)])
+
+
+# --------------------------------------------------------------- PIP-10 / 11
+MISSING_PREFERENCE_POINTS = 10.0
+
+
+def prefer_in_pairs(pairs: DataFrame, quality: DataFrame, mi: DataFrame | None = None) -> DataFrame:
+    """Preferred feature inside each correlated pair: not an identifier, then not a
+    duplicate, then >= 10 points less missing, then MI higher by >= 0.02, else none.
+    All inputs are per-column tables (bounded by the number of columns)."""
+    q = quality.select("feature", "is_identifier", "is_exact_duplicate", "missing_pct")
+    m = mi.select("feature", "mi_score") if mi is not None else None
+    a = q.select(*[F.col(c).alias(f"a_{c}") for c in q.columns])
+    b = q.select(*[F.col(c).alias(f"b_{c}") for c in q.columns])
+    j = pairs.join(a, pairs["feature_a"] == a["a_feature"], "left").join(b, pairs["feature_b"] == b["b_feature"], "left")
+    if m is not None:
+        j = (j.join(m.select(F.col("feature").alias("ma"), F.col("mi_score").alias("a_mi")), F.col("feature_a") == F.col("ma"), "left")
+              .join(m.select(F.col("feature").alias("mb"), F.col("mi_score").alias("b_mi")), F.col("feature_b") == F.col("mb"), "left"))
+    else:
+        j = j.withColumn("a_mi", F.lit(None).cast("double")).withColumn("b_mi", F.lit(None).cast("double"))
+    fa, fb = F.col("feature_a"), F.col("feature_b")
+    pick = (F.when(F.col("a_is_identifier") & ~F.col("b_is_identifier"), fb)
+            .when(F.col("b_is_identifier") & ~F.col("a_is_identifier"), fa)
+            .when(F.col("a_is_exact_duplicate") & ~F.col("b_is_exact_duplicate"), fb)
+            .when(F.col("b_is_exact_duplicate") & ~F.col("a_is_exact_duplicate"), fa)
+            .when(F.col("b_missing_pct") - F.col("a_missing_pct") >= MISSING_PREFERENCE_POINTS, fa)
+            .when(F.col("a_missing_pct") - F.col("b_missing_pct") >= MISSING_PREFERENCE_POINTS, fb)
+            .when(F.col("a_mi") - F.col("b_mi") >= MI_MEANINGFUL, fa)
+            .when(F.col("b_mi") - F.col("a_mi") >= MI_MEANINGFUL, fb))
+    return j.select("feature_a", "feature_b", "correlation", pick.alias("preferred_feature"))
+
+
+def categorical_redundancy(df: DataFrame) -> DataFrame:
+    """Exact duplicates among non-numeric columns (notes only)."""
+    dup = duplicate_column_map(df)
+    rows = [(d, o) for d, o in dup.items() if not is_numeric_type(df.schema[d].dataType)]
+    return df.sparkSession.createDataFrame(rows, "duplicate_column string, original_column string")

@@ -188,3 +188,41 @@ SELECT {G.lit(target)} AS target_column, label, CAST(cnt AS BIGINT) AS "count",
        WHEN round(CAST(mx AS DOUBLE) * 100.0 / total, 2) >= 80 THEN 'moderate'
        ELSE 'balanced' END AS level
 FROM c, s"""
+
+
+def frequency_profile(table: str, column: str, kind: str) -> str:
+    src = source_sql(table)
+    v = G.text(column, kind)
+    return f"""
+WITH c AS (SELECT {v} AS category, count(*) AS cnt FROM {src} t WHERE NOT {G.missing(column, kind)} GROUP BY 1),
+s AS (SELECT sum(cnt) AS total, count(*) AS cats FROM c),
+top AS (SELECT category, cnt, row_number() OVER (ORDER BY cnt DESC, category) AS rk FROM c),
+r AS (SELECT category, cnt, rk, round(CAST(cnt AS DOUBLE) * 100.0 / s.total, 2) AS pct, s.total, s.cats
+      FROM top, s WHERE rk <= 12),
+d AS (SELECT max(CASE WHEN rk = 1 THEN pct END) AS p1, coalesce(max(CASE WHEN rk = 2 THEN pct END), 0.0) AS p2 FROM r)
+SELECT {G.lit(column)} AS column_name, category, CAST(cnt AS BIGINT) AS "count", pct AS percentage,
+  CAST(rk AS INTEGER) AS rank, d.p1 / 100.0 AS dominant_share, d.p2 / 100.0 AS second_share,
+  round(d.p1 - d.p2, 2) AS gap_to_second, CAST(total AS BIGINT) AS non_null_count,
+  CAST(cats AS BIGINT) AS n_categories,
+  (cats >= 2 AND d.p1 / 100.0 < 0.45 AND (d.p1 - d.p2) / 100.0 <= 0.10) AS is_uniform
+FROM r, d"""
+
+
+def snapshot(table: str) -> str:
+    cs = cols(table)
+    src = source_sql(table)
+    miss = " + ".join(f"count(*) FILTER (WHERE {G.missing(c, k)})" for c, k in cs)
+    nums = [(c, k) for c, k in cs if k in ("int", "dbl", "bool")]
+    fence_parts = [f"SELECT {G.lit(c)} AS column_name, count({G.num(c, k)}) AS nn, quantile_cont({G.num(c, k)}, 0.25) AS q1, "
+                   f"quantile_cont({G.num(c, k)}, 0.75) AS q3 FROM {src} t" for c, k in nums]
+    cnt_parts = [f"SELECT count(*) FILTER (WHERE {G.num(c, k)} < b.q1 - 1.5 * (b.q3 - b.q1) OR "
+                 f"{G.num(c, k)} > b.q3 + 1.5 * (b.q3 - b.q1)) AS oc FROM {src} t, b "
+                 f"WHERE b.column_name = {G.lit(c)} AND b.nn >= 8 AND b.q3 - b.q1 <> 0" for c, k in nums]
+    return f"""
+WITH b AS ({G.union_all(fence_parts)}),
+o AS ({G.union_all(cnt_parts)})
+SELECT CAST((SELECT count(*) FROM {src} t) AS BIGINT) AS "rows", {len(cs)} AS "columns",
+  CAST((SELECT {miss} FROM {src} t) AS BIGINT) AS total_missing,
+  CAST((SELECT coalesce(sum(k - 1), 0) FROM (SELECT count(*) AS k FROM {src} t GROUP BY {", ".join(G.q(c) for c, _ in cs)}) g)
+       AS BIGINT) AS duplicate_rows,
+  CAST((SELECT coalesce(sum(oc), 0) FROM o) AS BIGINT) AS outlier_cells"""

@@ -17,6 +17,7 @@ from kiln.operators import quality as Q
 from kiln.operators import clean as C
 from kiln.operators import impute as I
 from kiln.operators import features as FE
+from kiln.operators import opportunity as OP
 from kiln.operators import select as S
 from kiln.plans import pipelines as PL
 from kiln.operators import detect as D
@@ -74,6 +75,9 @@ register("profile_datetime_dates",
 register("profile_datetime_orders",
          _on("orders", lambda d: P.datetime_profile(d, ["o_orderdate"])),
          PS.datetime_profile("orders", ["o_orderdate"]))
+register("profile_overview_customer", _on("dirty_customer", P.overview), None)
+register("detect_opportunities_customer", _on("dirty_customer", lambda d: OP.opportunity_report(d, "churn")), None)
+register("detect_opportunities_events", _on("events", OP.opportunity_report), None)
 register("detect_feature_types_customer", _on("dirty_customer", D.feature_types), None)
 register("detect_feature_types_events", _on("events", D.feature_types), None)
 
@@ -109,6 +113,14 @@ register("quality_iqr_outliers_events", _on("events", Q.iqr_outliers),
 register("quality_iqr_outliers_customer", _on("dirty_customer", Q.iqr_outliers),
          QS.iqr_outliers("dirty_customer"))
 register("quality_score_customer", _on("dirty_customer", lambda d: Q.quality_score(d, AS_OF_YEAR)), None)
+register("quality_frequency_segment", _on("dirty_customer", lambda d: Q.frequency_profile(d, "segment")),
+         QS.frequency_profile("dirty_customer", "segment", "str"))
+register("quality_frequency_event_type", _on("events", lambda d: Q.frequency_profile(d, "event_type")),
+         QS.frequency_profile("events", "event_type", "str"))
+register("quality_frequency_part_type", _on("part", lambda d: Q.frequency_profile(d, "p_type")),
+         QS.frequency_profile("part", "p_type", "str"))
+register("quality_snapshot_events", _on("dirty_events", Q.snapshot), QS.snapshot("dirty_events"))
+register("quality_snapshot_customer", _on("dirty_customer", Q.snapshot), QS.snapshot("dirty_customer"))
 register("quality_class_imbalance", _on("dirty_customer", Q.class_imbalance),
          QS.class_imbalance("dirty_customer", "churn", "int"))
 register("quality_class_imbalance_labels",
@@ -182,6 +194,11 @@ register("select_mutual_information",
 register("select_mutual_information_customer",
          _on("dirty_customer", lambda d: S.mutual_information(d, "churn", ["age", "salary", "city", "gender", "segment"])),
          SS.mutual_information("dirty_customer", "churn", ["age", "salary"], ["city", "gender", "segment"]))
+register("select_categorical_redundancy", _on("dirty_customer", S.categorical_redundancy),
+         SS.categorical_redundancy("dirty_customer"))
+register("select_prefer_pairs", _on("dirty_customer", lambda d: S.prefer_in_pairs(
+    S.correlated_pairs(d.withColumn("age_copy", d["age"] * 2), "churn", threshold=0.9),
+    S.feature_quality(d.withColumn("age_copy", d["age"] * 2), "churn"))), None)
 register("select_feature_quality", _on("dirty_customer", lambda d: S.feature_quality(d, "churn")), None)
 register("select_decisions", _on("dirty_customer", lambda d: S.analyze_selection(d, "churn")["decisions"]), None)
 

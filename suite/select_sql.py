@@ -68,3 +68,12 @@ p AS (SELECT feature, k, sum(k) OVER (PARTITION BY feature) AS n, sum(k) OVER (P
 m AS (SELECT feature, round(greatest(sum((CAST(k AS DOUBLE) / n) * ln((CAST(k AS DOUBLE) * n) / (CAST(kx AS DOUBLE) * ky))), 0.0), 6)
       AS mi_score FROM p GROUP BY feature)
 SELECT feature, mi_score, CAST(row_number() OVER (ORDER BY mi_score DESC, feature) AS INTEGER) AS rank FROM m"""
+
+
+def categorical_redundancy(table: str) -> str:
+    """Exact duplicates restricted to text columns (first equal predecessor is the original)."""
+    from suite.quality_sql import duplicate_columns
+    from suite.schemas import cols
+    texts = ", ".join(G.lit(c) for c, k in cols(table) if k == "str")
+    return (f"SELECT duplicate_column, original_column FROM ({duplicate_columns(table)}) d "
+            f"WHERE duplicate_column IN ({texts})")
