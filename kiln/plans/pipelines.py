@@ -49,7 +49,7 @@ def clean(df: DataFrame, cfg: CleaningConfig | None = None,
     if cfg.convert_safe_dtypes:
         steps.append(C.convert_types)
     if cfg.handle_invalid_values:
-        steps.append(C.null_domain_invalid)
+        steps.append(lambda d: C.null_domain_invalid(d, keep_flags=cfg.handle_missing_values))
     steps.append(lambda d: C.drop_duplicate_columns(d, cfg.remove_duplicate_columns))
     if cfg.handle_missing_values:
         steps.append(lambda d: I.impute_missing(d, cfg.impute, key))
@@ -61,9 +61,40 @@ def clean(df: DataFrame, cfg: CleaningConfig | None = None,
     for step in steps:
         out, entries = step(out)
         log += entries
+    out = out.drop(*[c for c in out.columns if c.endswith(C.INVALID_FLAG)])
+    # PRJ-10: identifier columns are never dropped by cleaning; note them
+    from kiln.functions import names as N
+    for c in out.columns:
+        if N.is_identifier_name(c):
+            log.append(C.LogEntry("identifier_column_retained", c, {}, f"Identifier column '{c}' kept."))
     return out, log
 
 
+def clean_summary(before: DataFrame, after: DataFrame, log: list[C.LogEntry]) -> DataFrame:
+    """PIP-7: snapshot before -> after (rows, columns, missing, duplicates, outliers)
+    and the columns each logged step touched."""
+    b = Q.snapshot(before).first()
+    a = Q.snapshot(after).first()
+    spark = before.sparkSession
+    rows = [(k, int(b[k]), int(a[k])) for k in ("rows", "columns", "total_missing", "duplicate_rows",
+                                                 "outlier_cells")]
+    modified = sorted({e.column for e in log if e.column and e.operation not in
+                       ("identifier_column_retained", "duplicate_column_retained", "constant_columns_retained",
+                        "statistical_outlier_flagged", "high_missing_column_review", "all_null_column_review")})
+    rows.append(("modified_columns", len(modified), len(modified)))
+    return spark.createDataFrame(rows, "metric string, before long, after long")
+
+
+def candidates(df: DataFrame) -> DataFrame:
+    """PIP-9: dry run of feature engineering: what would be created, with priority
+    HIGH for log and ratio features, MEDIUM otherwise. Only the fit jobs run."""
+    _, rep = FE.engineer(df)
+    rows = [(g["feature"], g.get("source"), g.get("transformation"),
+             "HIGH" if g.get("transformation") in ("log1p", "ratio") else "MEDIUM") for g in rep.generated]
+    return df.sparkSession.createDataFrame(rows, "feature string, source string, transformation string, "
+                                                 "priority string")
+
+
 def preview_clean(df: DataFrame, cfg: CleaningConfig | None = None) -> dict[str, DataFrame]:
     """PIP-6: before-snapshot and the planned log; nothing is written."""
     spark = df.sparkSession

@@ -154,6 +154,11 @@ register("clean_impute_categorical_customer",
          None)
 register("clean_pipeline_customer",
          _on("dirty_customer", lambda d: PL.clean(d, key="customer_id")[0]), None)
+register("clean_summary_customer", _on("dirty_customer", lambda d: PL.clean_summary(
+    d, *PL.clean(d, key="customer_id"))), None)
+register("clean_imputation_report_customer", lambda spark, sf: I.imputation_report(
+    spark, PL.clean(load(spark, sf, "dirty_customer"), key="customer_id")[1]), None)
+register("features_candidates_events", _on("events", PL.candidates), None)
 register("clean_drop_duplicate_rows", _on("dirty_events", _first(C.drop_duplicate_rows)),
          CS.drop_duplicate_rows("dirty_events"))
 
