@@ -226,3 +226,37 @@ SELECT CAST((SELECT count(*) FROM {src} t) AS BIGINT) AS "rows", {len(cs)} AS "c
   CAST((SELECT coalesce(sum(k - 1), 0) FROM (SELECT count(*) AS k FROM {src} t GROUP BY {", ".join(G.q(c) for c, _ in cs)}) g)
        AS BIGINT) AS duplicate_rows,
   CAST((SELECT coalesce(sum(oc), 0) FROM o) AS BIGINT) AS outlier_cells"""
+
+
+def quality_score(table: str, year: int, target: str | None, target_kind: str | None) -> str:
+    """Rule R5 over the individual check oracles: penalties, half-even rounding, clamp, level.
+    ``target`` is the first target-named column (None when no column name qualifies)."""
+    src = source_sql(table)
+    ci = ("SELECT 0.0 AS p" if target is None else
+          f"SELECT coalesce(max(CASE WHEN is_severe THEN 10.0 WHEN majority_percentage >= 80 THEN 5.0 "
+          f"ELSE 0.0 END), 0.0) AS p FROM ({class_imbalance(table, target, target_kind)}) x")
+    pen = f"""
+WITH n AS (SELECT count(*) AS n FROM {src} t),
+mv AS (SELECT coalesce(sum(CASE severity WHEN 'Low' THEN 0.5 WHEN 'Medium' THEN 2.0 ELSE 4.0 END), 0.0) AS p
+       FROM ({missing_values(table)}) x),
+dr AS (SELECT percentage FROM ({duplicate_rows(table)}) x),
+cc AS (SELECT count(*) AS k FROM ({constant_columns(table)}) x),
+hm AS (SELECT count(*) AS k FROM ({high_missing_columns(table)}) x),
+iv AS (SELECT coalesce(sum(least(3.0, 1.0 + CAST(x."count" AS DOUBLE) / greatest(n.n, 1) * 10.0)), 0.0) AS p
+       FROM ({invalid_values(table, year)}) x, n),
+ol AS (SELECT coalesce(sum(least(2.0, CAST(x.outlier_count AS DOUBLE) / greatest(n.n, 1) * 20.0)), 0.0) AS p
+       FROM ({iqr_outliers(table)}) x, n),
+ci AS ({ci}),
+b AS (SELECT least(25.0, mv.p) AS missing_values,
+             CASE WHEN n.n > 0 THEN least(15.0, dr.percentage * 0.4) ELSE 0.0 END AS duplicate_rows,
+             least(10.0, cc.k * 2.0) AS constant_columns, least(15.0, hm.k * 5.0) AS high_missing_columns,
+             least(15.0, iv.p) AS invalid_values, least(10.0, ol.p) AS outliers, ci.p AS class_imbalance
+      FROM n, mv, dr, cc, hm, iv, ol, ci),
+s AS (SELECT *, CAST(greatest(0, least(100, round_even(100.0 - (missing_values + duplicate_rows + constant_columns
+        + high_missing_columns + invalid_values + outliers + class_imbalance), 0))) AS INTEGER) AS score FROM b)
+SELECT score, CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 75 THEN 'Good' WHEN score >= 60 THEN 'Fair'
+  ELSE 'Poor' END AS level, round(missing_values, 4) AS missing_values, round(duplicate_rows, 4) AS duplicate_rows,
+  round(constant_columns, 4) AS constant_columns, round(high_missing_columns, 4) AS high_missing_columns,
+  round(invalid_values, 4) AS invalid_values, round(outliers, 4) AS outliers,
+  round(class_imbalance, 4) AS class_imbalance FROM s"""
+    return pen

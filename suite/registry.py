@@ -112,7 +112,10 @@ register("quality_iqr_outliers_events", _on("events", Q.iqr_outliers),
          QS.iqr_outliers("events"))
 register("quality_iqr_outliers_customer", _on("dirty_customer", Q.iqr_outliers),
          QS.iqr_outliers("dirty_customer"))
-register("quality_score_customer", _on("dirty_customer", lambda d: Q.quality_score(d, AS_OF_YEAR)), None)
+register("quality_score_customer", _on("dirty_customer", lambda d: Q.quality_score(d, AS_OF_YEAR)),
+         QS.quality_score("dirty_customer", AS_OF_YEAR, "churn", "int"))
+register("quality_score_events", _on("dirty_events", lambda d: Q.quality_score(d, AS_OF_YEAR)),
+         QS.quality_score("dirty_events", AS_OF_YEAR, None, None))
 register("quality_frequency_segment", _on("dirty_customer", lambda d: Q.frequency_profile(d, "segment")),
          QS.frequency_profile("dirty_customer", "segment", "str"))
 register("quality_frequency_event_type", _on("events", lambda d: Q.frequency_profile(d, "event_type")),
