@@ -74,9 +74,12 @@ LABELLED_DOCUMENTS = """
 SELECT d.doc_id, d.lang, d.source, d.n_chars, lb.quality, lb.toxic
 FROM {documents} d LEFT JOIN {labels} lb ON d.doc_id = lb.doc_id
 """
+CATEGORICAL_CUSTOMER = ("SELECT customer_id, city, gender, segment, near_constant FROM ("
+                        + DIRTY_CUSTOMER + ") dc")
 # ---- end of fixed values ----------------------------------------------------
 
 VIEWS = {
+    "categorical_customer": (CATEGORICAL_CUSTOMER, ("customer",)),
     "dirty_customer": (DIRTY_CUSTOMER, ("customer",)),
     "dirty_events": (DIRTY_EVENTS, ("events",)),
     "dirty_dates": (DIRTY_DATES, ("lineitem", "orders")),

@@ -23,6 +23,7 @@ from kiln.plans import pipelines as PL
 from kiln.operators import detect as D
 from kiln.operators import profile as P
 from suite import clean_sql as CS
+from suite import impute_sql as IS
 from suite import profile_sql as PS
 from suite import select_sql as SS
 from suite import features_sql as FS
@@ -37,7 +38,7 @@ _SQL: dict[str, str] = {}
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     configure(spark)
-    if table in ("dirty_customer", "dirty_events", "dirty_dates", "labelled_documents"):
+    if table in ("dirty_customer", "dirty_events", "dirty_dates", "labelled_documents", "categorical_customer"):
         return derived(spark, sf_dir, table)
     return read_table(spark, f"{sf_dir}/{table}.parquet")
 
@@ -162,6 +163,10 @@ register("clean_summary_customer", _on("dirty_customer", lambda d: PL.clean_summ
 register("clean_imputation_report_customer", lambda spark, sf: I.imputation_report(
     spark, PL.clean(load(spark, sf, "dirty_customer"), key="customer_id")[1]), None)
 register("features_candidates_events", _on("events", PL.candidates), None)
+register("clean_impute_categorical_ladder",
+         _on("categorical_customer",
+             lambda d: I.impute_missing(C.normalize_empty_strings(d)[0], key="customer_id")[0]),
+         IS.categorical_imputation("categorical_customer", "customer_id", ["gender", "segment"]))
 register("clean_drop_duplicate_rows", _on("dirty_events", _first(C.drop_duplicate_rows)),
          CS.drop_duplicate_rows("dirty_events"))
 
