@@ -235,12 +235,19 @@ def mutual_information(df: DataFrame, target: str, features: list[str] | None =
     # fill values for missing x: median (numeric) / most frequent (categorical), on target rows
     nums = [c for c in feats if is_numeric_type(df.schema[c].dataType)]
     cats = [c for c in feats if c not in nums]
-    stats = base.agg(*[F.percentile(col(c).cast("double"), 0.5).alias(f"q{i}") for i, c in enumerate(nums)],
+    from kiln.operators.quantiles import exact_quantiles, strategy
+    narrow = strategy(df) == "narrow"
+    stats = base.agg(*[(F.lit(None).cast("double") if narrow else F.percentile(col(c).cast("double"), 0.5))
+                       .alias(f"q{i}") for i, c in enumerate(nums)],
                      *[F.min(col(c).cast("double")).alias(f"mn{i}") for i, c in enumerate(nums)],
                      *[F.max(col(c).cast("double")).alias(f"mx{i}") for i, c in enumerate(nums)],
                      *[F.count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(nums)],
                      *[F.mode(as_text(col(c), df.schema[c].dataType), True).alias(f"o{i}") for i, c in enumerate(cats)],
-                     F.lit(1).alias("_")).first()
+                     F.lit(1).alias("_")).first().asDict()
+    if narrow and nums:
+        med = exact_quantiles(base, {c: col(c) for c in nums}, (0.5,))
+        for i, c in enumerate(nums):
+            stats[f"q{i}"] = med[c][0.5]
     xs = []
     meds = {c: (stats[f"q{i}"] if stats[f"q{i}"] is not None else 0.0) for i, c in enumerate(nums)}
     filled = {c: F.coalesce(col(c).cast("double"), F.lit(meds[c])) for c in nums}

@@ -70,6 +70,8 @@ def numeric_stats(df: DataFrame, names: list[str], coerce: bool = False,
     """One aggregate job: counts, moments, min/max, quantiles per column."""
     if not names:
         return {}
+    from kiln.operators.quantiles import strategy
+    narrow = bool(quantiles) and exact and strategy(df) == "narrow"
     aggs: list[Column] = [F.count(F.lit(1)).alias("n_rows")]
     for i, name in enumerate(names):
         v = numeric_view(df, name, coerce)
@@ -86,12 +88,16 @@ def numeric_stats(df: DataFrame, names: list[str], coerce: bool = False,
             F.count_if(v < 0).alias(_k(i, "neg")),
             F.count_if(F.abs(v - r) > F.lit(1e-8) + F.lit(1e-5) * F.abs(r)).alias(_k(i, "frac")),
         ]
-        if quantiles:
+        if quantiles and not narrow:
             probs = F.array(*[F.lit(float(p)) for p in quantiles])
             q = (F.percentile(v, probs) if exact
                  else F.percentile_approx(v, probs, APPROX_ACCURACY))
             aggs.append(q.alias(_k(i, "q")))
     row = df.agg(*aggs).first()
+    if narrow:
+        # exact values with bounded memory (see operators/quantiles.py)
+        from kiln.operators.quantiles import exact_quantiles
+        qv = exact_quantiles(df, {n: numeric_view(df, n, coerce) for n in names}, tuple(quantiles))
     nd = distinct_counts(df, names, values={n: numeric_view(df, n, coerce) for n in names}) if distinct else {}
     n_rows = int(row["n_rows"])
     out: dict[str, NumericStats] = {}
@@ -109,7 +115,10 @@ def numeric_stats(df: DataFrame, names: list[str], coerce: bool = False,
             zeros=int(row[_k(i, "zero")]), negatives=int(row[_k(i, "neg")]),
             non_integral=int(row[_k(i, "frac")]),
         )
-        if quantiles and row[_k(i, "q")] is not None:
+        if narrow:
+            if qv[name] and all(x is not None for x in qv[name].values()):
+                st.quantiles = {p: float(qv[name][p]) for p in quantiles}
+        elif quantiles and row[_k(i, "q")] is not None:
             st.quantiles = {p: float(x) for p, x in zip(quantiles, row[_k(i, "q")])}
         out[name] = st
     return out
