@@ -88,7 +88,7 @@ def numeric_stats(df: DataFrame, names: list[str], coerce: bool = False,
             F.count_if(v < 0).alias(_k(i, "neg")),
             F.count_if(F.abs(v - r) > F.lit(1e-8) + F.lit(1e-5) * F.abs(r)).alias(_k(i, "frac")),
         ]
-        if quantiles and not narrow:
+        if quantiles and not narrow and not (distinct and exact):
             probs = F.array(*[F.lit(float(p)) for p in quantiles])
             q = (F.percentile(v, probs) if exact
                  else F.percentile_approx(v, probs, APPROX_ACCURACY))
@@ -98,7 +98,14 @@ def numeric_stats(df: DataFrame, names: list[str], coerce: bool = False,
         # exact values with bounded memory (see operators/quantiles.py)
         from kiln.operators.quantiles import exact_quantiles
         qv = exact_quantiles(df, {n: numeric_view(df, n, coerce) for n in names}, tuple(quantiles))
-    nd = distinct_counts(df, names, values={n: numeric_view(df, n, coerce) for n in names}) if distinct else {}
+    nd: dict[str, int] = {}
+    grouped_q: dict[str, list[float] | None] = {}
+    if distinct and quantiles and not narrow and exact:
+        # one pass for both: (column, value) counts -> distinct count and
+        # frequency-weighted exact percentile per column (each column merges in its own task)
+        nd, grouped_q = _distinct_and_quantiles(df, names, coerce, tuple(quantiles), exact)
+    elif distinct:
+        nd = distinct_counts(df, names, values={n: numeric_view(df, n, coerce) for n in names})
     n_rows = int(row["n_rows"])
     out: dict[str, NumericStats] = {}
     for i, name in enumerate(names):
@@ -118,12 +125,29 @@ def numeric_stats(df: DataFrame, names: list[str], coerce: bool = False,
         if narrow:
             if qv[name] and all(x is not None for x in qv[name].values()):
                 st.quantiles = {p: float(qv[name][p]) for p in quantiles}
+        elif quantiles and distinct and exact:
+            if grouped_q.get(name) is not None:
+                st.quantiles = {p: float(x) for p, x in zip(quantiles, grouped_q[name])}
         elif quantiles and row[_k(i, "q")] is not None:
             st.quantiles = {p: float(x) for p, x in zip(quantiles, row[_k(i, "q")])}
         out[name] = st
     return out
 
 
+def _distinct_and_quantiles(df: DataFrame, names: list[str], coerce: bool, quantiles: tuple[float, ...],
+                            exact: bool = True) -> tuple[dict[str, int], dict[str, list[float] | None]]:
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), numeric_view(df, n, coerce).alias("v"))
+                      for i, n in enumerate(names)])
+    pairs = (df.select(F.inline(cells)).where(F.col("v").isNotNull())
+             .groupBy("i", "v").agg(F.count(F.lit(1)).alias("k")))
+    probs = F.array(*[F.lit(float(p)) for p in quantiles])
+    q = F.percentile("v", probs, F.col("k"))  # exact, weighted by the value counts
+    res = {r["i"]: r for r in pairs.groupBy("i").agg(F.count(F.lit(1)).alias("nd"), q.alias("q")).collect()}
+    nd = {n: int(res[i]["nd"]) if i in res else 0 for i, n in enumerate(names)}
+    qs = {n: (list(res[i]["q"]) if i in res and res[i]["q"] is not None else None) for i, n in enumerate(names)}
+    return nd, qs
+
+
 def skew_expr(v: Column) -> Column:
     """G1 skewness of a column as an aggregate expression."""
     return skew_g1(F.count(v), F.skewness(v))
