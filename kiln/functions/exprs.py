@@ -30,6 +30,9 @@ DATETIME_FORMATS: tuple[tuple[str, str], ...] = (
 # Every format above has this shape; text without it cannot parse, so parse
 # attempts (costly on failure) are skipped for it.
 DATE_SHAPE = r"^\d{1,4}[-/]\d{1,2}[-/]\d{1,4}([ T]\d{1,2}:\d{2}(:\d{2})?)?$"
+# The characters Python's str.strip() removes (str.isspace()), in code point order.
+WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
+              "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 BOOLEAN_LITERALS = ("true", "false", "yes", "no", "y", "n", "0", "1", "t", "f")
 # ---- end of fixed values ----------------------------------------------------
 
@@ -74,8 +77,8 @@ def is_atomic(dt: T.DataType) -> bool:
 
 
 def strip(c: Column) -> Column:
-    """Python ``str.strip``: removes all Unicode whitespace at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Python ``str.strip``: removes its whitespace characters at both ends (linear ``trim``)."""
+    return F.trim(c, F.lit(WHITESPACE))
 
 
 def as_double(c: Column, dt: T.DataType) -> Column:

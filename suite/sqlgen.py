@@ -7,7 +7,7 @@ numeric parse, date parse, strip) in DuckDB's dialect.
 
 from __future__ import annotations
 
-from kiln.functions.exprs import DATETIME_FORMATS, NUMERIC_TEXT
+from kiln.functions.exprs import DATETIME_FORMATS, NUMERIC_TEXT, WHITESPACE
 
 # column kinds: "int" (integral), "dbl" (floating), "str", "ts", "bool"
 
@@ -21,7 +21,7 @@ def lit(s: str) -> str:
 
 
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"trim({x}, {lit(WHITESPACE)})"
 
 
 def missing(name: str, kind: str) -> str:
