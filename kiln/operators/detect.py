@@ -19,6 +19,9 @@ from pyspark.sql import types as T
 from kiln.functions import names as N
 from kiln.functions.exprs import (
     BOOLEAN_LITERALS,
+    DATE_SHAPE,
+    DATETIME_FORMATS,
+    NUMERIC_TEXT,
     as_text,
     col,
     is_numeric_type,
@@ -65,25 +68,44 @@ class ColumnFacts:
 
 def column_facts(df: DataFrame, names: list[str] | None = None) -> dict[str, ColumnFacts]:
     names = [c for c in (names or df.columns) if _orderable(df.schema[c].dataType)]
-    aggs = [F.count(F.lit(1)).alias("n")]
+    # per-row derivations once, in a projection below the aggregate
+    proj_cols = []
     for i, c in enumerate(names):
         dt = df.schema[c].dataType
         v = F.when(~missing(df, c), col(c))
-        t = as_text(v, dt)
+        proj_cols.append(v.alias(f"v{i}"))
+        if is_string_type(dt):
+            sv = strip(v)
+            proj_cols += [sv.alias(f"s{i}"), sv.rlike(DATE_SHAPE).alias(f"sh{i}")]
+        elif not is_timestamp_type(dt):
+            proj_cols.append(F.lower(strip(as_text(v, dt))).alias(f"s{i}"))
+    proj = df.select(*proj_cols)
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i, c in enumerate(names):
+        dt = df.schema[c].dataType
+        v = F.col(f"v{i}")
         num = is_numeric_type(dt)
-        aggs += [F.count(v).alias(f"nn{i}"),
-                 F.coalesce(F.bool_and(F.when(v.isNotNull(), F.lower(strip(t)).isin(*BOOLEAN_LITERALS))),
-                            F.lit(False)).alias(f"b{i}")]
-        if is_string_type(dt) or is_timestamp_type(dt):
-            aggs.append(datetime_like_ratio(df, c).alias(f"dt{i}"))
+        aggs.append(F.count(v).alias(f"nn{i}"))
         if is_string_type(dt):
-            aggs += [F.count(parse_number(v, dt)).alias(f"p{i}"), F.avg(F.length(v)).alias(f"l{i}"),
-                     F.count_if(strip(v).rlike(N.EMAIL_VALUE)).alias(f"e{i}")]
+            sv, shaped = F.col(f"s{i}"), F.col(f"sh{i}")
+            aggs.append(F.coalesce(F.bool_and(F.when(v.isNotNull(), F.lower(sv).isin(*BOOLEAN_LITERALS))),
+                                   F.lit(False)).alias(f"b{i}"))
+            ratios = [F.count_if(F.when(shaped, F.try_to_timestamp(sv, F.lit(f))).isNotNull()) / F.count(v)
+                      for f, _ in DATETIME_FORMATS]
+            aggs.append(F.when(F.count(v) > 0, F.greatest(*ratios)).otherwise(F.lit(0.0)).alias(f"dt{i}"))
+            aggs += [F.count_if(sv.rlike(NUMERIC_TEXT) & sv.try_cast("double").isNotNull()).alias(f"p{i}"),
+                     F.avg(F.length(v)).alias(f"l{i}"),
+                     F.count_if(sv.rlike(N.EMAIL_VALUE)).alias(f"e{i}")]
+        elif is_timestamp_type(dt):
+            aggs += [F.lit(False).alias(f"b{i}"), F.lit(1.0).alias(f"dt{i}")]
+        else:
+            aggs.append(F.coalesce(F.bool_and(F.when(v.isNotNull(), F.col(f"s{i}").isin(*BOOLEAN_LITERALS))),
+                                   F.lit(False)).alias(f"b{i}"))
         if num:
             x = v.cast("double")
             r = F.rint(x)
             aggs.append(F.count_if(F.abs(x - r) > F.lit(1e-8) + F.lit(1e-5) * F.abs(r)).alias(f"f{i}"))
-    row = df.agg(*aggs).first().asDict()
+    row = proj.agg(*aggs).first().asDict()
     dist = distinct_counts(df, names)
     n = int(row["n"])
     facts: dict[str, ColumnFacts] = {}

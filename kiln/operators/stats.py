@@ -72,9 +72,12 @@ def numeric_stats(df: DataFrame, names: list[str], coerce: bool = False,
         return {}
     from kiln.operators.quantiles import strategy
     narrow = bool(quantiles) and exact and strategy(df) == "narrow"
+    # derive each numeric view once, in a projection below the aggregate (an
+    # expression used by ten aggregate functions would otherwise run ten times)
+    proj = df.select(*[numeric_view(df, n, coerce).alias(f"__v{i}") for i, n in enumerate(names)])
     aggs: list[Column] = [F.count(F.lit(1)).alias("n_rows")]
     for i, name in enumerate(names):
-        v = numeric_view(df, name, coerce)
+        v = F.col(f"__v{i}")
         # integral test as numpy allclose(v, round(v)): |v-r| <= 1e-8 + 1e-5*|r|
         r = F.rint(v)
         aggs += [
@@ -88,19 +91,22 @@ def numeric_stats(df: DataFrame, names: list[str], coerce: bool = False,
             F.count_if(v < 0).alias(_k(i, "neg")),
             F.count_if(F.abs(v - r) > F.lit(1e-8) + F.lit(1e-5) * F.abs(r)).alias(_k(i, "frac")),
         ]
-        if quantiles and not narrow and not (distinct and exact):
-            probs = F.array(*[F.lit(float(p)) for p in quantiles])
-            q = (F.percentile(v, probs) if exact
-                 else F.percentile_approx(v, probs, APPROX_ACCURACY))
-            aggs.append(q.alias(_k(i, "q")))
-    row = df.agg(*aggs).first()
+    # moments only: a plain HashAggregate stays in whole-stage codegen; quantile
+    # aggregates are imperative and would drag every function out of codegen
+    row = proj.agg(*aggs).first()
+    approx_q = {}
+    if quantiles and not exact:
+        probs = F.array(*[F.lit(float(p)) for p in quantiles])
+        qrow = proj.agg(*[F.percentile_approx(F.col(f"__v{i}"), probs, APPROX_ACCURACY).alias(f"q{i}")
+                          for i in range(len(names))]).first()
+        approx_q = {n: qrow[f"q{i}"] for i, n in enumerate(names)}
     if narrow:
         # exact values with bounded memory (see operators/quantiles.py)
         from kiln.operators.quantiles import exact_quantiles
         qv = exact_quantiles(df, {n: numeric_view(df, n, coerce) for n in names}, tuple(quantiles))
     nd: dict[str, int] = {}
     grouped_q: dict[str, list[float] | None] = {}
-    if distinct and quantiles and not narrow and exact:
+    if quantiles and not narrow and exact:
         # one pass for both: (column, value) counts -> distinct count and
         # frequency-weighted exact percentile per column (each column merges in its own task)
         nd, grouped_q = _distinct_and_quantiles(df, names, coerce, tuple(quantiles), exact)
@@ -125,11 +131,11 @@ def numeric_stats(df: DataFrame, names: list[str], coerce: bool = False,
         if narrow:
             if qv[name] and all(x is not None for x in qv[name].values()):
                 st.quantiles = {p: float(qv[name][p]) for p in quantiles}
-        elif quantiles and distinct and exact:
+        elif quantiles and exact:
             if grouped_q.get(name) is not None:
                 st.quantiles = {p: float(x) for p, x in zip(quantiles, grouped_q[name])}
-        elif quantiles and row[_k(i, "q")] is not None:
-            st.quantiles = {p: float(x) for p, x in zip(quantiles, row[_k(i, "q")])}
+        elif quantiles and approx_q.get(name) is not None:
+            st.quantiles = {p: float(x) for p, x in zip(quantiles, approx_q[name])}
         out[name] = st
     return out
 
