@@ -141,5 +141,12 @@ def char_count(c: Column) -> Column:
     return F.length(strip(F.coalesce(c, F.lit("")))).cast("long")
 
 
-def round_half_even(c: Column, digits: int) -> Column:
-    return F.bround(c, digits)
+def pyround(c: Column | str, digits: int = 0) -> Column:
+    """Python's ``round(x, digits)`` on doubles: half-even on the scaled binary value.
+
+    Spark's ``round``/``bround`` round the double's shortest decimal text
+    (16.685 -> 16.69), Python rounds the binary value (16.684999... -> 16.68).
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    s = float(10 ** digits)
+    return F.rint(c * s) / s

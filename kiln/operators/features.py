@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from kiln.functions import names as N
 from kiln.functions.exprs import (
+    pyround,
     char_count,
     col,
     is_numeric_type,
@@ -165,7 +166,7 @@ def engineer_datetime(df: DataFrame, selected: set[str] | None = None,
         if kind == "duration":
             if row[f"neg{j}"]:
                 rep.issues.append({"issue": "negative_duration", "columns": [a, b], "count": int(row[f"neg{j}"])})
-            cands.append((f"{a}_{b}_Duration_Days", F.round(days, 2),
+            cands.append((f"{a}_{b}_Duration_Days", pyround(days, 2),
                           {"source": f"{a}, {b}", "transformation": "Duration_Days"}))
         else:
             if row[f"neg{j}"]:

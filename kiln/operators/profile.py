@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from kiln.functions import names as N
 from kiln.functions.exprs import (
+    pyround,
     BOOLEAN_LITERALS,
     as_text,
     col,
@@ -73,7 +74,7 @@ def numeric_report(df: DataFrame, exact: bool = True) -> DataFrame:
     miss = F.col("n_rows") - F.col("non_null")
     return rep.select(
         "column_name", miss.cast("long").alias("missing_count"),
-        F.when(F.col("n_rows") > 0, F.round(miss * 100.0 / F.col("n_rows"), 2)).alias("missing_percentage"),
+        F.when(F.col("n_rows") > 0, pyround(miss * 100.0 / F.col("n_rows"), 2)).alias("missing_percentage"),
         "non_null", "distinct_count", "min", "max", "mean", "median", "std", "skewness",
         "zero_count", "negative_count", "integer_like", "lower_bound", "upper_bound", "outlier_count")
 
@@ -81,7 +82,7 @@ def numeric_report(df: DataFrame, exact: bool = True) -> DataFrame:
 def _r(x: float | None, digits: int = 4) -> Column:
     if x is None:
         return F.lit(None).cast("double")
-    return F.round(F.lit(float(x)), digits)
+    return pyround(F.lit(float(x)), digits)
 
 
 # ------------------------------------------------------------ PRF-1 .. PRF-4
@@ -213,7 +214,7 @@ def datetime_profile(df: DataFrame, names: list[str]) -> DataFrame:
             - F.unix_micros(F.col("min_date").cast("timestamp"))) / 86400e6
     return rep.select("column_name", "min_date", "max_date",
                       F.col("unique_dates").cast("long").alias("unique_dates"),
-                      F.round(days, 2).alias("date_range_days"), "has_time",
+                      pyround(days, 2).alias("date_range_days"), "has_time",
                       F.col("parseable_count").cast("long").alias("parseable_count"),
                       F.col("invalid_count").cast("long").alias("invalid_count"))
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kiln.functions import names as N
-from kiln.functions.exprs import as_text, col, is_numeric_type, is_string_type, is_timestamp_type
+from kiln.functions.exprs import as_text, col, is_numeric_type, is_string_type, is_timestamp_type, pyround
 from kiln.operators.detect import column_facts, is_identifier
 from kiln.operators.quality import _chunked_agg, _report, duplicate_column_map
 from kiln.operators.stats import missing
@@ -114,7 +114,7 @@ def feature_quality(df: DataFrame, target: str | None = None) -> DataFrame:
         F.when(F.col("semantic_type") == "high_cardinality_categorical", F.lit("high_cardinality"))))
     return j.select("feature", "datatype", "semantic_type", "missing_pct", "unique_count", "unique_pct",
                     F.col("top_value").alias("most_frequent_value"),
-                    F.round(share * 100.0, 2).alias("frequency_pct"),
+                    pyround(share * 100.0, 2).alias("frequency_pct"),
                     const.alias("is_constant"), near.alias("is_near_constant"), "is_identifier",
                     "is_exact_duplicate", "duplicate_of", flags.alias("quality_flags"))
 
@@ -275,7 +275,7 @@ def mutual_information(df: DataFrame, target: str, features: list[str] | None =
     term = (F.col("k") / n) * F.log((F.col("k") * n) / (F.col("kx") * F.col("ky")))
     mi = p.groupBy("feature").agg(F.greatest(F.sum(term), F.lit(0.0)).alias("mi"))
     # features whose x has a single bin carry no information
-    out = mi.select("feature", F.round("mi", 6).alias("mi_score"))
+    out = mi.select("feature", pyround("mi", 6).alias("mi_score"))
     return out.select("feature", "mi_score",
                       F.row_number().over(Window.orderBy(F.desc("mi_score"), "feature")).alias("rank"))
 

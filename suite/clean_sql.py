@@ -59,7 +59,7 @@ def impute_numeric(table: str) -> str:
             continue
         v = G.num(c, k)
         stats.append(f"count({v}) AS k{i}, avg({v}) AS a{i}, quantile_cont({v}, 0.5) AS q{i}, "
-                     f"skewness({v}) AS s{i}, count(*) FILTER (WHERE abs({v} - round({v})) > 1e-9) AS f{i}, "
+                     f"skewness({v}) AS s{i}, count(*) FILTER (WHERE abs({v} - round_even({v}, 0)) > 1e-9) AS f{i}, "
                      f"count(*) FILTER (WHERE {G.missing(c, k)}) AS m{i}, count(*) AS n{i}")
         fill = f"(CASE WHEN s.k{i} >= 8 AND abs(s.s{i}) >= 1.0 THEN s.q{i} ELSE s.a{i} END)"
         filled = f"coalesce(CAST(t.{G.q(c)} AS DOUBLE), {fill})"

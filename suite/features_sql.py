@@ -31,7 +31,7 @@ def log_feature(table: str, column: str) -> str:
     """log1p when >= 10 distinct, >= 20 values, G1 skew >= 1 (4 dp) and no negatives."""
     v = f"t.{G.q(column)}"
     cond = (f"(SELECT count(DISTINCT {G.q(column)}) >= 10 AND count({G.q(column)}) >= 20 "
-            f"AND round(skewness({G.q(column)}), 4) >= 1.0 AND min({G.q(column)}) >= 0 "
+            f"AND round_even(skewness({G.q(column)}), 4) >= 1.0 AND min({G.q(column)}) >= 0 "
             f"FROM {source_sql(table)} x)")
     return (f"SELECT {_all(table)}, CASE WHEN {cond} THEN ln(1 + {v}) END AS {G.q(column + '_Log')} "
             f"FROM {source_sql(table)} t")

@@ -29,7 +29,7 @@ def _step(prev: str, out: str, target: str, cands: list[str], all_cols: list[str
 {out}_g AS ({groups}),
 {out}_tab AS (SELECT pos, gv, sum(k) OVER (PARTITION BY pos, gv) AS size, k, v,
                      row_number() OVER (PARTITION BY pos, gv ORDER BY k DESC, v) AS r FROM {out}_g),
-{out}_elig AS (SELECT t.pos, t.gv, t.v AS top, round(CAST(t.k AS DOUBLE) / t.size, 4) AS conf4, o.ord
+{out}_elig AS (SELECT t.pos, t.gv, t.v AS top, round_even(CAST(t.k AS DOUBLE) / t.size, 4) AS conf4, o.ord
                FROM {out}_tab t JOIN {out}_ord o ON o.pos = t.pos
                WHERE t.r = 1 AND t.size >= 10 AND CAST(t.k AS DOUBLE) / t.size >= 0.60),
 {out}_best AS (SELECT rk, top FROM (SELECT rk, top, row_number() OVER (PARTITION BY rk ORDER BY conf4 DESC, ord) AS r
@@ -38,7 +38,7 @@ def _step(prev: str, out: str, target: str, cands: list[str], all_cols: list[str
 {out}_fs AS (SELECT sum(k) AS total, count(*) AS cats,
                     max(k) AS topk, arg_min(v, (-k)::BIGINT) AS _x FROM {out}_f),
 {out}_dom AS (SELECT v AS dominant FROM {out}_f ORDER BY k DESC, v LIMIT 1),
-{out}_m AS (SELECT CASE WHEN total >= 3 AND total >= 20 AND round(CAST(topk AS DOUBLE) * 100.0 / total, 2) / 100.0 >= 0.60
+{out}_m AS (SELECT CASE WHEN total >= 3 AND total >= 20 AND round_even(CAST(topk AS DOUBLE) * 100.0 / total, 2) / 100.0 >= 0.60
                         THEN 'global' WHEN total >= 20 AND cats >= 2 THEN 'distribution'
                         WHEN total < 3 THEN 'review' ELSE 'unknown' END AS method FROM {out}_fs),
 {out}_iv AS (SELECT v, (sum(k) OVER (ORDER BY k DESC, v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - k)

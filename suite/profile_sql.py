@@ -13,7 +13,7 @@ def numeric_report(table: str) -> str:
         if k not in ("int", "dbl", "bool"):
             continue
         v = G.num(c, k)
-        r = f"round({v})"
+        r = f"round_even({v}, 0)"
         parts.append(f"""SELECT {G.lit(c)} AS column_name, count(*) AS n, count({v}) AS nn,
   count(DISTINCT {v}) AS nd, min({v}) AS mn, max({v}) AS mx, avg({v}) AS mean,
   quantile_cont({v}, 0.5) AS med, quantile_cont({v}, 0.25) AS q1, quantile_cont({v}, 0.75) AS q3,
@@ -33,14 +33,14 @@ def numeric_report(table: str) -> str:
 WITH s AS ({G.union_all(parts)}),
 o AS ({G.union_all(fences)})
 SELECT s.column_name, CAST(s.n - s.nn AS BIGINT) AS missing_count,
-  CASE WHEN s.n > 0 THEN round(CAST(s.n - s.nn AS DOUBLE) * 100.0 / s.n, 2) END AS missing_percentage,
+  CASE WHEN s.n > 0 THEN round_even(CAST(s.n - s.nn AS DOUBLE) * 100.0 / s.n, 2) END AS missing_percentage,
   CAST(s.nn AS BIGINT) AS non_null, CAST(s.nd AS BIGINT) AS distinct_count,
-  round(s.mn, 4) AS "min", round(s.mx, 4) AS "max", round(s.mean, 4) AS mean, round(s.med, 4) AS median,
-  round(s.sd, 4) AS std, round(CASE WHEN s.nn >= 3 THEN s.sk WHEN s.nn > 0 THEN 0.0 END, 4) AS skewness,
+  round_even(s.mn, 4) AS "min", round_even(s.mx, 4) AS "max", round_even(s.mean, 4) AS mean, round_even(s.med, 4) AS median,
+  round_even(s.sd, 4) AS std, round_even(CASE WHEN s.nn >= 3 THEN s.sk WHEN s.nn > 0 THEN 0.0 END, 4) AS skewness,
   CAST(s.zc AS BIGINT) AS zero_count, CAST(s.nc AS BIGINT) AS negative_count,
   (s.nn > 0 AND s.frac = 0) AS integer_like,
-  CASE WHEN {fenced} THEN round(s.q1 - 1.5 * (s.q3 - s.q1), 4) END AS lower_bound,
-  CASE WHEN {fenced} THEN round(s.q3 + 1.5 * (s.q3 - s.q1), 4) END AS upper_bound,
+  CASE WHEN {fenced} THEN round_even(s.q1 - 1.5 * (s.q3 - s.q1), 4) END AS lower_bound,
+  CASE WHEN {fenced} THEN round_even(s.q3 + 1.5 * (s.q3 - s.q1), 4) END AS upper_bound,
   CASE WHEN {fenced} THEN CAST(o.oc AS BIGINT) END AS outlier_count
 FROM s JOIN o ON s.column_name = o.column_name"""
 
@@ -54,7 +54,7 @@ def datetime_profile(table: str, names: list[str]) -> str:
         t = G.ts(c, kinds[c])
         parts.append(f"""SELECT {G.lit(c)} AS column_name, min({t}) AS min_date, max({t}) AS max_date,
   CAST(count(DISTINCT CAST({t} AS DATE)) AS BIGINT) AS unique_dates,
-  round((epoch_us(max({t})) - epoch_us(min({t}))) / 86400e6, 2) AS date_range_days,
+  round_even((epoch_us(max({t})) - epoch_us(min({t}))) / 86400e6, 2) AS date_range_days,
   coalesce(bool_or(hour({t}) + minute({t}) + second({t}) <> 0), false) AS has_time,
   CAST(count({t}) AS BIGINT) AS parseable_count,
   CAST(count({G.q(c)}) - count({t}) AS BIGINT) AS invalid_count FROM {src} t""")

@@ -21,7 +21,7 @@ def missing_values(table: str) -> str:
     return f"""
 WITH s AS (SELECT count(*) AS n, {aggs} FROM {source_sql(table)} t),
 r AS ({G.union_all(parts)})
-SELECT column_name, CAST(cnt AS BIGINT) AS "count", round({_pct('cnt')}, 2) AS percentage,
+SELECT column_name, CAST(cnt AS BIGINT) AS "count", round_even({_pct('cnt')}, 2) AS percentage,
   CASE WHEN {_pct('cnt')} < 5 THEN 'Low' WHEN {_pct('cnt')} <= 20 THEN 'Medium' ELSE 'High' END AS severity
 FROM r WHERE cnt > 0"""
 
@@ -41,7 +41,7 @@ def high_missing_columns(table: str, thr: float = 0.5) -> str:
     return f"""
 WITH s AS (SELECT count(*) AS n, {aggs} FROM {source_sql(table)} t),
 r AS ({G.union_all(parts)})
-SELECT column_name, round({_pct('cnt')}, 2) AS missing_percentage FROM r
+SELECT column_name, round_even({_pct('cnt')}, 2) AS missing_percentage FROM r
 WHERE CAST(cnt AS DOUBLE) / n > {thr}"""
 
 
@@ -50,7 +50,7 @@ def duplicate_rows(table: str) -> str:
     return f"""
 WITH g AS (SELECT count(*) AS k FROM {source_sql(table)} t GROUP BY {names})
 SELECT CAST(coalesce(sum(k - 1), 0) AS BIGINT) AS "count",
-  CASE WHEN coalesce(sum(k), 0) > 0 THEN round(CAST(sum(k - 1) AS DOUBLE) * 100.0 / sum(k), 2)
+  CASE WHEN coalesce(sum(k), 0) > 0 THEN round_even(CAST(sum(k - 1) AS DOUBLE) * 100.0 / sum(k), 2)
        ELSE 0.0 END AS percentage
 FROM g"""
 
@@ -92,7 +92,7 @@ def near_duplicate_columns(table: str, dup_cols: set[str]) -> str:
     return f"""
 WITH s AS (SELECT count(*) AS n, {miss}, {agree} FROM {source_sql(table)} t),
 r AS ({G.union_all(parts)})
-SELECT column_a, column_b, round(ratio * 100.0, 2) AS similarity FROM r
+SELECT column_a, column_b, round_even(ratio * 100.0, 2) AS similarity FROM r
 WHERE same_nulls AND ratio >= 0.95 AND ratio < 1.0"""
 
 
@@ -115,7 +115,7 @@ def suspicious_types(table: str) -> str:
         issue = (f"CASE WHEN {nn} = 0 THEN NULL WHEN {num_ratio} >= 0.8 THEN 'numeric_stored_as_text' "
                  f"WHEN ({_dtl(c)} >= 0.8 OR {name_hit}) AND {date_ratio} >= 0.8 THEN 'date_stored_as_text' END")
         parts.append(f"SELECT {G.lit(c)} AS column_name, {issue} AS issue_type, "
-                     f"round(CASE WHEN {nn} > 0 THEN {num_ratio} END, 4) AS numeric_ratio "
+                     f"round_even(CASE WHEN {nn} > 0 THEN {num_ratio} END, 4) AS numeric_ratio "
                      f"FROM {source_sql(table)} t")
     return f"SELECT * FROM ({G.union_all(parts)}) r WHERE issue_type IS NOT NULL"
 
@@ -166,7 +166,7 @@ b AS (SELECT column_name, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi
             continue
         v = G.num(c, k)
         counts.append(f"""SELECT b.column_name, count(*) FILTER (WHERE {v} < b.lo OR {v} > b.hi) AS cnt,
-  round(b.lo, 4) AS lower_bound, round(b.hi, 4) AS upper_bound
+  round_even(b.lo, 4) AS lower_bound, round_even(b.hi, 4) AS upper_bound
 FROM {src} t, b WHERE b.column_name = {G.lit(c)} GROUP BY b.column_name, b.lo, b.hi""")
     return f"""{fences}
 SELECT column_name, CAST(cnt AS BIGINT) AS outlier_count, lower_bound, upper_bound
@@ -180,12 +180,12 @@ WITH c AS (SELECT {G.text(target, kind)} AS label, count(*) AS cnt FROM {src} t
            WHERE NOT {G.missing(target, kind)} GROUP BY 1),
 s AS (SELECT sum(cnt) AS total, max(cnt) AS mx, min(cnt) AS mn FROM c)
 SELECT {G.lit(target)} AS target_column, label, CAST(cnt AS BIGINT) AS "count",
-  round(CAST(cnt AS DOUBLE) * 100.0 / total, 2) AS percentage,
-  round(CAST(mx AS DOUBLE) * 100.0 / total, 2) AS majority_percentage,
-  round(CAST(mx AS DOUBLE) / mn, 2) AS imbalance_ratio,
-  round(CAST(mx AS DOUBLE) * 100.0 / total, 2) >= 90 AS is_severe,
-  CASE WHEN round(CAST(mx AS DOUBLE) * 100.0 / total, 2) >= 90 THEN 'severe'
-       WHEN round(CAST(mx AS DOUBLE) * 100.0 / total, 2) >= 80 THEN 'moderate'
+  round_even(CAST(cnt AS DOUBLE) * 100.0 / total, 2) AS percentage,
+  round_even(CAST(mx AS DOUBLE) * 100.0 / total, 2) AS majority_percentage,
+  round_even(CAST(mx AS DOUBLE) / mn, 2) AS imbalance_ratio,
+  round_even(CAST(mx AS DOUBLE) * 100.0 / total, 2) >= 90 AS is_severe,
+  CASE WHEN round_even(CAST(mx AS DOUBLE) * 100.0 / total, 2) >= 90 THEN 'severe'
+       WHEN round_even(CAST(mx AS DOUBLE) * 100.0 / total, 2) >= 80 THEN 'moderate'
        ELSE 'balanced' END AS level
 FROM c, s"""
 
@@ -197,12 +197,12 @@ def frequency_profile(table: str, column: str, kind: str) -> str:
 WITH c AS (SELECT {v} AS category, count(*) AS cnt FROM {src} t WHERE NOT {G.missing(column, kind)} GROUP BY 1),
 s AS (SELECT sum(cnt) AS total, count(*) AS cats FROM c),
 top AS (SELECT category, cnt, row_number() OVER (ORDER BY cnt DESC, category) AS rk FROM c),
-r AS (SELECT category, cnt, rk, round(CAST(cnt AS DOUBLE) * 100.0 / s.total, 2) AS pct, s.total, s.cats
+r AS (SELECT category, cnt, rk, round_even(CAST(cnt AS DOUBLE) * 100.0 / s.total, 2) AS pct, s.total, s.cats
       FROM top, s WHERE rk <= 12),
 d AS (SELECT max(CASE WHEN rk = 1 THEN pct END) AS p1, coalesce(max(CASE WHEN rk = 2 THEN pct END), 0.0) AS p2 FROM r)
 SELECT {G.lit(column)} AS column_name, category, CAST(cnt AS BIGINT) AS "count", pct AS percentage,
   CAST(rk AS INTEGER) AS rank, d.p1 / 100.0 AS dominant_share, d.p2 / 100.0 AS second_share,
-  round(d.p1 - d.p2, 2) AS gap_to_second, CAST(total AS BIGINT) AS non_null_count,
+  round_even(d.p1 - d.p2, 2) AS gap_to_second, CAST(total AS BIGINT) AS non_null_count,
   CAST(cats AS BIGINT) AS n_categories,
   (cats >= 2 AND d.p1 / 100.0 < 0.45 AND (d.p1 - d.p2) / 100.0 <= 0.10) AS is_uniform
 FROM r, d"""
@@ -255,8 +255,8 @@ b AS (SELECT least(25.0, mv.p) AS missing_values,
 s AS (SELECT *, CAST(greatest(0, least(100, round_even(100.0 - (missing_values + duplicate_rows + constant_columns
         + high_missing_columns + invalid_values + outliers + class_imbalance), 0))) AS INTEGER) AS score FROM b)
 SELECT score, CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 75 THEN 'Good' WHEN score >= 60 THEN 'Fair'
-  ELSE 'Poor' END AS level, round(missing_values, 4) AS missing_values, round(duplicate_rows, 4) AS duplicate_rows,
-  round(constant_columns, 4) AS constant_columns, round(high_missing_columns, 4) AS high_missing_columns,
-  round(invalid_values, 4) AS invalid_values, round(outliers, 4) AS outliers,
-  round(class_imbalance, 4) AS class_imbalance FROM s"""
+  ELSE 'Poor' END AS level, round_even(missing_values, 4) AS missing_values, round_even(duplicate_rows, 4) AS duplicate_rows,
+  round_even(constant_columns, 4) AS constant_columns, round_even(high_missing_columns, 4) AS high_missing_columns,
+  round_even(invalid_values, 4) AS invalid_values, round_even(outliers, 4) AS outliers,
+  round_even(class_imbalance, 4) AS class_imbalance FROM s"""
     return pen

@@ -15,7 +15,7 @@ NET_PRICE_COLS = ["l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "
 def correlated_pairs(src: str, names: list[str], thr: float = 0.9) -> str:
     parts = [f"SELECT {G.lit(a)} AS feature_a, {G.lit(b)} AS feature_b, corr({G.q(a)}, {G.q(b)}) AS r FROM {src} t"
              for a, b in combinations(names, 2)]
-    return (f"SELECT feature_a, feature_b, round(r, 4) AS correlation FROM ({G.union_all(parts)}) x "
+    return (f"SELECT feature_a, feature_b, round_even(r, 4) AS correlation FROM ({G.union_all(parts)}) x "
             f"WHERE r IS NOT NULL AND NOT isnan(r) AND abs(r) >= {thr}")
 
 
@@ -31,8 +31,8 @@ def vif3(src: str, names: list[str]) -> str:
         r2 = f"(({rr(i,j)}^2 + {rr(i,k)}^2 - 2*{rr(i,j)}*{rr(i,k)}*{rr(j,k)}) / (1 - {rr(j,k)}^2))"
         r2c = f"least(greatest({r2}, 0.0), 0.999999)"
         v = f"least(1.0 / (1.0 - {r2c}), 1e6)"
-        parts.append(f"SELECT {G.lit(i)} AS feature, round({v}, 2) AS vif, "
-                     f"CASE WHEN round({v}, 2) > 10 THEN 'HIGH' WHEN round({v}, 2) >= 5 THEN 'REVIEW' ELSE 'GOOD' END "
+        parts.append(f"SELECT {G.lit(i)} AS feature, round_even({v}, 2) AS vif, "
+                     f"CASE WHEN round_even({v}, 2) > 10 THEN 'HIGH' WHEN round_even({v}, 2) >= 5 THEN 'REVIEW' ELSE 'GOOD' END "
                      f"AS status FROM c")
     q = ", ".join(f"corr({G.q(x)}, {G.q(y)}) AS {r[(x, y)]}" for x, y in r)
     return (f"WITH d AS (SELECT * FROM {src} t WHERE {' AND '.join(G.q(n) + ' IS NOT NULL' for n in names)}), "
@@ -65,7 +65,7 @@ bd AS (SELECT {bd} FROM f),
 j AS (SELECT feature, x, y, count(*) AS k FROM ({G.union_all(longs)}) l GROUP BY feature, x, y),
 p AS (SELECT feature, k, sum(k) OVER (PARTITION BY feature) AS n, sum(k) OVER (PARTITION BY feature, x) AS kx,
              sum(k) OVER (PARTITION BY feature, y) AS ky FROM j),
-m AS (SELECT feature, round(greatest(sum((CAST(k AS DOUBLE) / n) * ln((CAST(k AS DOUBLE) * n) / (CAST(kx AS DOUBLE) * ky))), 0.0), 6)
+m AS (SELECT feature, round_even(greatest(sum((CAST(k AS DOUBLE) / n) * ln((CAST(k AS DOUBLE) * n) / (CAST(kx AS DOUBLE) * ky))), 0.0), 6)
       AS mi_score FROM p GROUP BY feature)
 SELECT feature, mi_score, CAST(row_number() OVER (ORDER BY mi_score DESC, feature) AS INTEGER) AS rank FROM m"""
 
