@@ -27,9 +27,18 @@ DATETIME_FORMATS: tuple[tuple[str, str], ...] = (
     ("M/d/yyyy H:mm", "%m/%d/%Y %H:%M"),
     ("M/d/yyyy H:mm:ss", "%m/%d/%Y %H:%M:%S"),
 )
-# Every format above has this shape; text without it cannot parse, so parse
-# attempts (costly on failure) are skipped for it.
-DATE_SHAPE = r"^\d{1,4}[-/]\d{1,2}[-/]\d{1,4}([ T]\d{1,2}:\d{2}(:\d{2})?)?$"
+# The shape of each format above, in the same order: a value is only handed to
+# the parser of a format whose shape it has (usually exactly one).
+FORMAT_SHAPES: tuple[str, ...] = (
+    r"^\d{4}-\d{1,2}-\d{1,2}$",
+    r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}$",
+    r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}$",
+    r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{2}:\d{2}$",
+    r"^\d{4}/\d{1,2}/\d{1,2}$",
+    r"^\d{1,2}/\d{1,2}/\d{4}$",
+    r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$",
+    r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$",
+)
 # The characters Python's str.strip() removes (str.isspace()), in code point order.
 WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
               "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
@@ -105,16 +114,18 @@ def parse_timestamp(c: Column, dt: T.DataType) -> Column:
         return c.cast("timestamp_ntz")
     if not is_string_type(dt):
         return F.lit(None).cast("timestamp_ntz")
-    s = strip(c)
-    parsed = [F.try_to_timestamp(s, F.lit(spark_fmt)) for spark_fmt, _ in DATETIME_FORMATS]
-    return F.when(s.rlike(DATE_SHAPE), F.coalesce(*parsed)).cast("timestamp_ntz")
+    return F.coalesce(*format_parses(strip(c))).cast("timestamp_ntz")
+
+
+def format_parses(s: Column) -> list[Column]:
+    """One parse attempt per known format, each guarded by that format's shape."""
+    return [F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(fmt)))
+            for (fmt, _), shape in zip(DATETIME_FORMATS, FORMAT_SHAPES)]
 
 
 def best_single_format_ratio(c: Column, dt: T.DataType) -> list[Column]:
     """Per-format parse indicators (one consistent format must carry a column)."""
-    s = strip(c)
-    return [F.coalesce(F.when(s.rlike(DATE_SHAPE), F.try_to_timestamp(s, F.lit(f))).isNotNull(), F.lit(False))
-            for f, _ in DATETIME_FORMATS]
+    return [F.coalesce(p.isNotNull(), F.lit(False)) for p in format_parses(strip(c))]
 
 
 def as_text(c: Column, dt: T.DataType) -> Column:

@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 from kiln.functions import names as N
 from kiln.functions.exprs import (
     BOOLEAN_LITERALS,
-    DATE_SHAPE,
     DATETIME_FORMATS,
+    format_parses,
     NUMERIC_TEXT,
     as_text,
     col,
@@ -76,7 +76,8 @@ def column_facts(df: DataFrame, names: list[str] | None = None) -> dict[str, Col
         proj_cols.append(v.alias(f"v{i}"))
         if is_string_type(dt):
             sv = strip(v)
-            proj_cols += [sv.alias(f"s{i}"), sv.rlike(DATE_SHAPE).alias(f"sh{i}")]
+            proj_cols += [sv.alias(f"s{i}")]
+            proj_cols += [p.isNotNull().alias(f"fp{i}_{k}") for k, p in enumerate(format_parses(sv))]
         elif not is_timestamp_type(dt):
             proj_cols.append(F.lower(strip(as_text(v, dt))).alias(f"s{i}"))
     proj = df.select(*proj_cols)
@@ -87,11 +88,10 @@ def column_facts(df: DataFrame, names: list[str] | None = None) -> dict[str, Col
         num = is_numeric_type(dt)
         aggs.append(F.count(v).alias(f"nn{i}"))
         if is_string_type(dt):
-            sv, shaped = F.col(f"s{i}"), F.col(f"sh{i}")
+            sv = F.col(f"s{i}")
             aggs.append(F.coalesce(F.bool_and(F.when(v.isNotNull(), F.lower(sv).isin(*BOOLEAN_LITERALS))),
                                    F.lit(False)).alias(f"b{i}"))
-            ratios = [F.count_if(F.when(shaped, F.try_to_timestamp(sv, F.lit(f))).isNotNull()) / F.count(v)
-                      for f, _ in DATETIME_FORMATS]
+            ratios = [F.count_if(F.col(f"fp{i}_{k}")) / F.count(v) for k in range(len(DATETIME_FORMATS))]
             aggs.append(F.when(F.count(v) > 0, F.greatest(*ratios)).otherwise(F.lit(0.0)).alias(f"dt{i}"))
             aggs += [F.count_if(sv.rlike(NUMERIC_TEXT) & sv.try_cast("double").isNotNull()).alias(f"p{i}"),
                      F.avg(F.length(v)).alias(f"l{i}"),

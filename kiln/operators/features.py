@@ -137,7 +137,11 @@ def engineer_datetime(df: DataFrame, selected: set[str] | None = None,
     dcols = datetime_columns(df)
     if not dcols:
         return df, rep
-    parsed = {c: parse_timestamp(col(c), df.schema[c].dataType) for c in dcols}
+    # parse each column once into a hidden column; the derived parts read it
+    # (Catalyst does not re-inline an expensive expression used many times)
+    hidden = {c: f"__kiln_ts_{i}" for i, c in enumerate(dcols)}
+    base = df.select("*", *[parse_timestamp(col(c), df.schema[c].dataType).alias(hidden[c]) for c in dcols])
+    parsed = {c: F.col(hidden[c]) for c in dcols}
     aggs = []
     for i, c in enumerate(dcols):
         t = parsed[c]
@@ -146,7 +150,7 @@ def engineer_datetime(df: DataFrame, selected: set[str] | None = None,
     prs = [p for p in date_pairs(dcols, pairs) if p[0] in parsed and p[1] in parsed]
     for j, (a, b, _) in enumerate(prs):
         aggs.append(F.count_if(_days(parsed[a], parsed[b]) < 0).alias(f"neg{j}"))
-    row = df.agg(*aggs).first()
+    row = base.agg(*aggs).first()
     cands: list[tuple[str, Column, dict]] = []
     for i, c in enumerate(dcols):
         t = parsed[c]
@@ -173,7 +177,7 @@ def engineer_datetime(df: DataFrame, selected: set[str] | None = None,
                 rep.issues.append({"issue": "birth_after_reference", "columns": [a, b], "count": int(row[f"neg{j}"])})
             cands.append((f"{a}_{b}_Age_Years", F.floor(days / DAYS_PER_YEAR).cast("long"),
                           {"source": f"{a}, {b}", "transformation": "Age_Years"}))
-    return _admit(df, cands, selected, rep), rep
+    return _admit(base, cands, selected, rep).drop(*hidden.values()), rep
 
 
 def _days(a: Column, b: Column) -> Column:
