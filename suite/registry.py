@@ -23,6 +23,7 @@ from kiln.plans import pipelines as PL
 from kiln.operators import detect as D
 from kiln.operators import profile as P
 from suite import clean_sql as CS
+from suite import detect_sql as DS
 from suite import impute_sql as IS
 from suite import profile_sql as PS
 from suite import select_sql as SS
@@ -79,8 +80,11 @@ register("profile_datetime_orders",
 register("profile_overview_customer", _on("dirty_customer", P.overview), None)
 register("detect_opportunities_customer", _on("dirty_customer", lambda d: OP.opportunity_report(d, "churn")), None)
 register("detect_opportunities_events", _on("events", OP.opportunity_report), None)
-register("detect_feature_types_customer", _on("dirty_customer", D.feature_types), None)
-register("detect_feature_types_events", _on("events", D.feature_types), None)
+register("detect_feature_types_customer", _on("dirty_customer", D.feature_types),
+         DS.feature_types("dirty_customer"))
+register("detect_feature_types_events", _on("events", D.feature_types), DS.feature_types("events"))
+register("detect_feature_types_documents", _on("documents", D.feature_types), DS.feature_types("documents"))
+register("detect_feature_types_orders", _on("orders", D.feature_types), DS.feature_types("orders"))
 
 # ---- quality ---------------------------------------------------------------
 register("quality_missing_customer", _on("dirty_customer", Q.missing_values),
