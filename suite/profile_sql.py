@@ -74,3 +74,47 @@ def identifier_columns(table: str) -> str:
         parts.append(f"SELECT {G.lit(c)} AS column_name, {name_hit} AS name_match, {uniq} AS high_uniqueness "
                      f"FROM {src} t")
     return f"SELECT * FROM ({G.union_all(parts)}) r WHERE name_match OR high_uniqueness"
+
+
+_SPARK_TYPE = ("CASE typeof({c}) WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' "
+               "WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'BOOLEAN' THEN 'boolean' "
+               "ELSE lower(typeof({c})) END")
+
+
+def profile_columns(table: str) -> str:
+    """dtype, counts, distinct, smallest value as text (<= 80 chars), semantic type."""
+    from kiln.functions.exprs import BOOLEAN_LITERALS, DATETIME_FORMATS
+    src = source_sql(table)
+    lits = ", ".join(G.lit(x) for x in BOOLEAN_LITERALS)
+    parts = []
+    for c, k in cols(table):
+        q = G.q(c)
+        v = f"(CASE WHEN NOT {G.missing(c, k)} THEN {q} END)"
+        text = G.text(c, k)
+        d = f"count(DISTINCT {v})"
+        boollike = ("true" if k == "bool" else
+                    f"({d} <= 4 AND count({v}) > 0 AND coalesce(bool_and(CASE WHEN {v} IS NOT NULL THEN "
+                    f"lower({G.strip(text)}) IN ({lits}) END), false))")
+        if k == "str":
+            fr = ", ".join(f"CAST(count(*) FILTER (WHERE {G.ts_single(c, p)} IS NOT NULL) AS DOUBLE) / count({q})"
+                           for _, p in DATETIME_FORMATS)
+            dtl = f"(CASE WHEN count({q}) > 0 THEN greatest({fr}) ELSE 0.0 END) >= 0.8"
+        else:
+            dtl = "true" if k == "ts" else "false"
+        numeric = "true" if k in ("int", "dbl", "bool") else "false"
+        sem = (f"CASE WHEN {boollike} THEN 'boolean' WHEN {dtl} THEN 'datetime' WHEN {numeric} THEN 'numerical' "
+               f"WHEN {d} <= 50 OR (count(*) > 0 AND CAST({d} AS DOUBLE) / count(*) <= 0.05) THEN 'categorical' "
+               f"ELSE 'text' END")
+        ex = f"min(CAST({v} AS VARCHAR))"
+        parts.append(f"""SELECT {G.lit(c)} AS column_name, {_SPARK_TYPE.format(c='any_value(' + q + ')')} AS data_type,
+  CAST(count({v}) AS BIGINT) AS non_null_count, CAST(count(*) FILTER (WHERE {G.missing(c, k)}) AS BIGINT) AS null_count,
+  CAST({d} AS BIGINT) AS unique_values,
+  CASE WHEN length({ex}) <= 80 THEN {ex} ELSE substr({ex}, 1, 77) || '...' END AS example_value,
+  {sem} AS semantic_type, CAST(count(*) AS BIGINT) AS n_rows FROM {src} t""")
+    return G.union_all(parts)
+
+
+def high_cardinality(table: str) -> str:
+    return (f"SELECT column_name, unique_values AS unique_count FROM ({profile_columns(table)}) p "
+            f"WHERE semantic_type NOT IN ('numerical', 'boolean', 'datetime') AND n_rows > 0 "
+            f"AND (unique_values > 50 OR CAST(unique_values AS DOUBLE) / n_rows > 0.5)")

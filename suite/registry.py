@@ -61,8 +61,9 @@ def _on(table: str, op: Callable[[DataFrame], DataFrame]) -> SparkFn:
 register("profile_numeric_lineitem", _on("lineitem", P.numeric_report), PS.numeric_report("lineitem"))
 register("profile_numeric_events", _on("events", P.numeric_report), PS.numeric_report("events"))
 register("profile_numeric_customer", _on("dirty_customer", P.numeric_report), PS.numeric_report("dirty_customer"))
-register("profile_columns_orders", _on("orders", P.profile_columns), None)
-register("profile_columns_customer", _on("dirty_customer", P.profile_columns), None)
+register("profile_columns_orders", _on("orders", P.profile_columns), PS.profile_columns("orders"))
+register("profile_columns_customer", _on("dirty_customer", P.profile_columns), PS.profile_columns("dirty_customer"))
+register("profile_columns_events", _on("events", P.profile_columns), PS.profile_columns("events"))
 register("profile_identifiers_customer",
          _on("dirty_customer", lambda d: P.identifier_columns(P.profile_columns(d))),
          PS.identifier_columns("dirty_customer"))
@@ -70,7 +71,9 @@ register("profile_identifiers_events",
          _on("events", lambda d: P.identifier_columns(P.profile_columns(d))),
          PS.identifier_columns("events"))
 register("profile_high_cardinality_documents",
-         _on("documents", lambda d: P.high_cardinality(P.profile_columns(d))), None)
+         _on("documents", lambda d: P.high_cardinality(P.profile_columns(d))), PS.high_cardinality("documents"))
+register("profile_high_cardinality_part",
+         _on("part", lambda d: P.high_cardinality(P.profile_columns(d))), PS.high_cardinality("part"))
 register("profile_datetime_dates",
          _on("dirty_dates", lambda d: P.datetime_profile(d, ["order_date", "ship_date"])),
          PS.datetime_profile("dirty_dates", ["order_date", "ship_date"]))
