@@ -219,7 +219,16 @@ register("select_categorical_redundancy", _on("dirty_customer", S.categorical_re
 register("select_prefer_pairs", _on("dirty_customer", lambda d: S.prefer_in_pairs(
     S.correlated_pairs(d.withColumn("age_copy", d["age"] * 2), "churn", threshold=0.9),
     S.feature_quality(d.withColumn("age_copy", d["age"] * 2), "churn"))), None)
-register("select_feature_quality", _on("dirty_customer", lambda d: S.feature_quality(d, "churn")), None)
+def _flags_as_text(df: DataFrame) -> DataFrame:
+    from pyspark.sql import functions as F
+    return df.withColumn("quality_flags", F.array_join("quality_flags", ","))
+
+
+register("select_feature_quality", _on("dirty_customer", lambda d: _flags_as_text(S.feature_quality(d, "churn"))),
+         SS.feature_quality("dirty_customer", "churn"))
+register("select_feature_quality_documents",
+         _on("labelled_documents", lambda d: _flags_as_text(S.feature_quality(d, "quality"))),
+         SS.feature_quality("labelled_documents", "quality"))
 register("select_decisions", _on("dirty_customer", lambda d: S.analyze_selection(d, "churn")["decisions"]), None)
 
 

@@ -77,3 +77,51 @@ def categorical_redundancy(table: str) -> str:
     texts = ", ".join(G.lit(c) for c, k in cols(table) if k == "str")
     return (f"SELECT duplicate_column, original_column FROM ({duplicate_columns(table)}) d "
             f"WHERE duplicate_column IN ({texts})")
+
+
+def feature_quality(table: str, target: str | None) -> str:
+    """AGG-20 rows: missing/unique %, top value and share, flags, semantic type (R17)."""
+    from suite.detect_sql import feature_types
+    from suite.profile_sql import _SPARK_TYPE
+    from suite.quality_sql import duplicate_columns
+    from suite.schemas import cols
+    src = source_sql(table)
+    rows = []
+    for c, k in cols(table):
+        q = G.q(c)
+        v = f"(CASE WHEN NOT {G.missing(c, k)} THEN {q} END)"
+        text = G.text(c, k)
+        top = (f"(SELECT v FROM (SELECT {text} AS v, count(*) AS cnt FROM {src} t WHERE {v} IS NOT NULL "
+               f"GROUP BY 1) x ORDER BY cnt DESC, v LIMIT 1)")
+        topk = (f"(SELECT max(cnt) FROM (SELECT count(*) AS cnt FROM {src} t WHERE {v} IS NOT NULL GROUP BY {text}) x)")
+        mlen = f"avg(length({q}))" if k == "str" else "0.0"
+        rows.append(f"SELECT {G.lit(c)} AS feature, {_SPARK_TYPE.format(c='any_value(' + q + ')')} AS datatype, "
+                    f"{G.lit(k)} AS kind, count(*) AS n, count({v}) AS nn, count(DISTINCT {v}) AS d, "
+                    f"{top} AS top_value, {topk} AS topk, {mlen} AS mlen FROM {src} t")
+    tgt = G.lit(target) if target else "NULL"
+    sem = (f"CASE WHEN s.feature = {tgt} THEN 'target' WHEN ft.is_identifier THEN 'identifier' "
+           f"WHEN s.kind = 'bool' THEN 'binary' WHEN s.kind IN ('int', 'dbl') THEN "
+           f"(CASE WHEN s.d <= 2 THEN 'binary' ELSE 'numerical' END) WHEN s.kind = 'ts' THEN 'datetime' "
+           f"WHEN s.n > 0 AND CAST(s.d AS DOUBLE) / s.n >= 0.5 AND s.d > 20 THEN "
+           f"(CASE WHEN s.mlen >= 40 THEN 'text' ELSE 'high_cardinality_categorical' END) ELSE 'categorical' END")
+    return f"""
+WITH s AS ({G.union_all(rows)}),
+ft AS (SELECT column_name, CASE WHEN column_name = {tgt} THEN false ELSE is_identifier END AS is_identifier
+       FROM ({feature_types(table)}) x),
+dp AS ({duplicate_columns(table)}),
+r AS (SELECT s.*, ft.is_identifier, dp.original_column AS duplicate_of, {sem} AS semantic_type,
+             round_even((1 - CAST(s.nn AS DOUBLE) / s.n) * 100.0, 2) AS missing_pct,
+             s.nn > 0 AND s.d <= 1 AS is_constant,
+             s.nn > 0 AND NOT (s.d <= 1) AND CAST(s.topk AS DOUBLE) / s.nn >= 0.99 AS is_near_constant
+      FROM s JOIN ft ON ft.column_name = s.feature LEFT JOIN dp ON dp.duplicate_column = s.feature)
+SELECT feature, datatype, semantic_type, missing_pct, CAST(d AS BIGINT) AS unique_count,
+  round_even(CAST(d AS DOUBLE) / n * 100.0, 2) AS unique_pct, top_value AS most_frequent_value,
+  round_even(CAST(topk AS DOUBLE) / nn * 100.0, 2) AS frequency_pct, is_constant, is_near_constant, is_identifier,
+  duplicate_of IS NOT NULL AS is_exact_duplicate, duplicate_of,
+  array_to_string(list_filter([CASE WHEN is_constant THEN 'constant' END,
+    CASE WHEN is_near_constant THEN 'near_constant' END,
+    CASE WHEN missing_pct >= 50 THEN 'high_missing' WHEN missing_pct >= 20 THEN 'moderate_missing' END,
+    CASE WHEN is_identifier THEN 'identifier' END, CASE WHEN duplicate_of IS NOT NULL THEN 'exact_duplicate' END,
+    CASE WHEN semantic_type = 'high_cardinality_categorical' THEN 'high_cardinality' END],
+    lambda x: x IS NOT NULL), ',') AS quality_flags
+FROM r"""
