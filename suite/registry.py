@@ -229,7 +229,10 @@ register("select_feature_quality", _on("dirty_customer", lambda d: _flags_as_tex
 register("select_feature_quality_documents",
          _on("labelled_documents", lambda d: _flags_as_text(S.feature_quality(d, "quality"))),
          SS.feature_quality("labelled_documents", "quality"))
-register("select_decisions", _on("dirty_customer", lambda d: S.analyze_selection(d, "churn")["decisions"]), None)
+register("select_decisions", _on("dirty_customer", lambda d: S.analyze_selection(d, "churn")["decisions"]),
+         SS.decisions("dirty_customer", "churn", ["customer_id", "age", "salary", "churn"],
+                      ["city", "city_copy", "gender", "segment", "constant_col", "near_constant", "age_text"],
+                      ("age", "salary"), ["customer_id", "email"]))
 
 
 def queries() -> dict[str, SparkFn]:

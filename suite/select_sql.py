@@ -125,3 +125,47 @@ SELECT feature, datatype, semantic_type, missing_pct, CAST(d AS BIGINT) AS uniqu
     CASE WHEN semantic_type = 'high_cardinality_categorical' THEN 'high_cardinality' END],
     lambda x: x IS NOT NULL), ',') AS quality_flags
 FROM r"""
+
+
+def vif2(src: str, a: str, b: str) -> str:
+    """Two features: R2 = r^2 on complete rows (>= 20), capped, VIF = 1/(1-R2)."""
+    v = "least(1.0 / (1.0 - least(greatest(r * r, 0.0), 0.999999)), 1e6)"
+    rows = [f"SELECT {G.lit(x)} AS feature, round_even({v}, 2) AS vif, CASE WHEN round_even({v}, 2) > 10 THEN 'HIGH' "
+            f"WHEN round_even({v}, 2) >= 5 THEN 'REVIEW' ELSE 'GOOD' END AS status FROM c WHERE k >= 20" for x in (a, b)]
+    return (f"WITH d AS (SELECT CAST({G.q(a)} AS DOUBLE) AS x, CAST({G.q(b)} AS DOUBLE) AS y FROM {src} t "
+            f"WHERE {G.q(a)} IS NOT NULL AND {G.q(b)} IS NOT NULL), c AS (SELECT corr(x, y) AS r, count(*) AS k FROM d) "
+            + G.union_all(rows))
+
+
+def decisions(table: str, target: str, nums: list[str], cats: list[str], vif_pair: tuple[str, str],
+              identifiers: list[str]) -> str:
+    """Rule R6 over the quality, correlation, VIF and MI oracles (MI skips the target and identifiers)."""
+    src = source_sql(table)
+    q = feature_quality(table, target)
+    corr = correlated_pairs(src, [c for c in nums if c != target])
+    mi = mutual_information(table, target, [c for c in nums if c != target and c not in identifiers],
+                            [c for c in cats if c not in identifiers])
+    vf = vif2(src, *vif_pair)
+    codes = ("list_filter([CASE WHEN is_near_constant THEN 'NEAR_CONSTANT' END, "
+             "CASE WHEN missing_pct >= 50 THEN 'HIGH_MISSING' END, "
+             "CASE WHEN missing_pct < 50 AND missing_pct >= 20 THEN 'MODERATE_MISSING' END, "
+             "CASE WHEN semantic_type = 'high_cardinality_categorical' THEN 'HIGH_CARDINALITY' END, "
+             "CASE WHEN in_pair THEN 'HIGH_CORRELATION' END, CASE WHEN vif_status = 'HIGH' THEN 'HIGH_VIF' END, "
+             "CASE WHEN vif_status = 'REVIEW' THEN 'MODERATE_VIF' END], lambda x: x IS NOT NULL)")
+    return f"""
+WITH qq AS ({q}),
+cp AS ({corr}),
+pr AS (SELECT feature_a AS feature FROM cp UNION SELECT feature_b FROM cp),
+vv AS ({vf}),
+mm AS ({mi}),
+j AS (SELECT qq.*, pr.feature IS NOT NULL AS in_pair, vv.status AS vif_status, mm.mi_score
+      FROM qq LEFT JOIN pr ON pr.feature = qq.feature LEFT JOIN vv ON vv.feature = qq.feature
+      LEFT JOIN mm ON mm.feature = qq.feature),
+k AS (SELECT *, {codes} AS codes FROM j)
+SELECT feature,
+  CASE WHEN feature = {G.lit(target)} THEN 'KEEP' WHEN is_constant THEN 'REMOVE' WHEN is_exact_duplicate THEN 'REMOVE'
+       WHEN is_identifier THEN 'REMOVE' WHEN len(codes) > 0 THEN 'REVIEW' ELSE 'KEEP' END AS decision,
+  CASE WHEN feature = {G.lit(target)} THEN 'TARGET' WHEN is_constant THEN 'CONSTANT' WHEN is_exact_duplicate THEN 'DUPLICATE'
+       WHEN is_identifier THEN 'IDENTIFIER' WHEN len(codes) > 0 THEN array_to_string(codes, ',') ELSE 'GOOD' END AS status,
+  mi_score, coalesce(mi_score, 0.0) >= 0.02 AS mi_meaningful
+FROM k"""
