@@ -118,3 +118,20 @@ def high_cardinality(table: str) -> str:
     return (f"SELECT column_name, unique_values AS unique_count FROM ({profile_columns(table)}) p "
             f"WHERE semantic_type NOT IN ('numerical', 'boolean', 'datetime') AND n_rows > 0 "
             f"AND (unique_values > 50 OR CAST(unique_values AS DOUBLE) / n_rows > 0.5)")
+
+
+def overview(table: str, target: str | None, target_kind: str | None) -> str:
+    """Counts per semantic type, the first target by priority, and the problem type."""
+    p = profile_columns(table)
+    src = source_sql(table)
+    if target is None:
+        prob = "CAST(NULL AS VARCHAR)"
+    else:
+        d = f"(SELECT count(DISTINCT {G.q(target)}) FROM {src} t)"
+        numeric = target_kind in ("int", "dbl")
+        clf = f"{d} <= 20" if numeric else "true"
+        prob = (f"CASE WHEN {d} = 2 THEN 'binary_classification' WHEN {clf} THEN 'multiclass_classification' "
+                f"ELSE 'regression' END")
+    cnt = lambda t: f"CAST(count(*) FILTER (WHERE semantic_type = '{t}') AS BIGINT) AS {t}"
+    return (f"SELECT {cnt('numerical')}, {cnt('categorical')}, {cnt('datetime')}, {cnt('text')}, {cnt('boolean')}, "
+            f"{G.lit(target) if target else 'CAST(NULL AS VARCHAR)'} AS target, {prob} AS problem_type FROM ({p}) x")

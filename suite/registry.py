@@ -80,7 +80,9 @@ register("profile_datetime_dates",
 register("profile_datetime_orders",
          _on("orders", lambda d: P.datetime_profile(d, ["o_orderdate"])),
          PS.datetime_profile("orders", ["o_orderdate"]))
-register("profile_overview_customer", _on("dirty_customer", P.overview), None)
+register("profile_overview_customer", _on("dirty_customer", P.overview),
+         PS.overview("dirty_customer", "churn", "int"))
+register("profile_overview_orders", _on("orders", P.overview), PS.overview("orders", None, None))
 register("detect_opportunities_customer", _on("dirty_customer", lambda d: OP.opportunity_report(d, "churn")), None)
 register("detect_opportunities_events", _on("events", OP.opportunity_report), None)
 register("detect_feature_types_customer", _on("dirty_customer", D.feature_types),
