@@ -86,3 +86,82 @@ def feature_types(table: str) -> str:
                     f"round_even({u}, 4) AS uniqueness, {ident} AS is_identifier, {tkind} AS text_kind "
                     f"FROM ({_facts(table, c, k)}) f")
     return G.union_all(rows)
+
+
+def opportunities(table: str, target: str | None) -> str:
+    """DET-8 report: per column primary opportunity and priorities, advice rows, name-based relationships."""
+    src = source_sql(table)
+    ft = feature_types(table)
+    per_col = []
+    for c, k in cols(table):
+        x = G.num(c, k)
+        v = f"(CASE WHEN NOT {G.missing(c, k)} THEN {G.q(c)} END)"
+        text = G.text(c, k)
+        age = "true" if N.matches(N.FE_AGE, c) else "false"
+        per_col.append(
+            f"SELECT {G.lit(c)} AS column_name, round_even(coalesce(skewness({x}), 0.0), 4) AS sk, min({x}) AS mn, "
+            f"max({x}) AS mx, count({x}) AS nx, {age} AS agename, count({v}) AS nn, count(DISTINCT {v}) AS d, "
+            f"(SELECT coalesce(max(cnt), 0) FROM (SELECT count(*) AS cnt FROM {src} t WHERE {v} IS NOT NULL "
+            f"GROUP BY {text}) y) AS topk FROM {src} t")
+    binning = "(s.agename AND s.nx > 0 AND s.mn >= 0 AND s.mx <= 120)"
+    logop = "(s.nx > 0 AND abs(s.sk) >= 1.0 AND s.mn >= 0)"
+    logpri = "CASE WHEN abs(s.sk) < 2 THEN 'MEDIUM' ELSE 'HIGH' END"
+    dom = "round_even(CAST(s.topk AS DOUBLE) / s.nn * 100.0, 2)"
+    cat1 = ("CASE WHEN s.d <= 10 THEN 'Encoding' WHEN s.d <= 50 THEN 'Encoding / rare-category grouping' "
+            "ELSE 'Category frequency encoding' END")
+    cat1p = "CASE WHEN s.d <= 10 THEN 'HIGH' ELSE 'MEDIUM' END"
+    rare = f"(s.nn > 0 AND {dom} >= 80 AND s.d > 1)"
+    opp = (f"CASE f.feature_type WHEN 'identifier' THEN 'None' "
+           f"WHEN 'constant / near-constant' THEN 'Potentially low-information feature' "
+           f"WHEN 'datetime' THEN 'Datetime decomposition' WHEN 'boolean' THEN 'None (already binary)' "
+           f"WHEN 'text' THEN 'Text-derived features' "
+           f"WHEN 'numerical' THEN CASE WHEN {binning} THEN 'Possible binning' WHEN {logop} THEN "
+           f"'Possible log / skewness transformation' ELSE 'None' END "
+           f"WHEN 'categorical' THEN {cat1} ELSE 'None' END")
+    pri = (f"CASE f.feature_type WHEN 'identifier' THEN 'HIGH' WHEN 'constant / near-constant' THEN 'MEDIUM' "
+           f"WHEN 'datetime' THEN 'HIGH' WHEN 'boolean' THEN 'LOW' WHEN 'text' THEN 'MEDIUM' "
+           f"WHEN 'numerical' THEN CASE WHEN {binning} THEN 'MEDIUM' WHEN {logop} THEN {logpri} ELSE 'LOW' END "
+           f"WHEN 'categorical' THEN {cat1p} ELSE 'LOW' END")
+    nops = (f"CASE f.feature_type WHEN 'constant / near-constant' THEN 1 WHEN 'datetime' THEN 1 WHEN 'text' THEN 1 "
+            f"WHEN 'numerical' THEN CAST({binning} AS INTEGER) + CAST({logop} AS INTEGER) "
+            f"WHEN 'categorical' THEN 1 + CAST({rare} AS INTEGER) ELSE 0 END")
+    overall = (f"CASE f.feature_type WHEN 'identifier' THEN 'HIGH' WHEN 'constant / near-constant' THEN 'MEDIUM' "
+               f"WHEN 'datetime' THEN 'HIGH' WHEN 'text' THEN 'MEDIUM' "
+               f"WHEN 'numerical' THEN CASE WHEN {logop} AND abs(s.sk) >= 2 THEN 'HIGH' "
+               f"WHEN {binning} OR {logop} THEN 'MEDIUM' ELSE 'LOW' END "
+               f"WHEN 'categorical' THEN {cat1p} ELSE 'LOW' END")
+    card = ("CASE WHEN f.feature_type = 'categorical' THEN CASE WHEN s.d <= 10 THEN 'Low cardinality' "
+            "WHEN s.d <= 50 THEN 'Medium cardinality' ELSE 'High cardinality' END END")
+    leak = f"f.column_name = {G.lit(target)}" if target else "false"
+    rows = [f"""SELECT 'column' AS kind, f.column_name AS columns, f.feature_type, {opp} AS opportunity, {pri} AS priority,
+  {overall} AS overall_priority, CAST({nops} AS INTEGER) AS n_opportunities, {leak} AS possible_leakage,
+  {card} AS cardinality, f.text_kind FROM ({ft}) f JOIN ({G.union_all(per_col)}) s ON s.column_name = f.column_name"""]
+    names = [c for c, _ in cols(table)]
+    for c in names:
+        if N.matches(N.FE_AGE, c) or N.matches(N.FE_SALARY, c):
+            rows.append(f"SELECT 'advice', {G.lit(c)}, 'numerical', 'Polynomial terms (advice only)', 'LOW', 'LOW', 0, "
+                        f"false, NULL, NULL FROM ({ft}) f WHERE f.column_name = {G.lit(c)} AND f.feature_type = 'numerical'")
+
+    def typed(c: str, types: tuple[str, ...]) -> str:
+        lst = ", ".join(G.lit(t) for t in types)
+        return f"EXISTS (SELECT 1 FROM ({ft}) g WHERE g.column_name = {G.lit(c)} AND g.feature_type IN ({lst}))"
+
+    def rel(cs: list[str], what: str, prio: str, cond: str) -> str:
+        return (f"SELECT 'relationship', {G.lit(','.join(cs))}, 'relationship', {G.lit(what)}, {G.lit(prio)}, "
+                f"{G.lit(prio)}, 1, false, NULL, NULL WHERE {cond}")
+    hs = [c for c in names if N.matches(N.FE_HEIGHT, c)]
+    ws = [c for c in names if N.matches(N.FE_WEIGHT, c)]
+    rows += [rel([h, w], "Possible BMI / body-composition ratio", "HIGH",
+                 f"{typed(h, ('numerical',))} AND {typed(w, ('numerical',))}") for h in hs for w in ws]
+    ss = [c for c in names if N.matches(N.FE_SALARY, c)]
+    es = [c for c in names if N.matches(N.FE_EXPERIENCE, c)]
+    rows += [rel([s_, e], "Possible salary-per-experience ratio", "MEDIUM",
+                 f"{typed(s_, ('numerical',))} AND {typed(e, ('numerical', 'categorical'))}") for s_ in ss for e in es]
+    st = [c for c in names if N.matches(N.FE_START_DATE, c)]
+    en = [c for c in names if N.matches(N.FE_END_DATE, c)]
+    rows += [rel([a, b], "Possible duration / tenure", "HIGH",
+                 f"{typed(a, ('datetime',))} AND {typed(b, ('datetime',))}") for a in st for b in en if a != b]
+    no_end = " AND ".join(f"NOT {typed(b, ('datetime',))}" for b in en) or "true"
+    rows += [rel([a], "Possible tenure vs reference date", "MEDIUM", f"{typed(a, ('datetime',))} AND {no_end}")
+             for a in st]
+    return G.union_all(rows)

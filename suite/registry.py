@@ -83,8 +83,11 @@ register("profile_datetime_orders",
 register("profile_overview_customer", _on("dirty_customer", P.overview),
          PS.overview("dirty_customer", "churn", "int"))
 register("profile_overview_orders", _on("orders", P.overview), PS.overview("orders", None, None))
-register("detect_opportunities_customer", _on("dirty_customer", lambda d: OP.opportunity_report(d, "churn")), None)
-register("detect_opportunities_events", _on("events", OP.opportunity_report), None)
+register("detect_opportunities_customer", _on("dirty_customer", lambda d: OP.opportunity_report(d, "churn")),
+         DS.opportunities("dirty_customer", "churn"))
+register("detect_opportunities_events", _on("events", OP.opportunity_report), DS.opportunities("events", None))
+register("detect_opportunities_documents", _on("labelled_documents", lambda d: OP.opportunity_report(d, "quality")),
+         DS.opportunities("labelled_documents", "quality"))
 register("detect_feature_types_customer", _on("dirty_customer", D.feature_types),
          DS.feature_types("dirty_customer"))
 register("detect_feature_types_events", _on("events", D.feature_types), DS.feature_types("events"))
