@@ -152,6 +152,13 @@ def char_count(c: Column) -> Column:
     return F.length(strip(F.coalesce(c, F.lit("")))).cast("long")
 
 
+def round_value(x: float, digits: int = 0) -> float:
+    """Driver-side twin of ``pyround``: half-even on the scaled value, so numbers
+    rounded on the driver and in a plan follow one rule."""
+    s = 10 ** digits
+    return round(x * s) / s
+
+
 def pyround(c: Column | str, digits: int = 0) -> Column:
     """Python's ``round(x, digits)`` on doubles: half-even on the scaled binary value.
 

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from kiln.functions import names as N
 from kiln.functions.exprs import (
+    round_value,
     BOOLEAN_LITERALS,
     DATETIME_FORMATS,
     format_parses,
@@ -228,7 +229,7 @@ def feature_type(f: ColumnFacts) -> str:
 def feature_types(df: DataFrame) -> DataFrame:
     """Report: column, feature type, distinct, uniqueness, identifier flag, text kind."""
     facts = column_facts(df)
-    rows = [(c, feature_type(f), f.distinct, round(f.uniqueness, 4), is_identifier(f), text_kind(f))
+    rows = [(c, feature_type(f), f.distinct, round_value(f.uniqueness, 4), is_identifier(f), text_kind(f))
             for c, f in facts.items()]
     schema = ("column_name string, feature_type string, unique_count long, uniqueness double, "
               "is_identifier boolean, text_kind string")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from kiln.functions import names as N
 from kiln.functions.exprs import (
+    round_value,
     pyround,
     char_count,
     col,
@@ -226,7 +227,7 @@ def engineer_numeric(df: DataFrame, selected: set[str] | None = None,
     for c in numeric:
         s = st[c]
         v = parse_number(col(c), df.schema[c].dataType)
-        skew = round(s.skew, 4) if s.skew is not None else 0.0
+        skew = round_value(s.skew, 4) if s.skew is not None else 0.0
         binary = (s.distinct or 0) <= 2
         if (not binary and s.distinct >= MIN_UNIQUE_FOR_LOG and s.non_null >= MIN_NON_NULL_FOR_TRANSFORM
                 and abs(skew) >= ABS_SKEW_THRESHOLD and skew > 0 and s.negatives == 0):

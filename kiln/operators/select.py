@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kiln.functions import names as N
-from kiln.functions.exprs import as_text, col, is_numeric_type, is_string_type, is_timestamp_type, pyround
+from kiln.functions.exprs import as_text, col, is_numeric_type, is_string_type, is_timestamp_type, pyround, round_value
 from kiln.operators.detect import column_facts, is_identifier
 from kiln.operators.quality import _chunked_agg, _report, duplicate_column_map
 from kiln.operators.stats import missing
@@ -92,8 +92,8 @@ def feature_quality(df: DataFrame, target: str | None = None) -> DataFrame:
             sem = "text" if lens.get(c, 0.0) >= 40 else "high_cardinality_categorical"
         else:
             sem = "categorical"
-        meta.append((i, c, dt.simpleString(), sem, round((1 - f.non_null / n) * 100.0, 2) if n else 0.0,
-                     f.distinct, round(f.distinct / n * 100.0, 2) if n else 0.0, is_id, c in dup_of,
+        meta.append((i, c, dt.simpleString(), sem, round_value((1 - f.non_null / n) * 100.0, 2) if n else 0.0,
+                     f.distinct, round_value(f.distinct / n * 100.0, 2) if n else 0.0, is_id, c in dup_of,
                      dup_of.get(c), f.non_null))
     spark = df.sparkSession
     m = spark.createDataFrame(meta, "gi int, feature string, datatype string, semantic_type string, "
@@ -137,7 +137,7 @@ def correlated_pairs(df: DataFrame, target: str | None = None, threshold: float
         r = res[f"r{i}"]
         if r is None or math.isnan(r) or abs(r) < threshold:
             continue
-        rows.append((a, b, round(float(r), 4)))
+        rows.append((a, b, round_value(float(r), 4)))
     rows.sort(key=lambda t: abs(t[2]), reverse=True)
     return spark.createDataFrame(rows, schema)
 
@@ -191,7 +191,7 @@ def vif(df: DataFrame, target: str | None = None, exclude: set[str] | None = Non
         r2 = min(max(r2, 0.0), R2_CAP)
         val = min(1.0 / (1.0 - r2), 1e6)
         status = "HIGH" if val > VIF_HIGH else ("REVIEW" if val >= VIF_REVIEW else "GOOD")
-        rows.append((sel[i], round(val, 2), status))
+        rows.append((sel[i], round_value(val, 2), status))
     return spark.createDataFrame(rows, schema)
 
 
