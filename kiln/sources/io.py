@@ -9,6 +9,7 @@ written as JSON next to the stage.
 
 from __future__ import annotations
 
+import csv
 from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,19 +37,30 @@ class PipelineStateError(Exception):
 
 # --------------------------------------------------------------------- SRC-1
 def read_table(spark: SparkSession, path: str, fmt: str | None = None,
-               encoding: str = "UTF-8", nan_as_null: bool = False) -> DataFrame:
+               encoding: str = "UTF-8", nan_as_null: bool = False, validate: bool = True) -> DataFrame:
     """Read Parquet (default) or CSV with header and inferred types.
 
     CSV uses ``mode=FAILFAST`` so malformed rows raise one clean error instead
-    of silently becoming nulls; an empty file raises too.
+    of silently becoming nulls; an empty file raises too. Spark parses CSV
+    lazily and only the columns a query needs, so with ``validate`` one pass
+    that touches every column runs here (schema inference already scans the
+    file once); ``validate=False`` defers errors to the first action.
     """
     fmt = fmt or ("csv" if path.lower().endswith(".csv") else "parquet")
     try:
         if fmt == "csv":
+            first = spark.read.option("encoding", encoding).text(path).limit(1).collect()  # the header line only
+            if not first or not first[0][0].strip():
+                raise SourceError("The CSV file is empty.")
+            header = next(csv.reader([first[0][0]]))
             df = (spark.read.option("header", True).option("inferSchema", True)
                   .option("mode", "FAILFAST").option("encoding", encoding).csv(path))
-            if not df.columns:
-                raise SourceError("The CSV file is empty.")
+            if len(header) == len(df.columns):
+                # Spark renames repeated headers itself; apply the x__dupk rule to the real names
+                df = df.toDF(*unique_names([h.strip() for h in header]))
+            if validate:
+                # max() needs every value, so no column can be pruned from the parse
+                df.select(F.xxhash64(*[col(c) for c in df.columns]).alias("h")).agg(F.max("h")).first()
         elif fmt == "parquet":
             df = spark.read.parquet(path)
         else:
