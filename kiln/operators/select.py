@@ -266,12 +266,13 @@ def mutual_information(df: DataFrame, target: str, features: list[str] | None =
                            F.coalesce(as_text(col(c), df.schema[c].dataType), F.lit(fill)).alias("x")))
     long = base.select(y.alias("y"), F.inline(F.array(*xs)))
     joint = long.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("k"))
-    # marginals by grouping (not by a window over a whole feature, which would put
-    # a high-cardinality feature in one task); every feature sees all n target rows
     n = float(n_y["n"])
-    px = joint.groupBy("feature", "x").agg(F.sum("k").alias("kx"))
-    py = joint.groupBy("feature", "y").agg(F.sum("k").alias("ky"))
-    p = joint.join(px, ["feature", "x"]).join(py, ["feature", "y"])
+    # x marginal: a window per (feature, x) - each group holds one row per class,
+    # never a whole feature; y marginal: every feature sees all target rows, so it
+    # is the class count table (one row per class), joined (AQE broadcasts it)
+    px = joint.withColumn("kx", F.sum("k").over(Window.partitionBy("feature", "x")))
+    py = base.groupBy(y.alias("y")).agg(F.count(F.lit(1)).alias("ky"))
+    p = px.join(py, "y")
     term = (F.col("k") / n) * F.log((F.col("k") * n) / (F.col("kx") * F.col("ky")))
     mi = p.groupBy("feature").agg(F.greatest(F.sum(term), F.lit(0.0)).alias("mi"))
     # features whose x has a single bin carry no information
