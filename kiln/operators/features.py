@@ -213,10 +213,20 @@ def _bin_label(lo: float, hi: float, first: bool) -> str:
     return f"{'[' if first else '('}{round(lo, 4)}, {round(hi, 4)}]"
 
 
+def _facts(df: DataFrame, known: dict | None) -> dict:
+    """Detection facts; columns already described in ``known`` (same rows, same
+    values: stages only add columns) are not recomputed."""
+    known = known if known is not None else {}
+    todo = [c for c in df.columns if c not in known]
+    if todo:
+        known.update(column_facts(df, todo))
+    return {c: known[c] for c in df.columns if c in known}
+
+
 def engineer_numeric(df: DataFrame, selected: set[str] | None = None,
-                     exact: bool = True) -> tuple[DataFrame, FeatureReport]:
+                     exact: bool = True, known_facts: dict | None = None) -> tuple[DataFrame, FeatureReport]:
     rep = FeatureReport()
-    facts = column_facts(df)
+    facts = _facts(df, known_facts)
     types = {c: feature_type(f) for c, f in facts.items()}
     numeric = [c for c, t in types.items() if t == "numerical" and not is_identifier(facts[c])]
     if not numeric:
@@ -270,9 +280,10 @@ def engineer_numeric(df: DataFrame, selected: set[str] | None = None,
 
 
 # ------------------------------------------------------------------ FET-1..2
-def engineer_text(df: DataFrame, selected: set[str] | None = None) -> tuple[DataFrame, FeatureReport]:
+def engineer_text(df: DataFrame, selected: set[str] | None = None,
+                  known_facts: dict | None = None) -> tuple[DataFrame, FeatureReport]:
     rep = FeatureReport()
-    facts = column_facts(df)
+    facts = _facts(df, known_facts)
     texts = []
     for c, f in facts.items():
         if is_identifier(f) or feature_type(f) == "identifier":
@@ -349,8 +360,9 @@ def engineer(df: DataFrame, selected: list[str] | None = None,
     # executor is lost) so the jobs do not re-run the upstream plan
     held = [df.persist(StorageLevel.MEMORY_AND_DISK)]
     out = held[0]
-    for stage in (lambda d: engineer_datetime(d, sel, pairs), lambda d: engineer_numeric(d, sel),
-                  lambda d: engineer_text(d, sel)):
+    facts: dict = {}  # detection facts shared by the numeric and text stages
+    for stage in (lambda d: engineer_datetime(d, sel, pairs), lambda d: engineer_numeric(d, sel, known_facts=facts),
+                  lambda d: engineer_text(d, sel, known_facts=facts)):
         out, r = stage(out)
         if r.generated:
             out = out.persist(StorageLevel.MEMORY_AND_DISK)
