@@ -58,13 +58,27 @@ def feature_quality(df: DataFrame, target: str | None = None) -> DataFrame:
     facts = column_facts(df)
     dup_of = duplicate_column_map(df)
     names = list(facts)
-    # most frequent value per column: unpivot to (column index, text value)
-    pairs = F.array(*[F.struct(F.lit(i).alias("gi"), as_text(col(c), df.schema[c].dataType).alias("v"))
-                      for i, c in enumerate(names)])
-    counts = (df.select(F.inline(pairs)).where(F.col("v").isNotNull())
-              .groupBy("gi", "v").agg(F.count(F.lit(1)).alias("k")))
-    top = counts.groupBy("gi").agg(F.min_by("v", F.struct(-F.col("k"), F.col("v"))).alias("top_value"),
-                                   F.max("k").alias("top_count"))
+    # most frequent value per column: unpivot to (column index, text value) and
+    # count; all-distinct columns skip that shuffle (each value occurs once, so
+    # the tie rule picks the smallest value)
+    unique = [c for c in names if facts[c].non_null > 0 and facts[c].distinct == facts[c].non_null]
+    counted = [c for c in names if c not in unique]
+    idx = {c: i for i, c in enumerate(names)}
+    spark = df.sparkSession
+    tops = []
+    if counted:
+        pairs = F.array(*[F.struct(F.lit(idx[c]).alias("gi"), as_text(col(c), df.schema[c].dataType).alias("v"))
+                          for c in counted])
+        counts = (df.select(F.inline(pairs)).where(F.col("v").isNotNull())
+                  .groupBy("gi", "v").agg(F.count(F.lit(1)).alias("k")))
+        tops.append(counts.groupBy("gi").agg(F.min_by("v", F.struct(-F.col("k"), F.col("v"))).alias("top_value"),
+                                             F.max("k").alias("top_count")))
+    if unique:
+        mins = df.agg(*[F.min(as_text(col(c), df.schema[c].dataType)).alias(f"m{idx[c]}") for c in unique])
+        tops.append(mins.select(F.inline(F.array(*[
+            F.struct(F.lit(idx[c]).alias("gi"), F.col(f"m{idx[c]}").alias("top_value"),
+                     F.lit(1).cast("long").alias("top_count")) for c in unique]))))
+    top = tops[0] if len(tops) == 1 else tops[0].unionByName(tops[1])
     # mean text length (reference: first 30 values; here the full column)
     lens = {}
     texts = [c for c in names if is_string_type(df.schema[c].dataType)]
@@ -95,7 +109,6 @@ def feature_quality(df: DataFrame, target: str | None = None) -> DataFrame:
         meta.append((i, c, dt.simpleString(), sem, round_value((1 - f.non_null / n) * 100.0, 2) if n else 0.0,
                      f.distinct, round_value(f.distinct / n * 100.0, 2) if n else 0.0, is_id, c in dup_of,
                      dup_of.get(c), f.non_null))
-    spark = df.sparkSession
     m = spark.createDataFrame(meta, "gi int, feature string, datatype string, semantic_type string, "
                                     "missing_pct double, unique_count long, unique_pct double, "
                                     "is_identifier boolean, is_exact_duplicate boolean, duplicate_of string, "

@@ -27,6 +27,9 @@ from kiln.functions.exprs import (
 )
 
 APPROX_ACCURACY = 100_000
+# strings longer than this are counted by a 96-bit hash pair (xxhash64, murmur3):
+# a shuffle of 16 bytes instead of the text; a collision needs ~2^48 values
+LONG_TEXT = 32
 
 
 def _k(i: int, name: str) -> str:
@@ -195,7 +198,8 @@ def distinct_counts(df: DataFrame, names: list[str], exact: bool = True,
     """Distinct non-null values per column (NaN counts as missing).
 
     Exact counts unpivot the columns to (column index, value) and count
-    distinct pairs: one shuffle whose map side already drops repeats. This is
+    distinct pairs: one shuffle whose map side already drops repeats (long
+    strings are represented by a 96-bit hash pair). This is
     much cheaper than many ``count(DISTINCT ...)`` in one aggregate, which
     makes Spark expand *every* aggregate of the job once per column.
     ``values`` may give the expression to count per name (default: the column).
@@ -208,16 +212,25 @@ def distinct_counts(df: DataFrame, names: list[str], exact: bool = True,
                        for i, n in enumerate(names)]).first()
         return {n: int(row[_k(i, "nd")]) for i, n in enumerate(names)}
     cells = []
+    none_s, none_h = F.lit(None).cast("string"), F.lit(None).cast("long")
     for i, n in enumerate(names):
         e = exprs[n]
         dt = df.select(e.alias("x")).schema["x"].dataType
         num = dt.typeName() in ("byte", "short", "integer", "long", "float", "double") or \
             dt.typeName().startswith("decimal")
-        cells.append(F.struct(F.lit(i).alias("i"),
-                              (e.cast("double") if num else F.lit(None).cast("double")).alias("d"),
-                              (F.lit(None).cast("string") if num else e.cast("string")).alias("s")))
+        if num:
+            cells.append(F.struct(F.lit(i).alias("i"), e.cast("double").alias("d"), none_s.alias("s"),
+                                  none_h.alias("h1"), none_h.alias("h2")))
+            continue
+        t = e.cast("string")
+        long_text = F.length(t) > LONG_TEXT
+        # long strings travel as a 96-bit hash pair instead of their text
+        cells.append(F.struct(F.lit(i).alias("i"), F.lit(None).cast("double").alias("d"),
+                              F.when(~long_text, t).alias("s"),
+                              F.when(long_text, F.xxhash64(t)).alias("h1"),
+                              F.when(long_text, F.hash(t).cast("long")).alias("h2")))
     pairs = (df.select(F.inline(F.array(*cells)))
-             .where(F.col("d").isNotNull() | F.col("s").isNotNull())
+             .where(F.col("d").isNotNull() | F.col("s").isNotNull() | F.col("h1").isNotNull())
              .distinct())
     counts = {r["i"]: r["k"] for r in pairs.groupBy("i").agg(F.count(F.lit(1)).alias("k")).collect()}
     return {n: int(counts.get(i, 0)) for i, n in enumerate(names)}
