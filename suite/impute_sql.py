@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from kiln.functions import names as N
 from suite import sqlgen as G
 from suite.schemas import cols, source_sql
 
@@ -55,16 +56,41 @@ def _step(prev: str, out: str, target: str, cands: list[str], all_cols: list[str
   FROM {prev} p LEFT JOIN {out}_best b ON b.rk = p.{G.q(key)})"""
 
 
-def categorical_imputation(table: str, key: str, targets: list[str]) -> str:
-    """Empty strings -> null, then fill each target column in schema order."""
+def _numeric_fills(prev: str, out: str, table: str) -> str:
+    """Mean, or median when |G1| >= 1 with >= 8 values; integral columns rounded half-even."""
+    stats, items = [], []
+    for i, (c, k) in enumerate(cols(table)):
+        q = G.q(c)
+        if k not in ("int", "dbl"):
+            items.append(f"p.{q}")
+            continue
+        v = f"CAST({q} AS DOUBLE)"
+        stats.append(f"count({v}) AS k{i}, avg({v}) AS a{i}, quantile_cont({v}, 0.5) AS q{i}, skewness({v}) AS s{i}, "
+                     f"count(*) FILTER (WHERE {q} IS NULL) AS m{i}, count(*) AS n{i}")
+        fill = f"(CASE WHEN x.k{i} >= 8 AND abs(x.s{i}) >= 1.0 THEN x.q{i} ELSE x.a{i} END)"
+        filled = f"coalesce(CAST(p.{q} AS DOUBLE), {fill})"
+        expr = f"CAST(round_even({filled}, 0) AS BIGINT)" if k == "int" else filled
+        items.append(f"CASE WHEN x.m{i} = 0 OR CAST(x.m{i} AS DOUBLE) / x.n{i} > 0.70 OR x.m{i} = x.n{i} "
+                     f"THEN p.{q} ELSE {expr} END AS {q}")
+    return (f"{out}_x AS (SELECT {', '.join(stats)} FROM {prev}), "
+            f"{out} AS (SELECT {', '.join(items)} FROM {prev} p, {out}_x x)")
+
+
+def categorical_imputation(table: str, key: str, targets: list[str], exclude: tuple[str, ...] = (),
+                           numeric: bool = False) -> str:
+    """Empty strings -> null, numeric fills (optional), then fill each target column in
+    schema order. ``exclude``: exact-duplicate columns, never grouping features."""
     names = [c for c, _ in cols(table)]
     texts = [c for c, k in cols(table) if k == "str"]
     norm = ", ".join(f"CASE WHEN {G.q(c)} IS NOT NULL AND {G.strip(G.q(c))} = '' THEN NULL ELSE {G.q(c)} END AS {G.q(c)}"
                      if c in texts else G.q(c) for c in names)
     ctes = [f"s0 AS (SELECT {norm} FROM {source_sql(table)} t)"]
     prev = "s0"
+    if numeric:
+        ctes.append(_numeric_fills(prev, "sn", table))
+        prev = "sn"
     for i, tgt in enumerate(targets, start=1):
-        cands = [c for c in texts if c != tgt]
+        cands = [c for c in texts if c != tgt and c not in exclude and not N.is_identifier_name(c)]
         ctes.append(_step(prev, f"s{i}", tgt, cands, names, key).strip())
         prev = f"s{i}"
     cols_out = ", ".join(G.q(c) for c in names)

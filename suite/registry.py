@@ -167,7 +167,8 @@ register("clean_outliers_remove", _on("dirty_events", _first(lambda d: C.handle_
          CS.outliers_remove("dirty_events"))
 register("clean_impute_categorical_customer",
          _on("dirty_customer", lambda d: I.impute_missing(C.normalize_empty_strings(d)[0], key="customer_id")[0]),
-         None)
+         IS.categorical_imputation("dirty_customer", "customer_id", ["gender", "segment", "age_text"],
+                                   exclude=("city_copy",), numeric=True))
 register("clean_pipeline_customer",
          _on("dirty_customer", lambda d: PL.clean(d, key="customer_id")[0]), None)
 register("clean_summary_customer", _on("dirty_customer", lambda d: PL.clean_summary(
