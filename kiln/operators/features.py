@@ -372,11 +372,8 @@ def engineer(df: DataFrame, selected: list[str] | None = None,
     generated = [c for c in out.columns if c not in originals]
     out, r = validate_features(out, originals, generated)
     rep.removed.extend(r.removed)
-    if len(held) > 1:
-        # materialize the last stage, then release the earlier ones
-        held[-1].count()
-        for h in held[:-1]:
-            h.unpersist()
-    else:
-        held[0].unpersist()
+    # fitting is over: every decision is a literal in the plan, so the result is a
+    # cheap projection of the input; release the caches (nothing stays pinned)
+    for h in held:
+        h.unpersist()
     return out, rep
