@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from kiln.functions import names as N
 from kiln.functions.exprs import (
+    is_integral_type,
     round_value,
     BOOLEAN_LITERALS,
     DATETIME_FORMATS,
@@ -43,6 +44,7 @@ DATETIME_PARSE_RATIO = 0.8
 SHORT_TEXT_MEAN_LEN = 40
 LONG_TEXT_MEAN_LEN = 80
 NUMERIC_TEXT_RATIO = 0.9
+MAX_LITERAL_LEN = max(len(x) for x in BOOLEAN_LITERALS)
 # ---- end of fixed values ----------------------------------------------------
 
 
@@ -80,7 +82,14 @@ def column_facts(df: DataFrame, names: list[str] | None = None) -> dict[str, Col
             proj_cols += [sv.alias(f"s{i}")]
             proj_cols += [p.isNotNull().alias(f"fp{i}_{k}") for k, p in enumerate(format_parses(sv))]
         elif not is_timestamp_type(dt):
-            proj_cols.append(F.lower(strip(as_text(v, dt))).alias(f"s{i}"))
+            # boolean literal test without a text copy per cell: integral 0/1 render as
+            # "0"/"1"; fractional numbers render as "0.0"/"1.0", which are not literals
+            if dt.typeName() == "boolean":
+                proj_cols.append(F.lit(True).alias(f"s{i}"))
+            elif is_integral_type(dt):
+                proj_cols.append(v.isin(0, 1).alias(f"s{i}"))
+            else:
+                proj_cols.append(F.lit(False).alias(f"s{i}"))
     proj = df.select(*proj_cols)
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(names):
@@ -90,8 +99,9 @@ def column_facts(df: DataFrame, names: list[str] | None = None) -> dict[str, Col
         aggs.append(F.count(v).alias(f"nn{i}"))
         if is_string_type(dt):
             sv = F.col(f"s{i}")
-            aggs.append(F.coalesce(F.bool_and(F.when(v.isNotNull(), F.lower(sv).isin(*BOOLEAN_LITERALS))),
-                                   F.lit(False)).alias(f"b{i}"))
+            # literals are <= 5 characters: longer text is never lower-cased
+            short_lit = (F.length(sv) <= MAX_LITERAL_LEN) & F.lower(sv).isin(*BOOLEAN_LITERALS)
+            aggs.append(F.coalesce(F.bool_and(F.when(v.isNotNull(), short_lit)), F.lit(False)).alias(f"b{i}"))
             ratios = [F.count_if(F.col(f"fp{i}_{k}")) / F.count(v) for k in range(len(DATETIME_FORMATS))]
             aggs.append(F.when(F.count(v) > 0, F.greatest(*ratios)).otherwise(F.lit(0.0)).alias(f"dt{i}"))
             aggs += [F.count_if(sv.rlike(NUMERIC_TEXT) & sv.try_cast("double").isNotNull()).alias(f"p{i}"),
@@ -100,8 +110,7 @@ def column_facts(df: DataFrame, names: list[str] | None = None) -> dict[str, Col
         elif is_timestamp_type(dt):
             aggs += [F.lit(False).alias(f"b{i}"), F.lit(1.0).alias(f"dt{i}")]
         else:
-            aggs.append(F.coalesce(F.bool_and(F.when(v.isNotNull(), F.col(f"s{i}").isin(*BOOLEAN_LITERALS))),
-                                   F.lit(False)).alias(f"b{i}"))
+            aggs.append(F.coalesce(F.bool_and(F.when(v.isNotNull(), F.col(f"s{i}"))), F.lit(False)).alias(f"b{i}"))
         if num:
             x = v.cast("double")
             r = F.rint(x)
