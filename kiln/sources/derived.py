@@ -76,9 +76,12 @@ FROM {documents} d LEFT JOIN {labels} lb ON d.doc_id = lb.doc_id
 """
 CATEGORICAL_CUSTOMER = ("SELECT customer_id, city, gender, segment, near_constant FROM ("
                         + DIRTY_CUSTOMER + ") dc")
+CUSTOMER_AGE_COPY = ("SELECT customer_id, age, salary, city, age * 2 AS age_copy, churn FROM ("
+                     + DIRTY_CUSTOMER + ") dc")
 # ---- end of fixed values ----------------------------------------------------
 
 VIEWS = {
+    "customer_age_copy": (CUSTOMER_AGE_COPY, ("customer",)),
     "categorical_customer": (CATEGORICAL_CUSTOMER, ("customer",)),
     "dirty_customer": (DIRTY_CUSTOMER, ("customer",)),
     "dirty_events": (DIRTY_EVENTS, ("events",)),

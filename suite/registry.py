@@ -39,7 +39,8 @@ _SQL: dict[str, str] = {}
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     configure(spark)
-    if table in ("dirty_customer", "dirty_events", "dirty_dates", "labelled_documents", "categorical_customer"):
+    if table in ("dirty_customer", "dirty_events", "dirty_dates", "labelled_documents", "categorical_customer",
+                 "customer_age_copy"):
         return derived(spark, sf_dir, table)
     return read_table(spark, f"{sf_dir}/{table}.parquet")
 
@@ -222,9 +223,11 @@ register("select_mutual_information_customer",
          SS.mutual_information("dirty_customer", "churn", ["age", "salary"], ["city", "gender", "segment"]))
 register("select_categorical_redundancy", _on("dirty_customer", S.categorical_redundancy),
          SS.categorical_redundancy("dirty_customer"))
-register("select_prefer_pairs", _on("dirty_customer", lambda d: S.prefer_in_pairs(
-    S.correlated_pairs(d.withColumn("age_copy", d["age"] * 2), "churn", threshold=0.9),
-    S.feature_quality(d.withColumn("age_copy", d["age"] * 2), "churn"))), None)
+register("select_prefer_pairs", _on("customer_age_copy", lambda d: S.prefer_in_pairs(
+    S.correlated_pairs(d, "churn"), S.feature_quality(d, "churn"),
+    S.mutual_information(d, "churn", ["age", "salary", "city", "age_copy"]))),
+    SS.prefer_pairs("customer_age_copy", "churn", ["customer_id", "age", "salary", "age_copy"],
+                    ["age", "salary", "age_copy"], ["city"]))
 def _flags_as_text(df: DataFrame) -> DataFrame:
     from pyspark.sql import functions as F
     return df.withColumn("quality_flags", F.array_join("quality_flags", ","))

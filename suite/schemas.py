@@ -10,6 +10,8 @@ TABLES: dict[str, list[tuple[str, str]]] = {
         ("city_copy", "str"), ("gender", "str"), ("segment", "str"), ("constant_col", "str"),
         ("near_constant", "str"), ("age_text", "str"), ("email", "str"), ("churn", "int"),
     ],
+    "customer_age_copy": [("customer_id", "int"), ("age", "int"), ("salary", "dbl"), ("city", "str"),
+                          ("age_copy", "int"), ("churn", "int")],
     "categorical_customer": [("customer_id", "int"), ("city", "str"), ("gender", "str"), ("segment", "str"),
                              ("near_constant", "str")],
     "dirty_events": [("event_id", "int"), ("user_id", "int"), ("event_type", "str"), ("value", "dbl")],
@@ -34,7 +36,8 @@ TABLES: dict[str, list[tuple[str, str]]] = {
     "conversations": [("conv_id", "int"), ("turn", "int"), ("role", "str"), ("text", "str")],
 }
 
-DERIVED = {"dirty_customer", "dirty_events", "dirty_dates", "labelled_documents", "categorical_customer"}
+DERIVED = {"dirty_customer", "dirty_events", "dirty_dates", "labelled_documents", "categorical_customer",
+           "customer_age_copy"}
 
 
 def source_sql(table: str) -> str:

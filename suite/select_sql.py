@@ -169,3 +169,23 @@ SELECT feature,
        WHEN is_identifier THEN 'IDENTIFIER' WHEN len(codes) > 0 THEN array_to_string(codes, ',') ELSE 'GOOD' END AS status,
   mi_score, coalesce(mi_score, 0.0) >= 0.02 AS mi_meaningful
 FROM k"""
+
+
+def prefer_pairs(table: str, target: str, nums: list[str], mi_nums: list[str], mi_cats: list[str]) -> str:
+    """PIP-10: preferred feature inside each correlated pair."""
+    src = source_sql(table)
+    return f"""
+WITH cp AS ({correlated_pairs(src, nums)}),
+q AS ({feature_quality(table, target)}),
+m AS ({mutual_information(table, target, mi_nums, mi_cats)})
+SELECT cp.feature_a, cp.feature_b, cp.correlation,
+  CASE WHEN qa.is_identifier AND NOT qb.is_identifier THEN cp.feature_b
+       WHEN qb.is_identifier AND NOT qa.is_identifier THEN cp.feature_a
+       WHEN qa.is_exact_duplicate AND NOT qb.is_exact_duplicate THEN cp.feature_b
+       WHEN qb.is_exact_duplicate AND NOT qa.is_exact_duplicate THEN cp.feature_a
+       WHEN qb.missing_pct - qa.missing_pct >= 10 THEN cp.feature_a
+       WHEN qa.missing_pct - qb.missing_pct >= 10 THEN cp.feature_b
+       WHEN ma.mi_score - mb.mi_score >= 0.02 THEN cp.feature_a
+       WHEN mb.mi_score - ma.mi_score >= 0.02 THEN cp.feature_b END AS preferred_feature
+FROM cp LEFT JOIN q qa ON qa.feature = cp.feature_a LEFT JOIN q qb ON qb.feature = cp.feature_b
+LEFT JOIN m ma ON ma.feature = cp.feature_a LEFT JOIN m mb ON mb.feature = cp.feature_b"""
