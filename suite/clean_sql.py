@@ -117,3 +117,11 @@ def outliers_remove(table: str) -> str:
 
 def drop_duplicate_rows(table: str) -> str:
     return f"SELECT DISTINCT * FROM {source_sql(table)} t"
+
+
+def change_samples(table: str) -> str:
+    """First 8 changed ``age`` cells by key (the limit is the feature: a sample report)."""
+    src = source_sql(table)
+    after = "CASE WHEN coalesce(age < 0 OR age > 120, false) THEN NULL ELSE age END"
+    return (f"SELECT customer_id, CAST(age AS VARCHAR) AS before, CAST(({after}) AS VARCHAR) AS after "
+            f"FROM {src} t WHERE age IS DISTINCT FROM ({after}) ORDER BY customer_id LIMIT 8")

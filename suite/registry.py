@@ -181,6 +181,15 @@ register("clean_impute_categorical_ladder",
          _on("categorical_customer",
              lambda d: I.impute_missing(C.normalize_empty_strings(d)[0], key="customer_id")[0]),
          IS.categorical_imputation("categorical_customer", "customer_id", ["gender", "segment"]))
+def _age_changes(d: DataFrame) -> DataFrame:
+    """PRJ-11: first 8 cells (by key) that the domain rules changed in ``age``."""
+    from pyspark.sql import functions as F
+    marked = d.select("customer_id", "age", F.col("age").alias("before_value"))
+    after = C.null_domain_invalid(marked)[0]
+    return C.change_samples(after, "before_value", "age", "customer_id")
+
+
+register("clean_change_samples", _on("dirty_customer", _age_changes), CS.change_samples("dirty_customer"))
 register("clean_drop_duplicate_rows", _on("dirty_events", _first(C.drop_duplicate_rows)),
          CS.drop_duplicate_rows("dirty_events"))
 

@@ -51,3 +51,11 @@ def test_validation_drops_duplicate_generated(spark):
     df = spark.createDataFrame([(i, i) for i in range(50)], "A int, A_Copy_Gen int")
     out, rep = FE.validate_features(df, ["A"], ["A_Copy_Gen"])
     assert out.columns == ["A"]
+
+
+def test_range_checks_flag_only(spark):
+    from kiln.operators import features as FE2
+    df = spark.createDataFrame([(i, i % 14) for i in range(30)], "A int, A_Month int")
+    out, rep = FE2.validate_features(df, ["A"], ["A_Month"])
+    assert "A_Month" in out.columns
+    assert any(i["issue"] == "out_of_range" and i["count"] == 4 for i in rep.issues)
