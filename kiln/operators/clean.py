@@ -265,10 +265,3 @@ def change_samples(df: DataFrame, before: str, after: str, key: str | list[str],
             .select(*[col(k) for k in keys], col(before).cast("string").alias("before"),
                     col(after).cast("string").alias("after"))
             .orderBy(*[col(k) for k in keys]).limit(n))
-
-
-__all__ = [
-    "LogEntry", "log_frame", "normalize_empty_strings", "convert_types", "null_domain_invalid",
-    "drop_duplicate_columns", "drop_constant_columns", "drop_duplicate_rows", "handle_outliers",
-    "high_missing_plan", "change_samples", "domain_rule", "is_timestamp_type", "_report",
-]
