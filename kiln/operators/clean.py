@@ -19,14 +19,12 @@ from kiln.functions.exprs import (
     col,
     is_numeric_type,
     is_string_type,
-    is_timestamp_type,
     parse_number,
     parse_timestamp,
     strip,
 )
 from kiln.operators.quality import (
     _orderable,
-    _report,
     constant_columns,
     datetime_like_ratio,
     duplicate_column_map,

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from kiln.functions import names as N
 from kiln.functions.exprs import as_text, col, is_numeric_type, is_string_type, is_timestamp_type, pyround, round_value
 from kiln.operators.detect import column_facts, is_identifier
-from kiln.operators.quality import _chunked_agg, _report, duplicate_column_map
+from kiln.operators.quality import _chunked_agg, duplicate_column_map
 from kiln.operators.stats import missing
 
 # ---- fixed values: thresholds ----------------------------------------------
