@@ -112,7 +112,7 @@ def numeric_stats(df: DataFrame, names: list[str], coerce: bool = False,
     if quantiles and not narrow and exact:
         # one pass for both: (column, value) counts -> distinct count and
         # frequency-weighted exact percentile per column (each column merges in its own task)
-        nd, grouped_q = _distinct_and_quantiles(df, names, coerce, tuple(quantiles), exact)
+        nd, grouped_q, _ = _distinct_and_quantiles(df, names, coerce, tuple(quantiles), exact)
     elif distinct:
         nd = distinct_counts(df, names, values={n: numeric_view(df, n, coerce) for n in names})
     n_rows = int(row["n_rows"])
@@ -151,10 +151,32 @@ def _distinct_and_quantiles(df: DataFrame, names: list[str], coerce: bool, quant
              .groupBy("i", "v").agg(F.count(F.lit(1)).alias("k")))
     probs = F.array(*[F.lit(float(p)) for p in quantiles])
     q = F.percentile("v", probs, F.col("k"))  # exact, weighted by the value counts
-    res = {r["i"]: r for r in pairs.groupBy("i").agg(F.count(F.lit(1)).alias("nd"), q.alias("q")).collect()}
+    res = {r["i"]: r for r in pairs.groupBy("i").agg(F.count(F.lit(1)).alias("nd"), F.sum("k").alias("nn"),
+                                                       q.alias("q")).collect()}
     nd = {n: int(res[i]["nd"]) if i in res else 0 for i, n in enumerate(names)}
     qs = {n: (list(res[i]["q"]) if i in res and res[i]["q"] is not None else None) for i, n in enumerate(names)}
-    return nd, qs
+    nn = {n: int(res[i]["nn"]) if i in res else 0 for i, n in enumerate(names)}
+    return nd, qs, nn
+
+
+def quartile_stats(df: DataFrame, names: list[str], coerce: bool = False,
+                   quantiles: tuple[float, ...] = (0.25, 0.75)) -> dict[str, NumericStats]:
+    """Non-null counts and exact quantiles only (no moments): one grouped job.
+
+    Used by IQR fences, which need nothing else, so the moments scan is skipped."""
+    from kiln.operators.quantiles import exact_quantiles, strategy
+    if not names:
+        return {}
+    if strategy(df) == "narrow":
+        return numeric_stats(df, names, coerce=coerce, distinct=False, quantiles=quantiles)
+    nd, qs, nn = _distinct_and_quantiles(df, names, coerce, tuple(quantiles))
+    out = {}
+    for n in names:
+        st = NumericStats(name=n, n_rows=-1, non_null=nn[n], distinct=nd[n])
+        if qs[n] is not None:
+            st.quantiles = {p: float(x) for p, x in zip(quantiles, qs[n])}
+        out[n] = st
+    return out
 
 
 def skew_expr(v: Column) -> Column:
