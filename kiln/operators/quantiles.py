@@ -16,7 +16,8 @@ values. This module finds the same exact values by narrowing:
 
 Every pass is a partial aggregation or a filter over the whole table; no pass
 holds more than O(accuracy) state per column or ``subset_max`` rows per task.
-Choose it per session with ``spark.conf.set("kiln.quantiles", "narrow")``.
+``kiln.quantiles``: ``auto`` (default) narrows columns with more than 10
+million non-null values and maps the rest; ``narrow`` / ``map`` force one way.
 """
 
 from __future__ import annotations
@@ -30,12 +31,22 @@ DEFAULT_ACCURACY = 10_000
 DEFAULT_SUBSET_MAX = 200_000
 
 
+# "auto": columns with more non-null values than this use narrowing, smaller
+# ones the value -> count map (both exact)
+NARROW_ABOVE = 10_000_000
+
+
 def strategy(df: DataFrame) -> str:
-    """'map' (Spark percentile) unless the session asks for 'narrow'."""
+    """'auto' (default), 'map' (Spark percentile) or 'narrow', from ``kiln.quantiles``."""
     try:
-        return df.sparkSession.conf.get("kiln.quantiles", "map") or "map"
+        return df.sparkSession.conf.get("kiln.quantiles", "auto") or "auto"
     except Exception:  # noqa: BLE001
-        return "map"
+        return "auto"
+
+
+def use_narrowing(df: DataFrame, non_null: int) -> bool:
+    s = strategy(df)
+    return s == "narrow" or (s == "auto" and non_null > NARROW_ABOVE)
 
 
 def exact_quantiles(df: DataFrame, values: dict[str, Column], probs: tuple[float, ...],

@@ -75,6 +75,7 @@ def numeric_stats(df: DataFrame, names: list[str], coerce: bool = False,
         return {}
     from kiln.operators.quantiles import strategy
     narrow = bool(quantiles) and exact and strategy(df) == "narrow"
+    auto = bool(quantiles) and exact and strategy(df) == "auto"
     # derive each numeric view once, in a projection below the aggregate (an
     # expression used by ten aggregate functions would otherwise run ten times)
     proj = df.select(*[numeric_view(df, n, coerce).alias(f"__v{i}") for i, n in enumerate(names)])
@@ -97,22 +98,32 @@ def numeric_stats(df: DataFrame, names: list[str], coerce: bool = False,
     # moments only: a plain HashAggregate stays in whole-stage codegen; quantile
     # aggregates are imperative and would drag every function out of codegen
     row = proj.agg(*aggs).first()
+    big: list[str] = []
+    if auto:
+        # exact either way: very large columns take the bounded-memory narrowing path
+        from kiln.operators.quantiles import NARROW_ABOVE
+        big = [n for i, n in enumerate(names) if int(row[_k(i, "nn")]) > NARROW_ABOVE]
     approx_q = {}
     if quantiles and not exact:
         probs = F.array(*[F.lit(float(p)) for p in quantiles])
         qrow = proj.agg(*[F.percentile_approx(F.col(f"__v{i}"), probs, APPROX_ACCURACY).alias(f"q{i}")
                           for i in range(len(names))]).first()
         approx_q = {n: qrow[f"q{i}"] for i, n in enumerate(names)}
-    if narrow:
+    qv: dict = {}
+    if narrow or big:
         # exact values with bounded memory (see operators/quantiles.py)
         from kiln.operators.quantiles import exact_quantiles
-        qv = exact_quantiles(df, {n: numeric_view(df, n, coerce) for n in names}, tuple(quantiles))
+        targets = names if narrow else big
+        qv = exact_quantiles(df, {n: numeric_view(df, n, coerce) for n in targets}, tuple(quantiles))
     nd: dict[str, int] = {}
     grouped_q: dict[str, list[float] | None] = {}
+    small = [n for n in names if n not in big]
     if quantiles and not narrow and exact:
         # one pass for both: (column, value) counts -> distinct count and
         # frequency-weighted exact percentile per column (each column merges in its own task)
-        nd, grouped_q, _ = _distinct_and_quantiles(df, names, coerce, tuple(quantiles), exact)
+        nd, grouped_q, _ = _distinct_and_quantiles(df, small, coerce, tuple(quantiles), exact) if small else ({}, {}, {})
+        if distinct and big:
+            nd.update(distinct_counts(df, big, values={n: numeric_view(df, n, coerce) for n in big}))
     elif distinct:
         nd = distinct_counts(df, names, values={n: numeric_view(df, n, coerce) for n in names})
     n_rows = int(row["n_rows"])
@@ -131,7 +142,7 @@ def numeric_stats(df: DataFrame, names: list[str], coerce: bool = False,
             zeros=int(row[_k(i, "zero")]), negatives=int(row[_k(i, "neg")]),
             non_integral=int(row[_k(i, "frac")]),
         )
-        if narrow:
+        if name in qv:
             if qv[name] and all(x is not None for x in qv[name].values()):
                 st.quantiles = {p: float(qv[name][p]) for p in quantiles}
         elif quantiles and exact:
@@ -164,11 +175,19 @@ def quartile_stats(df: DataFrame, names: list[str], coerce: bool = False,
     """Non-null counts and exact quantiles only (no moments): one grouped job.
 
     Used by IQR fences, which need nothing else, so the moments scan is skipped."""
-    from kiln.operators.quantiles import exact_quantiles, strategy
+    from kiln.operators.quantiles import strategy
     if not names:
         return {}
-    if strategy(df) == "narrow":
+    s = strategy(df)
+    if s == "narrow":
         return numeric_stats(df, names, coerce=coerce, distinct=False, quantiles=quantiles)
+    if s == "auto":
+        # a codegen'd count decides which columns are too large for the map path
+        from kiln.operators.quantiles import NARROW_ABOVE
+        proj = df.select(*[numeric_view(df, n, coerce).alias(f"__v{i}") for i, n in enumerate(names)])
+        cnt = proj.agg(*[F.count(f"__v{i}").alias(f"n{i}") for i in range(len(names))]).first()
+        if any(int(cnt[f"n{i}"]) > NARROW_ABOVE for i in range(len(names))):
+            return numeric_stats(df, names, coerce=coerce, distinct=False, quantiles=quantiles)
     nd, qs, nn = _distinct_and_quantiles(df, names, coerce, tuple(quantiles))
     out = {}
     for n in names:

@@ -25,3 +25,17 @@ def test_session_switch_uses_narrowing(spark):
     finally:
         spark.conf.unset("kiln.quantiles")
     assert log[0].details["method"] == "median" and log[0].details["fill_value"] == 2
+
+
+def test_auto_narrows_large_columns_with_same_results(spark, monkeypatch):
+    from kiln.operators.stats import quartile_stats
+    df = spark.range(0, 30000).select(((F.col("id") * 7919) % 10007).cast("double").alias("a"),
+                                      (F.col("id") % 13).cast("double").alias("b"))
+    probs = (0.25, 0.5, 0.75)
+    ref = numeric_stats(df, ["a", "b"], quantiles=probs)
+    monkeypatch.setattr(QN, "NARROW_ABOVE", 10000)  # every column counts as large
+    got = numeric_stats(df, ["a", "b"], quantiles=probs)
+    q = quartile_stats(df, ["a", "b"])
+    for n in "ab":
+        assert got[n].quantiles == ref[n].quantiles and got[n].distinct == ref[n].distinct
+        assert q[n].quantiles == {p: ref[n].quantiles[p] for p in (0.25, 0.75)}
