@@ -94,6 +94,12 @@ register("detect_feature_types_customer", _on("dirty_customer", D.feature_types)
 register("detect_feature_types_events", _on("events", D.feature_types), DS.feature_types("events"))
 register("detect_feature_types_documents", _on("documents", D.feature_types), DS.feature_types("documents"))
 register("detect_feature_types_orders", _on("orders", D.feature_types), DS.feature_types("orders"))
+register("detect_feature_types_pages", _on("pages", D.feature_types), DS.feature_types("pages"))
+register("detect_feature_types_conversations", _on("conversations", D.feature_types),
+         DS.feature_types("conversations"))
+register("profile_columns_pages", _on("pages", P.profile_columns), PS.profile_columns("pages"))
+register("profile_columns_benchmark", _on("benchmark", P.profile_columns), PS.profile_columns("benchmark"))
+register("quality_missing_pages", _on("pages", Q.missing_values), QS.missing_values("pages"))
 
 # ---- quality ---------------------------------------------------------------
 register("quality_missing_customer", _on("dirty_customer", Q.missing_values),
@@ -203,6 +209,8 @@ register("features_text_documents", _on("documents", _first(FE.engineer_text)),
          FS.text_counts("documents", "text"))
 register("features_text_conversations", _on("conversations", _first(FE.engineer_text)),
          FS.unchanged_if_identifier("conversations", "text"))
+register("features_text_benchmark", _on("benchmark", _first(FE.engineer_text)),
+         FS.unchanged_if_identifier("benchmark", "text"))
 register("features_numeric_documents", _on("documents", _first(FE.engineer_numeric)),
          FS.log_feature("documents", "n_chars"))
 register("features_pipeline_events", _on("events", _first(FE.engineer)), None)

@@ -34,6 +34,8 @@ TABLES: dict[str, list[tuple[str, str]]] = {
     "documents": [("doc_id", "int"), ("text", "str"), ("lang", "str"), ("source", "str"),
                   ("n_chars", "int")],
     "conversations": [("conv_id", "int"), ("turn", "int"), ("role", "str"), ("text", "str")],
+    "pages": [("page_id", "int"), ("url", "str"), ("html", "str")],
+    "benchmark": [("item_id", "int"), ("text", "str")],
 }
 
 DERIVED = {"dirty_customer", "dirty_events", "dirty_dates", "labelled_documents", "categorical_customer",
