@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from kiln.functions import names as N
 from suite import sqlgen as G
-from suite.schemas import cols, source_sql
+from suite.schemas import INT32, cols, source_sql
 
 
 def _select(table: str, repl: dict[str, str], src: str | None = None) -> str:
@@ -65,7 +65,8 @@ def impute_numeric(table: str) -> str:
         filled = f"coalesce(CAST(t.{G.q(c)} AS DOUBLE), {fill})"
         # integral columns are restored to whole numbers; the registered inputs'
         # floating columns hold fractions, so they stay double
-        expr = f"CAST(round_even({filled}, 0) AS BIGINT)" if k == "int" else filled
+        itype = "INTEGER" if (table, c) in INT32 else "BIGINT"
+        expr = f"CAST(round_even({filled}, 0) AS {itype})" if k == "int" else filled
         repl[c] = (f"CASE WHEN s.m{i} = 0 OR CAST(s.m{i} AS DOUBLE) / s.n{i} > 0.70 OR s.m{i} = s.n{i} "
                    f"THEN t.{G.q(c)} ELSE {expr} END")
     items = [f"{repl[c]} AS {G.q(c)}" if c in repl else f"t.{G.q(c)}" for c, _ in cols(table)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from kiln.functions import names as N
 from suite import sqlgen as G
-from suite.schemas import cols, source_sql
+from suite.schemas import INT32, cols, source_sql
 
 
 def _step(prev: str, out: str, target: str, cands: list[str], all_cols: list[str], key: str,
@@ -69,7 +69,8 @@ def _numeric_fills(prev: str, out: str, table: str) -> str:
                      f"count(*) FILTER (WHERE {q} IS NULL) AS m{i}, count(*) AS n{i}")
         fill = f"(CASE WHEN x.k{i} >= 8 AND abs(x.s{i}) >= 1.0 THEN x.q{i} ELSE x.a{i} END)"
         filled = f"coalesce(CAST(p.{q} AS DOUBLE), {fill})"
-        expr = f"CAST(round_even({filled}, 0) AS BIGINT)" if k == "int" else filled
+        itype = "INTEGER" if (table, c) in INT32 else "BIGINT"
+        expr = f"CAST(round_even({filled}, 0) AS {itype})" if k == "int" else filled
         items.append(f"CASE WHEN x.m{i} = 0 OR CAST(x.m{i} AS DOUBLE) / x.n{i} > 0.70 OR x.m{i} = x.n{i} "
                      f"THEN p.{q} ELSE {expr} END AS {q}")
     return (f"{out}_x AS (SELECT {', '.join(stats)} FROM {prev}), "

@@ -69,7 +69,7 @@ def duplicate_columns(table: str) -> str:
     return f"""
 WITH e AS (SELECT {aggs} FROM {source_sql(table)} t),
 r AS ({G.union_all(parts)})
-SELECT duplicate_column, original_column, 100.0 AS similarity FROM r
+SELECT duplicate_column, original_column, CAST(100.0 AS DOUBLE) AS similarity FROM r
 WHERE original_column IS NOT NULL"""
 
 
@@ -255,8 +255,11 @@ b AS (SELECT least(25.0, mv.p) AS missing_values,
 s AS (SELECT *, CAST(greatest(0, least(100, round_even(100.0 - (missing_values + duplicate_rows + constant_columns
         + high_missing_columns + invalid_values + outliers + class_imbalance), 0))) AS INTEGER) AS score FROM b)
 SELECT score, CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 75 THEN 'Good' WHEN score >= 60 THEN 'Fair'
-  ELSE 'Poor' END AS level, round_even(missing_values, 4) AS missing_values, round_even(duplicate_rows, 4) AS duplicate_rows,
-  round_even(constant_columns, 4) AS constant_columns, round_even(high_missing_columns, 4) AS high_missing_columns,
-  round_even(invalid_values, 4) AS invalid_values, round_even(outliers, 4) AS outliers,
-  round_even(class_imbalance, 4) AS class_imbalance FROM s"""
+  ELSE 'Poor' END AS level,
+  round_even(CAST(missing_values AS DOUBLE), 4) AS missing_values,
+  round_even(CAST(duplicate_rows AS DOUBLE), 4) AS duplicate_rows,
+  round_even(CAST(constant_columns AS DOUBLE), 4) AS constant_columns,
+  round_even(CAST(high_missing_columns AS DOUBLE), 4) AS high_missing_columns,
+  round_even(CAST(invalid_values AS DOUBLE), 4) AS invalid_values, round_even(CAST(outliers AS DOUBLE), 4) AS outliers,
+  round_even(CAST(class_imbalance AS DOUBLE), 4) AS class_imbalance FROM s"""
     return pen

@@ -38,6 +38,11 @@ TABLES: dict[str, list[tuple[str, str]]] = {
     "benchmark": [("item_id", "int"), ("text", "str")],
 }
 
+# integral columns stored as 32-bit INTEGER (the rest of kind "int" are BIGINT)
+INT32 = {("dirty_customer", "churn"), ("customer_age_copy", "churn"), ("labelled_documents", "quality"),
+         ("labelled_documents", "toxic"), ("lineitem", "l_linenumber"), ("customer", "c_nationkey"),
+         ("part", "p_size")}
+
 DERIVED = {"dirty_customer", "dirty_events", "dirty_dates", "labelled_documents", "categorical_customer",
            "customer_age_copy"}
 
