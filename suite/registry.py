@@ -97,6 +97,10 @@ register("detect_feature_types_orders", _on("orders", D.feature_types), DS.featu
 register("detect_feature_types_pages", _on("pages", D.feature_types), DS.feature_types("pages"))
 register("detect_feature_types_conversations", _on("conversations", D.feature_types),
          DS.feature_types("conversations"))
+register("profile_columns_lineitem", _on("lineitem", P.profile_columns), PS.profile_columns("lineitem"))
+register("profile_numeric_orders", _on("orders", P.numeric_report), PS.numeric_report("orders"))
+register("detect_feature_types_lineitem", _on("lineitem", D.feature_types), DS.feature_types("lineitem"))
+register("detect_opportunities_lineitem", _on("lineitem", OP.opportunity_report), DS.opportunities("lineitem", None))
 register("profile_columns_pages", _on("pages", P.profile_columns), PS.profile_columns("pages"))
 register("profile_columns_benchmark", _on("benchmark", P.profile_columns), PS.profile_columns("benchmark"))
 register("quality_missing_pages", _on("pages", Q.missing_values), QS.missing_values("pages"))
