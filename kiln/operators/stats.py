@@ -5,10 +5,12 @@ Every statistic here is an aggregate over the whole table: a single
 only ever sees O(columns) values. Aggregates are partial (map-side combine)
 so the shuffle carries one small buffer per partition, not rows.
 
-``percentile`` is exact and keeps a value->count map per column; it is the
-right default for tables whose columns hold up to a few million distinct
-values. For larger domains pass ``exact=False`` to use ``percentile_approx``
-with a fixed accuracy (memory bounded, rank error 1/accuracy).
+Quantiles are exact. Moments run in one codegen'd aggregate; quantiles and
+distinct counts in one grouped job ((column, value) -> count, then a
+frequency-weighted ``percentile`` per column). Columns above
+``quantiles.NARROW_ABOVE`` non-null values take the bounded-memory narrowing
+path instead (``kiln.quantiles``: auto / map / narrow). ``exact=False`` uses
+``percentile_approx`` (rank error 1/accuracy).
 """
 
 from __future__ import annotations
