@@ -146,6 +146,10 @@ register("quality_frequency_event_type", _on("events", lambda d: Q.frequency_pro
          QS.frequency_profile("events", "event_type", "str"))
 register("quality_frequency_part_type", _on("part", lambda d: Q.frequency_profile(d, "p_type")),
          QS.frequency_profile("part", "p_type", "str"))
+register("quality_frequency_returnflag", _on("lineitem", lambda d: Q.frequency_profile(d, "l_returnflag")),
+         QS.frequency_profile("lineitem", "l_returnflag", "str"))
+register("quality_frequency_orderpriority", _on("orders", lambda d: Q.frequency_profile(d, "o_orderpriority")),
+         QS.frequency_profile("orders", "o_orderpriority", "str"))
 register("quality_snapshot_events", _on("dirty_events", Q.snapshot), QS.snapshot("dirty_events"))
 register("quality_snapshot_customer", _on("dirty_customer", Q.snapshot), QS.snapshot("dirty_customer"))
 register("quality_class_imbalance", _on("dirty_customer", Q.class_imbalance),
