@@ -31,3 +31,15 @@ def test_fingerprint_order_insensitive(spark):
     a = io.frame_fingerprint(df).first()
     b = io.frame_fingerprint(df.orderBy("k").repartition(3)).first()
     assert a == b
+
+
+def test_report_round_trip_and_csv_copy(spark):
+    from kiln.operators import quality as Q
+    root = tempfile.mkdtemp(prefix="kiln-report-", dir="/tmp")
+    df = spark.createDataFrame([(1, None), (2, "b"), (3, None)], "x int, y string")
+    rep = Q.missing_values(df)
+    io.write_report(rep, root, "missing")
+    back = io.read_report(spark, root, "missing", rep.schema)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rep.collect()))
+    io.write_stage(df, root, "cleaned", csv_copy=True)
+    assert spark.read.option("header", True).csv(f"{root}/cleaned_csv").count() == 3
