@@ -93,3 +93,13 @@ def test_apply_selection_options(spark):
     assert S.apply_selection(df, dec, "t").columns == ["t", "b"]
     assert S.apply_selection(df, dec, "t", force_keep=["a"], also_remove=["b"]).columns == ["t", "a"]
     assert S.apply_selection(df, dec, "t", manual_drop=["b", "t"]).columns == ["t", "a", "c"]
+
+
+def test_nested_columns_pass_through(spark):
+    from kiln.operators import detect as D
+    from kiln.operators import profile as P
+    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    prof = {r["column_name"]: r for r in P.profile_columns(df).collect()}
+    assert prof["embedding"]["unique_values"] is None and prof["label"]["unique_values"] >= 1
+    assert "embedding" not in {r["column_name"] for r in D.feature_types(df).collect()}
+    assert Q.missing_values(df).count() == 0
