@@ -43,21 +43,22 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_columns(df: DataFrame, inputs: list[str], added: str,
-                 fn: Callable[[list[pa.Array]], list[pa.Array]]) -> DataFrame:
+                 fn: Callable[[list[pa.Array]], list[pa.Array]], keep: list[str] | None = None) -> DataFrame:
     """Append the columns named in the DDL ``added``; ``fn`` maps input arrays to output arrays.
 
-    All rows and columns of ``df`` pass through in Arrow batches; ``added`` names
-    must be new (callers use their own prefix).
+    All rows and the columns ``keep`` (default: all) of ``df`` pass through in
+    Arrow batches; ``added`` names must be new (callers use their own prefix).
     """
     new = T._parse_datatype_string(added)
-    schema = T.StructType([*df.schema.fields, *new.fields])
-    at = [df.columns.index(c) for c in inputs]
+    names = df.columns if keep is None else keep
+    schema = T.StructType([*(df.schema[c] for c in names), *new.fields])
+    at, passed = [df.columns.index(c) for c in inputs], [df.columns.index(c) for c in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 out = fn([b.column(i) for i in at])
-                yield pa.RecordBatch.from_arrays([*b.columns, *out], names=[*b.schema.names, *new.names])
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in passed), *out], names=schema.names)
 
     return df.mapInArrow(run, schema)
 

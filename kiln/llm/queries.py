@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kiln.llm import exact, mixing, packing, simhash
+from kiln.llm import exact, langid, mixing, packing, quality, simhash
 
 #: The tokenizer file of the packing contract, from the installed public files.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -21,6 +21,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_duplicates(_table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_documents(_table(spark, sf_dir, "documents"))
+
+
 def op8_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -34,7 +42,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_simhash, op8_exact, op9_mixing, op10_packing)}
+    op2_simhash, op3_quality, op4_langid, op8_exact, op9_mixing, op10_packing)}
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

@@ -72,12 +72,13 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def with_fingerprint(df: DataFrame, text_col: str, shingle: int = 4, name: str = "__fp") -> DataFrame:
-    """``df`` plus the fingerprint (long) of every whole text."""
+def with_fingerprint(df: DataFrame, text_col: str, shingle: int = 4, name: str = "__fp",
+                     keep: list[str] | None = None) -> DataFrame:
+    """``df`` (or its columns ``keep``) plus the fingerprint (long) of every whole text."""
     def column(cols: list[pa.Array]) -> list[pa.Array]:
         return [pa.array([fingerprint(t, shingle) for t in each_text(cols[0])], pa.int64())]
 
-    return with_columns(df, [text_col], f"{name} long", column)
+    return with_columns(df, [text_col], f"{name} long", column, keep)
 
 
 def hex_fingerprint(fp: Column) -> Column:
@@ -229,8 +230,7 @@ def fingerprint_components(ids: DataFrame, max_bits: int = MAX_BITS) -> DataFram
 def simhash_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
                        max_bits: int = MAX_BITS) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
-    ids = stage(with_fingerprint(documents(df, id_col, text_col), "text", shingle, "fp").select("doc_id", "fp"),
-                "simhash")
+    ids = stage(with_fingerprint(documents(df, id_col, text_col), "text", shingle, "fp", ["doc_id"]), "simhash")
     return (ids.join(fingerprint_components(ids, max_bits), "fp")
             .select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id"))
 
