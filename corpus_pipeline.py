@@ -11,11 +11,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kiln.llm import exact, mixing, packing, simhash
+from kiln.llm import exact, langid, mixing, packing, simhash
 from kiln.llm.common import stage
 from kiln.llm.queries import TOKENIZER
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is rejected (none, or unlike all learned ones) go."""
+    return langid.keep_identified(docs)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id stays."""
     return exact.drop_exact_duplicates(docs)
@@ -36,7 +41,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, TOKENIZER)
 
 
-STAGES = [("exact_dedup", exact_dedup), ("near_dedup", near_dedup),
+STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup),
           ("mixing", mix), ("packing", pack)]
 
 #: SQL cannot express language models, fingerprints, seeded draws and tokenizers.
