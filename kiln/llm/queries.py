@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kiln.llm import exact, langid, mixing, packing, quality, simhash
+from kiln.llm import ann, exact, langid, mixing, packing, quality, simhash
 
 #: The tokenizer file of the packing contract, from the installed public files.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_duplicates(_table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
@@ -42,7 +47,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_simhash, op3_quality, op4_langid, op8_exact, op9_mixing, op10_packing)}
+    op1_ann, op2_simhash, op3_quality, op4_langid, op8_exact, op9_mixing, op10_packing)}
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
