@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kiln.llm import ann, exact, langid, mixing, packing, quality, simhash, wrapper
+from kiln.llm import ann, exact, langid, mixing, packing, quality, simhash, substring, wrapper
 
 #: The tokenizer file of the packing contract, from the installed public files.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -34,6 +34,11 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(_table(spark, sf_dir, "documents"), window=20).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.extract_pages(_table(spark, sf_dir, "pages"))
 
@@ -51,7 +56,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_ann, op2_simhash, op3_quality, op4_langid, op7_wrapper, op8_exact, op9_mixing, op10_packing)}
+    op1_ann, op2_simhash, op3_quality, op4_langid, op5_substring, op7_wrapper, op8_exact, op9_mixing, op10_packing)}
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
