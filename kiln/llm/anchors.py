@@ -126,12 +126,12 @@ class Units:
 
 
 def occurrences(units: Units, gram: int, window: int) -> tuple[np.ndarray, ...]:
-    """(text, gram hash, context hash, first window, last window) of every anchor occurrence.
+    """(text, gram hash, context hash, first window, last window, anchor) of every anchor occurrence.
 
-    Windows are numbered from their text's start.
+    Windows and the anchor's place are numbered from their text's start.
     """
     n, edges = len(units.values), units.edges
-    none = tuple(np.zeros(0, t) for t in (np.int64, _U, _U, np.int64, np.int64))
+    none = tuple(np.zeros(0, t) for t in (np.int64, _U, _U, np.int64, np.int64, np.int64))
     if n < window:
         return none
     rolling = Rolling(units.values)
@@ -151,7 +151,8 @@ def occurrences(units: Units, gram: int, window: int) -> tuple[np.ndarray, ...]:
     context = Rolling(units.values, 1).hash(lo, hi + window)
     with np.errstate(over="ignore"):
         context = mix(context + (p - lo).astype(_U) * _BASES[0])
-    return owner[first], grams[p], context, lo - edges[owner[first]], hi - edges[owner[first]]
+    begin = edges[owner[first]]
+    return owner[first], grams[p], context, lo - begin, hi - begin, p - begin
 
 
 def chunks(arr: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -177,23 +178,26 @@ def doc_id(doc: Column) -> Column:
     return F.when(doc != F.lit(-(1 << 63)), doc)
 
 
-_OCCURRENCE = "h long, ctx long, doc long, place long, span int"
+OCCURRENCE = "h long, ctx long, doc long, place long, span int"
 
 
 def anchor_rows(docs: DataFrame, gram: int, window: int, words: bool) -> DataFrame:
-    """Occurrences of ``docs``: gram and context hash, doc, place (first window and tie), span (windows more)."""
+    """Occurrences of ``docs``: gram and context hash, doc, place (first window and tie), span.
+
+    ``span`` holds how many windows follow the first (low 16 bits) and how far the anchor is from its start.
+    """
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc, tie = b.column(0).to_numpy(), b.column(1).to_numpy()
             for a, z, data, edges in chunks(b.column(2)):
-                text, h, ctx, lo, hi = occurrences(Units(data, edges, words), gram, window)
+                text, h, ctx, lo, hi, p = occurrences(Units(data, edges, words), gram, window)
                 if len(text):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(doc[a:z][text]),
-                         pa.array((lo << TIE_BITS) | tie[a:z][text]), pa.array((hi - lo).astype(np.int32))],
+                         pa.array((lo << TIE_BITS) | tie[a:z][text]), pa.array(((hi - lo) | (p - lo) << 16).astype(np.int32))],
                         names=["h", "ctx", "doc", "place", "span"])
 
-    return docs.mapInArrow(rows, _OCCURRENCE)
+    return docs.mapInArrow(rows, OCCURRENCE)
 
 
 _MARKED = ("h long, ctx long, doc long, place long, span int, repeated boolean, copies boolean, first boolean, "
@@ -367,7 +371,7 @@ def gathered(spans: DataFrame) -> DataFrame:
     """From rows (doc, place, span): per document the sorted list of (lo, hi) windows."""
     lo = F.shiftright("place", TIE_BITS)
     return spans.select("doc", F.col("place").bitwiseAND(F.lit((1 << TIE_BITS) - 1)).alias("tie"),
-                        lo.alias("lo"), (lo + F.col("span")).alias("hi"), *(c for c in spans.columns if c not in (
+                        lo.alias("lo"), (lo + F.col("span").bitwiseAND(0xFFFF)).alias("hi"), *(c for c in spans.columns if c not in (
                             "doc", "place", "span"))).groupBy("doc", "tie")
 
 

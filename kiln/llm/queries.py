@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kiln.llm import ann, exact, langid, mixing, packing, quality, simhash, substring, wrapper
+from kiln.llm import ann, exact, langid, mixing, packing, quality, simhash, substring, suffix, wrapper
 
 #: The tokenizer file of the packing contract, from the installed public files.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -39,6 +39,11 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(_table(spark, sf_dir, "documents"), window=200).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.extract_pages(_table(spark, sf_dir, "pages"))
 
@@ -56,7 +61,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_ann, op2_simhash, op3_quality, op4_langid, op5_substring, op7_wrapper, op8_exact, op9_mixing, op10_packing)}
+    op1_ann, op2_simhash, op3_quality, op4_langid, op5_substring, op6_suffix, op7_wrapper, op8_exact, op9_mixing, op10_packing)}
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.llm.anchors import (TIE_BITS, Rolling, Units, anchor_rows, covered, doc_id, gathered, keyed_documents, mark,
+from kiln.llm.anchors import (OCCURRENCE, TIE_BITS, Rolling, Units, anchor_rows, covered, doc_id, gathered, keyed_documents, mark,
                               unpack, with_spans)
 
 WINDOW = 20
@@ -74,8 +74,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     seeds = mark(anchor_rows(docs, gram, window, True), "seeds")
     leaders = seeds.filter("first AND several").select("doc", "place", "span").distinct()
     extended = with_spans(docs, _span_list(gathered(leaders)), "inner").select("doc", "tie", "blob", "spans")
-    windows = mark(extended.mapInArrow(lambda b: _windows(b, window), "h long, ctx long, doc long, place long, span int"),
-                   "windows")
+    windows = mark(extended.mapInArrow(lambda b: _windows(b, window), OCCURRENCE), "windows")
     repeats = lambda t: t.filter("repeated").select("doc", "place", "span")
     return repeats(seeds).unionByName(repeats(windows))
 
