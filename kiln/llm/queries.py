@@ -66,6 +66,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {
+    # runs at the scale of the correctness check; on larger tables the windows are too many for one process
+    "op5_substring": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+word AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i,
+                unnest(list_transform(range(1, len(ws) + 1), lambda p: CASE WHEN p + 19 <= len(ws) THEN
+                       array_to_string(ws[p:p + 19], ' ') END)) AS win FROM w),
+start AS (SELECT *, win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1 AS again FROM word),
+cover AS (SELECT doc_id, i, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS 19 PRECEDING) AS gone FROM start),
+kept AS (SELECT doc_id, count(*) FILTER (gone) AS n, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS t
+         FROM cover GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+""",
+    "op6_suffix": r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+place AS (SELECT doc_id, unnest(range(1, octet_length(b) + 1)) AS i, b FROM d),
+win AS (SELECT doc_id, i, CASE WHEN i + 199 <= octet_length(b) THEN md5(b[i:i + 199]) END AS h FROM place),
+start AS (SELECT doc_id, i, h IS NOT NULL AND count(*) OVER (PARTITION BY h) > 1 AS again FROM win),
+cover AS (SELECT doc_id, i, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS 199 PRECEDING) AS gone FROM start),
+turn AS (SELECT *, gone IS DISTINCT FROM lag(gone) OVER (PARTITION BY doc_id ORDER BY i) AS new FROM cover),
+run AS (SELECT *, count(*) FILTER (new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS r FROM turn),
+span AS (SELECT doc_id, r, gone, min(i) AS a, max(i) AS z FROM run GROUP BY ALL),
+total AS (SELECT doc_id, sum(z - a + 1) FILTER (gone) AS n, count(*) FILTER (gone) AS spans,
+                 string_agg(hex(b[a:z]), '' ORDER BY a) FILTER (NOT gone) AS t
+          FROM span JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(unhex(coalesce(t, ''))) AS kept_sha256
+FROM d LEFT JOIN total USING (doc_id)
+""",
     "op8_exact": f"""
 WITH d AS (SELECT doc_id, {_NORM} AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,

@@ -3,9 +3,9 @@
 Pages are grouped by host. In each group the trees of the first ``EXAMPLES``
 different pages (in hash order) are aligned by simple tree matching: two nodes
 match if their labels agree, and the children of matched nodes are paired, in
-order, so that most nodes match. A text node that is matched in every example and
-always says the same is template; text that varies is a content slot. A page's
-tree is then aligned with the wrapper: text in template nodes goes, and the
+order, so that most nodes match. A block that is matched in every example and
+whose own text (inline elements included) is always the same is template; text
+that varies is a content slot. A page's tree is then aligned with the wrapper: text in template blocks goes, and the
 content lies in the page's article (or main) element, or else in the smallest
 region of the wrapper that holds nearly all varying text. Inside it, regions whose
 element, role or name marks them as menu, header, footer, sidebar, notice, advert,
@@ -148,9 +148,24 @@ def _elements(node: Node) -> list[Node]:
     return [c for c in node.children if c.__class__ is Node]
 
 
-def own_text(node: Node) -> str:
-    """The text directly in a node, without that of its elements."""
-    return " ".join(" ".join(c for c in node.children if c.__class__ is str).split())
+def block_text(node: Node) -> str:
+    """A block's own text: its strings and those of its inline elements, without the blocks inside."""
+    parts: list[str] = []
+
+    def add(n: Node) -> None:
+        for c in n.children:
+            if c.__class__ is str:
+                parts.append(c)
+            elif c.tag not in BLOCK and not c.noise:
+                add(c)
+
+    add(node)
+    return " ".join("".join(parts).split())
+
+
+def _blocks(node: Node) -> list[Node]:
+    """The node itself and all blocks below it."""
+    return [n for n in _walk(node) if n is node or n.tag in BLOCK]
 
 
 def match_trees(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
@@ -203,10 +218,11 @@ class Wrapper:
         seen: dict[int, list[str]] = {}
         for other in examples[1:]:
             for a, b in match_trees(self.base, other)[1]:
-                seen.setdefault(id(a), []).append(own_text(b))
+                if a.tag in BLOCK:
+                    seen.setdefault(id(a), []).append(block_text(b))
         varying: dict[int, int] = {}
-        for node in _walk(self.base):
-            text, others = own_text(node), seen.get(id(node), [])
+        for node in _blocks(self.base):
+            text, others = block_text(node), seen.get(id(node), [])
             if text and len(others) == len(examples) - 1 and all(t == text for t in others):
                 self.template[id(node)] = text
             else:
@@ -230,11 +246,11 @@ class Wrapper:
             path.append(node.label)
 
     def template_nodes(self, page: Node) -> set[int]:
-        """Nodes of a page that match template nodes and say the same."""
+        """Blocks of a page that match template blocks and say the same."""
         if not self.template:
             return set()
         return {id(b) for a, b in match_trees(self.base, page)[1]
-                if id(a) in self.template and own_text(b) == self.template[id(a)]}
+                if id(a) in self.template and block_text(b) == self.template[id(a)]}
 
     def content(self, page: Node) -> list[Node]:
         """The page's content regions."""
@@ -276,27 +292,27 @@ def _outermost(node: Node, tag: str) -> list[Node]:
 def _text(regions: list[Node], template: set[int]) -> str:
     parts: list[str] = []
 
-    def add(node: Node, headings_only: bool) -> None:
-        dropped = id(node) in template
+    def add(node: Node, headings_only: bool, dropped: bool) -> None:
         for c in node.children:
             if c.__class__ is str:
                 if not dropped and not headings_only:
                     parts.append(c)
                 continue
             block = c.tag in BLOCK
+            gone = id(c) in template if block else dropped  # inline elements go with their block
             if block:
                 parts.append(" ")
             if c.noise:
                 if c.tag == "header":  # the article's own header: its headings belong to the text
-                    add(c, True)
+                    add(c, True, gone)
             else:
-                add(c, headings_only and c.tag not in HEADINGS)
+                add(c, headings_only and c.tag not in HEADINGS, gone)
             if block:
                 parts.append(" ")
 
     for r in regions:
         parts.append(" ")
-        add(r, False)
+        add(r, False, id(r) in template)
     return " ".join("".join(parts).split())
 
 
