@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kiln.llm import exact, langid, mixing, packing, simhash
 from kiln.llm.common import stage
-from kiln.llm.queries import TOKENIZER
+from kiln.llm.queries import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their sequence and place in it."""
-    return packing.pack_documents(docs, TOKENIZER)
+    return packing.pack_documents(docs, tokenizer_path())
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup),

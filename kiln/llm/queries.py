@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kiln.llm import ann, exact, langid, mixing, packing, quality, simhash, substring, suffix, wrapper
 
-#: The tokenizer file of the packing contract, from the installed public files.
-TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+def tokenizer_path() -> str:
+    """The tokenizer file of the packing contract, from the installed public files."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,7 +59,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), TOKENIZER)
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (

@@ -8,10 +8,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kiln.llm import mixing, packing, queries, wrapper
+from kiln.llm import mixing, packing, wrapper
+from kiln.llm.queries import tokenizer_path
 from tests.llm import brute
 from tests.llm.conftest import SCHEMA, row
 
+TOKENIZER = tokenizer_path()
+
 
 def sizes(df):
     return {r.doc_id: len(brute.WORD.findall(r.text or "")) for r in df.select("doc_id", "text").collect()}
@@ -90,7 +93,7 @@ def test_best_fit_equals_one_by_one():
 
 def test_encoder_equals_the_tokenizer(sample):
     from tokenizers import Tokenizer
-    whole, own = Tokenizer.from_file(queries.TOKENIZER), packing.Encoder(queries.TOKENIZER)
+    whole, own = Tokenizer.from_file(TOKENIZER), packing.Encoder(TOKENIZER)
     texts = [r.text for r in sample.collect()] + [
         "", " ", "\n\n  x\t\ty  ", "it's we'll I'd 12ab34 ... ÀÉß ŉ", "nbsp here   zero​width", "日本語 текст 🙂",
         "<|endoftext|> inside", "\x1c\x1d x\x85y", "don’t “quote” – dash… «a»", "a" * 5000, "  leading", "trailing  ", "º ª ² ¼"]
@@ -103,8 +106,8 @@ def test_encoder_equals_the_tokenizer(sample):
 def test_packing(which, request):
     from tokenizers import Tokenizer
     df = request.getfixturevalue(which)
-    whole = Tokenizer.from_file(queries.TOKENIZER)
-    rows = packing.pack_documents(df, queries.TOKENIZER).collect()
+    whole = Tokenizer.from_file(TOKENIZER)
+    rows = packing.pack_documents(df, TOKENIZER).collect()
     pieces = {}
     for r in rows:
         pieces.setdefault(r.doc_id, []).append(r)
@@ -134,7 +137,7 @@ def test_packing(which, request):
 
 def test_packing_repeated_rows_and_null_ids(spark):
     df = spark.createDataFrame([row(1, "a b")] * 5 + [row(None, None), row(None, "x")], SCHEMA)
-    got = packing.pack_documents(df, queries.TOKENIZER).collect()
+    got = packing.pack_documents(df, TOKENIZER).collect()
     assert len(got) == 7 and len({(r.sequence_id, r.offset) for r in got}) == 7 and {r.sequence_id for r in got} == {0}
 
 

@@ -116,6 +116,13 @@ def test_kneser_ney_sums_to_one(spark):
     assert models[0].logp(seen)[0] > models[1].logp(seen)[0]
 
 
+def test_hashes_are_those_of_spark(spark):
+    keys = np.array([0, 1, 2**63, 2**64 - 1, 123456789012345], np.uint64)
+    df = spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "k long")
+    want = [r[0] for r in df.select(F.shiftrightunsigned(F.xxhash64("k"), 64 - langid.HASH_BITS)).collect()]
+    assert langid.hash_keys(keys).tolist() == want
+
+
 def test_language_id_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     got = langid.identify_documents(docs).toPandas()
