@@ -7,7 +7,9 @@ cast and division uses its ``try_`` form.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,30 +17,34 @@ from pyspark.sql import types as T
 # Text that a permissive numeric parser accepts after trimming: sign, digits
 # with an optional dot, optional exponent, or an infinity literal.
 NUMERIC_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(?i:inf|infinity)$"
-# Datetime formats tried in order (Spark pattern, strptime pattern). Month
-# comes before day, as in the reference's default parser.
-DATETIME_FORMATS: tuple[tuple[str, str], ...] = (
-    ("yyyy-MM-dd", "%Y-%m-%d"),
-    ("yyyy-MM-dd H:mm:ss", "%Y-%m-%d %H:%M:%S"),
-    ("yyyy-MM-dd H:mm", "%Y-%m-%d %H:%M"),
-    ("yyyy-MM-dd'T'H:mm:ss", "%Y-%m-%dT%H:%M:%S"),
-    ("yyyy/M/d", "%Y/%m/%d"),
-    ("M/d/yyyy", "%m/%d/%Y"),
-    ("M/d/yyyy H:mm", "%m/%d/%Y %H:%M"),
-    ("M/d/yyyy H:mm:ss", "%m/%d/%Y %H:%M:%S"),
+# Families of datetime formats (Spark pattern with optional parts) and the shape of their values: a value
+# is only handed to the parser of a family whose shape it has. Month comes before day; day first is the fallback.
+_TIME = r"\d{1,2}:\d{2}"
+DATETIME_FAMILIES: tuple[tuple[str, str], ...] = (
+    ("yyyy-MM-dd[ H:mm[:ss[.SSSSSS]]]['T'H:mm:ss[.SSSSSS][XXX]]",
+     rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}( {_TIME}(:\d{{2}}(\.\d{{1,6}})?)?|T{_TIME}:\d{{2}}(\.\d{{1,6}})?(Z|[+-]\d{{2}}:\d{{2}})?)?$"),
+    ("yyyy/M/d", r"^\d{4}/\d{1,2}/\d{1,2}$"),
+    ("M/d/yyyy[ H:mm[:ss]]", rf"^\d{{1,2}}/\d{{1,2}}/\d{{4}}( {_TIME}(:\d{{2}})?)?$"),
+    ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("M/d/yy", r"^\d{1,2}/\d{1,2}/\d{2}$"),
+    ("M-d-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
+    ("yyyyMMdd", r"^\d{8}$"),
+    ("yyyy-MM", r"^\d{4}-\d{2}$"),
+    ("[d MMM yyyy][d MMMM yyyy]", r"^\d{1,2} [A-Z][a-z]{2,8} \d{4}$"),
+    ("[MMM d, yyyy][MMMM d, yyyy]", r"^[A-Z][a-z]{2,8} \d{1,2}, \d{4}$"),
 )
-# The shape of each format above, in the same order: a value is only handed to
-# the parser of a format whose shape it has (usually exactly one).
-FORMAT_SHAPES: tuple[str, ...] = (
-    r"^\d{4}-\d{1,2}-\d{1,2}$",
-    r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}$",
-    r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}$",
-    r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{2}:\d{2}$",
-    r"^\d{4}/\d{1,2}/\d{1,2}$",
-    r"^\d{1,2}/\d{1,2}/\d{4}$",
-    r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$",
-    r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$",
+# Single formats, as shapes of masks (digits are 9, capitals A except T and Z, small letters a): a column is
+# datetime-like when one of them carries it. m and d mark slashed dates whose first or second number can be a month.
+_DAY, _MASK_TIME, _ZONE = r"9{4}-9{1,2}-9{1,2}", r"9{1,2}:99", r"(Z|[+-]99:99)"
+_MASK_TIMES = ("", f" {_MASK_TIME}:99", f" {_MASK_TIME}", f"T{_MASK_TIME}:99", f" {_MASK_TIME}:99\\.9{{1,6}}",
+               f"T{_MASK_TIME}:99\\.9{{1,6}}", f"T{_MASK_TIME}:99{_ZONE}", f"T{_MASK_TIME}:99\\.9{{1,6}}{_ZONE}")
+DATETIME_MASKS: tuple[str, ...] = (
+    *(_DAY + t for t in _MASK_TIMES), r"9{4}/9{1,2}/9{1,2}", r"9{1,2}/9{1,2}/9{4}m.*", rf"9{{1,2}}/9{{1,2}}/9{{4}} {_MASK_TIME}m.*",
+    rf"9{{1,2}}/9{{1,2}}/9{{4}} {_MASK_TIME}:99m.*", r"9{1,2}/9{1,2}/9{4}m?d", r"9{1,2} Aaa 9{4}", r"9{1,2} Aa{3,8} 9{4}",
+    r"Aaa 9{1,2}, 9{4}", r"Aa{3,8} 9{1,2}, 9{4}", r"9{1,2}-9{1,2}-9{4}", r"9{8}", r"9{1,2}/9{1,2}/9{2}", r"9{4}-9{2}",
 )
+LONGEST_DATETIME = 40
+LAST_SHORT_YEAR = 2068  # two-digit years go up to it; later ones belong to the century before
 # The characters Python's str.strip() removes (str.isspace()), in code point order.
 WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
               "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
@@ -52,12 +58,8 @@ TIMESTAMP_TYPES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
 
 def col(name: str) -> Column:
-    """Column by exact name (names may hold dots or spaces)."""
-    return F.col(f"`{name}`")
-
-
-def dtype_of(df: DataFrame, name: str) -> T.DataType:
-    return df.schema[name].dataType
+    """Column by exact name (names may hold dots, spaces or backticks)."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def is_numeric_type(dt: T.DataType) -> bool:
@@ -73,6 +75,10 @@ def is_integral_type(dt: T.DataType) -> bool:
     return isinstance(dt, INTEGRAL_TYPES)
 
 
+def is_double_type(dt: T.DataType) -> bool:
+    return isinstance(dt, (T.FloatType, T.DoubleType))
+
+
 def is_string_type(dt: T.DataType) -> bool:
     return isinstance(dt, T.StringType)
 
@@ -81,10 +87,6 @@ def is_timestamp_type(dt: T.DataType) -> bool:
     return isinstance(dt, TIMESTAMP_TYPES)
 
 
-def is_atomic(dt: T.DataType) -> bool:
-    return not isinstance(dt, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))
-
-
 def strip(c: Column) -> Column:
     """Python ``str.strip``: removes its whitespace characters at both ends (linear ``trim``)."""
     return F.trim(c, F.lit(WHITESPACE))
@@ -114,18 +116,31 @@ def parse_timestamp(c: Column, dt: T.DataType) -> Column:
         return c.cast("timestamp_ntz")
     if not is_string_type(dt):
         return F.lit(None).cast("timestamp_ntz")
-    return F.coalesce(*format_parses(strip(c))).cast("timestamp_ntz")
+    s = strip(c)
+    short = F.when(F.length(s) <= LONGEST_DATETIME, s)
+    return F.coalesce(*[F.when(short.rlike(shape), _parse(s, fmt)) for fmt, shape in DATETIME_FAMILIES]).cast("timestamp_ntz")
+
 
+def datetime_mask(s: Column, parsed: Column) -> Column:
+    """The form of a stripped text that parsed as a timestamp: a few characters that say its format."""
+    capitals = "ABCDEFGHIJKLMNOPQRSUVWXY"
+    form = F.translate(s, "0123456789" + capitals + "abcdefghijklmnopqrstuvwxyz", "9" * 10 + "A" * len(capitals) + "a" * 26)
+    month = r"(0?[1-9]|1[0-2])"
+    marks = F.concat(F.when(s.rlike(rf"^{month}/\d{{1,2}}/\d{{4}}"), "m").otherwise(""),
+                     F.when(s.rlike(rf"^\d{{1,2}}/{month}/\d{{4}}$"), "d").otherwise(""))
+    return F.when(parsed.isNotNull(), F.concat(form, marks))
 
-def format_parses(s: Column) -> list[Column]:
-    """One parse attempt per known format, each guarded by that format's shape."""
-    return [F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(fmt)))
-            for (fmt, _), shape in zip(DATETIME_FORMATS, FORMAT_SHAPES)]
 
+def mask_formats(mask: str) -> list[int]:
+    """Numbers of the single formats that a mask has."""
+    return [k for k, shape in enumerate(DATETIME_MASKS) if re.fullmatch(shape, mask)]
 
-def best_single_format_ratio(c: Column, dt: T.DataType) -> list[Column]:
-    """Per-format parse indicators (one consistent format must carry a column)."""
-    return [F.coalesce(p.isNotNull(), F.lit(False)) for p in format_parses(strip(c))]
+
+def _parse(s: Column, fmt: str) -> Column:
+    t = F.try_to_timestamp(s, F.lit(fmt))
+    if fmt.endswith("/yy"):
+        return F.when(F.year(t) > LAST_SHORT_YEAR, t - F.expr("INTERVAL 100 YEAR")).otherwise(t)
+    return t
 
 
 def as_text(c: Column, dt: T.DataType) -> Column:
@@ -135,12 +150,6 @@ def as_text(c: Column, dt: T.DataType) -> Column:
     return c.cast("string")
 
 
-def skew_g1(n: Column, pop_skew: Column) -> Column:
-    """Bias-corrected sample skewness G1 from Spark's population skewness."""
-    nd = n.cast("double")
-    return F.when(nd >= 3, pop_skew * F.sqrt(nd * (nd - 1)) / (nd - 2))
-
-
 def word_count(c: Column) -> Column:
     """Whitespace tokens after strip; null and empty text count 0."""
     s = strip(F.coalesce(c, F.lit("")))

@@ -9,6 +9,8 @@ records, never data rows.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -26,11 +28,12 @@ from kiln.functions.exprs import (
 from kiln.operators.quality import (
     _orderable,
     constant_columns,
-    datetime_like_ratio,
     duplicate_column_map,
     iqr_bounds,
+    outlier_mask,
+    text_ratios,
 )
-from kiln.operators.stats import missing
+from kiln.operators.stats import numeric_view
 
 # ---- fixed values: thresholds ----------------------------------------------
 NUMERIC_CONVERT_RATIO = 0.95
@@ -46,15 +49,13 @@ class LogEntry:
     operation: str
     column: str | None = None
     details: dict[str, Any] = field(default_factory=dict)
-    message: str = ""
 
 
-LOG_SCHEMA = "operation string, column string, details map<string,string>, message string"
+LOG_SCHEMA = "operation string, column string, details map<string,string>"
 
 
 def log_frame(spark, log: list[LogEntry]) -> DataFrame:
-    rows = [(e.operation, e.column, {k: str(v) for k, v in e.details.items()}, e.message)
-            for e in log]
+    rows = [(e.operation, e.column, {k: str(v) for k, v in e.details.items()}) for e in log]
     return spark.createDataFrame(rows, LOG_SCHEMA)
 
 
@@ -72,8 +73,8 @@ def normalize_empty_strings(df: DataFrame) -> tuple[DataFrame, list[LogEntry]]:
     blank = {c: col(c).isNotNull() & (strip(col(c)) == "") for c in texts}
     row = df.agg(*[F.count_if(blank[c]).alias(f"b{i}") for i, c in enumerate(texts)]).first()
     hit = {c: int(row[f"b{i}"]) for i, c in enumerate(texts) if row[f"b{i}"]}
-    log = [LogEntry("empty_string_normalization", c, {"empty_strings_converted": n},
-                    f"Converted {n} empty/whitespace string(s) to missing.") for c, n in hit.items()]
+    log = [LogEntry("empty_string_normalization", c, {"empty_strings_converted": n})
+           for c, n in hit.items()]
     updates = {c: F.when(~blank[c], col(c)) for c in hit}
     return _replace(df, updates), log
 
@@ -86,33 +87,17 @@ def convert_types(df: DataFrame, numeric_ratio: float = NUMERIC_CONVERT_RATIO,
     texts = [c for c in df.columns if is_string_type(df.schema[c].dataType)]
     if not texts:
         return df, []
-    aggs = []
-    for i, c in enumerate(texts):
-        dt = df.schema[c].dataType
-        aggs += [F.count(col(c)).alias(f"n{i}"),
-                 F.count(parse_number(col(c), dt)).alias(f"p{i}"),
-                 F.count(parse_timestamp(col(c), dt)).alias(f"t{i}"),
-                 datetime_like_ratio(df, c).alias(f"d{i}")]
-    row = df.agg(*aggs).first()
     updates, log = {}, []
-    for i, c in enumerate(texts):
-        n = row[f"n{i}"]
-        if not n:
-            continue
+    for c, r in text_ratios(df, texts).items():
         dt = df.schema[c].dataType
-        r_num = row[f"p{i}"] / n
-        if r_num >= numeric_ratio:
+        numeric = r.share(r.numbers)
+        if r.values and numeric >= numeric_ratio:
             updates[c] = parse_number(col(c), dt)
-            log.append(LogEntry("dtype_conversion", c,
-                                {"old_dtype": "string", "new_dtype": "double",
-                                 "conversion_ratio": round(r_num, 4)},
-                                f"Converted '{c}' from string to numeric."))
-            continue
-        if row[f"d{i}"] >= DATETIME_LIKE_RATIO and row[f"t{i}"] / n >= datetime_ratio:
+            log.append(LogEntry("dtype_conversion", c, {"old_dtype": "string", "new_dtype": "double",
+                                                        "conversion_ratio": round(numeric, 4)}))
+        elif r.values and r.datetime_like >= DATETIME_LIKE_RATIO and r.share(r.timestamps) >= datetime_ratio:
             updates[c] = parse_timestamp(col(c), dt)
-            log.append(LogEntry("dtype_conversion", c,
-                                {"old_dtype": "string", "new_dtype": "timestamp"},
-                                f"Converted '{c}' from string to datetime."))
+            log.append(LogEntry("dtype_conversion", c, {"old_dtype": "string", "new_dtype": "timestamp"}))
     return _replace(df, updates), log
 
 
@@ -160,8 +145,7 @@ def null_domain_invalid(df: DataFrame, keep_flags: bool = False) -> tuple[DataFr
         flags.append(masks[c].alias(c + INVALID_FLAG))
         log.append(LogEntry("invalid_value_handling", c,
                             {"issue_type": issue, "before_invalid": n, "after_invalid": 0,
-                             "action": "convert_to_missing"},
-                            f"Domain-invalid values in '{c}' ({issue}): {n} value(s) converted to missing."))
+                             "action": "convert_to_missing"}))
     out = df.select(*[updates[c].alias(c) if c in updates else col(c) for c in df.columns],
                     *(flags if keep_flags else []))
     return out, log
@@ -171,9 +155,7 @@ def null_domain_invalid(df: DataFrame, keep_flags: bool = False) -> tuple[DataFr
 def drop_duplicate_columns(df: DataFrame, remove: bool = True) -> tuple[DataFrame, list[LogEntry]]:
     dup_of = duplicate_column_map(df)
     op = "duplicate_column_removal" if remove else "duplicate_column_retained"
-    log = [LogEntry(op, d, {"duplicate_of": o, "similarity": 100.0},
-                    f"{'Removed' if remove else 'Retained'} duplicate column '{d}' (identical to '{o}').")
-           for d, o in dup_of.items()]
+    log = [LogEntry(op, d, {"duplicate_of": o, "similarity": 100.0}) for d, o in dup_of.items()]
     return (df.drop(*dup_of.keys()) if remove and dup_of else df), log
 
 
@@ -183,20 +165,20 @@ def drop_constant_columns(df: DataFrame, remove: bool = False) -> tuple[DataFram
     if not consts:
         return df, []
     if remove:
-        return df.drop(*consts), [LogEntry("constant_column_removal", None,
-                                           {"columns_removed": consts}, "Removed constant columns.")]
-    return df, [LogEntry("constant_columns_retained", None, {"columns": consts},
-                         "Constant columns retained.")]
+        return df.drop(*consts), [LogEntry("constant_column_removal", None, {"columns_removed": consts})]
+    return df, [LogEntry("constant_columns_retained", None, {"columns": consts})]
 
 
 # ------------------------------------------------------------------- PIP-5
 def drop_duplicate_rows(df: DataFrame) -> tuple[DataFrame, list[LogEntry]]:
     """Exact duplicate rows removed (one shuffle on all columns, map-side dedup)."""
-    return df.dropDuplicates(), [LogEntry("duplicate_row_removal", None, {}, "Duplicate rows removed.")]
+    return df.dropDuplicates(), [LogEntry("duplicate_row_removal")]
 
 
 # --------------------------------------------------------- PRJ-5, FLT-1/2
-_OUTLIER_OPS = {"flag": "flagged", "clip": "clipping", "remove": "removal_planned"}
+# log codes of the three strategies
+OUTLIER_OPERATIONS = {"flag": "outliers_flagged", "clip": "outliers_clipped", "remove": "outliers_marked_for_removal"}
+
 
 def handle_outliers(df: DataFrame, strategy: str = "flag", exact: bool = True,
                     add_flag_columns: bool = False) -> tuple[DataFrame, list[LogEntry]]:
@@ -209,18 +191,19 @@ def handle_outliers(df: DataFrame, strategy: str = "flag", exact: bool = True,
     bounds = iqr_bounds(df, coerce=False, exact=exact, names=names)
     if not bounds:
         return df, []
-    masks = {c: F.coalesce((col(c) < F.lit(lo)) | (col(c) > F.lit(hi)), F.lit(False))
-             for c, (lo, hi) in bounds.items()}
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.count_if(m).alias(f"o{i}") for i, m in enumerate(masks.values())]
-    row = df.agg(*aggs).first()
+    # NaN is missing, not an outlier; booleans count as 0 and 1
+    masks = {c: outlier_mask(df, c, lo, hi) for c, (lo, hi) in bounds.items()}
+    anywhere = reduce(or_, masks.values())
+    aggs = [F.count(F.lit(1)).alias("n"), F.count_if(anywhere).alias("rows")]
+    row = df.agg(*aggs, *[F.count_if(m).alias(f"o{i}") for i, m in enumerate(masks.values())]).first()
     n = int(row["n"])
     hit = {c: int(row[f"o{i}"]) for i, c in enumerate(masks) if row[f"o{i}"]}
     log = []
     for c, k in hit.items():
         lo, hi = bounds[c]
-        log.append(LogEntry("statistical_outlier_" + _OUTLIER_OPS[strategy], c, {"outlier_count": k, "outlier_percentage": round(k * 100.0 / n, 2),
-                                "lower_bound": round(lo, 4), "upper_bound": round(hi, 4),
-                                "strategy": strategy}, f"{k} outlier(s) in '{c}'."))
+        log.append(LogEntry(OUTLIER_OPERATIONS[strategy], c, {
+            "outlier_count": k, "outlier_percentage": round(k * 100.0 / n, 2),
+            "lower_bound": round(lo, 4), "upper_bound": round(hi, 4), "strategy": strategy}))
     if strategy == "flag":
         if add_flag_columns:
             return df.select("*", *[masks[c].alias(c + "__is_outlier") for c in hit]), log
@@ -229,30 +212,17 @@ def handle_outliers(df: DataFrame, strategy: str = "flag", exact: bool = True,
         updates = {}
         for c in hit:
             lo, hi = bounds[c]
-            v = col(c).cast("double")
-            updates[c] = F.when(v < lo, F.lit(lo)).when(v > hi, F.lit(hi)).otherwise(v)
+            v = numeric_view(df, c)
+            updates[c] = F.when(v < lo, F.lit(lo)).when(v > hi, F.lit(hi)).otherwise(col(c).cast("double"))
         return _replace(df, updates), log
     if strategy == "remove":
         if not hit:
             return df, log
-        any_out = None
-        for c in hit:
-            any_out = masks[c] if any_out is None else (any_out | masks[c])
-        return df.where(~any_out), log
+        log.append(LogEntry("outlier_rows_removed", None, {"rows_removed": int(row["rows"])}))
+        return df.where(~anywhere), log
     raise ValueError(f"unknown outlier strategy {strategy!r}")
 
 
-# --------------------------------------------------------------------- PRJ-8
-def high_missing_plan(df: DataFrame, threshold: float = 0.70) -> dict[str, float]:
-    """Missing ratio of columns strictly above the threshold."""
-    row = df.agg(F.count(F.lit(1)).alias("n"),
-                 *[F.count_if(missing(df, c)).alias(f"m{i}") for i, c in enumerate(df.columns)]).first()
-    n = row["n"]
-    if not n:
-        return {}
-    return {c: row[f"m{i}"] / n for i, c in enumerate(df.columns) if row[f"m{i}"] / n > threshold}
-
-
 # -------------------------------------------------------------------- PRJ-11
 def change_samples(df: DataFrame, before: str, after: str, key: str | list[str],
                    n: int = MAX_CHANGE_SAMPLES) -> DataFrame:

@@ -18,11 +18,10 @@ from pyspark.sql import types as T
 
 from kiln.functions import names as N
 from kiln.functions.exprs import (
+    is_double_type,
     is_integral_type,
     round_value,
     BOOLEAN_LITERALS,
-    DATETIME_FORMATS,
-    format_parses,
     NUMERIC_TEXT,
     as_text,
     col,
@@ -31,8 +30,8 @@ from kiln.functions.exprs import (
     is_timestamp_type,
     strip,
 )
-from kiln.operators.quality import _orderable
-from kiln.operators.stats import distinct_counts, missing
+from kiln.operators.quality import _orderable, text_ratios
+from kiln.operators.stats import distinct_counts, missing, numeric_view
 
 # ---- fixed values: thresholds ----------------------------------------------
 LOW_CARDINALITY_MAX = 10
@@ -79,7 +78,6 @@ def column_facts(df: DataFrame, names: list[str] | None = None) -> dict[str, Col
         if is_string_type(dt):
             sv = strip(v)
             proj_cols += [sv.alias(f"s{i}")]
-            proj_cols += [p.isNotNull().alias(f"fp{i}_{k}") for k, p in enumerate(format_parses(sv))]
         elif not is_timestamp_type(dt):
             # boolean literal test without a text copy per cell: integral 0/1 render as
             # "0"/"1"; fractional numbers render as "0.0"/"1.0", which are not literals
@@ -101,8 +99,6 @@ def column_facts(df: DataFrame, names: list[str] | None = None) -> dict[str, Col
             # literals are <= 5 characters: longer text is never lower-cased
             short_lit = (F.length(sv) <= MAX_LITERAL_LEN) & F.lower(sv).isin(*BOOLEAN_LITERALS)
             aggs.append(F.coalesce(F.bool_and(F.when(v.isNotNull(), short_lit)), F.lit(False)).alias(f"b{i}"))
-            ratios = [F.count_if(F.col(f"fp{i}_{k}")) / F.count(v) for k in range(len(DATETIME_FORMATS))]
-            aggs.append(F.when(F.count(v) > 0, F.greatest(*ratios)).otherwise(F.lit(0.0)).alias(f"dt{i}"))
             aggs += [F.count_if(sv.rlike(NUMERIC_TEXT) & sv.try_cast("double").isNotNull()).alias(f"p{i}"),
                      F.avg(F.length(v)).alias(f"l{i}"),
                      F.count_if(sv.rlike(N.EMAIL_VALUE)).alias(f"e{i}")]
@@ -116,6 +112,8 @@ def column_facts(df: DataFrame, names: list[str] | None = None) -> dict[str, Col
             aggs.append(F.count_if(F.abs(x - r) > F.lit(1e-8) + F.lit(1e-5) * F.abs(r)).alias(f"f{i}"))
     row = proj.agg(*aggs).first().asDict()
     dist = distinct_counts(df, names)
+    texts = text_ratios(df, [c for c in names if is_string_type(df.schema[c].dataType)])
+    row |= {f"dt{i}": texts[c].datetime_like for i, c in enumerate(names) if c in texts}
     n = int(row["n"])
     facts: dict[str, ColumnFacts] = {}
     for i, c in enumerate(names):
@@ -160,8 +158,10 @@ def _sequential(df: DataFrame, facts: dict[str, ColumnFacts]) -> None:
         if not (is_numeric_type(f.dtype) and f.integer_like and f.non_null >= 3
                 and f.distinct >= max(10, int(0.9 * f.n_rows)) and f.uniqueness >= HIGH_UNIQUENESS_RATIO):
             continue
-        vals = df.select(col(f.name).cast("double").alias("v")).where(F.col("v").isNotNull()).distinct()
-        nxt = vals.select((F.col("v") - 1).alias("v"))
+        # whole numbers keep their value (doubles merge them beyond 2^53)
+        exact = numeric_view(df, f.name) if is_double_type(f.dtype) else col(f.name).cast("decimal(38,0)")
+        vals = df.select(exact.alias("v")).where(F.col("v").isNotNull()).distinct()
+        nxt = vals.select((F.col("v") - 1).cast(vals.schema["v"].dataType).alias("v"))
         d1 = vals.join(nxt, "v", "left_semi").count()  # distinct v with v+1 present
         d0 = f.non_null - f.distinct
         m = f.non_null - 1

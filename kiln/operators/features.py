@@ -13,11 +13,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kiln.functions import names as N
+from kiln.functions.pairs import DATE_RULES, RATIO_RULES, matching
 from kiln.functions.exprs import (
     round_value,
     pyround,
@@ -31,8 +31,9 @@ from kiln.functions.exprs import (
     word_count,
 )
 from kiln.operators.detect import column_facts, feature_type, is_identifier, text_kind
-from kiln.operators.quality import datetime_like_ratio
+from kiln.operators.quality import text_ratios
 from kiln.operators.stats import missing, numeric_stats
+from kiln.session import staged
 
 # ---- fixed values: thresholds ----------------------------------------------
 DATE_HINT_PARSE_RATIO = 0.5
@@ -71,9 +72,9 @@ def _admit(df: DataFrame, cands: list[tuple[str, Column, dict]], selected: set[s
     keep = []
     for name, expr, meta in cands:
         if selected is not None and name not in selected:
-            rep.skipped.append({"feature": name, "source": meta.get("source"), "reason": "Not selected by user."})
+            rep.skipped.append({"feature": name, "source": meta.get("source"), "reason": "not_selected"})
         elif name in df.columns:
-            rep.skipped.append({"feature": name, "source": meta.get("source"), "reason": "Feature already exists."})
+            rep.skipped.append({"feature": name, "source": meta.get("source"), "reason": "already_exists"})
         else:
             keep.append((name, expr, meta))
     if not keep:
@@ -87,7 +88,7 @@ def _admit(df: DataFrame, cands: list[tuple[str, Column, dict]], selected: set[s
             rep.generated.append({"feature": name, **meta})
         else:
             rep.skipped.append({"feature": name, "source": meta.get("source"),
-                                "reason": "Candidate feature would be constant."})
+                                "reason": "constant"})
     return df.select("*", *added) if added else df
 
 
@@ -96,41 +97,18 @@ def datetime_columns(df: DataFrame) -> list[str]:
     """Timestamp dtype, datetime-like text, or a date-ish name with >= 50 % parse."""
     texts = [c for c in df.columns if is_string_type(df.schema[c].dataType)]
     out = [c for c in df.columns if is_timestamp_type(df.schema[c].dataType)]
-    if texts:
-        aggs = []
-        for i, c in enumerate(texts):
-            dt = df.schema[c].dataType
-            aggs += [datetime_like_ratio(df, c).alias(f"d{i}"),
-                     (F.count(parse_timestamp(col(c), dt)) / F.count(col(c))).alias(f"p{i}")]
-        row = df.agg(*aggs).first()
-        for i, c in enumerate(texts):
-            if (row[f"d{i}"] or 0) >= DATETIME_LIKE_RATIO:
-                out.append(c)
-            elif N.matches(N.DATE_HINT, c) and (row[f"p{i}"] or 0) >= DATE_HINT_PARSE_RATIO:
-                out.append(c)
+    for c, r in text_ratios(df, texts).items():
+        hinted = N.matches(N.DATE_HINT, c) and r.share(r.timestamps) >= DATE_HINT_PARSE_RATIO
+        if r.values and (hinted or r.datetime_like >= DATETIME_LIKE_RATIO):
+            out.append(c)
     order = {c: i for i, c in enumerate(df.columns)}
     return sorted(out, key=order.get)
 
 
 def date_pairs(cols: list[str], explicit: list[tuple[str, str, str]] | None = None) -> list[tuple[str, str, str]]:
-    """Meaningful pairs by name (start x end, order x delivery, birth x reference), then explicit ones."""
-    pairs = []
-    starts = [c for c in cols if N.matches(N.FE_START_DATE, c)]
-    ends = [c for c in cols if N.matches(N.FE_END_DATE, c)]
-    pairs += [(s, e, "duration") for s in starts for e in ends if s != e]
-    orders = [c for c in cols if N.matches(N.ORDER_DATE, c)]
-    dels = [c for c in cols if N.matches(N.DELIVERY_DATE, c)]
-    pairs += [(o, d, "duration") for o in orders for d in dels if o != d]
-    births = [c for c in cols if N.matches(N.BIRTH_DATE, c)]
-    refs = [c for c in cols if N.matches(N.REFERENCE_DATE, c)]
-    pairs += [(b, r, "age") for b in births for r in refs if b != r]
-    pairs += list(explicit or [])
-    seen, out = set(), []
-    for p in pairs:
-        if p not in seen:
-            seen.add(p)
-            out.append(p)
-    return out
+    """(first, second, kind) by the date rules, then the explicit ones; each once."""
+    named = [(a, b, r.kind) for r, a, b in matching(DATE_RULES, cols)]
+    return list(dict.fromkeys(named + list(explicit or [])))
 
 
 def engineer_datetime(df: DataFrame, selected: set[str] | None = None,
@@ -164,7 +142,7 @@ def engineer_datetime(df: DataFrame, selected: set[str] | None = None,
         if row[f"tm{i}"]:
             parts += [("_Hour", F.hour(t)), ("_Minute", F.minute(t))]
         else:
-            rep.skipped.append({"feature": f"{c}_Hour", "source": c, "reason": "No time component."})
+            rep.skipped.append({"feature": f"{c}_Hour", "source": c, "reason": "no_time_component"})
         for suffix, e in parts:
             cands.append((f"{c}{suffix}", e.cast("long"), {"source": c, "transformation": f"Datetime -> {suffix[1:]}"}))
     for j, (a, b, kind) in enumerate(prs):
@@ -188,26 +166,11 @@ def _days(a: Column, b: Column) -> Column:
 
 # ------------------------------------------------------------------ FEN-1..6
 def ratio_pairs(cols: list[str]) -> list[tuple[str, str, str]]:
-    """R14: (numerator, denominator, feature name) by name rules, first name wins."""
-    nums = [c for c in cols if N.matches(N.RATIO_INCOME, c) or N.matches(N.FE_SALARY, c)
-            or N.matches(N.RATIO_REVENUE, c)]
-    exps = [c for c in cols if N.matches(N.FE_EXPERIENCE, c)]
-    qtys = [c for c in cols if N.matches(N.RATIO_QUANTITY, c)]
-    out, names = [], set()
-    for num in nums:
-        plan = [(num, e, f"{num}_Per_{e}") for e in exps if e != num]
-        for q in qtys:
-            if q == num:
-                continue
-            unitish = "unit" in q.lower() or "qty" in q.lower()
-            name = f"{num}_Per_Unit" if N.matches(N.RATIO_REVENUE, num) and unitish else f"{num}_Per_{q}"
-            plan.append((num, q, name))
-        for a, b, name in plan:
-            safe = "".join(ch if ch.isalnum() or ch == "_" else "_" for ch in name)
-            if safe not in names:
-                names.add(safe)
-                out.append((a, b, safe))
-    return out
+    """R14: (numerator, denominator, feature name) by the ratio rules; of equal names the first stays."""
+    named: dict[str, tuple[str, str, str]] = {}
+    for r, a, b in sorted(matching(RATIO_RULES, cols), key=lambda m: cols.index(m[1])):
+        named.setdefault(r.label(a, b), (a, b, r.label(a, b)))
+    return list(named.values())
 
 
 def _bin_label(lo: float, hi: float, first: bool) -> str:
@@ -245,7 +208,7 @@ def engineer_numeric(df: DataFrame, selected: set[str] | None = None,
             cands.append((f"{c}_Log", F.log1p(v), {"source": c, "transformation": "log1p",
                                                     "before_skewness": skew}))
         elif not binary:
-            rep.skipped.append({"feature": f"{c}_Log", "source": c, "reason": "Log transform not needed."})
+            rep.skipped.append({"feature": f"{c}_Log", "source": c, "reason": "log_not_needed"})
         if (N.matches(N.BIN_CANDIDATE, c) or N.matches(N.FE_AGE, c)) and not binary and \
                 s.distinct >= MIN_UNIQUE_FOR_BINNING and s.non_null >= MIN_NON_NULL_FOR_TRANSFORM and s.quantiles:
             edges = sorted(set(s.quantiles[p] for p in probs))
@@ -299,7 +262,7 @@ def engineer_text(df: DataFrame, selected: set[str] | None = None,
     cands = []
     for i, c in enumerate(texts):
         if row[f"v{i}"] < MIN_NON_NULL_FOR_TRANSFORM:
-            rep.skipped.append({"feature": f"{c}_WordCount", "source": c, "reason": "Too few non-empty values."})
+            rep.skipped.append({"feature": f"{c}_WordCount", "source": c, "reason": "too_few_values"})
             continue
         cands.append((f"{c}_CharCount", char_count(col(c)), {"source": c, "transformation": "character count"}))
         cands.append((f"{c}_WordCount", word_count(col(c)), {"source": c, "transformation": "word count"}))
@@ -322,25 +285,31 @@ def validate_features(df: DataFrame, originals: list[str], generated: list[str])
     work = df.select(*[fixed[c].alias(c) if c in fixed else col(c) for c in df.columns])
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, g in enumerate(gen):
+        present = F.when(~missing(work, g), col(g))
         aggs += [F.count_if(missing(work, g)).alias(f"m{i}"),
-                 F.count_distinct(F.when(~missing(work, g), col(g))).alias(f"d{i}")]
+                 F.coalesce(F.min(present) != F.max(present), F.lit(False)).alias(f"v{i}")]
+    infinite = [g for g in gen if g in fixed]
     row = work.agg(*aggs).first()
+    if infinite:
+        bad = df.agg(*[F.count_if(F.abs(col(g)) == float("inf")).alias(f"i{i}") for i, g in enumerate(infinite)]).first()
+        rep.issues += [{"issue": "infinite_values", "columns": [g], "count": int(bad[f"i{i}"])}
+                       for i, g in enumerate(infinite) if bad[f"i{i}"]]
     n = row["n"] or 1
     drop = []
     for i, g in enumerate(gen):
-        if row[f"d{i}"] <= 1:
+        if not row[f"v{i}"]:
             drop.append(g)
             rep.removed.append({"feature": g, "reason": "constant"})
         elif row[f"m{i}"] * 100.0 / n > GENERATED_MAX_MISSING_PCT:
             drop.append(g)
-            rep.removed.append({"feature": g, "reason": "too many missing values"})
+            rep.removed.append({"feature": g, "reason": "too_many_missing"})
     from kiln.operators.quality import duplicate_column_map
     keep_gen = [g for g in gen if g not in drop]
     dup = duplicate_column_map(work.select(*[col(c) for c in originals + keep_gen if c in work.columns]))
     for d, o in dup.items():
         if d in keep_gen:
             drop.append(d)
-            rep.removed.append({"feature": d, "reason": f"duplicate of {o}"})
+            rep.removed.append({"feature": d, "reason": f"duplicate_of:{o}"})
     out = work.drop(*drop)
     # FEV-6: range checks, flag only
     ranges = [(g, lo, hi) for g in out.columns if g in gen for suffix, lo, hi in RANGE_CHECKS if g.endswith(suffix)]
@@ -368,25 +337,19 @@ def engineer(df: DataFrame, selected: list[str] | None = None,
         return df, rep
     sel = set(selected) if selected is not None else None
     originals = list(df.columns)
-    # every stage fits with several aggregate jobs over its input: keep each
-    # input persisted (memory, spilling to disk; recomputed from lineage if an
-    # executor is lost) so the jobs do not re-run the upstream plan
-    held = [df.persist(StorageLevel.MEMORY_AND_DISK)]
-    out = held[0]
+    out = df
     facts: dict = {}  # detection facts shared by the numeric and text stages
     for stage in (lambda d: engineer_datetime(d, sel, pairs), lambda d: engineer_numeric(d, sel, known_facts=facts),
                   lambda d: engineer_text(d, sel, known_facts=facts)):
         out, r = stage(out)
         if r.generated:
-            out = out.persist(StorageLevel.MEMORY_AND_DISK)
-            held.append(out)
+            # the next stage fits with several jobs over these columns: write them once
+            out = staged(out, "features")
         for k in ("generated", "skipped", "issues"):
             getattr(rep, k).extend(getattr(r, k))
     generated = [c for c in out.columns if c not in originals]
     out, r = validate_features(out, originals, generated)
     rep.removed.extend(r.removed)
-    # fitting is over: every decision is a literal in the plan, so the result is a
-    # cheap projection of the input; release the caches (nothing stays pinned)
-    for h in held:
-        h.unpersist()
+    rep.issues.extend(r.issues)
+    rep.generated = [g for g in rep.generated if g["feature"] in out.columns]
     return out, rep

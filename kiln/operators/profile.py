@@ -22,7 +22,7 @@ from kiln.functions.exprs import (
     parse_timestamp,
     strip,
 )
-from kiln.operators.quality import _report, datetime_like_ratio, _orderable
+from kiln.operators.quality import _orderable, _report, text_ratios
 from kiln.operators.stats import distinct_counts, missing, numeric_stats, numeric_view
 
 # ---- fixed values: thresholds ----------------------------------------------
@@ -98,11 +98,10 @@ def _bool_like(df: DataFrame, c: str, distinct: int) -> Column:
     return (nn > 0) & F.coalesce(F.bool_and(F.when(~missing(df, c), t.isin(*BOOLEAN_LITERALS))), F.lit(False))
 
 
-def semantic_type_expr(df: DataFrame, c: str, distinct: int, n_rows: Column) -> Column:
+def semantic_type_expr(df: DataFrame, c: str, distinct: int, n_rows: Column, datetime_like: float) -> Column:
     """Profile type: boolean -> datetime -> numerical -> categorical -> text."""
     dt = df.schema[c].dataType
-    dtl = datetime_like_ratio(df, c) >= DATETIME_PARSE_RATIO if (
-        is_string_type(dt) or is_timestamp_type(dt)) else F.lit(False)
+    dtl = F.lit(is_timestamp_type(dt) or datetime_like >= DATETIME_PARSE_RATIO)
     cat = (F.lit(distinct <= CATEGORICAL_UNIQUE_MAX)
            | ((n_rows > 0) & (F.lit(distinct) / n_rows <= CATEGORICAL_RATIO_MAX)))
     return (F.when(_bool_like(df, c, distinct), F.lit("boolean"))
@@ -125,6 +124,7 @@ def profile_columns(df: DataFrame) -> DataFrame:
     rows = []
     n_rows = F.count(F.lit(1))
     dist = distinct_counts(df, [c for c in df.columns if _orderable(df.schema[c].dataType)])
+    texts = text_ratios(df, [c for c in df.columns if is_string_type(df.schema[c].dataType)])
     for c in df.columns:
         dt = df.schema[c].dataType
         ok = _orderable(dt)
@@ -135,7 +135,7 @@ def profile_columns(df: DataFrame) -> DataFrame:
             F.lit(c).alias("column_name"), F.lit(_dtype_label(dt)).alias("data_type"),
             F.count(v).alias("non_null_count"), F.count_if(missing(df, c)).alias("null_count"),
             nd.alias("unique_values"), ex.alias("example_raw"),
-            (semantic_type_expr(df, c, dist[c], n_rows) if ok else F.lit("text")).alias("semantic_type")))
+            (semantic_type_expr(df, c, dist[c], n_rows, texts[c].datetime_like if c in texts else 0.0) if ok else F.lit("text")).alias("semantic_type")))
     rep = _report(df, rows)
     ex = F.col("example_raw")
     example = F.when(F.length(ex) <= EXAMPLE_MAX_LEN, ex).otherwise(
@@ -176,10 +176,10 @@ def high_cardinality(profile: DataFrame) -> DataFrame:
 
 
 def column_types(profile: DataFrame) -> DataFrame:
-    """Column count per semantic type (the names stay in the profile rows)."""
+    """Columns per semantic type: how many, and their names in order."""
     return (profile.groupBy("semantic_type")
-            .agg(F.count(F.lit(1)).alias("n_columns"))
-            .select("semantic_type", F.col("n_columns").cast("long").alias("n_columns")))
+            .agg(F.count(F.lit(1)).cast("long").alias("n_columns"),
+                 F.array_join(F.sort_array(F.collect_list("column_name")), ",").alias("columns")))
 
 
 def profile(df: DataFrame) -> dict[str, DataFrame]:

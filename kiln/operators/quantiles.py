@@ -1,23 +1,16 @@
 """Exact quantiles with bounded memory (linear interpolation, as ``percentile``).
 
-Spark's exact ``percentile`` keeps a value -> count map per column and merges
-all maps in one final task, so its memory grows with the number of distinct
-values. This module finds the same exact values by narrowing:
+One way for columns of any size:
 
-1. one aggregate: the non-null count and an approximate bracket
-   ``percentile_approx(p -/+ 2/accuracy)`` around every wanted rank;
-2. one aggregate: exact counts of values below / inside each bracket; a
-   bracket that misses its rank is widened (x4) in the next round;
-3. while a bracket still holds more than ``subset_max`` values, repeat 1-2
-   on the values inside it (each round shrinks it by ~accuracy / 4);
-4. the rows inside the final brackets are ranked with a window partitioned
-   by (column, rank target) - each partition holds <= ``subset_max`` rows -
-   and only the two wanted rows per quantile reach the driver.
-
-Every pass is a partial aggregation or a filter over the whole table; no pass
-holds more than O(accuracy) state per column or ``subset_max`` rows per task.
-``kiln.quantiles``: ``auto`` (default) narrows columns with more than 10
-million non-null values and maps the rest; ``narrow`` / ``map`` force one way.
+1. unpivot the columns to (column, value) and count: partial counts collapse
+   repeated values before the shuffle, so a hot value is one row per partition;
+2. range-partition the (column, value, count) rows by (column, value) with sampled
+   splitters and write them once; every row is distinct, so partitions stay even;
+3. the counts per (partition, column) - at most one row per partition plus one per
+   column - say in which partition each wanted rank lies and how many values
+   precede it;
+4. running counts inside those partitions pick the wanted values; only they reach
+   the driver.
 """
 
 from __future__ import annotations
@@ -27,125 +20,62 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_ACCURACY = 10_000
-DEFAULT_SUBSET_MAX = 200_000
-
-
-# "auto": columns with more non-null values than this use narrowing, smaller
-# ones the value -> count map (both exact)
-NARROW_ABOVE = 10_000_000
-
+from kiln.session import staged
 
-def strategy(df: DataFrame) -> str:
-    """'auto' (default), 'map' (Spark percentile) or 'narrow', from ``kiln.quantiles``."""
-    try:
-        return df.sparkSession.conf.get("kiln.quantiles", "auto") or "auto"
-    except Exception:  # noqa: BLE001
-        return "auto"
 
+def exact_quantiles(df: DataFrame, values: dict[str, Column], probs: tuple[float, ...]
+                    ) -> dict[str, dict[float, float | None]]:
+    """Per name the value of each probability (None without values)."""
+    return value_quantiles(df, values, probs)[0]
 
-def use_narrowing(df: DataFrame, non_null: int) -> bool:
-    s = strategy(df)
-    return s == "narrow" or (s == "auto" and non_null > NARROW_ABOVE)
 
-
-def exact_quantiles(df: DataFrame, values: dict[str, Column], probs: tuple[float, ...],
-                    accuracy: int = DEFAULT_ACCURACY,
-                    subset_max: int = DEFAULT_SUBSET_MAX) -> dict[str, dict[float, float | None]]:
+def value_quantiles(df: DataFrame, values: dict[str, Column], probs: tuple[float, ...]
+                    ) -> tuple[dict[str, dict[float, float | None]], dict[str, int], dict[str, int]]:
+    """(quantiles, distinct doubles, non-null values) per name."""
     names = list(values)
     if not names:
-        return {}
-    base = df.select(*[values[n].cast("double").alias(f"v{i}") for i, n in enumerate(names)])
-    cnt = base.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(names))],
-                   *[F.min(f"v{i}").alias(f"mn{i}") for i in range(len(names))],
-                   *[F.max(f"v{i}").alias(f"mx{i}") for i in range(len(names))]).first()
-    # rank targets: (column index, 0-based rank) -> value
-    want: dict[tuple[int, int], float | None] = {}
-    plan: dict[tuple[int, float], tuple[int, int, float]] = {}
+        return {}, {}, {}
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), values[n].cast("double").alias("v")) for i, n in enumerate(names)])
+    counts = (df.select(F.inline(cells)).where(F.col("v").isNotNull())
+              .groupBy("i", "v").agg(F.count(F.lit(1)).alias("k")))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = staged(counts.repartitionByRange(parts, "i", "v").withColumn("pid", F.spark_partition_id()), "ranks")
+    totals = (ordered.groupBy("i", "pid").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("d"))
+              .orderBy("i", "pid").collect())  # one row per partition, and one more per column
+    before: dict[tuple[int, int], int] = {}
+    size = {i: 0 for i in range(len(names))}
+    distinct = {i: 0 for i in range(len(names))}
+    for r in totals:
+        before[r["i"], r["pid"]] = size[r["i"]]
+        size[r["i"]] += r["n"]
+        distinct[r["i"]] += r["d"]
+    places: dict[tuple[int, float], tuple[int, int, float]] = {}
     for i in range(len(names)):
-        n = cnt[f"n{i}"]
-        for p in probs:
-            if not n:
-                continue
-            h = p * (n - 1)
-            lo_r = int(math.floor(h))
-            hi_r = int(math.ceil(h))
-            plan[(i, p)] = (lo_r, hi_r, h)
-            want[(i, lo_r)] = None
-            want[(i, hi_r)] = None
-    # bracket per target: (lo value, hi value, count below lo) over the current domain
-    targets = sorted(want)
-    brackets = {t: (cnt[f"mn{t[0]}"], cnt[f"mx{t[0]}"], 0) for t in targets}
-    sizes = {t: cnt[f"n{t[0]}"] for t in targets}
-    widen = {t: 1.0 for t in targets}
-    rounds = 0
-    while True:
-        big = [t for t in targets if sizes[t] > subset_max]
-        if not big or rounds >= 12:
-            break
-        rounds += 1
-        # 1. approximate bracket inside the current domain of each big target
-        aggs = []
-        for k, t in enumerate(big):
-            i, r = t
-            lo, hi, below = brackets[t]
-            inside = sizes[t]
-            v = F.col(f"v{i}")
-            dom = F.when((v >= F.lit(lo)) & (v <= F.lit(hi)), v)
-            rel = (r - below) / max(inside - 1, 1)
-            d = 2.0 * widen[t] / accuracy
-            ps = F.array(F.lit(max(0.0, rel - d)), F.lit(min(1.0, rel + d)))
-            aggs.append(F.percentile_approx(dom, ps, accuracy).alias(f"b{k}"))
-        res = base.agg(*aggs).first()
-        # 2. exact counts below / inside the candidate brackets
-        cands = {t: (res[f"b{k}"][0], res[f"b{k}"][1]) for k, t in enumerate(big)}
-        aggs = []
-        for k, t in enumerate(big):
-            i, _ = t
-            v = F.col(f"v{i}")
-            lo, hi = cands[t]
-            aggs += [F.count_if(v < F.lit(lo)).alias(f"c{k}"),
-                     F.count_if((v >= F.lit(lo)) & (v <= F.lit(hi))).alias(f"s{k}")]
-        res = base.agg(*aggs).first()
-        for k, t in enumerate(big):
-            below, inside = int(res[f"c{k}"]), int(res[f"s{k}"])
-            r = t[1]
-            if below <= r < below + inside and inside < sizes[t]:
-                brackets[t] = (cands[t][0], cands[t][1], below)
-                sizes[t] = inside
-            else:
-                # the approximate bracket missed its rank: try a wider one next round
-                widen[t] *= 4.0
-    # 4. rank the rows inside the final brackets; keep only the wanted ranks
-    cells = []
-    for t in targets:
-        i, r = t
-        lo, hi, below = brackets[t]
-        v = F.col(f"v{i}")
-        cells.append(F.when((v >= F.lit(lo)) & (v <= F.lit(hi)),
-                            F.struct(F.lit(i).alias("ci"), F.lit(r).alias("rk"),
-                                     F.lit(r - below).alias("local"), v.alias("v"))))
-    if cells:
-        # one scan: each row contributes to the brackets it falls in
-        allp = (base.select(F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())).alias("c"))
-                .select("c.*"))
-        w = Window.partitionBy("ci", "rk").orderBy("v")
-        picked = (allp.select("ci", "rk", "local", "v", (F.row_number().over(w) - 1).alias("pos"))
-                  .where(F.col("pos") == F.col("local")).select("ci", "rk", "v").collect())
-        for row in picked:
-            want[(row["ci"], row["rk"])] = row["v"]
+        for p in probs if size[i] else ():
+            h = p * (size[i] - 1)
+            places[i, p] = (math.floor(h), math.ceil(h), h)
+    want = sorted({(i, rank) for (i, _), (lo, hi, _) in places.items() for rank in (lo, hi)})
+    inside = {(r["i"], r["pid"]): (before[r["i"], r["pid"]], r["n"]) for r in totals}
+    targets = [(i, pid, rank - b, rank) for i, rank in want for (j, pid), (b, n) in inside.items()
+               if i == j and b <= rank < b + n]
+    found: dict[tuple[int, int], float] = {}
+    if targets:
+        spark = df.sparkSession
+        wanted = F.broadcast(spark.createDataFrame(targets, "i int, pid int, r long, rank long"))  # two rows per quantile
+        pids = sorted({t[1] for t in targets})
+        upto = F.sum("k").over(Window.partitionBy("i", "pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+        # the window sees the rows of one partition of step 2
+        running = ordered.where(F.col("pid").isin(pids)).select("i", "pid", "v", "k", upto.alias("upto"))
+        rows = running.join(wanted, ["i", "pid"]).where((F.col("r") < F.col("upto")) & (F.col("r") >= F.col("upto") - F.col("k")))
+        found = {(r["i"], r["rank"]): r["v"] for r in rows.select("i", "rank", "v").collect()}
     out: dict[str, dict[float, float | None]] = {}
-    for i, name in enumerate(names):
-        out[name] = {}
+    for i, n in enumerate(names):
+        out[n] = {}
         for p in probs:
-            if (i, p) not in plan:
-                out[name][p] = None
+            if (i, p) not in places:
+                out[n][p] = None
                 continue
-            lo_r, hi_r, h = plan[(i, p)]
-            a, b = want[(i, lo_r)], want[(i, hi_r)]
-            if lo_r == hi_r:
-                out[name][p] = a
-            else:
-                # same interpolation as Spark's percentile
-                out[name][p] = (hi_r - h) * a + (h - lo_r) * b
-    return out
+            lo, hi, h = places[i, p]
+            a, b = found[i, lo], found[i, hi]
+            out[n][p] = a if a == b else (hi - h) * a + (h - lo) * b
+    return out, {n: distinct[i] for i, n in enumerate(names)}, {n: size[i] for i, n in enumerate(names)}

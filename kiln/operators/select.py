@@ -1,14 +1,14 @@
 """Feature selection (AGG-15..20, PIP-10..14).
 
 Statistics are aggregates over the whole table; only per-column numbers (and
-a <= 40 x 40 correlation matrix for VIF) reach the driver. Mutual information
+one matrix of column pairs for correlation and VIF) reach the driver. Mutual information
 is a grouped count over (feature, x bin, y bin) with marginals from window
 sums, so its work is distributed across features and bins.
 """
 
 from __future__ import annotations
 
-import math
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 from kiln.functions import names as N
 from kiln.functions.exprs import as_text, col, is_numeric_type, is_string_type, is_timestamp_type, pyround, round_value
 from kiln.operators.detect import column_facts, is_identifier
-from kiln.operators.quality import _chunked_agg, duplicate_column_map
-from kiln.operators.stats import missing
+from kiln.operators.moments import pair_moments
+from kiln.operators.opportunity import top_values
+from kiln.operators.quality import duplicate_column_map
+from kiln.operators.quantiles import value_quantiles
+from kiln.operators.stats import distinct_counts, missing, numeric_view
 
 # ---- fixed values: thresholds ----------------------------------------------
 NEAR_CONSTANT_THRESHOLD = 0.99
@@ -28,7 +31,6 @@ HIGH_CARDINALITY = 0.50
 CORRELATION_THRESHOLD = 0.90
 VIF_HIGH = 10.0
 VIF_REVIEW = 5.0
-MAX_VIF_FEATURES = 40
 MIN_ROWS_FOR_MI = 10
 MIN_ROWS_FOR_VIF = 20
 MI_MAX_BINS = 10
@@ -113,8 +115,7 @@ def feature_quality(df: DataFrame, target: str | None = None) -> DataFrame:
                                     "missing_pct double, unique_count long, unique_pct double, "
                                     "is_identifier boolean, is_exact_duplicate boolean, duplicate_of string, "
                                     "non_null long")
-    # both sides are one row per column: the join is on a bounded table
-    j = m.join(F.broadcast(top), "gi", "left") if len(names) <= 10_000 else m.join(top, "gi", "left")
+    j = m.join(top, "gi", "left")  # both sides are one row per column
     share = F.col("top_count") / F.col("non_null")
     const = (F.col("non_null") > 0) & (F.col("unique_count") <= 1)
     near = (F.col("non_null") > 0) & ~const & (share >= NEAR_CONSTANT_THRESHOLD)
@@ -142,15 +143,10 @@ def correlated_pairs(df: DataFrame, target: str | None = None, threshold: float
     schema = "feature_a string, feature_b string, correlation double"
     if len(nums) < 2:
         return spark.createDataFrame([], schema)
-    v = {c: F.when(~missing(df, c), col(c).cast("double")) for c in nums}
-    pairs = [(a, b) for i, a in enumerate(nums) for b in nums[i + 1:]]
-    res = _chunked_agg(df, [F.corr(v[a], v[b]).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    rows = []
-    for i, (a, b) in enumerate(pairs):
-        r = res[f"r{i}"]
-        if r is None or math.isnan(r) or abs(r) < threshold:
-            continue
-        rows.append((a, b, round_value(float(r), 4)))
+    moments = pair_moments(df, nums)
+    r = moments.correlation() if moments is not None else np.full((len(nums), len(nums)), np.nan)
+    rows = [(nums[i], nums[j], round_value(float(r[i, j]), 4)) for i, j in combinations(range(len(nums)), 2)
+            if abs(r[i, j]) >= threshold]
     rows.sort(key=lambda t: abs(t[2]), reverse=True)
     return spark.createDataFrame(rows, schema)
 
@@ -158,50 +154,31 @@ def correlated_pairs(df: DataFrame, target: str | None = None, threshold: float
 # ------------------------------------------------------------------- AGG-16
 def vif(df: DataFrame, target: str | None = None, exclude: set[str] | None = None,
         preferred: list[str] | None = None) -> DataFrame:
-    """Variance inflation per numeric feature on complete rows (<= 40 features).
+    """Variance inflation of every numeric feature on complete rows.
 
-    One aggregate job computes means and co-moments of the selected columns
-    over rows without nulls; the driver inverts the <= 40 x 40 correlation
-    matrix (pseudo-inverse), which equals per-column least squares with
-    intercept.
+    One scan sums the co-moments over rows without missing values; the driver
+    inverts the features' correlation matrix (pseudo-inverse), which equals
+    per-column least squares with intercept. ``preferred`` features come first.
     """
     exclude = exclude or set()
     spark = df.sparkSession
     schema = "feature string, vif double, status string"
     cands = [c for c in df.columns if is_numeric_type(df.schema[c].dataType) and c != target
              and c not in exclude]
-    sel = [c for c in (preferred or []) if c in cands][:MAX_VIF_FEATURES]
-    for c in cands:
-        if len(sel) >= MAX_VIF_FEATURES:
-            break
-        if c not in sel:
-            sel.append(c)
-    if len(sel) < 2:
-        return spark.createDataFrame([], schema)
-    work = df.select(*[col(c).cast("double").alias(c) for c in sel]).dropna()
-    for c in sel:
-        work = work.where(~F.isnan(col(c)))
-    k = len(sel)
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.stddev_pop(col(c)).alias(f"s{i}") for i, c in enumerate(sel)]
-    aggs += [F.covar_pop(col(sel[i]), col(sel[j])).alias(f"c{i}_{j}") for i in range(k) for j in range(i + 1, k)]
-    res = _chunked_agg(work, aggs)
-    if res["n"] < MIN_ROWS_FOR_VIF:
+    sel = list(dict.fromkeys([c for c in (preferred or []) if c in cands] + cands))
+    moments = pair_moments(df, sel, complete=True) if len(sel) > 1 else None
+    if moments is None or moments.n[0, 0] < MIN_ROWS_FOR_VIF:
         return spark.createDataFrame([], schema)
-    keep = [i for i in range(k) if (res[f"s{i}"] or 0.0) > 1e-12]
+    keep = [i for i in range(len(sel)) if np.sqrt(moments.variance()[i, i]) > 1e-12]
     if len(keep) < 2:
         return spark.createDataFrame([], schema)
-    R = np.eye(len(keep))
-    for a, i in enumerate(keep):
-        for b, j in enumerate(keep):
-            if a < b:
-                lo, hi = min(i, j), max(i, j)
-                R[a, b] = R[b, a] = res[f"c{lo}_{hi}"] / (res[f"s{i}"] * res[f"s{j}"])
+    full = moments.correlation()[np.ix_(keep, keep)]
+    np.fill_diagonal(full, 1.0)
     rows = []
     for a, i in enumerate(keep):
         others = [b for b in range(len(keep)) if b != a]
-        r = R[np.ix_(others, [a])]
-        r2 = float((r.T @ np.linalg.pinv(R[np.ix_(others, others)]) @ r)[0, 0])
-        r2 = min(max(r2, 0.0), R2_CAP)
+        r = full[others, a]
+        r2 = min(max(float(r @ np.linalg.pinv(full[np.ix_(others, others)]) @ r), 0.0), R2_CAP)
         val = min(1.0 / (1.0 - r2), 1e6)
         status = "HIGH" if val > VIF_HIGH else ("REVIEW" if val >= VIF_REVIEW else "GOOD")
         rows.append((sel[i], round_value(val, 2), status))
@@ -213,7 +190,7 @@ def target_task(df: DataFrame, target: str) -> str:
     dt = df.schema[target].dataType
     if not is_numeric_type(dt) or dt.typeName() == "boolean":
         return "classification"
-    d = df.agg(F.count_distinct(col(target))).first()[0]
+    d = distinct_counts(df, [target])[target]
     return "classification" if d <= CLASSIFICATION_MAX_DISTINCT else "regression"
 
 
@@ -236,47 +213,35 @@ def mutual_information(df: DataFrame, target: str, features: list[str] | None =
     base = df.where(~missing(df, target))
     task = target_task(df, target)
     tdt = df.schema[target].dataType
-    n_y = base.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(col(target)).alias("d"),
+    n_y = base.agg(F.count(F.lit(1)).alias("n"),
                    F.min(col(target).cast("double") if is_numeric_type(tdt) else F.lit(None)).alias("mn"),
                    F.max(col(target).cast("double") if is_numeric_type(tdt) else F.lit(None)).alias("mx")).first()
-    if n_y["n"] < MIN_ROWS_FOR_MI or n_y["d"] < 2 or not feats:
+    classes = distinct_counts(base, [target])[target]
+    if n_y["n"] < MIN_ROWS_FOR_MI or classes < 2 or not feats:
         return spark.createDataFrame([], schema)
     if task == "classification":
         y = as_text(col(target), tdt)
     else:
-        y = _equal_width_bins(col(target).cast("double"), n_y["mn"], n_y["mx"], n_y["d"]).cast("string")
+        y = _equal_width_bins(col(target).cast("double"), n_y["mn"], n_y["mx"], classes).cast("string")
     # fill values for missing x: median (numeric) / most frequent (categorical), on target rows
     nums = [c for c in feats if is_numeric_type(df.schema[c].dataType)]
     cats = [c for c in feats if c not in nums]
-    from kiln.operators.quantiles import exact_quantiles, strategy
-    narrow = strategy(df) == "narrow"
-    stats = base.agg(*[(F.lit(None).cast("double") if narrow else F.percentile(col(c).cast("double"), 0.5))
-                       .alias(f"q{i}") for i, c in enumerate(nums)],
-                     *[F.min(col(c).cast("double")).alias(f"mn{i}") for i, c in enumerate(nums)],
-                     *[F.max(col(c).cast("double")).alias(f"mx{i}") for i, c in enumerate(nums)],
-                     *[F.count_distinct(col(c)).alias(f"d{i}") for i, c in enumerate(nums)],
-                     *[F.mode(as_text(col(c), df.schema[c].dataType), True).alias(f"o{i}") for i, c in enumerate(cats)],
-                     F.lit(1).alias("_")).first().asDict()
-    if narrow and nums:
-        med = exact_quantiles(base, {c: col(c) for c in nums}, (0.5,))
-        for i, c in enumerate(nums):
-            stats[f"q{i}"] = med[c][0.5]
-    xs = []
-    meds = {c: (stats[f"q{i}"] if stats[f"q{i}"] is not None else 0.0) for i, c in enumerate(nums)}
-    filled = {c: F.coalesce(col(c).cast("double"), F.lit(meds[c])) for c in nums}
+    view = {c: numeric_view(df, c) for c in nums}  # NaN counts as missing
+    found, _, _ = value_quantiles(base, view, (0.0, 0.5, 1.0))
+    median = {c: found[c][0.5] if found[c][0.5] is not None else 0.0 for c in nums}
+    filled = {c: F.coalesce(view[c], F.lit(median[c])) for c in nums}
     # bin count follows the distinct values *after* the median fill
-    dfill = base.agg(*[F.count_distinct(filled[c]).alias(f"d{i}") for i, c in enumerate(nums)],
-                     F.lit(1).alias("_")).first()
-    for i, c in enumerate(nums):
-        med = meds[c]
-        lo = min(stats[f"mn{i}"], med) if stats[f"mn{i}"] is not None else med
-        hi = max(stats[f"mx{i}"], med) if stats[f"mx{i}"] is not None else med
-        xs.append(F.struct(F.lit(c).alias("feature"),
-                           _equal_width_bins(filled[c], lo, hi, max(dfill[f"d{i}"], 1)).cast("string").alias("x")))
-    for i, c in enumerate(cats):
-        fill = stats[f"o{i}"]
+    distinct = distinct_counts(base, nums, values=filled)
+    tops = top_values(base, cats)
+    xs = []
+    for c in nums:
+        lo, hi = (median[c] if found[c][p] is None else found[c][p] for p in (0.0, 1.0))
+        xs.append(F.struct(F.lit(c).alias("feature"), _equal_width_bins(
+            filled[c], lo, hi, max(distinct[c], 1)).cast("string").alias("x")))
+    for c in cats:
+        fill = tops[c][0] if c in tops else None
         xs.append(F.struct(F.lit(c).alias("feature"),
-                           F.coalesce(as_text(col(c), df.schema[c].dataType), F.lit(fill)).alias("x")))
+                           F.coalesce(as_text(col(c), df.schema[c].dataType), F.lit(fill).cast("string")).alias("x")))
     long = base.select(y.alias("y"), F.inline(F.array(*xs)))
     joint = long.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("k"))
     n = float(n_y["n"])
@@ -363,29 +328,28 @@ def apply_selection(df: DataFrame, decisions_df: DataFrame, target: str | None =
 MISSING_PREFERENCE_POINTS = 10.0
 
 
-def prefer_in_pairs(pairs: DataFrame, quality: DataFrame, mi: DataFrame | None = None) -> DataFrame:
-    """Preferred feature inside each correlated pair: not an identifier, then not a
-    duplicate, then >= 10 points less missing, then MI higher by >= 0.02, else none.
-    All inputs are per-column tables (bounded by the number of columns)."""
-    q = quality.select("feature", "is_identifier", "is_exact_duplicate", "missing_pct")
-    m = mi.select("feature", "mi_score") if mi is not None else None
-    a = q.select(*[F.col(c).alias(f"a_{c}") for c in q.columns])
-    b = q.select(*[F.col(c).alias(f"b_{c}") for c in q.columns])
-    j = pairs.join(a, pairs["feature_a"] == a["a_feature"], "left").join(b, pairs["feature_b"] == b["b_feature"], "left")
-    if m is not None:
-        j = (j.join(m.select(F.col("feature").alias("ma"), F.col("mi_score").alias("a_mi")), F.col("feature_a") == F.col("ma"), "left")
-              .join(m.select(F.col("feature").alias("mb"), F.col("mi_score").alias("b_mi")), F.col("feature_b") == F.col("mb"), "left"))
-    else:
-        j = j.withColumn("a_mi", F.lit(None).cast("double")).withColumn("b_mi", F.lit(None).cast("double"))
-    fa, fb = F.col("feature_a"), F.col("feature_b")
-    pick = (F.when(F.col("a_is_identifier") & ~F.col("b_is_identifier"), fb)
-            .when(F.col("b_is_identifier") & ~F.col("a_is_identifier"), fa)
-            .when(F.col("a_is_exact_duplicate") & ~F.col("b_is_exact_duplicate"), fb)
-            .when(F.col("b_is_exact_duplicate") & ~F.col("a_is_exact_duplicate"), fa)
-            .when(F.col("b_missing_pct") - F.col("a_missing_pct") >= MISSING_PREFERENCE_POINTS, fa)
-            .when(F.col("a_missing_pct") - F.col("b_missing_pct") >= MISSING_PREFERENCE_POINTS, fb)
-            .when(F.col("a_mi") - F.col("b_mi") >= MI_MEANINGFUL, fa)
-            .when(F.col("b_mi") - F.col("a_mi") >= MI_MEANINGFUL, fb))
+def prefer_in_pairs(pairs: DataFrame, quality: DataFrame, mi: DataFrame | None = None,
+                    generated: list[str] | None = None) -> DataFrame:
+    """Preferred feature inside each correlated pair, by the first rule that decides: not an
+    identifier; of an exact duplicate its original; >= 10 points less missing; none (review) when
+    only one is ``generated``; MI higher by >= 0.02; else none. Inputs are per-column tables."""
+    facts = quality.select("feature", "is_identifier", "is_exact_duplicate", "duplicate_of", "missing_pct",
+                           F.col("feature").isin(list(generated or [])).alias("generated"))
+    score = mi.select("feature", "mi_score") if mi is not None else \
+        quality.select("feature", F.lit(None).cast("double").alias("mi_score"))
+    facts = facts.join(score, "feature", "left")
+    side = lambda s: facts.select(F.col("feature").alias(f"feature_{s}"), F.struct(
+        *[c for c in facts.columns if c != "feature"]).alias(s))
+    j = pairs.join(side("a"), "feature_a", "left").join(side("b"), "feature_b", "left")
+    fa, fb, a, b = F.col("feature_a"), F.col("feature_b"), F.col("a"), F.col("b")
+    gap = a["missing_pct"] - b["missing_pct"]
+    gain = a["mi_score"] - b["mi_score"]
+    pick = (F.when(a["is_identifier"] & ~b["is_identifier"], fb).when(b["is_identifier"] & ~a["is_identifier"], fa)
+            .when(a["is_exact_duplicate"], F.coalesce(a["duplicate_of"], fb))
+            .when(b["is_exact_duplicate"], F.coalesce(b["duplicate_of"], fa))
+            .when(F.abs(gap) >= MISSING_PREFERENCE_POINTS, F.when(gap < 0, fa).otherwise(fb))
+            .when(a["generated"] != b["generated"], F.lit(None).cast("string"))
+            .when(F.abs(gain) >= MI_MEANINGFUL, F.when(gain > 0, fa).otherwise(fb)))
     return j.select("feature_a", "feature_b", "correlation", pick.alias("preferred_feature"))
 
 

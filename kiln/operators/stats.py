@@ -5,12 +5,9 @@ Every statistic here is an aggregate over the whole table: a single
 only ever sees O(columns) values. Aggregates are partial (map-side combine)
 so the shuffle carries one small buffer per partition, not rows.
 
-Quantiles are exact. Moments run in one codegen'd aggregate; quantiles and
-distinct counts in one grouped job ((column, value) -> count, then a
-frequency-weighted ``percentile`` per column). Columns above
-``quantiles.NARROW_ABOVE`` non-null values take the bounded-memory narrowing
-path instead (``kiln.quantiles``: auto / map / narrow). ``exact=False`` uses
-``percentile_approx`` (rank error 1/accuracy).
+Quantiles are exact (see ``quantiles``) and count doubles on the way; whole
+numbers and decimals are counted as they are, since doubles merge them beyond
+2^53. ``exact=False`` uses ``percentile_approx`` (rank error 1/accuracy).
 """
 
 from __future__ import annotations
@@ -23,15 +20,13 @@ from pyspark.sql import functions as F
 from kiln.functions.exprs import (
     as_double,
     col,
+    is_double_type,
+    is_integral_type,
     is_numeric_type,
     parse_number,
-    skew_g1,
 )
 
 APPROX_ACCURACY = 100_000
-# strings longer than this are counted by a 96-bit hash pair (xxhash64, murmur3):
-# a shuffle of 16 bytes instead of the text; a collision needs ~2^48 values
-LONG_TEXT = 32
 
 
 def _k(i: int, name: str) -> str:
@@ -75,9 +70,6 @@ def numeric_stats(df: DataFrame, names: list[str], coerce: bool = False,
     """One aggregate job: counts, moments, min/max, quantiles per column."""
     if not names:
         return {}
-    from kiln.operators.quantiles import strategy
-    narrow = bool(quantiles) and exact and strategy(df) == "narrow"
-    auto = bool(quantiles) and exact and strategy(df) == "auto"
     # derive each numeric view once, in a projection below the aggregate (an
     # expression used by ten aggregate functions would otherwise run ten times)
     proj = df.select(*[numeric_view(df, n, coerce).alias(f"__v{i}") for i, n in enumerate(names)])
@@ -100,34 +92,22 @@ def numeric_stats(df: DataFrame, names: list[str], coerce: bool = False,
     # moments only: a plain HashAggregate stays in whole-stage codegen; quantile
     # aggregates are imperative and would drag every function out of codegen
     row = proj.agg(*aggs).first()
-    big: list[str] = []
-    if auto:
-        # exact either way: very large columns take the bounded-memory narrowing path
-        from kiln.operators.quantiles import NARROW_ABOVE
-        big = [n for i, n in enumerate(names) if int(row[_k(i, "nn")]) > NARROW_ABOVE]
-    approx_q = {}
-    if quantiles and not exact:
+    views = {n: numeric_view(df, n, coerce) for n in names}
+    qv: dict[str, dict[float, float | None]] = {}
+    nd: dict[str, int] = {}
+    if quantiles and exact:
+        from kiln.operators.quantiles import value_quantiles
+        qv, nd, _ = value_quantiles(df, views, tuple(quantiles))
+    elif quantiles:
         probs = F.array(*[F.lit(float(p)) for p in quantiles])
         qrow = proj.agg(*[F.percentile_approx(F.col(f"__v{i}"), probs, APPROX_ACCURACY).alias(f"q{i}")
                           for i in range(len(names))]).first()
-        approx_q = {n: qrow[f"q{i}"] for i, n in enumerate(names)}
-    qv: dict = {}
-    if narrow or big:
-        # exact values with bounded memory (see operators/quantiles.py)
-        from kiln.operators.quantiles import exact_quantiles
-        targets = names if narrow else big
-        qv = exact_quantiles(df, {n: numeric_view(df, n, coerce) for n in targets}, tuple(quantiles))
-    nd: dict[str, int] = {}
-    grouped_q: dict[str, list[float] | None] = {}
-    small = [n for n in names if n not in big]
-    if quantiles and not narrow and exact:
-        # one pass for both: (column, value) counts -> distinct count and
-        # frequency-weighted exact percentile per column (each column merges in its own task)
-        nd, grouped_q, _ = _distinct_and_quantiles(df, small, coerce, tuple(quantiles), exact) if small else ({}, {}, {})
-        if distinct and big:
-            nd.update(distinct_counts(df, big, values={n: numeric_view(df, n, coerce) for n in big}))
-    elif distinct:
-        nd = distinct_counts(df, names, values={n: numeric_view(df, n, coerce) for n in names})
+        qv = {n: dict(zip(quantiles, qrow[f"q{i}"] or [None] * len(quantiles))) for i, n in enumerate(names)}
+    if distinct:
+        # doubles were counted with the quantiles; other types are counted as they are
+        rest = [n for n in names if n not in nd or not is_double_type(df.schema[n].dataType)]
+        nd = nd | distinct_counts(df, rest, values={n: views[n] for n in rest
+                                                    if not is_numeric_type(df.schema[n].dataType)})
     n_rows = int(row["n_rows"])
     out: dict[str, NumericStats] = {}
     for i, name in enumerate(names):
@@ -144,67 +124,29 @@ def numeric_stats(df: DataFrame, names: list[str], coerce: bool = False,
             zeros=int(row[_k(i, "zero")]), negatives=int(row[_k(i, "neg")]),
             non_integral=int(row[_k(i, "frac")]),
         )
-        if name in qv:
-            if qv[name] and all(x is not None for x in qv[name].values()):
-                st.quantiles = {p: float(qv[name][p]) for p in quantiles}
-        elif quantiles and exact:
-            if grouped_q.get(name) is not None:
-                st.quantiles = {p: float(x) for p, x in zip(quantiles, grouped_q[name])}
-        elif quantiles and approx_q.get(name) is not None:
-            st.quantiles = {p: float(x) for p, x in zip(quantiles, approx_q[name])}
+        found = qv.get(name, {})
+        if found and all(x is not None for x in found.values()):
+            st.quantiles = {p: float(found[p]) for p in quantiles}
         out[name] = st
     return out
 
 
-def _distinct_and_quantiles(df: DataFrame, names: list[str], coerce: bool, quantiles: tuple[float, ...],
-                            exact: bool = True) -> tuple[dict[str, int], dict[str, list[float] | None]]:
-    cells = F.array(*[F.struct(F.lit(i).alias("i"), numeric_view(df, n, coerce).alias("v"))
-                      for i, n in enumerate(names)])
-    pairs = (df.select(F.inline(cells)).where(F.col("v").isNotNull())
-             .groupBy("i", "v").agg(F.count(F.lit(1)).alias("k")))
-    probs = F.array(*[F.lit(float(p)) for p in quantiles])
-    q = F.percentile("v", probs, F.col("k"))  # exact, weighted by the value counts
-    res = {r["i"]: r for r in pairs.groupBy("i").agg(F.count(F.lit(1)).alias("nd"), F.sum("k").alias("nn"),
-                                                       q.alias("q")).collect()}
-    nd = {n: int(res[i]["nd"]) if i in res else 0 for i, n in enumerate(names)}
-    qs = {n: (list(res[i]["q"]) if i in res and res[i]["q"] is not None else None) for i, n in enumerate(names)}
-    nn = {n: int(res[i]["nn"]) if i in res else 0 for i, n in enumerate(names)}
-    return nd, qs, nn
-
-
 def quartile_stats(df: DataFrame, names: list[str], coerce: bool = False,
                    quantiles: tuple[float, ...] = (0.25, 0.75)) -> dict[str, NumericStats]:
-    """Non-null counts and exact quantiles only (no moments): one grouped job.
-
-    Used by IQR fences, which need nothing else, so the moments scan is skipped."""
-    from kiln.operators.quantiles import strategy
+    """Non-null counts and exact quantiles only (no moments), as IQR fences need them."""
+    from kiln.operators.quantiles import value_quantiles
     if not names:
         return {}
-    s = strategy(df)
-    if s == "narrow":
-        return numeric_stats(df, names, coerce=coerce, distinct=False, quantiles=quantiles)
-    if s == "auto":
-        # a codegen'd count decides which columns are too large for the map path
-        from kiln.operators.quantiles import NARROW_ABOVE
-        proj = df.select(*[numeric_view(df, n, coerce).alias(f"__v{i}") for i, n in enumerate(names)])
-        cnt = proj.agg(*[F.count(f"__v{i}").alias(f"n{i}") for i in range(len(names))]).first()
-        if any(int(cnt[f"n{i}"]) > NARROW_ABOVE for i in range(len(names))):
-            return numeric_stats(df, names, coerce=coerce, distinct=False, quantiles=quantiles)
-    nd, qs, nn = _distinct_and_quantiles(df, names, coerce, tuple(quantiles))
+    qs, nd, nn = value_quantiles(df, {n: numeric_view(df, n, coerce) for n in names}, tuple(quantiles))
     out = {}
     for n in names:
         st = NumericStats(name=n, n_rows=-1, non_null=nn[n], distinct=nd[n])
-        if qs[n] is not None:
-            st.quantiles = {p: float(x) for p, x in zip(quantiles, qs[n])}
+        if nn[n]:
+            st.quantiles = {p: float(qs[n][p]) for p in quantiles}
         out[n] = st
     return out
 
 
-def skew_expr(v: Column) -> Column:
-    """G1 skewness of a column as an aggregate expression."""
-    return skew_g1(F.count(v), F.skewness(v))
-
-
 def null_counts(df: DataFrame, names: list[str] | None = None) -> tuple[int, dict[str, int]]:
     """Rows and missing (null or NaN) count per column, one job."""
     names = names if names is not None else df.columns
@@ -241,10 +183,11 @@ def distinct_counts(df: DataFrame, names: list[str], exact: bool = True,
     """Distinct non-null values per column (NaN counts as missing).
 
     Exact counts unpivot the columns to (column index, value) and count
-    distinct pairs: one shuffle whose map side already drops repeats (long
-    strings are represented by a 96-bit hash pair). This is
+    distinct pairs: one shuffle whose map side already drops repeats. This is
     much cheaper than many ``count(DISTINCT ...)`` in one aggregate, which
-    makes Spark expand *every* aggregate of the job once per column.
+    makes Spark expand *every* aggregate of the job once per column. Whole
+    numbers travel as long and doubles as double; every other type by 128 hash
+    bits of its text, so that long texts are not shuffled.
     ``values`` may give the expression to count per name (default: the column).
     """
     if not names:
@@ -255,25 +198,19 @@ def distinct_counts(df: DataFrame, names: list[str], exact: bool = True,
                        for i, n in enumerate(names)]).first()
         return {n: int(row[_k(i, "nd")]) for i, n in enumerate(names)}
     cells = []
-    none_s, none_h = F.lit(None).cast("string"), F.lit(None).cast("long")
+    no_long, no_double = F.lit(None).cast("long"), F.lit(None).cast("double")
     for i, n in enumerate(names):
         e = exprs[n]
         dt = df.select(e.alias("x")).schema["x"].dataType
-        num = dt.typeName() in ("byte", "short", "integer", "long", "float", "double") or \
-            dt.typeName().startswith("decimal")
-        if num:
-            cells.append(F.struct(F.lit(i).alias("i"), e.cast("double").alias("d"), none_s.alias("s"),
-                                  none_h.alias("h1"), none_h.alias("h2")))
-            continue
-        t = e.cast("string")
-        long_text = F.length(t) > LONG_TEXT
-        # long strings travel as a 96-bit hash pair instead of their text
-        cells.append(F.struct(F.lit(i).alias("i"), F.lit(None).cast("double").alias("d"),
-                              F.when(~long_text, t).alias("s"),
-                              F.when(long_text, F.xxhash64(t)).alias("h1"),
-                              F.when(long_text, F.hash(t).cast("long")).alias("h2")))
-    pairs = (df.select(F.inline(F.array(*cells)))
-             .where(F.col("d").isNotNull() | F.col("s").isNotNull() | F.col("h1").isNotNull())
-             .distinct())
+        a, b, d = no_long, no_long, no_double
+        if is_integral_type(dt):
+            a = e.cast("long")
+        elif is_double_type(dt):
+            d = e.cast("double")
+        else:
+            t = e.cast("string")
+            a, b = F.when(t.isNotNull(), F.xxhash64(t)), F.when(t.isNotNull(), F.xxhash64(F.lit("2"), t))
+        cells.append(F.struct(F.lit(i).alias("i"), a.alias("a"), b.alias("b"), d.alias("d")))
+    pairs = (df.select(F.inline(F.array(*cells))).where(F.col("a").isNotNull() | F.col("d").isNotNull()).distinct())
     counts = {r["i"]: r["k"] for r in pairs.groupBy("i").agg(F.count(F.lit(1)).alias("k")).collect()}
     return {n: int(counts.get(i, 0)) for i, n in enumerate(names)}

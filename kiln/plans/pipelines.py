@@ -12,12 +12,15 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kiln.operators import clean as C
 from kiln.operators import features as FE
 from kiln.operators import impute as I
 from kiln.operators import quality as Q
 from kiln.operators import select as S
+from kiln.operators.stats import null_counts
+from kiln.session import staged
 from kiln.sources import io
 
 
@@ -61,28 +64,53 @@ def clean(df: DataFrame, cfg: CleaningConfig | None = None,
     for step in steps:
         out, entries = step(out)
         log += entries
+        if step is C.drop_duplicate_rows:
+            # the fits below read the imputed table: write it once instead of imputing again for each
+            out = staged(out, "cleaning")
     out = out.drop(*[c for c in out.columns if c.endswith(C.INVALID_FLAG)])
     # PRJ-10: identifier columns are never dropped by cleaning; note them
     from kiln.functions import names as N
     for c in out.columns:
         if N.is_identifier_name(c):
-            log.append(C.LogEntry("identifier_column_retained", c, {}, f"Identifier column '{c}' kept."))
+            log.append(C.LogEntry("identifier_column_retained", c))
     return out, log
 
 
+#: log operations that only point something out; all others changed the data
+FLAG_OPERATIONS = frozenset(("identifier_column_retained", "duplicate_column_retained", "constant_columns_retained",
+                             "outliers_flagged", "high_missing_column_review", "all_null_column_review",
+                             "categorical_imputation_review"))
+_CELL_COUNTS = ("count", "before_missing", "empty_strings_converted", "before_invalid", "outlier_count", "rows_removed")
+
+
+def issues(log: list[C.LogEntry], spark: SparkSession) -> DataFrame:
+    """One row per log entry: whether it was (or will be) fixed or only flagged, and the cells or rows concerned."""
+    rows = []
+    for e in log:
+        n = next((int(e.details[k]) for k in _CELL_COUNTS if k in e.details), None)
+        rows.append(("flag" if e.operation in FLAG_OPERATIONS else "fix", e.operation, e.column, n))
+    return spark.createDataFrame(rows, "kind string, operation string, column string, cells long")
+
+
 def clean_summary(before: DataFrame, after: DataFrame, log: list[C.LogEntry]) -> DataFrame:
-    """PIP-7: snapshot before -> after (rows, columns, missing, duplicates, outliers)
-    and the columns each logged step touched."""
-    b = Q.snapshot(before).first()
-    a = Q.snapshot(after).first()
+    """PIP-7: rows (section, item, before, after).
+
+    ``metric``: snapshot numbers; ``transition``: missing cells per column that
+    changed; ``fix`` / ``flag``: logged operations with the cells concerned.
+    """
     spark = before.sparkSession
-    rows = [(k, int(b[k]), int(a[k])) for k in ("rows", "columns", "total_missing", "duplicate_rows",
-                                                 "outlier_cells")]
-    modified = sorted({e.column for e in log if e.column and e.operation not in
-                       ("identifier_column_retained", "duplicate_column_retained", "constant_columns_retained",
-                        "statistical_outlier_flagged", "high_missing_column_review", "all_null_column_review")})
-    rows.append(("modified_columns", len(modified), len(modified)))
-    return spark.createDataFrame(rows, "metric string, before long, after long")
+    b, a = (Q.snapshot(x).first() for x in (before, after))
+    rows = [("metric", k, int(b[k]), int(a[k])) for k in ("rows", "columns", "total_missing", "duplicate_rows",
+                                                           "outlier_cells")]
+    changed = {e.column for e in log if e.column and e.operation not in FLAG_OPERATIONS}
+    rows.append(("metric", "modified_columns", 0, len(changed)))
+    _, had = null_counts(before)
+    _, has = null_counts(after)
+    rows += [("transition", f"missing:{c}", had[c], has[c]) for c in before.columns if c in has and had[c] != has[c]]
+    totals = issues(log, spark).groupBy("kind", "operation").agg(F.sum("cells").alias("n")).orderBy("kind", "operation")
+    for r in totals.collect():  # one row per kind of log entry
+        rows.append((r["kind"], r["operation"], r["n"], 0 if r["kind"] == "fix" else r["n"]))
+    return spark.createDataFrame(rows, "section string, item string, before long, after long")
 
 
 def candidates(df: DataFrame) -> DataFrame:
@@ -95,12 +123,16 @@ def candidates(df: DataFrame) -> DataFrame:
                                                  "priority string")
 
 
-def preview_clean(df: DataFrame, cfg: CleaningConfig | None = None) -> dict[str, DataFrame]:
-    """PIP-6: before-snapshot and the planned log; nothing is written."""
+def preview_clean(df: DataFrame, cfg: CleaningConfig | None = None,
+                  key: str | list[str] | None = None) -> dict[str, DataFrame]:
+    """PIP-6: findings before cleaning, the planned log, and what it would fix or only flag; no stage is written."""
     spark = df.sparkSession
-    _, log = clean(df, cfg)
+    _, log = clean(df, cfg, key)
+    planned = issues(log, spark)
     return {"missing": Q.missing_values(df), "duplicate_rows": Q.duplicate_rows(df),
-            "outliers": Q.iqr_outliers(df, coerce=False), "planned_log": C.log_frame(spark, log)}
+            "outliers": Q.iqr_outliers(df, coerce=False), "planned_log": C.log_frame(spark, log),
+            "issues_to_fix": planned.where("kind = 'fix'").drop("kind"),
+            "issues_to_flag": planned.where("kind = 'flag'").drop("kind")}
 
 
 def run_stages(spark: SparkSession, raw: DataFrame, root: str, target: str | None = None,

@@ -20,7 +20,7 @@ from kiln.sources.io import read_table
 # ---- fixed values: view definitions -----------------------------------------
 DIRTY_CUSTOMER = """
 SELECT
-  c_custkey AS customer_id,
+  c_custkey AS customer_id, c_name AS customer_name,
   CASE WHEN c_custkey % 7 = 0 THEN NULL
        WHEN c_custkey % 50 = 1 THEN -5
        WHEN c_custkey % 97 = 0 THEN 999
@@ -46,12 +46,12 @@ FROM {customer}
 """
 
 DIRTY_EVENTS = """
-SELECT event_id, user_id,
+SELECT event_id, CASE WHEN event_id % 13 = 0 THEN NULL ELSE ts END AS ts, user_id, props,
   CASE WHEN event_id % 17 = 0 THEN '  ' ELSE event_type END AS event_type,
   CASE WHEN event_id % 9 = 0 THEN NULL ELSE value END AS value
 FROM {events}
 UNION ALL
-SELECT event_id, user_id,
+SELECT event_id, CASE WHEN event_id % 13 = 0 THEN NULL ELSE ts END AS ts, user_id, props,
   CASE WHEN event_id % 17 = 0 THEN '  ' ELSE event_type END AS event_type,
   CASE WHEN event_id % 9 = 0 THEN NULL ELSE value END AS value
 FROM {events} WHERE event_id % 20 = 0
@@ -71,12 +71,12 @@ FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey
 """
 
 LABELLED_DOCUMENTS = """
-SELECT d.doc_id, d.lang, d.source, d.n_chars, lb.quality, lb.toxic
+SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, lb.quality, lb.toxic
 FROM {documents} d LEFT JOIN {labels} lb ON d.doc_id = lb.doc_id
 """
-CATEGORICAL_CUSTOMER = ("SELECT customer_id, city, gender, segment, near_constant FROM ("
+CATEGORICAL_CUSTOMER = ("SELECT customer_id, customer_name, city, gender, segment, near_constant FROM ("
                         + DIRTY_CUSTOMER + ") dc")
-CUSTOMER_AGE_COPY = ("SELECT customer_id, age, salary, city, age * 2 AS age_copy, churn FROM ("
+CUSTOMER_AGE_COPY = ("SELECT customer_id, customer_name, age, salary, city, age * 2 AS age_copy, churn FROM ("
                      + DIRTY_CUSTOMER + ") dc")
 # ---- end of fixed values ----------------------------------------------------
 

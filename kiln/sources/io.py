@@ -15,7 +15,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kiln.functions.exprs import col
+from kiln.functions.exprs import col, is_string_type
 from kiln.operators.stats import nan_to_null
 
 STAGES = ("raw", "cleaned", "feature_engineered", "feature_selected")
@@ -37,14 +37,17 @@ class PipelineStateError(Exception):
 
 # --------------------------------------------------------------------- SRC-1
 def read_table(spark: SparkSession, path: str, fmt: str | None = None,
-               encoding: str = "UTF-8", nan_as_null: bool = False, validate: bool = True) -> DataFrame:
+               encoding: str = "UTF-8", nan_as_null: bool = True, validate: bool = True,
+               schema: str | None = None) -> DataFrame:
     """Read Parquet (default) or CSV with header and inferred types.
 
     CSV uses ``mode=FAILFAST`` so malformed rows raise one clean error instead
-    of silently becoming nulls; an empty file raises too. Spark parses CSV
+    of silently becoming nulls; an empty file raises too, and so does text that
+    the encoding cannot decode (Spark puts U+FFFD for it). Spark parses CSV
     lazily and only the columns a query needs, so with ``validate`` one pass
-    that touches every column runs here (schema inference already scans the
-    file once); ``validate=False`` defers errors to the first action.
+    that touches every column runs here; ``validate=False`` defers errors to the
+    first action. ``schema`` (DDL) skips the scan that infers types. NaN becomes
+    null unless ``nan_as_null`` is off.
     """
     fmt = fmt or ("csv" if path.lower().endswith(".csv") else "parquet")
     try:
@@ -53,14 +56,19 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None,
             if not first or not first[0][0].strip():
                 raise SourceError("The CSV file is empty.")
             header = next(csv.reader([first[0][0]]))
-            df = (spark.read.option("header", True).option("inferSchema", True)
-                  .option("mode", "FAILFAST").option("encoding", encoding).csv(path))
-            if len(header) == len(df.columns):
+            reader = spark.read.option("header", True).option("mode", "FAILFAST").option("encoding", encoding)
+            reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
+            df = reader.csv(path)
+            if not schema and len(header) == len(df.columns):
                 # Spark renames repeated headers itself; apply the x__dupk rule to the real names
                 df = df.toDF(*unique_names([h.strip() for h in header]))
             if validate:
                 # max() needs every value, so no column can be pruned from the parse
-                df.select(F.xxhash64(*[col(c) for c in df.columns]).alias("h")).agg(F.max("h")).first()
+                texts = [col(f.name) for f in df.schema.fields if is_string_type(f.dataType)]
+                bad = df.select(F.xxhash64(*[col(c) for c in df.columns]).alias("h"),
+                                F.concat_ws("", *texts).contains("\ufffd").alias("u")).agg(F.max("h"), F.max("u")).first()
+                if bad[1]:
+                    raise SourceError(f"The file holds bytes that are not {encoding}.")
         elif fmt == "parquet":
             df = spark.read.parquet(path)
         else:
@@ -170,9 +178,10 @@ def frame_fingerprint(df: DataFrame) -> DataFrame:
     """Row count, column list and an order-insensitive content hash.
 
     ``sum(xxhash64(row))`` over decimals does not depend on row order or
-    partitioning, so it proves that an operator left its input unchanged.
+    partitioning, so it proves that an operator left its input unchanged. A
+    flag per column goes into the hash, since it skips nulls.
     """
-    cols = [col(c) for c in df.columns]
+    cols = [x for c in df.columns for x in (col(c).isNull(), col(c))]
     h = F.xxhash64(*cols).cast("decimal(38,0)") if cols else F.lit(0)
     return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(h).cast("string").alias("content_hash")) \
              .select("rows", F.lit(",".join(df.columns)).alias("columns"), "content_hash")

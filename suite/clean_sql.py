@@ -55,6 +55,9 @@ def impute_numeric(table: str) -> str:
     """Mean, or median when |G1| >= 1 with >= 8 values; whole-valued columns rounded."""
     repl, stats = {}, []
     for i, (c, k) in enumerate(cols(table)):
+        if k == "ts":  # most frequent value, the smallest of equals
+            repl[c] = (f"coalesce(t.{G.q(c)}, (SELECT v FROM (SELECT {G.q(c)} AS v, count(*) AS n FROM {source_sql(table)} t "
+                       f"WHERE {G.q(c)} IS NOT NULL GROUP BY 1) ORDER BY n DESC, v LIMIT 1))")
         if k not in ("int", "dbl"):
             continue
         v = G.num(c, k)
@@ -126,3 +129,16 @@ def change_samples(table: str) -> str:
     after = "CASE WHEN coalesce(age < 0 OR age > 120, false) THEN NULL ELSE age END"
     return (f"SELECT customer_id, CAST(age AS VARCHAR) AS before, CAST(({after}) AS VARCHAR) AS after "
             f"FROM {src} t WHERE age IS DISTINCT FROM ({after}) ORDER BY customer_id LIMIT 8")
+
+
+def without(table: str, dropped: str) -> str:
+    """The table without one column."""
+    return f"SELECT * EXCLUDE ({G.q(dropped)}) FROM {source_sql(table)} t"
+
+
+def outlier_flags(table: str, flagged: list[str]) -> str:
+    """The table plus <c>__is_outlier for the columns that have outliers."""
+    nums = [c for c, k in cols(table) if k in ("int", "dbl")]
+    kinds = dict(cols(table))
+    flags = ", ".join(f"{_mask(c, kinds[c])[0]} AS {G.q(c + '__is_outlier')}" for c in flagged)
+    return f"SELECT t.*, {flags} FROM {source_sql(table)} t, {_fences(table, nums)} f"

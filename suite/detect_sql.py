@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from kiln.functions import names as N
-from kiln.functions.exprs import BOOLEAN_LITERALS, DATETIME_FORMATS
+from kiln.functions.exprs import BOOLEAN_LITERALS
 from suite import sqlgen as G
 from suite.schemas import cols, source_sql
 
@@ -18,7 +18,7 @@ def _facts(table: str, c: str, k: str) -> str:
              f"coalesce(bool_and(CASE WHEN {v} IS NOT NULL THEN lower({G.strip(text)}) IN ({lits}) END), false) AS allbool"]
     if k == "str":
         fr = ", ".join(f"CAST(count(*) FILTER (WHERE {G.ts_single(c, p)} IS NOT NULL) AS DOUBLE) / count({q})"
-                       for _, p in DATETIME_FORMATS)
+                       for p in G.STRPTIMES)
         parts += [f"CASE WHEN count({q}) > 0 THEN greatest({fr}) ELSE 0.0 END AS dtr",
                   f"CAST(count({G.num(c, k)}) AS DOUBLE) / greatest(count({q}), 1) AS numr",
                   f"avg(length({q})) AS mlen",
@@ -151,17 +151,17 @@ def opportunities(table: str, target: str | None) -> str:
                 f"{G.lit(prio)}, 1, false, NULL, NULL WHERE {cond}")
     hs = [c for c in names if N.matches(N.FE_HEIGHT, c)]
     ws = [c for c in names if N.matches(N.FE_WEIGHT, c)]
-    rows += [rel([h, w], "Possible BMI / body-composition ratio", "HIGH",
+    rows += [rel([h, w], "body_ratio", "HIGH",
                  f"{typed(h, ('numerical',))} AND {typed(w, ('numerical',))}") for h in hs for w in ws]
     ss = [c for c in names if N.matches(N.FE_SALARY, c)]
     es = [c for c in names if N.matches(N.FE_EXPERIENCE, c)]
-    rows += [rel([s_, e], "Possible salary-per-experience ratio", "MEDIUM",
+    rows += [rel([s_, e], "pay_per_experience", "MEDIUM",
                  f"{typed(s_, ('numerical',))} AND {typed(e, ('numerical', 'categorical'))}") for s_ in ss for e in es]
     st = [c for c in names if N.matches(N.FE_START_DATE, c)]
     en = [c for c in names if N.matches(N.FE_END_DATE, c)]
-    rows += [rel([a, b], "Possible duration / tenure", "HIGH",
+    rows += [rel([a, b], "duration", "HIGH",
                  f"{typed(a, ('datetime',))} AND {typed(b, ('datetime',))}") for a in st for b in en if a != b]
     no_end = " AND ".join(f"NOT {typed(b, ('datetime',))}" for b in en) or "true"
-    rows += [rel([a], "Possible tenure vs reference date", "MEDIUM", f"{typed(a, ('datetime',))} AND {no_end}")
+    rows += [rel([a], "tenure_to_reference", "MEDIUM", f"{typed(a, ('datetime',))} AND {no_end}")
              for a in st]
     return G.union_all(rows)

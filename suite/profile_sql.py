@@ -83,7 +83,7 @@ _SPARK_TYPE = ("CASE typeof({c}) WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN
 
 def profile_columns(table: str) -> str:
     """dtype, counts, distinct, smallest value as text (<= 80 chars), semantic type."""
-    from kiln.functions.exprs import BOOLEAN_LITERALS, DATETIME_FORMATS
+    from kiln.functions.exprs import BOOLEAN_LITERALS
     src = source_sql(table)
     lits = ", ".join(G.lit(x) for x in BOOLEAN_LITERALS)
     parts = []
@@ -97,7 +97,7 @@ def profile_columns(table: str) -> str:
                     f"lower({G.strip(text)}) IN ({lits}) END), false))")
         if k == "str":
             fr = ", ".join(f"CAST(count(*) FILTER (WHERE {G.ts_single(c, p)} IS NOT NULL) AS DOUBLE) / count({q})"
-                           for _, p in DATETIME_FORMATS)
+                           for p in G.STRPTIMES)
             dtl = f"(CASE WHEN count({q}) > 0 THEN greatest({fr}) ELSE 0.0 END) >= 0.8"
         else:
             dtl = "true" if k == "ts" else "false"

@@ -5,7 +5,6 @@ from __future__ import annotations
 from itertools import combinations
 
 from kiln.functions import names as N
-from kiln.functions.exprs import DATETIME_FORMATS
 from suite import sqlgen as G
 from suite.schemas import cols, source_sql
 
@@ -99,7 +98,7 @@ WHERE same_nulls AND ratio >= 0.95 AND ratio < 1.0"""
 def _dtl(c: str) -> str:
     """Best single-format parse ratio among non-null values."""
     fr = ", ".join(f"CAST(count(*) FILTER (WHERE {G.ts_single(c, p)} IS NOT NULL) AS DOUBLE) / "
-                   f"count({G.q(c)})" for _, p in DATETIME_FORMATS)
+                   f"count({G.q(c)})" for p in G.STRPTIMES)
     return f"(CASE WHEN count({G.q(c)}) > 0 THEN greatest({fr}) ELSE 0.0 END)"
 
 
@@ -263,3 +262,24 @@ SELECT score, CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 75 THEN 'Good
   round_even(CAST(invalid_values AS DOUBLE), 4) AS invalid_values, round_even(CAST(outliers AS DOUBLE), 4) AS outliers,
   round_even(CAST(class_imbalance AS DOUBLE), 4) AS class_imbalance FROM s"""
     return pen
+
+
+def findings(table: str, year: int, target: str, kind: str) -> str:
+    """PIP-3: every section's findings, from the single checks."""
+    src = source_sql(table)
+    total = f"(SELECT count(*) FROM {src} t)"
+    parts = [
+        f"SELECT 'missing_values' AS section, column_name, 'missing' AS issue, count, percentage FROM ({missing_values(table)}) x",
+        f"SELECT 'duplicate_rows', NULL, 'duplicate_rows', count, percentage FROM ({duplicate_rows(table)}) x WHERE count > 0",
+        f"SELECT 'constant_columns', column_name, 'constant', 1, 100.0 FROM ({constant_columns(table)}) x",
+        f"SELECT 'high_missing_columns', h.column_name, 'high_missing', m.count, m.percentage FROM "
+        f"({high_missing_columns(table)}) h JOIN ({missing_values(table)}) m ON m.column_name = h.column_name",
+        f"SELECT 'invalid_values', column_name, issue_type, count, round_even(count * 100.0 / {total}, 2) "
+        f"FROM ({invalid_values(table, year)}) x",
+        f"SELECT 'outliers', column_name, 'iqr_outliers', outlier_count, round_even(outlier_count * 100.0 / {total}, 2) "
+        f"FROM ({iqr_outliers(table)}) x",
+        f"SELECT 'class_imbalance', any_value(target_column), 'majority_class', max(count), any_value(majority_percentage) "
+        f"FROM ({class_imbalance(table, target, kind)}) x",
+    ]
+    return ("SELECT section, column_name, issue, CAST(count AS BIGINT) AS count, CAST(percentage AS DOUBLE) AS percentage "
+            f"FROM ({G.union_all(parts)}) f")

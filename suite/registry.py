@@ -176,6 +176,14 @@ register("clean_domain_invalid",
          CS.domain_invalid("dirty_customer", ["age_text"]))
 register("clean_impute_numeric_events", _on("dirty_events", _first(I.impute_missing)),
          CS.impute_numeric("dirty_events"))
+register("quality_findings_customer", _on("dirty_customer", lambda d: Q.quality_findings(d, AS_OF_YEAR).select(
+    "section", "column_name", "issue", "count", "percentage")), QS.findings("dirty_customer", AS_OF_YEAR, "churn", "int"))
+register("clean_drop_duplicate_columns", _on("dirty_customer", _first(C.drop_duplicate_columns)),
+         CS.without("dirty_customer", "city_copy"))
+register("clean_drop_constant_columns", _on("dirty_customer", _first(lambda d: C.drop_constant_columns(d, remove=True))),
+         CS.without("dirty_customer", "constant_col"))
+register("clean_flag_outliers", _on("dirty_customer", _first(lambda d: C.handle_outliers(
+    d, "flag", add_flag_columns=True))), CS.outlier_flags("dirty_customer", ["age"]))
 register("clean_outliers_clip", _on("dirty_events", _first(lambda d: C.handle_outliers(d, "clip"))),
          CS.outliers_clip("dirty_events"))
 register("clean_outliers_remove", _on("dirty_events", _first(lambda d: C.handle_outliers(d, "remove"))),
@@ -265,7 +273,8 @@ register("select_feature_quality_documents",
          SS.feature_quality("labelled_documents", "quality"))
 register("select_decisions", _on("dirty_customer", lambda d: S.analyze_selection(d, "churn")["decisions"]),
          SS.decisions("dirty_customer", "churn", ["customer_id", "age", "salary", "churn"],
-                      ["city", "city_copy", "gender", "segment", "constant_col", "near_constant", "age_text"],
+                      ["customer_name", "city", "city_copy", "gender", "segment", "constant_col", "near_constant",
+                       "age_text"],
                       ("age", "salary"), ["customer_id", "email"]))
 
 

@@ -6,18 +6,19 @@ from kiln.sources.derived import oracle_cte
 
 TABLES: dict[str, list[tuple[str, str]]] = {
     "dirty_customer": [
-        ("customer_id", "int"), ("age", "int"), ("salary", "dbl"), ("city", "str"),
+        ("customer_id", "int"), ("customer_name", "str"), ("age", "int"), ("salary", "dbl"), ("city", "str"),
         ("city_copy", "str"), ("gender", "str"), ("segment", "str"), ("constant_col", "str"),
         ("near_constant", "str"), ("age_text", "str"), ("email", "str"), ("churn", "int"),
     ],
-    "customer_age_copy": [("customer_id", "int"), ("age", "int"), ("salary", "dbl"), ("city", "str"),
+    "customer_age_copy": [("customer_id", "int"), ("customer_name", "str"), ("age", "int"), ("salary", "dbl"), ("city", "str"),
                           ("age_copy", "int"), ("churn", "int")],
-    "categorical_customer": [("customer_id", "int"), ("city", "str"), ("gender", "str"), ("segment", "str"),
+    "categorical_customer": [("customer_id", "int"), ("customer_name", "str"), ("city", "str"), ("gender", "str"), ("segment", "str"),
                              ("near_constant", "str")],
-    "dirty_events": [("event_id", "int"), ("user_id", "int"), ("event_type", "str"), ("value", "dbl")],
+    "dirty_events": [("event_id", "int"), ("ts", "ts"), ("user_id", "int"), ("props", "str"), ("event_type", "str"),
+                     ("value", "dbl")],
     "dirty_dates": [("order_id", "int"), ("line_no", "int"), ("order_date", "str"),
                     ("ship_date", "str"), ("quantity", "dbl"), ("price", "dbl")],
-    "labelled_documents": [("doc_id", "int"), ("lang", "str"), ("source", "str"),
+    "labelled_documents": [("doc_id", "int"), ("text", "str"), ("lang", "str"), ("source", "str"),
                            ("n_chars", "int"), ("quality", "int"), ("toxic", "int")],
     "lineitem": [("l_orderkey", "int"), ("l_partkey", "int"), ("l_suppkey", "int"),
                  ("l_linenumber", "int"), ("l_quantity", "dbl"), ("l_extendedprice", "dbl"),

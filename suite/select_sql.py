@@ -181,8 +181,8 @@ m AS ({mutual_information(table, target, mi_nums, mi_cats)})
 SELECT cp.feature_a, cp.feature_b, cp.correlation,
   CASE WHEN qa.is_identifier AND NOT qb.is_identifier THEN cp.feature_b
        WHEN qb.is_identifier AND NOT qa.is_identifier THEN cp.feature_a
-       WHEN qa.is_exact_duplicate AND NOT qb.is_exact_duplicate THEN cp.feature_b
-       WHEN qb.is_exact_duplicate AND NOT qa.is_exact_duplicate THEN cp.feature_a
+       WHEN qa.is_exact_duplicate THEN coalesce(qa.duplicate_of, cp.feature_b)
+       WHEN qb.is_exact_duplicate THEN coalesce(qb.duplicate_of, cp.feature_a)
        WHEN qb.missing_pct - qa.missing_pct >= 10 THEN cp.feature_a
        WHEN qa.missing_pct - qb.missing_pct >= 10 THEN cp.feature_b
        WHEN ma.mi_score - mb.mi_score >= 0.02 THEN cp.feature_a

@@ -7,7 +7,12 @@ numeric parse, date parse, strip) in DuckDB's dialect.
 
 from __future__ import annotations
 
-from kiln.functions.exprs import DATETIME_FORMATS, NUMERIC_TEXT, WHITESPACE
+from kiln.functions.exprs import NUMERIC_TEXT, WHITESPACE
+
+# fixed values: the datetime formats of the library that strptime can say (zones are left to unit tests)
+STRPTIMES = ("%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M", "%Y-%m-%dT%H:%M:%S", "%Y/%m/%d", "%m/%d/%Y",
+             "%m/%d/%Y %H:%M", "%m/%d/%Y %H:%M:%S", "%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%dT%H:%M:%S.%f", "%d %b %Y",
+             "%d %B %Y", "%b %d, %Y", "%B %d, %Y", "%m-%d-%Y", "%Y%m%d", "%d/%m/%Y", "%m/%d/%y", "%Y-%m")
 
 # column kinds: "int" (integral), "dbl" (floating), "str", "ts", "bool"
 
@@ -48,7 +53,7 @@ def ts(name: str, kind: str) -> str:
     if kind == "ts":
         return f"CAST({c} AS TIMESTAMP)"
     if kind == "str":
-        fmts = ", ".join(lit(p) for _, p in DATETIME_FORMATS)
+        fmts = ", ".join(lit(p) for p in STRPTIMES)
         return f"try_strptime({strip(c)}, [{fmts}])"
     return "CAST(NULL AS TIMESTAMP)"
 

@@ -64,7 +64,7 @@ def test_group_mode(spark):
         rows += [(city, g)] * 12 + [(city, "M" if g == "F" else "F")] + [(city, None)]
     df = spark.createDataFrame(rows, "City string, Gender string")
     out, log = I.impute_missing(df)
-    assert log[0].details["group_based"]
+    assert log[0].details["method"] == "group_based_mode"
     got = {r["City"]: r["Gender"] for r in out.where("Gender IS NOT NULL").groupBy("City", "Gender").count()
            .orderBy("count", ascending=False).collect()[:2]}
     assert got == {"Paris": "F", "Lyon": "M"}

@@ -1,41 +1,48 @@
 from pyspark.sql import functions as F
 
 from kiln.operators import quantiles as QN
-from kiln.operators import impute as I
-from kiln.operators.stats import numeric_stats
+from kiln.operators.stats import distinct_counts, numeric_stats
 
 
-def test_narrowing_equals_percentile(spark):
+def test_equals_percentile(spark):
     df = spark.range(0, 20000).select(
         ((F.col("id") * 7919) % 10007).cast("double").alias("a"),
         F.when(F.col("id") % 5 == 0, None).otherwise((F.col("id") % 97) / 3.0).alias("b"),
-        F.lit(1.0).alias("c"))
+        F.lit(1.0).alias("c"), F.lit(None).cast("double").alias("d"))
     probs = (0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0)
-    ref = numeric_stats(df, ["a", "b", "c"], distinct=False, quantiles=probs)
-    got = QN.exact_quantiles(df, {n: F.col(n) for n in ["a", "b", "c"]}, probs, accuracy=100, subset_max=300)
-    for n in ["a", "b", "c"]:
-        assert got[n] == ref[n].quantiles
-
-
-def test_session_switch_uses_narrowing(spark):
-    df = spark.createDataFrame([(x,) for x in [1.0, 1.0, 1.0, 1.0, 2.0, 2.0, 3.0, 1000.0, None]], "score double")
-    spark.conf.set("kiln.quantiles", "narrow")
-    try:
-        out, log = I.impute_missing(df)
-    finally:
-        spark.conf.unset("kiln.quantiles")
-    assert log[0].details["method"] == "median" and log[0].details["fill_value"] == 2
-
-
-def test_auto_narrows_large_columns_with_same_results(spark, monkeypatch):
-    from kiln.operators.stats import quartile_stats
-    df = spark.range(0, 30000).select(((F.col("id") * 7919) % 10007).cast("double").alias("a"),
-                                      (F.col("id") % 13).cast("double").alias("b"))
-    probs = (0.25, 0.5, 0.75)
-    ref = numeric_stats(df, ["a", "b"], quantiles=probs)
-    monkeypatch.setattr(QN, "NARROW_ABOVE", 10000)  # every column counts as large
-    got = numeric_stats(df, ["a", "b"], quantiles=probs)
-    q = quartile_stats(df, ["a", "b"])
+    got = QN.exact_quantiles(df, {n: F.col(n) for n in "abcd"}, probs)
+    want = df.agg(*[F.percentile(n, F.array(*map(F.lit, probs))).alias(n) for n in "abc"]).first()
+    for n in "abc":
+        assert [got[n][p] for p in probs] == list(want[n])
+    assert set(got["d"].values()) == {None}
+
+
+def test_one_hot_value(spark):
+    """A column that is 90 % one value: its rows collapse before the shuffle."""
+    df = spark.range(0, 50000, 1, 8).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(7).cast("double").alias("v"))
+    got, distinct, n = QN.value_quantiles(df, {"v": F.col("v")}, (0.05, 0.5, 0.999))
+    want = df.agg(F.percentile("v", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.999))).alias("q")).first()["q"]
+    assert list(got["v"].values()) == list(want) and distinct["v"] == 5001 and n["v"] == 50000
+
+
+def test_results_do_not_depend_on_partitions(spark):
+    df = spark.range(0, 3000).select(((F.col("id") * 31) % 1009 / 7).alias("a"), (F.col("id") % 3).cast("double").alias("b"))
+    probs = (0.2, 0.5, 0.8)
+    out = []
+    for parts in ("1", "3", "17"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            out.append(numeric_stats(df, ["a", "b"], quantiles=probs))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
     for n in "ab":
-        assert got[n].quantiles == ref[n].quantiles and got[n].distinct == ref[n].distinct
-        assert q[n].quantiles == {p: ref[n].quantiles[p] for p in (0.25, 0.75)}
+        assert len({(tuple(o[n].quantiles.items()), o[n].distinct) for o in out}) == 1
+
+
+def test_distinct_counts_above_2_to_53(spark):
+    df = spark.range(0, 1000).select((F.col("id") + F.lit(2**60)).alias("long_id"),
+                                     (F.col("id").cast("decimal(38,2)") + F.lit("1" + "0" * 30).cast("decimal(38,2)")).alias("big"),
+                                     F.concat(F.lit("x" * 100), F.col("id").cast("string")).alias("text"),
+                                     F.when(F.col("id") % 2 == 0, float("nan")).otherwise(F.col("id") / 2).alias("d"))
+    assert distinct_counts(df, df.columns) == {"long_id": 1000, "big": 1000, "text": 1000, "d": 500}
+    assert numeric_stats(df, ["long_id"], quantiles=(0.5,))["long_id"].distinct == 1000
