@@ -39,10 +39,10 @@ from kiln.llm.common import runs_of, stage
 BLOCK_ROWS = 65_536
 LEAST_ROWS = 2_048
 PROJECTIONS = 64
-RATIO = 1.15
+RATIO = 1.2
 THRESHOLD = 0.6
 MARGIN = 0.07
-START_SHARE = 0.2
+START_SHARE = 0.7
 QUERY_BATCH = 1_024
 SEED = 29
 
@@ -170,7 +170,8 @@ def nearest_neighbours(df: DataFrame, is_query: Column, k: int = 10, id_col: str
         blocks, F.col("dim") == F.col("b_dim"))
     queries = asked.select("dim", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
                            F.lit(1).alias("is_query"), "vec_id", "vector")
-    found = (vectors.unionByName(queries).repartition("dim", "block")
+    # by range: blocks spread evenly over tasks, where hashes of a few block numbers would collide
+    found = (vectors.unionByName(queries).repartitionByRange("dim", "block")
              .sortWithinPartitions("dim", "block", "is_query")
              .mapInArrow(lambda b: _search_blocks(b, k, projections, threshold, ratio, seed),
                          "query_id long, vec_id long, score double"))
