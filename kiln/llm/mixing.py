@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from kiln.llm.common import WORD, stage
 
 BLOCK_WORDS = 256
-CHUNK_ROWS = 50_000
+CHUNK_ROWS = 8_192
 SHARD_SLOTS = 4096
 
 
@@ -203,7 +203,8 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
                                         block_words, seed)
     docs = stage(docs, "mix-stream")
     times = slots.groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
-    taken = (_pieces(docs, targets, block_words).join(times, ["rank", "block"])
+    # the planner sees only the small table that the draws were made from: it must not broadcast them
+    taken = (_pieces(docs, targets, block_words).join(times.hint("merge"), ["rank", "block"])
              .groupBy("rank", "start").agg(F.sum((F.col("upto") - F.col("from")) * F.col("times")).alias("taken"))
              .withColumnRenamed("start", "k_start").withColumnRenamed("rank", "k_rank"))
     t = targets.select(F.col("source").alias("t_source"), "rank", "source_size", "target")
@@ -227,7 +228,7 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs, targets, slots = plan_mixture(df, id_col, text_col, source_col, weights, amount, max_repeat,
                                         block_words, seed)
     docs = stage(docs, "mix-stream")
-    parts = (_pieces(docs, targets, block_words).join(slots.select("rank", "block", "turn"), ["rank", "block"])
+    parts = (_pieces(docs, targets, block_words).join(slots.select("rank", "block", "turn").hint("merge"), ["rank", "block"])
              .groupBy("k1", "k2", "start", "size", "turn")
              .agg(F.sort_array(F.collect_list(F.struct("from", "upto"))).alias("parts"),
                   F.sum(F.col("upto") - F.col("from")).alias("got")))
