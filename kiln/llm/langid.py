@@ -27,7 +27,6 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -207,28 +206,34 @@ def kneser_ney(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return union(probs), union(weights)
 
 
-def _hash(keys: np.ndarray) -> np.ndarray:
+def _rotate(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def hash_keys(keys: np.ndarray) -> np.ndarray:
+    """The top HASH_BITS bits of XXH64 (seed 42) of 64-bit keys, as Spark's ``xxhash64`` gives them."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
+                                                 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
     with np.errstate(over="ignore"):
-        z = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        z = (z ^ (z >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (z >> np.uint64(64 - HASH_BITS)).astype(np.uint32)
+        h = (np.uint64(42) + p5 + np.uint64(8)) ^ (_rotate(keys.astype(np.uint64) * p2, 31) * p1)
+        h = _rotate(h, 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        h ^= h >> np.uint64(32)
+    return (h >> np.uint64(64 - HASH_BITS)).astype(np.uint32)
 
 
 class HashArray:
-    """A sorted array of hashes with a value each; of equal hashes the largest value stays."""
+    """A sorted array of hashes with a value each."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        h = _hash(keys)
-        order = np.lexsort((values, h))
-        h, values = h[order], values[order].astype(np.float32)
-        last = np.append(h[1:] != h[:-1], True) if len(h) else np.zeros(0, bool)
-        self.hashes, self.values = h[last], values[last]
+    def __init__(self, hashes: np.ndarray, values: np.ndarray):
+        self.hashes, self.values = hashes, values
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(found, value) of each key."""
         if not len(self.hashes):
             return np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
-        h = _hash(keys)
+        h = hash_keys(keys)
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         return self.hashes[at] == h, self.values[at]
 
@@ -261,20 +266,32 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> list
     counts = stage(rows.mapInArrow(_count, "lang string, key long, n long")
                    .groupBy("lang", "key").agg(F.sum("n").alias("n")), "ngrams")
     probs, weights = kneser_ney(counts)
-    hashed = lambda t: t.toPandas()
-    p, w = hashed(_bounded(probs)), hashed(_bounded(weights))
-    part = lambda t, lang, size: HashArray(*(
-        (x := t[(t["lang"] == lang) & (t["size"] == size)])["key"].to_numpy(np.int64).view(np.uint64),
-        x["value"].to_numpy(np.float64)))
-    return [LanguageModel(lang, {s: part(p, lang, s) for s in range(1, ORDER + 1)},
-                          {s: part(w, lang, s) for s in range(ORDER)}) for lang in sorted(set(p["lang"]))]
+    grams, contexts = _hash_arrays(probs), _hash_arrays(weights)
+    empty = HashArray(np.zeros(0, np.uint32), np.zeros(0, np.float32))
+    part = lambda t, lang, sizes: {s: t.get((lang, s), empty) for s in sizes}
+    return [LanguageModel(lang, part(grams, lang, range(1, ORDER + 1)), part(contexts, lang, range(ORDER)))
+            for lang in sorted({lang for lang, _ in grams})]
+
+
+def _hash_arrays(t: DataFrame) -> dict[tuple[str, int], HashArray]:
+    """The sorted hash array of each (lang, size); of equal hashes the largest value stays.
+
+    Hashes are aggregated before a task sorts them, so a group has at most
+    2^HASH_BITS rows; the driver gets two packed arrays per group.
+    """
+    best = t.groupBy("lang", "size", F.shiftrightunsigned(F.xxhash64("key"), 64 - HASH_BITS).alias("hash")).agg(
+        F.max("value").alias("value"))
 
+    def pack(group: pa.Table) -> pa.Table:
+        h, v = group.column("hash").to_numpy(), group.column("value").to_numpy()
+        order = np.argsort(h)
+        return pa.table({"lang": group.column("lang").slice(0, 1), "size": group.column("size").slice(0, 1),
+                         "hashes": pa.array([h[order].astype(np.uint32).tobytes()], pa.binary()),
+                         "values": pa.array([v[order].astype(np.float32).tobytes()], pa.binary())})
 
-def _bounded(t: DataFrame) -> DataFrame:
-    """One key per (lang, size, hash bucket), with the bucket's largest value: what the arrays keep."""
-    bucket = F.shiftrightunsigned(F.xxhash64("key"), 64 - HASH_BITS)
-    best = t.groupBy("lang", "size", bucket.alias("bucket")).agg(F.max(F.struct("value", "key")).alias("m"))
-    return best.select("lang", "size", F.col("m.key").alias("key"), F.col("m.value").alias("value"))
+    rows = best.groupBy("lang", "size").applyInArrow(pack, "lang string, size int, hashes binary, values binary").collect()
+    return {(r["lang"], r["size"]): HashArray(np.frombuffer(bytes(r["hashes"]), np.uint32),
+                                              np.frombuffer(bytes(r["values"]), np.float32)) for r in rows}
 
 
 _SCORED = "lang_best string, bits double, margin double, chars long"
@@ -324,20 +341,29 @@ def identify(df: DataFrame, learns: Column, text_col: str = "text", lang_col: st
     """
     models = learn(df.filter(learns), text_col, lang_col)
     marked = df.withColumn("__learns", F.coalesce(learns & F.col(f"`{lang_col}`").isNotNull(), F.lit(False)))
-    names = df.columns if keep is None else keep
-    scored = stage(score_languages(marked, models, text_col, [*names, "__learns"]), "languages")
-    taught = scored.filter(F.col("__learns") & F.col("__lang_best").isNotNull())
-    mean = taught.groupBy(F.col("__lang_best").alias("c_lang")).agg(F.avg("__bits").alias("c_mean"))
-    excess = (F.col("__bits") - F.col("c_mean")) * F.sqrt(F.least(F.col("__chars"), F.lit(REJECT_CHARS)))
-    limits = taught.join(mean, F.col("__lang_best") == F.col("c_lang")).groupBy("c_lang", "c_mean").agg(
-        F.percentile_approx(excess, REJECT_QUANTILE, 10_000).alias("c_limit"))  # one row per language
-    known = scored.join(F.broadcast(limits), F.col("__lang_best") == F.col("c_lang"), "left")
-    over = F.coalesce(excess > F.greatest(F.col("c_limit"), F.lit(1.0)) * REJECT_MARGIN, F.lit(False))
+    facts = stage(score_languages(marked, models, text_col, [*(keep or []), "__learns"]), "languages")
+    limits = stage(_limits(facts.filter(F.col("__learns") & F.col("__lang_best").isNotNull())), "limits")
+    known = facts
+    if keep is None:  # whole rows are scored again rather than written once more
+        keep, known = df.columns, score_languages(df, models, text_col)
+    known = known.join(F.broadcast(limits), F.col("__lang_best") == F.col("c_lang"), "left")  # one row per language
+    over = F.coalesce(_excess() > F.greatest(F.col("c_limit"), F.lit(1.0)) * REJECT_MARGIN, F.lit(False))
     others = F.exp(-F.coalesce("__margin", F.lit(0.0)) * F.log(F.lit(2.0)) * F.least(F.col("__chars"), F.lit(32)))
     return (known.withColumn("__lang_pred", F.coalesce("__lang_best", F.lit(UNDETERMINED)))
             .withColumn("__score", F.when(F.col("__lang_best").isNull(), 0.0).otherwise(1 / (1 + others)))
             .withColumn("__rejected", F.col("__lang_best").isNull() | over)
-            .select(*(F.col(f"`{c}`") for c in names), "__lang_pred", "__score", "__rejected"))
+            .select(*(F.col(f"`{c}`") for c in keep), "__lang_pred", "__score", "__rejected"))
+
+
+def _excess() -> Column:
+    return (F.col("__bits") - F.col("c_mean")) * F.sqrt(F.least(F.col("__chars"), F.lit(REJECT_CHARS)))
+
+
+def _limits(taught: DataFrame) -> DataFrame:
+    """Per language: mean cross-entropy of its learning documents and the quantile of their excess over it."""
+    mean = taught.groupBy(F.col("__lang_best").alias("c_lang")).agg(F.avg("__bits").alias("c_mean"))
+    return taught.join(mean, F.col("__lang_best") == F.col("c_lang")).groupBy("c_lang", "c_mean").agg(
+        F.percentile_approx(_excess(), REJECT_QUANTILE, 10_000).alias("c_limit"))
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
