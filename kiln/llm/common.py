@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,6 +120,25 @@ def change_points(t: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """(__doc, __tie): a row's id (null as the smallest number) and a hash of its text."""
+    return (F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))).alias("__doc"),
+            F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("__tie"))
+
+
+def keep_keys(df: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``df`` whose key is in ``keys`` (__doc, __tie), one of each key.
+
+    Rows travel once: the window that drops fully repeated rows uses the join's partitions.
+    """
+    k = keys.select(F.col("__doc").alias("__k_doc"), F.col("__tie").alias("__k_tie")).distinct()
+    doc, tie = row_key(id_col, text_col)
+    rows = df.withColumns({"__doc": doc, "__tie": tie}).join(
+        k.hint("merge"), (F.col("__doc") == F.col("__k_doc")) & (F.col("__tie") == F.col("__k_tie")), "left_semi")
+    one = F.row_number().over(Window.partitionBy("__doc", "__tie").orderBy(F.lit(1)))
+    return rows.withColumn("__one", one).filter("__one = 1").select(*(F.col(f"`{c}`") for c in df.columns))
+
+
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id (long) and the text, under fixed names, so that other columns cannot clash."""
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),

@@ -36,7 +36,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kiln.llm.common import change_points, documents, each_text, runs_of, stage, with_columns
+from kiln.llm.common import (change_points, documents, each_text, keep_keys, row_key, runs_of, stage,
+                             with_columns)
 
 SEED = 42
 MAX_BITS = 4
@@ -177,7 +178,7 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, cell_rows: int =
     shared = keys.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     blocks = F.ceil(F.col("n") / cell_rows)
     own = F.pmod(F.xxhash64("fp", F.lit(5)), F.col("blocks"))
-    cells = (keys.join(shared, ["mask", "value"]).withColumn("blocks", blocks).withColumn("own", own)
+    cells = (keys.hint("merge").join(shared, ["mask", "value"]).withColumn("blocks", blocks).withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
              .select("fp", "mask", "value", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")))
     where = ["mask", "value", "lo", "hi"]
@@ -241,13 +242,14 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Of rows that repeat that id, the one with the smallest text hash stays.
     """
-    rows = stage(with_fingerprint(df, text_col, shingle), "simhash-rows")
-    doc = F.col(f"`{id_col}`").cast("long")
-    ids = rows.select(doc.alias("doc_id"), F.col("__fp").alias("fp"), F.xxhash64(f"`{text_col}`").alias("tie"))
-    parts = fingerprint_components(ids, max_bits)
-    best = (ids.join(parts, "fp").groupBy(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")))
-            .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "fp")).alias("w"))
-            .select(F.col("w.doc_id").alias("__d"), F.col("w.tie").alias("__t"), F.col("w.fp").alias("__f")))
-    kept = rows.join(best, doc.eqNullSafe(F.col("__d")) & (F.xxhash64(f"`{text_col}`") == F.col("__t"))
-                     & (F.col("__fp") == F.col("__f")), "left_semi")
-    return kept.drop("__fp").dropDuplicates([id_col, text_col])
+    doc, tie = row_key(id_col, text_col)
+    slim = df.select(F.col(f"`{text_col}`").cast("string").alias("text"), doc, tie)
+    ids = stage(with_fingerprint(slim, "text", shingle, "fp", ["__doc", "__tie"]), "simhash")
+    named = ids.withColumn("doc_id", F.when(F.col("__doc") != F.lit(-(1 << 63)), F.col("__doc")))
+    parts = fingerprint_components(named.select("doc_id", "fp"), max_bits)
+    # a component without any id is one per fingerprint
+    group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp"))]
+    best = (named.join(parts, "fp").groupBy(*group)
+            .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "__doc", "__tie")).alias("w"))
+            .select("w.__doc", "w.__tie"))
+    return keep_keys(df, best, id_col, text_col)
