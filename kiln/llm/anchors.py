@@ -30,7 +30,6 @@ from kiln.llm.common import each_text, stage, text_bytes
 
 CHUNK_BYTES = 1 << 20
 PLACE_BITS = 30  # of a packed rank: places in a chunk; the other 34 rank the gram
-TIE_BITS = 24
 _U = np.uint64
 _BASES = (_U(0x9E3779B97F4A7C15 | 1), _U(0xC2B2AE3D27D4EB4F | 1))
 _INVERSES = tuple(_U(pow(int(b), -1, 1 << 64)) for b in _BASES)
@@ -167,10 +166,10 @@ def chunks(arr: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int,
 
 
 def keyed_documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, tie, text): ids with null as the smallest number, and bits that tell texts of one id apart."""
+    """(doc, tie, text): ids with null as the smallest number, and 64 bits that tell texts of one id apart."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     return df.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63))).alias("doc"),
-                     F.xxhash64(text).bitwiseAND(F.lit((1 << TIE_BITS) - 1)).alias("tie"), text.alias("text"))
+                     F.xxhash64(text).alias("tie"), text.alias("text"))
 
 
 def doc_id(doc: Column) -> Column:
@@ -179,10 +178,11 @@ def doc_id(doc: Column) -> Column:
 
 
 OCCURRENCE = "h long, ctx long, doc long, place long, span int"
+TIED = f"{OCCURRENCE}, tie long"
 
 
 def anchor_rows(docs: DataFrame, gram: int, window: int, words: bool) -> DataFrame:
-    """Occurrences of ``docs``: gram and context hash, doc, place (first window and tie), span.
+    """Occurrences of ``docs``: gram and context hash, doc, place (first window), span, tie.
 
     ``span`` holds how many windows follow the first (low 16 bits) and how far the anchor is from its start.
     """
@@ -194,20 +194,20 @@ def anchor_rows(docs: DataFrame, gram: int, window: int, words: bool) -> DataFra
                 if len(text):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(doc[a:z][text]),
-                         pa.array((lo << TIE_BITS) | tie[a:z][text]), pa.array(((hi - lo) | (p - lo) << 16).astype(np.int32))],
-                        names=["h", "ctx", "doc", "place", "span"])
+                         pa.array(lo), pa.array(((hi - lo) | (p - lo) << 16).astype(np.int32)), pa.array(tie[a:z][text])],
+                        names=["h", "ctx", "doc", "place", "span", "tie"])
 
-    return docs.mapInArrow(rows, OCCURRENCE)
+    return docs.mapInArrow(rows, TIED)
 
 
-_MARKED = ("h long, ctx long, doc long, place long, span int, repeated boolean, copies boolean, first boolean, "
+_MARKED = ("h long, ctx long, doc long, place long, tie long, span int, repeated boolean, copies boolean, first boolean, "
            "several boolean, part int, head int")
 
 
 class _Walk:
-    """State of one partition's walk over rows sorted by (h, ctx, doc, place)."""
+    """State of one partition's walk over rows sorted by (h, ctx, doc, place, tie)."""
 
-    KEYS = ("h", "ctx", "doc", "place")
+    KEYS = ("h", "ctx", "doc", "place", "tie")
 
     def __init__(self, part: int):
         self.part = part
@@ -219,14 +219,14 @@ class _Walk:
     def marks(self, t: pa.RecordBatch, after: pa.RecordBatch | None) -> pa.RecordBatch | None:
         """The marked rows of ``t``; ``after`` begins with the next row."""
         keys = [t.column(c).to_numpy() for c in self.KEYS]
-        none = [np.empty(0, np.int64)] * 4
+        none = [np.empty(0, np.int64)] * len(self.KEYS)
         prior = [np.array([x], np.int64) for x in self.before] if self.before else none
         later = [after.column(c).to_numpy()[:1] for c in self.KEYS] if after is not None else none
-        h, ctx, doc, place = (np.concatenate([p, k, q]) for p, k, q in zip(prior, keys, later))
+        h, ctx, doc, place, tie = (np.concatenate([p, k, q]) for p, k, q in zip(prior, keys, later))
         lead, n = len(prior[0]), len(keys[0])
         same_h = h[1:] == h[:-1]
         same_c = same_h & (ctx[1:] == ctx[:-1])
-        other = same_c & ((doc[1:] != doc[:-1]) | (place[1:] != place[:-1]))
+        other = same_c & ((doc[1:] != doc[:-1]) | (place[1:] != place[:-1]) | (tie[1:] != tie[:-1]))
         no = np.zeros(1, bool)
         back = lambda x: x[:n] if lead else np.concatenate([no, x[:n - 1]])  # noqa: E731  the row before agrees
         ahead = lambda x: np.concatenate([x, no])[lead:lead + n]  # noqa: E731  the row after agrees
@@ -291,9 +291,14 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def mark(rows: DataFrame, label: str) -> DataFrame:
-    """Rows (h, ctx, doc, place, span) that share a context or whose gram has several, with marks."""
+    """Rows (h, ctx, doc, place, tie, span) that share a context or whose gram has several, with marks.
+
+    Rows without a tie have one text per doc.
+    """
+    if "tie" not in rows.columns:
+        rows = rows.withColumn("tie", F.lit(0).cast("long"))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["h", "ctx", "doc", "place"]
+    order = ["h", "ctx", "doc", "place", "tie"]
     marked = stage(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_mark, _MARKED), label)
     row = F.struct(*order)
     edges = marked.filter("head > 0").groupBy("part").agg(
@@ -312,7 +317,7 @@ def mark(rows: DataFrame, label: str) -> DataFrame:
     fixed = marked.join(F.broadcast(table), F.col("part") == F.col("f_part"), "left")  # one row per partition
     yes = lambda c: F.coalesce(c, F.lit(False))
     return fixed.select(
-        "h", "ctx", "doc", "place", "span",
+        "h", "ctx", "doc", "place", "tie", "span",
         (F.col("repeated") | yes(F.col("joined") & is_low_context)).alias("repeated"),
         (F.col("copies") | yes(F.col("continues") & is_high_context)).alias("copies"),
         (F.col("first") & ~yes(F.col("joined") & is_low_context)).alias("first"),
@@ -368,11 +373,9 @@ def unpack(blob: bytes) -> bytes:
 
 
 def gathered(spans: DataFrame) -> DataFrame:
-    """From rows (doc, place, span): per document the sorted list of (lo, hi) windows."""
-    lo = F.shiftright("place", TIE_BITS)
-    return spans.select("doc", F.col("place").bitwiseAND(F.lit((1 << TIE_BITS) - 1)).alias("tie"),
-                        lo.alias("lo"), (lo + F.col("span").bitwiseAND(0xFFFF)).alias("hi"), *(c for c in spans.columns if c not in (
-                            "doc", "place", "span"))).groupBy("doc", "tie")
+    """From rows (doc, tie, place, span): per document the sorted list of (lo, hi) windows."""
+    return spans.select("doc", "tie", F.col("place").alias("lo"),
+                        (F.col("place") + F.col("span").bitwiseAND(0xFFFF)).alias("hi")).groupBy("doc", "tie")
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:

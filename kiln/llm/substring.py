@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.llm.anchors import (OCCURRENCE, TIE_BITS, Rolling, Units, anchor_rows, covered, doc_id, gathered, keyed_documents, mark,
+from kiln.llm.anchors import (TIED, Rolling, Units, anchor_rows, covered, doc_id, gathered, keyed_documents, mark,
                               unpack, with_spans)
 
 WINDOW = 20
@@ -53,7 +53,7 @@ def _bounds(spans: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """(h, ctx, doc, place, span 0) of every window in the spans of each document."""
+    """(h, ctx, doc, place, span 0, tie) of every window in the spans of each document."""
     for b in batches:
         out: list[list[np.ndarray]] = []
         for i in range(b.num_rows):
@@ -63,19 +63,19 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             start = np.concatenate([np.arange(a, z + 1) for a, z in zip(lo.tolist(), hi.tolist())])
             h, ctx = (Rolling(units.values, k).hash(start, start + window).view(np.int64) for k in (0, 1))
             out.append([h, ctx, np.full(len(start), b.column("doc")[i].as_py(), np.int64),
-                        (start << TIE_BITS) | b.column("tie")[i].as_py(), np.zeros(len(start), np.int32)])
+                        start, np.zeros(len(start), np.int32), np.full(len(start), b.column("tie")[i].as_py(), np.int64)])
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)],
-                                             names=["h", "ctx", "doc", "place", "span"])
+                                             names=["h", "ctx", "doc", "place", "span", "tie"])
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc, place, span): ranges of windows of keyed documents that also start earlier."""
+    """(doc, tie, place, span): ranges of windows of keyed documents that also start earlier."""
     seeds = mark(anchor_rows(docs, gram, window, True), "seeds")
-    leaders = seeds.filter("first AND several").select("doc", "place", "span").distinct()
+    leaders = seeds.filter("first AND several").select("doc", "tie", "place", "span").distinct()
     extended = with_spans(docs, _span_list(gathered(leaders)), "inner").select("doc", "tie", "blob", "spans")
-    windows = mark(extended.mapInArrow(lambda b: _windows(b, window), OCCURRENCE), "windows")
-    repeats = lambda t: t.filter("repeated").select("doc", "place", "span")
+    windows = mark(extended.mapInArrow(lambda b: _windows(b, window), TIED), "windows")
+    repeats = lambda t: t.filter("repeated").select("doc", "tie", "place", "span")
     return repeats(seeds).unionByName(repeats(windows))
 
 

@@ -37,8 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.llm.anchors import (OCCURRENCE, TIE_BITS, Rolling, Units, anchor_rows, covered, doc_id, gathered,
-                              keyed_documents, mark, unpack, with_spans)
+from kiln.llm.anchors import (TIED, Rolling, Units, anchor_rows, covered, doc_id, gathered, keyed_documents, mark, unpack,
+                              with_spans)
 from kiln.llm.common import change_points, runs_of, stage
 from kiln.llm.gsaca import suffix_array
 
@@ -46,7 +46,8 @@ WINDOW = 200
 GRAM = 32
 CELL_CONTEXTS = 8_192
 
-_CONTEXT = "h long, doc long, place long, copies boolean, before binary, after binary"
+_SHARED = "doc long, tie long, place long, span int"
+_CONTEXT = "h long, doc long, tie long, place long, copies boolean, before binary, after binary"
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -58,7 +59,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
             for h, lo, hi, anchor, copies in zip(*(b.column("leaders").slice(i, 1).flatten().field(k).to_pylist()
                                                    for k in ("h", "lo", "hi", "anchor", "copies"))):
                 p = lo + anchor
-                out.append((h, doc, (lo << TIE_BITS) | tie, copies, text[lo:p][::-1], text[p:hi + window]))
+                out.append((h, doc, tie, lo, copies, text[lo:p][::-1], text[p:hi + window]))
             if len(out) > 4096:
                 yield _table(out, _CONTEXT_TYPES, _CONTEXT)
                 out = []
@@ -66,7 +67,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
             yield _table(out, _CONTEXT_TYPES, _CONTEXT)
 
 
-_CONTEXT_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+_CONTEXT_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
 
 
 def _table(rows: list[tuple], types: tuple, ddl: str) -> pa.RecordBatch:
@@ -128,7 +129,7 @@ def repeated_in(strings: list[bytes], window: int) -> list[np.ndarray]:
 
 
 def _shared_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """(doc, place, span) of repeated windows among the contexts of each anchor; rows come sorted by h."""
+    """(doc, tie, place, span) of repeated windows among the contexts of each anchor; rows come sorted by h."""
     for t in runs_of(batches, ["h"]):
         n = t.num_rows
         group = np.zeros(n, np.int64)
@@ -142,7 +143,7 @@ def _shared_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[
         left, right = sides
         alive = np.flatnonzero(left + right >= window)
         out: list[tuple] = []
-        docs, places = t.column("doc").to_numpy(), t.column("place").to_numpy()
+        docs, ties, places = (t.column(c).to_numpy() for c in ("doc", "tie", "place"))
         before, after = t.column("before"), t.column("after")
         for part in np.split(alive, np.flatnonzero(np.diff(group[alive])) + 1):
             if not len(part):
@@ -158,15 +159,14 @@ def _shared_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[
                     hit = np.ones(len(cut) - window + 1, bool)
                 turn = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).reshape(-1, 2)
                 for i in rows:
-                    lo = (int(places[i]) >> TIE_BITS) + len(before[i].as_py()) - int(left[i])
-                    tie = int(places[i]) & ((1 << TIE_BITS) - 1)
-                    out += [(int(docs[i]), ((lo + a) << TIE_BITS) | tie, z - a - 1) for a, z in turn.tolist()]
+                    lo = int(places[i]) + len(before[i].as_py()) - int(left[i])
+                    out += [(int(docs[i]), int(ties[i]), lo + a, z - a - 1) for a, z in turn.tolist()]
         if out:
-            yield _table(out, (pa.int64(), pa.int64(), pa.int32()), "doc long, place long, span int")
+            yield _table(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), _SHARED)
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """(h, ctx, doc, place, span 0) of every window of the leaders of each document."""
+    """(h, ctx, doc, place, span 0, tie) of every window of the leaders of each document."""
     for b in batches:
         for i in range(b.num_rows):
             data = np.frombuffer(unpack(b.column("blob")[i].as_py()), np.uint8)
@@ -180,22 +180,23 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h[a:a + 50_000]), pa.array(ctx[a:a + 50_000]),
                      pa.array(np.full(len(s), b.column("doc")[i].as_py(), np.int64)),
-                     pa.array((s << TIE_BITS) | b.column("tie")[i].as_py()), pa.array(np.zeros(len(s), np.int32))],
-                    names=["h", "ctx", "doc", "place", "span"])
+                     pa.array(s), pa.array(np.zeros(len(s), np.int32)),
+                     pa.array(np.full(len(s), b.column("tie")[i].as_py(), np.int64))],
+                    names=["h", "ctx", "doc", "place", "span", "tie"])
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
                      cell_contexts: int = CELL_CONTEXTS) -> DataFrame:
-    """(doc, place, span): ranges of windows of keyed documents that start at another place too."""
+    """(doc, tie, place, span): ranges of windows of keyed documents that start at another place too."""
     seeds = mark(anchor_rows(docs, gram, window, False), "bytes")
-    leaders = seeds.filter("first AND several").select("h", "doc", "place", "span", "copies").distinct()
+    leaders = seeds.filter("first AND several").select("h", "doc", "tie", "place", "span", "copies").distinct()
     hot = leaders.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cell_contexts).select(
         F.col("h").alias("hot_h"))
     flagged = leaders.join(hot, F.col("h") == F.col("hot_h"), "left").withColumn(
         "hot", F.col("hot_h").isNotNull()).drop("hot_h")
-    lo = F.shiftright("place", TIE_BITS)
+    lo = F.col("place")
     listed = flagged.select(
-        "doc", F.col("place").bitwiseAND(F.lit((1 << TIE_BITS) - 1)).alias("tie"), "hot",
+        "doc", "tie", "hot",
         F.struct("h", lo.alias("lo"), (lo + F.col("span").bitwiseAND(0xFFFF)).alias("hi"),
                  F.shiftright("span", 16).alias("anchor"), "copies").alias("l"))
     listed = listed.groupBy("doc", "tie").agg(
@@ -204,10 +205,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
     opened = stage(with_spans(docs, listed, "inner").select("doc", "tie", "blob", "leaders", "hot_leaders"), "leaders")
     cells = (opened.select("doc", "tie", "blob", "leaders").mapInArrow(lambda b: _contexts(b, window), _CONTEXT)
              .repartition("h").sortWithinPartitions("h"))
-    shared = cells.mapInArrow(lambda b: _shared_windows(b, window), "doc long, place long, span int")
+    shared = cells.mapInArrow(lambda b: _shared_windows(b, window), _SHARED)
     rest = opened.filter(F.size("hot_leaders") > 0).select("doc", "tie", "blob", F.col("hot_leaders").alias("leaders"))
-    windows = mark(rest.mapInArrow(lambda b: _windows(b, window), OCCURRENCE), "hot-windows")
-    again = lambda t: t.filter("repeated OR copies").select("doc", "place", "span")
+    windows = mark(rest.mapInArrow(lambda b: _windows(b, window), TIED), "hot-windows")
+    again = lambda t: t.filter("repeated OR copies").select("doc", "tie", "place", "span")
     return again(seeds).unionByName(shared).unionByName(again(windows))
 
 

@@ -190,3 +190,14 @@ def test_empty_tables(empty_docs):
     for f in (exact.exact_duplicates, exact.drop_exact_duplicates, simhash.simhash_duplicates,
               simhash.drop_near_duplicates, substring.remove_repeats, suffix.remove_repeats):
         assert f(empty_docs).count() == 0
+
+
+def test_many_null_ids(spark):
+    """Different texts without an id stay different documents, however many there are."""
+    passage = " ".join(f"w{i:02d}" for i in range(60))
+    rows = [f"u{i:05d} " + passage if i % 2 else f"n{i}" for i in range(20_000)]
+    df = spark.createDataFrame([(None, t) for t in rows], "doc_id long, text string").repartition(4)
+    got = sorted((r.n_words, r.n_removed) for r in substring.remove_repeats(df).collect())
+    assert got == [(1, 0)] * 10_000 + [(61, 0)] + [(61, 60)] * 9_999
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(df).collect())
+    assert got == sorted(brute.byte_repeats(dict(enumerate(rows))).values())
