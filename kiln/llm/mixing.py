@@ -9,9 +9,11 @@
    at ``max_repeat`` times its source's size and the excess is reshared by
    weight until none is above (water filling).
 3. *Draw.* A source takes ``target / size`` of its stream: so many block draws,
-   whole passes and a part. The draws of a source are dealt over the output
-   shards by one seeded multinomial, so that each shard's mixture is a
-   multinomial sample while the source's total stays exact.
+   whole passes and a part. The last block of the part is cut to the words still
+   due, so that a source takes its target, rounded to a word, however small it
+   is. The draws of a source are dealt over the output shards by one seeded
+   multinomial, so that each shard's mixture is a multinomial sample while the
+   source's total stays exact.
 4. *Map and join.* Draw ``k`` of a source is block ``perm(k mod blocks)`` of pass
    ``k div blocks``, with ``perm`` a keyed Feistel permutation of the source's
    block numbers for that pass: no block repeats within a pass. Draws and blocks
@@ -99,8 +101,8 @@ def _mix(x: np.ndarray, key: np.ndarray) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def permute(index: np.ndarray, n: int, key: int, rounds: int = 4) -> np.ndarray:
-    """A keyed pseudorandom permutation of 0..n-1: Feistel network with cycle walking."""
+def permute(index: np.ndarray, n: int, key: int, rounds: int = 4, back: bool = False) -> np.ndarray:
+    """A keyed pseudorandom permutation of 0..n-1 (or ``back``): Feistel network with cycle walking."""
     if n <= 1:
         return index.astype(np.int64)
     half = np.uint64(max(1, (int(n - 1).bit_length() + 1) // 2))
@@ -110,15 +112,43 @@ def permute(index: np.ndarray, n: int, key: int, rounds: int = 4) -> np.ndarray:
     while len(todo):
         x = out[todo]
         left, right = x >> half, x & mask
-        for r in range(rounds):
-            left, right = right, left ^ (_mix(right, np.uint64((key * 31 + r + 1) & 0xFFFFFFFFFFFFFFFF)) & mask)
+        for r in reversed(range(rounds)) if back else range(rounds):
+            round_key = np.uint64((key * 31 + r + 1) & 0xFFFFFFFFFFFFFFFF)
+            if back:
+                left, right = right ^ (_mix(left, round_key) & mask), left
+            else:
+                left, right = right, left ^ (_mix(right, round_key) & mask)
         out[todo] = (left << half) | right
         todo = todo[out[todo] >= np.uint64(n)]
     return out.astype(np.int64)
 
 
+def _pass_key(seed: int, rank: int, turn: int) -> int:
+    return hash((seed, rank, turn))
+
+
+def draw_plan(size: int, target: float, block_words: int, seed: int, rank: int) -> tuple[int, int, int]:
+    """(blocks, draws, words of the last draw) by which a source takes its target, rounded to a word."""
+    blocks = -(-size // block_words)
+    passes, due = divmod(int(round(target)), size)
+    if not due:
+        return blocks, passes * blocks, block_words
+    part, tail = -(-due // block_words), size - (blocks - 1) * block_words
+    last = due - (part - 1) * block_words
+    # the short block at the stream's end may be among the part's draws
+    at = int(permute(np.array([blocks - 1]), blocks, _pass_key(seed, rank, passes), back=True)[0])
+    if at < part - 1 or (at == part - 1 and last > tail):
+        last += block_words - tail
+        if last > block_words:
+            part, last = part + 1, last - block_words
+    return blocks, passes * blocks + part, last
+
+
 def _draws(targets: DataFrame, block_words: int, seed: int) -> DataFrame:
-    """Draws per source and shard: (rank, n_blocks, shard, first, count)."""
+    """Draws per source and shard: (rank, n_blocks, shard, first, count, cut).
+
+    ``cut`` is how many words the shard's last draw takes of its block.
+    """
     total = F.sum("target").over(Window.partitionBy())
     plan = targets.filter("source_size > 0 AND target > 0").select(
         "rank", "source_size", "target",
@@ -127,9 +157,7 @@ def _draws(targets: DataFrame, block_words: int, seed: int) -> DataFrame:
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for r in f.itertuples(index=False):
-                blocks = -(-int(r.source_size) // block_words)
-                passes, part = divmod(float(r.target), int(r.source_size))
-                draws = int(passes) * blocks + int(round(part / block_words))
+                blocks, draws, last = draw_plan(int(r.source_size), float(r.target), block_words, seed, int(r.rank))
                 rng = np.random.Generator(np.random.PCG64([seed, int(r.rank)]))
                 counts = rng.multinomial(draws, np.full(int(r.shards), 1.0 / int(r.shards)))
                 first = np.cumsum(counts) - counts
@@ -137,14 +165,15 @@ def _draws(targets: DataFrame, block_words: int, seed: int) -> DataFrame:
                 for a in range(0, len(some), 100_000):
                     s = some[a:a + 100_000]
                     yield pd.DataFrame({"rank": int(r.rank), "blocks": blocks, "shard": s, "first": first[s],
-                                        "count": counts[s]})
+                                        "count": counts[s],
+                                        "cut": np.where(first[s] + counts[s] == draws, last, block_words)})
 
     return plan.repartition("rank").mapInPandas(
-        deal, "rank long, blocks long, shard long, first long, count long")
+        deal, "rank long, blocks long, shard long, first long, count long, cut long")
 
 
-def _slots(draws: DataFrame, seed: int) -> DataFrame:
-    """One row per draw: (rank, shard, pass, block)."""
+def _slots(draws: DataFrame, block_words: int, seed: int) -> DataFrame:
+    """One row per draw: (rank, shard, pass, block, words taken from the block's start)."""
     def map_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for r in f.itertuples(index=False):
@@ -152,11 +181,14 @@ def _slots(draws: DataFrame, seed: int) -> DataFrame:
                 turn, block = k // int(r.blocks), np.empty(len(k), np.int64)
                 for p in np.unique(turn).tolist():
                     at = turn == p
-                    block[at] = permute(k[at] % int(r.blocks), int(r.blocks), hash((seed, int(r.rank), p)))
-                yield pd.DataFrame({"rank": int(r.rank), "shard": int(r.shard), "turn": turn, "block": block})
+                    block[at] = permute(k[at] % int(r.blocks), int(r.blocks), _pass_key(seed, int(r.rank), p))
+                words = np.full(len(k), block_words, np.int64)
+                words[-1] = int(r.cut)
+                yield pd.DataFrame({"rank": int(r.rank), "shard": int(r.shard), "turn": turn, "block": block,
+                                    "words": words})
 
     return draws.repartition(F.col("rank"), F.col("shard")).mapInPandas(
-        map_blocks, "rank long, shard long, turn long, block long")
+        map_blocks, "rank long, shard long, turn long, block long, words long")
 
 
 def _row_key(df: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple[Column, Column]:
@@ -172,7 +204,7 @@ def plan_mixture(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(documents, targets, slots), all staged or one row per source.
 
     documents: doc_id, source, size, k1, k2, start; targets: source, source_size,
-    rank, target; slots: rank, shard, turn, block - one row per drawn block.
+    rank, target; slots: rank, shard, turn, block, words - one row per drawn block.
     """
     text = F.col(f"`{text_col}`").cast("string")
     base = stage(df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
@@ -182,7 +214,7 @@ def plan_mixture(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     targets = stage(source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")),
                                    weights, amount, max_repeat), "mix-targets")
     docs = _streams(base)
-    return docs, targets, _slots(_draws(targets, block_words, seed), seed)
+    return docs, targets, _slots(_draws(targets, block_words, seed), block_words, seed)
 
 
 def _pieces(docs: DataFrame, targets: DataFrame, block_words: int) -> DataFrame:
@@ -195,6 +227,14 @@ def _pieces(docs: DataFrame, targets: DataFrame, block_words: int) -> DataFrame:
             .withColumn("upto", F.least("size", (F.col("block") + 1) * block_words - F.col("start"))))
 
 
+def _taken(pieces: DataFrame, slots: DataFrame, block_words: int) -> DataFrame:
+    """Pieces with the slots that draw their block, ``upto`` cut to the slot's words."""
+    # the planner sees only the small table that the draws were made from: it must not broadcast them
+    end = F.col("block") * block_words + F.col("words") - F.col("start")
+    return pieces.join(slots.hint("merge"), ["rank", "block"]).withColumn("upto", F.least("upto", end)).filter(
+        F.col("upto") > F.col("from"))
+
+
 def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 weights: tuple[float, ...] = (5, 2, 1), amount: float = 1.5, max_repeat: float = 2.0,
                 block_words: int = BLOCK_WORDS, seed: int = 11) -> DataFrame:
@@ -202,9 +242,8 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     docs, targets, slots = plan_mixture(df, id_col, text_col, source_col, weights, amount, max_repeat,
                                         block_words, seed)
     docs = stage(docs, "mix-stream")
-    times = slots.groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
-    # the planner sees only the small table that the draws were made from: it must not broadcast them
-    taken = (_pieces(docs, targets, block_words).join(times.hint("merge"), ["rank", "block"])
+    times = slots.groupBy("rank", "block", "words").agg(F.count(F.lit(1)).alias("times"))
+    taken = (_taken(_pieces(docs, targets, block_words), times, block_words)
              .groupBy("rank", "start").agg(F.sum((F.col("upto") - F.col("from")) * F.col("times")).alias("taken"))
              .withColumnRenamed("start", "k_start").withColumnRenamed("rank", "k_rank"))
     t = targets.select(F.col("source").alias("t_source"), "rank", "source_size", "target")
@@ -228,7 +267,7 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs, targets, slots = plan_mixture(df, id_col, text_col, source_col, weights, amount, max_repeat,
                                         block_words, seed)
     docs = stage(docs, "mix-stream")
-    parts = (_pieces(docs, targets, block_words).join(slots.select("rank", "block", "turn").hint("merge"), ["rank", "block"])
+    parts = (_taken(_pieces(docs, targets, block_words), slots.select("rank", "block", "turn", "words"), block_words)
              .groupBy("k1", "k2", "start", "size", "turn")
              .agg(F.sort_array(F.collect_list(F.struct("from", "upto"))).alias("parts"),
                   F.sum(F.col("upto") - F.col("from")).alias("got")))

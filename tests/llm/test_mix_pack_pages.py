@@ -55,6 +55,32 @@ def test_mixed_documents_hold_the_taken_words(sample, edge_docs, spark):
         assert got == Counter({d: t for d, t in taken.items() if t})
 
 
+def test_small_sources_take_their_targets(spark):
+    """A long tail of sources that are smaller than half a block."""
+    rows = [row(i, "w " * n, "en", f"s{i:03d}") for i, n in enumerate([100] * 60 + [1, 3, 40, 127, 129, 255, 256, 257, 900])]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want = brute.targets({r[3]: len(r[1].split()) for r in rows})
+    taken, held = Counter(), Counter()
+    for r in mixing.mix_sources(df).collect():
+        taken[r.source] += r.taken
+    for r in mixing.mixed_documents(df).collect():
+        held[r.source] += len(r.text.split())
+    assert all(abs(taken[s] - want[s]) <= 0.5 + 1e-6 for s in want) and +taken == held
+
+
+def test_draws_add_up_to_the_target():
+    rng = random.Random(3)
+    for _ in range(400):
+        size, block = rng.randint(1, 60), rng.randint(1, 9)
+        target, rank = rng.uniform(0, 2) * size, rng.randint(0, 50)
+        blocks, draws, last = mixing.draw_plan(size, target, block, 11, rank)
+        words = 0
+        for k in range(draws):
+            b = int(mixing.permute(np.array([k % blocks]), blocks, mixing._pass_key(11, rank, k // blocks))[0])
+            words += min(block if k < draws - 1 else last, size - b * block)
+        assert words == round(target) and 0 < last <= block
+
+
 def test_permutation():
     for n in (1, 2, 3, 17, 64, 1000):
         a = mixing.permute(np.arange(n), n, 5)
