@@ -9,7 +9,9 @@ that varies is a content slot. A page's tree is then aligned with the wrapper: t
 content lies in the page's article (or main) element, or else in the smallest
 region of the wrapper that holds nearly all varying text. Inside it, regions whose
 element, role or name marks them as menu, header, footer, sidebar, notice, advert,
-form, script, style or reader comments go too. A group with fewer than
+form, script, style or reader comments go too. A name (a class or id all of whose words
+are such names) counts only for an element that does not hold most of the article and
+main text, or on pages without those most of the varying text. A group with fewer than
 ``LEAST_EXAMPLES`` different pages has no template.
 
 Groups hold one host; a host with more than ``GROUP_PAGES`` pages (or than a
@@ -26,7 +28,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +38,7 @@ GROUP_PAGES = 2_000
 EXAMPLES = 8
 LEAST_EXAMPLES = 4
 REGION_SHARE = 0.8
+HELD_SHARE = 0.5  # an element with more of the main text is not noise by name
 MAX_DEPTH = 200  # deeper elements become siblings, as in browsers
 
 #: HTML's void elements, elements with raw text, and elements that end a block.
@@ -69,29 +72,35 @@ _NAME_PART = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "label", "noise", "children")
+    __slots__ = ("tag", "label", "noise", "named", "children")
 
-    def __init__(self, tag: str, label: str, noise: bool):
-        self.tag, self.label, self.noise = tag, label, noise
+    def __init__(self, tag: str, label: str, noise: bool, named: bool = False):
+        self.tag, self.label, self.noise, self.named = tag, label, noise, named
         self.children: list[Node | str] = []
 
 
-def _noisy(tag: str, attributes: str) -> tuple[str, bool]:
-    """The label (tag and class) and whether the element marks a region that is not main text."""
-    noise, cls = tag in NOISE_TAGS, ""
+def _noise_name(token: str) -> bool:
+    parts = _NAME_PART.findall(token)
+    return bool(parts) and NOISE_NAMES.issuperset(parts)
+
+
+def _noisy(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """The label (tag and class), whether the element marks a region that is not main text, and whether only its name does."""
+    noise, named, cls = tag in NOISE_TAGS, False, ""
     if attributes:
         for name, value in _NAMED.findall(attributes):
             value, name = value.strip("\"'").lower(), name.lower()
             if name == "class":
                 cls = value
             if name in ("class", "id"):
-                noise = noise or not NOISE_NAMES.isdisjoint(_NAME_PART.findall(value))
+                named = named or any(map(_noise_name, value.split()))
             elif name == "role":
                 noise = noise or value in NOISE_ROLES
             else:
                 noise = noise or name == "hidden" or value == "true"
-    # an article, main or body is what it is, whatever its name says
-    return (f"{tag}.{cls}" if cls else tag), noise and tag not in ("body", "html", "main")
+    # a main or body is what it is, whatever its name says
+    some = tag not in ("body", "html", "main")
+    return (f"{tag}.{cls}" if cls else tag), some and (noise or named), some and named and not noise
 
 
 def parse(text: str) -> Node:
@@ -120,8 +129,8 @@ def parse(text: str) -> Node:
             _close(stack, frozenset(("p",)), P_SCOPE)
         if tag in CLOSES:
             _close(stack, *CLOSES[tag])
-        label, noise = _noisy(tag, m.group(3))
-        node = Node(tag, label, noise)
+        label, noise, named = _noisy(tag, m.group(3))
+        node = Node(tag, label, noise, named)
         stack[-1].children.append(node)
         if tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(text, at)
@@ -129,9 +138,44 @@ def parse(text: str) -> Node:
             at = (text.find(">", stop.start()) + 1 or end) if stop else end
         elif tag not in VOID and not m.group(3).endswith("/") and len(stack) < MAX_DEPTH:
             stack.append(node)
+    _keep_holders(root)
     return root
 
 
+def _size(node: Node) -> int:
+    """Characters of a node's text, without what elements and roles (not names) mark as noise."""
+    return sum(len(c.strip()) if c.__class__ is str else 0 if c.noise and not c.named else _size(c) for c in node.children)
+
+
+def _keep_holders(scope: Node) -> None:
+    """Names do not mark elements as noise that hold most text of the articles and mains in ``scope``."""
+    held: list[tuple[Node, int]] = []
+
+    def main_text(node: Node) -> int:
+        total = 0
+        for c in _elements(node):
+            if c.noise and not c.named:
+                continue
+            own = _size(c) if c.tag in ("article", "main") else main_text(c)
+            if c.named and own:
+                held.append((c, own))
+            if c.tag == "main":
+                _keep_holders(c)
+            total += own
+        return total
+
+    whole = main_text(scope)
+    if scope.tag == "main":
+        whole = _size(scope)
+    for node, own in held:
+        if own > HELD_SHARE * whole:
+            node.noise = node.named = False
+
+
+def _has_main_text(node: Node) -> bool:
+    return any(c.tag in ("article", "main") or _has_main_text(c) for c in _elements(node) if not c.noise)
+
+
 def _close(stack: list[Node], tags: frozenset, scope: frozenset) -> None:
     """End the outermost open element of ``tags`` that is inside the nearest of ``scope``."""
     cut = 0
@@ -213,6 +257,7 @@ class Wrapper:
         self.base = examples[0] if examples else None
         self.template: dict[int, str] = {}
         self.region: list[str] = []
+        self.holders: set[tuple[str, ...]] | None = None  # without a template every page has its own
         if len(examples) < LEAST_EXAMPLES:
             return
         seen: dict[int, list[str]] = {}
@@ -227,6 +272,8 @@ class Wrapper:
                 self.template[id(node)] = text
             else:
                 varying[id(node)] = len(text)
+        self.holders = _holders(self.base, lambda n: varying.get(id(n), 0))
+        _release(self.base, self.holders)
         self.region = self._region(varying)
 
     def _region(self, varying: dict[int, int]) -> list[str]:
@@ -267,11 +314,42 @@ class Wrapper:
         return [node]
 
     def extract(self, page: Node) -> str:
+        if not _has_main_text(page):
+            own = lambda n: sum(len(c.strip()) for c in n.children if c.__class__ is str)
+            _release(page, _holders(page, own) if self.holders is None else self.holders)
         regions = self.content(page)
         text = _text(regions, self.template_nodes(page))
         return text or _text(regions, set())
 
 
+def _holders(root: Node, own: Callable[[Node], int]) -> set[tuple[str, ...]]:
+    """Label paths of the elements named as noise that hold most of the text that ``own`` weighs."""
+    named: list[tuple[tuple[str, ...], int]] = []
+
+    def weigh(node: Node, path: tuple[str, ...]) -> int:
+        total = own(node)
+        for c in _elements(node):
+            if not c.noise or c.named:
+                total += weigh(c, (*path, c.label))
+        if node.named:
+            named.append((path, total))
+        return total
+
+    whole = weigh(root, ())
+    return {path for path, total in named if total > HELD_SHARE * whole}
+
+
+def _release(root: Node, holders: set[tuple[str, ...]]) -> None:
+    """Names do not mark the elements at the paths ``holders`` as noise."""
+    todo = [(root, ())] if holders else []
+    while todo:
+        node, path = todo.pop()
+        if node.named and path in holders:
+            node.noise = node.named = False
+        todo += [(c, (*path, c.label)) for c in _elements(node)
+                 if any(h[:len(path) + 1] == (*path, c.label) for h in holders)]
+
+
 def _walk(node: Node) -> Iterator[Node]:
     todo = [node]
     while todo:

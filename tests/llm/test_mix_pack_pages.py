@@ -193,6 +193,22 @@ def test_extract(spark):
     assert wrapper.extract_pages(df.limit(0)).count() == 0
 
 
+def test_names_do_not_drop_the_article(spark):
+    """Wrappers whose class or id names a sidebar, header or the like around the text, with and without article."""
+    inner = "<h1>Head {0}</h1><p>Words of page {0} that are its text</p>"
+    shapes = ["<div class='has-sidebar'><article>%s</article></div>", "<div id='page' class='with-header'><main>%s</main></div>",
+              "<article class='social'>%s</article>", "<div class='sidebar'><article>%s</article></div>",
+              "<main><div class='social'><article>%s</article></div></main>", "<div class='widget'><div>%s</div></div>"]
+    around = "<body><div class='menu'>Home</div>%s<div class='related'><article>Other {0}</article></div></body>"
+    rows = [(100 * k + i, f"http://h{k}/{i}", (around if k < 5 else "<body><div class='ad'>Buy {0}</div>%s</body>").replace(
+        "%s", s.replace("%s", inner)).format(i)) for k, s in enumerate(shapes) for i in range(6)]
+    rows += [(1000, "http://few/1", "<body><div class='side'><p>Only page</p></div><div class=ad>Buy</div></body>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrapper.extract_pages(df).collect()}
+    assert got.pop(1000) == "Only page"
+    assert got == {k: f"Head {k % 100} Words of page {k % 100} that are its text" for k in got}
+
+
 def test_region_without_article():
     page = ("<body><div class=top>Fixed words</div><div class=x><div class=body>"
             "<p>Text number {0} is here and long enough</p><p>And {0} more</p></div></div><div class=tail>Fixed end</div></body>")
