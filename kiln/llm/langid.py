@@ -5,9 +5,10 @@ words. Tasks count the 4-grams of each language over all learning documents
 (pre-aggregated per partition); continuation counts of the lower orders, the
 discounts n1 / (n1 + 2 n2) and the interpolated probabilities follow by grouping
 and joining in Spark. A language's model is stored as sorted arrays of n-gram
-hashes with log probabilities, and of context hashes with log back-off weights.
-Hashes have ``HASH_BITS`` bits, so a language takes at most 7 * 2^20 entries of 8
-bytes however much text is learned; that bounds the broadcast.
+keys with log probabilities, and of context keys with log back-off weights. Keys
+are whole (16 bits a code, 64 in all), so no n-grams merge and none that was not
+learned is found. An entry takes 12 bytes, and the broadcast grows with the number
+of different n-grams.
 
 *Predict.* The language with the lowest cross-entropy per character wins.
 Rejection is calibrated on the learning documents: the excess of a document's
@@ -223,26 +224,25 @@ def hash_keys(keys: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - HASH_BITS)).astype(np.uint32)
 
 
-class HashArray:
-    """A sorted array of hashes with a value each."""
+class KeyArray:
+    """A sorted array of n-gram keys with a value each."""
 
-    def __init__(self, hashes: np.ndarray, values: np.ndarray):
-        self.hashes, self.values = hashes, values
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(found, value) of each key."""
-        if not len(self.hashes):
+        if not len(self.keys):
             return np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
-        h = hash_keys(keys)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return self.hashes[at] == h, self.values[at]
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.keys[at] == keys, self.values[at]
 
 
 @dataclass
 class LanguageModel:
     lang: str
-    grams: dict[int, HashArray]
-    contexts: dict[int, HashArray]
+    grams: dict[int, KeyArray]
+    contexts: dict[int, KeyArray]
 
     def logp(self, keys: np.ndarray) -> np.ndarray:
         """Log probability of the last code of each ORDER-gram given the others."""
@@ -266,32 +266,25 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> list
     counts = stage(rows.mapInArrow(_count, "lang string, key long, n long")
                    .groupBy("lang", "key").agg(F.sum("n").alias("n")), "ngrams")
     probs, weights = kneser_ney(counts)
-    grams, contexts = _hash_arrays(probs), _hash_arrays(weights)
-    empty = HashArray(np.zeros(0, np.uint32), np.zeros(0, np.float32))
+    grams, contexts = _key_arrays(probs), _key_arrays(weights)
+    empty = KeyArray(np.zeros(0, np.uint64), np.zeros(0, np.float32))
     part = lambda t, lang, sizes: {s: t.get((lang, s), empty) for s in sizes}
     return [LanguageModel(lang, part(grams, lang, range(1, ORDER + 1)), part(contexts, lang, range(ORDER)))
             for lang in sorted({lang for lang, _ in grams})]
 
 
-def _hash_arrays(t: DataFrame) -> dict[tuple[str, int], HashArray]:
-    """The sorted hash array of each (lang, size); of equal hashes the largest value stays.
-
-    Hashes are aggregated before a task sorts them, so a group has at most
-    2^HASH_BITS rows; the driver gets two packed arrays per group.
-    """
-    best = t.groupBy("lang", "size", F.shiftrightunsigned(F.xxhash64("key"), 64 - HASH_BITS).alias("hash")).agg(
-        F.max("value").alias("value"))
-
+def _key_arrays(t: DataFrame) -> dict[tuple[str, int], KeyArray]:
+    """The sorted key array of each (lang, size); the driver gets two packed arrays per group."""
     def pack(group: pa.Table) -> pa.Table:
-        h, v = group.column("hash").to_numpy(), group.column("value").to_numpy()
-        order = np.argsort(h)
+        k, v = group.column("key").to_numpy().view(np.uint64), group.column("value").to_numpy()
+        order = np.argsort(k)
         return pa.table({"lang": group.column("lang").slice(0, 1), "size": group.column("size").slice(0, 1),
-                         "hashes": pa.array([h[order].astype(np.uint32).tobytes()], pa.binary()),
+                         "keys": pa.array([k[order].tobytes()], pa.binary()),
                          "values": pa.array([v[order].astype(np.float32).tobytes()], pa.binary())})
 
-    rows = best.groupBy("lang", "size").applyInArrow(pack, "lang string, size int, hashes binary, values binary").collect()
-    return {(r["lang"], r["size"]): HashArray(np.frombuffer(bytes(r["hashes"]), np.uint32),
-                                              np.frombuffer(bytes(r["values"]), np.float32)) for r in rows}
+    rows = t.groupBy("lang", "size").applyInArrow(pack, "lang string, size int, keys binary, values binary").collect()
+    return {(r["lang"], r["size"]): KeyArray(np.frombuffer(bytes(r["keys"]), np.uint64),
+                                             np.frombuffer(bytes(r["values"]), np.float32)) for r in rows}
 
 
 _SCORED = "lang_best string, bits double, margin double, chars long"

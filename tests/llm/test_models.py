@@ -116,6 +116,19 @@ def test_kneser_ney_sums_to_one(spark):
     assert models[0].logp(seen)[0] > models[1].logp(seen)[0]
 
 
+def test_unseen_grams_are_not_found(spark):
+    """Many different 4-grams: all that were learned are found, and no other one."""
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9F00, 4000))) for _ in range(50)]
+    model, = langid.learn(spark.createDataFrame([(t, "zh") for t in texts], "text string, lang string"))
+    codes, sizes = langid.letter_stream(texts)
+    seen, _ = langid._grams(codes, langid._predicted(sizes))
+    assert model.grams[4].get(seen)[0].all()
+    a, b = seen & np.uint64(0xFFFFFFFF), np.roll(seen, 7) & np.uint64(0xFFFFFFFF << 32)
+    other = np.setdiff1d(a | b, seen)
+    assert len(other) > 190_000 and not model.grams[4].get(other)[0].any()
+
+
 def test_hashes_are_those_of_spark(spark):
     keys = np.array([0, 1, 2**63, 2**64 - 1, 123456789012345], np.uint64)
     df = spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "k long")
