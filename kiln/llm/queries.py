@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kiln.llm import ann, exact, langid, mixing, packing, quality, simhash, substring, suffix, wrapper
+from kiln.llm import (align, ann, exact, langid, mixing, packing, pii, quality, simhash, substring, suffix, trie,
+                      wrapper)
 
 
-def tokenizer_path() -> str:
-    """The tokenizer file of the packing contract, from the installed public files."""
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """A tokenizer file of the contracts, from the installed public files."""
     import public_tokenizers
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,8 +63,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.private_digest(_table(spark, sf_dir, "documents"))
+
+
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"), rule=trie.splice)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_ann, op2_simhash, op3_quality, op4_langid, op5_substring, op6_suffix, op7_wrapper, op8_exact, op9_mixing, op10_packing)}
+    op1_ann, op2_simhash, op3_quality, op4_langid, op5_substring, op6_suffix, op7_wrapper, op8_exact, op9_mixing, op10_packing,
+    op11_pii, op12_align, op13_trie)}
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -102,5 +116,32 @@ WITH d AS (SELECT doc_id, {_NORM} AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
 FROM d WINDOW same AS (PARTITION BY norm)
+""",
+    # crc32 bit by bit: its state shifts right, a bit that differs from the lowest one brings the polynomial in
+    "op13_trie": r"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS txt, row_number() OVER (
+                  PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+           FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT c, max(pos) AS n, flatten(list_transform(string_split(c::VARCHAR, ''), lambda s:
+             list_transform(range(8), lambda i: (ascii(s) >> i) & 1))) AS bits FROM t GROUP BY c),
+k AS (SELECT c, c - c % 100 AS donor, xor(4294967295, list_reduce(list_prepend(4294967295, bits), lambda s, b:
+             xor(s >> 1, xor(s & 1, b) * 3988292384))) % 6 AS h FROM n),
+f AS (SELECT k.*, least(h, coalesce(n.n, 0)) AS taken FROM k LEFT JOIN n ON n.c = k.donor),
+r AS (SELECT f.c, pos AS d, role, txt FROM f JOIN t ON t.c = f.donor AND pos <= taken
+      UNION ALL SELECT f.c, taken + pos - h, role, txt FROM f JOIN t USING (c) WHERE pos > h),
+p AS (SELECT c, 0 AS d, '' AS path, 0 AS len FROM f
+      UNION ALL SELECT c, d, string_agg(md5(length(role) || ':' || role || txt), '') OVER (PARTITION BY c ORDER BY d), length(txt)
+      FROM r),
+z AS (SELECT *, d = max(d) OVER (PARTITION BY c) AS last FROM p),
+node AS (SELECT path, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n, any_value(len) AS len,
+                string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last) AS ends FROM z GROUP BY path),
+kid AS (SELECT left(path, length(path) - 32) AS path, count(*) AS kids FROM node WHERE depth > 0 GROUP BY 1),
+up AS (SELECT node.*, kids, unnest(range(0, depth + 1)) AS at FROM node LEFT JOIN kid USING (path)),
+total AS (SELECT left(path, 32 * at) AS path, count(*) FILTER (kids IS NULL) AS n_leaves, sum((n - 1) * len) AS saved
+          FROM up GROUP BY 1)
+SELECT node.conv_id, node.depth::BIGINT AS depth, above.conv_id AS parent_conv_id, node.n AS n_convs,
+       coalesce(kids, 0) AS n_children, n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(node.ends, '')) AS ends_sha256
+FROM node JOIN total USING (path) LEFT JOIN kid USING (path)
+LEFT JOIN node above ON node.depth > 0 AND above.path = left(node.path, length(node.path) - 32)
 """,
 }
