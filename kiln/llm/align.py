@@ -64,7 +64,6 @@ class ByteTokens(Encoder):
         self.bytes_of = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.bytes_of[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
-        self.memo_ok: dict[str, bool] = {}
         self.ok = True
 
     def _same(self, ids: bytes, text: str) -> None:
@@ -318,7 +317,7 @@ def align_documents(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_
     size_b = len(_tokenizers(path_a, path_b)[3])
     chunks = stage(aligned_chunks(df, path_a, path_b, id_col, text_col, work, chunk_bytes), "aligned")
     counts = pair_counts(chunks, size_b)
-    held = chunks.filter("pairs IS NOT NULL").select("chunk", F.posexplode("pairs").alias("at", "pair"))
-    back = held.join(counts, "pair").select("chunk", "at", "n", "best")
+    held = chunks.filter("pairs IS NOT NULL").select(F.col("chunk").alias("of"), F.posexplode("pairs").alias("at", "pair"))
+    back = held.join(counts, "pair").select("of", "at", "n", "best")
     docs = chunks.filter("pairs IS NULL").drop("pairs", "docs")
-    return docs.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_score, _SCORED)
+    return docs.groupBy("chunk").cogroup(back.groupBy("of")).applyInArrow(_score, _SCORED)

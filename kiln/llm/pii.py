@@ -86,12 +86,12 @@ def matches(df: DataFrame) -> DataFrame:
     def found(kind: str) -> Column:
         shape = F.lit(SHAPES[kind])
         gaps = F.transform(F.split("text", SHAPES[kind]), lambda x: F.struct(
-            F.length(x).alias("gap"), F.expr("1").alias("one"),
+            F.length(x).alias("gap"),
             F.substring(x, -BEFORE, BEFORE).alias("before"), F.substring(x, 1, AFTER).alias("after")))
         pairs = F.arrays_zip(gaps.alias("g"), F.regexp_extract_all("text", shape, F.lit(0)).alias("m"))
         rows = F.transform(pairs, lambda p: F.struct(
-            F.lit(kind).alias("kind"), p["0"]["gap"].alias("gap"), p["0"]["before"].alias("before"),
-            p["0"]["after"].alias("after"), p["1"].alias("match")))
+            F.lit(kind).alias("kind"), p["g"]["gap"].alias("gap"), p["g"]["before"].alias("before"),
+            p["g"]["after"].alias("after"), p["m"].alias("match")))
         return F.when(F.col("text").rlike(NEEDS[kind]) & F.col("text").rlike(SHAPES[kind]), rows)
 
     scanned = docs.select("__doc", "__tie", *(found(k).alias(k) for k in SHAPES)).filter(
@@ -112,9 +112,11 @@ def occurrences(found: DataFrame) -> DataFrame:
     """Base spans (kind set) and candidates beside them (kind null), with instance text and patterns."""
     base = found.withColumn("base", holds(F.col("kind"), F.col("match"))).filter(
         F.col("base") | ((F.col("kind") == "candidate") & (F.length("match") >= MIN_CANDIDATE)))
-    doc = Window.partitionBy("__doc", "__tie").orderBy("start", "end")  # one text's spans
-    reach = F.max(F.when(F.col("base"), F.col("end"))).over(doc.rowsBetween(Window.unboundedPreceding, 0))
-    following = F.min(F.when(F.col("base"), F.col("start"))).over(doc.rowsBetween(0, Window.unboundedFollowing))
+    # one text's spans, forwards and backwards: running values, since frames that end at the last row are quadratic
+    onward, back = (Window.partitionBy("__doc", "__tie").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0) for by in (
+        ["start", "end"], [F.col("start").desc(), F.col("end").desc()]))
+    reach = F.max(F.when(F.col("base"), F.col("end"))).over(onward)
+    following = F.min(F.when(F.col("base"), F.col("start"))).over(back)
     free = (F.coalesce(reach, F.lit(0)) <= F.col("start")) & F.coalesce(following >= F.col("end"), F.lit(True))
     rows = base.withColumn("free", free).filter("base OR free")
     words = F.regexp_extract_all(F.translate(F.lower("before"), "123456789", "000000000"), F.lit(r"\S+"), F.lit(0))

@@ -136,8 +136,8 @@ z AS (SELECT *, d = max(d) OVER (PARTITION BY c) AS last FROM p),
 node AS (SELECT path, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n, any_value(len) AS len,
                 string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last) AS ends FROM z GROUP BY path),
 kid AS (SELECT left(path, length(path) - 32) AS path, count(*) AS kids FROM node WHERE depth > 0 GROUP BY 1),
-up AS (SELECT node.*, kids, unnest(range(0, depth + 1)) AS at FROM node LEFT JOIN kid USING (path)),
-total AS (SELECT left(path, 32 * at) AS path, count(*) FILTER (kids IS NULL) AS n_leaves, sum((n - 1) * len) AS saved
+up AS (SELECT node.*, kids, unnest(range(0, depth + 1)) AS lvl FROM node LEFT JOIN kid USING (path)),
+total AS (SELECT left(path, 32 * lvl) AS path, count(*) FILTER (kids IS NULL) AS n_leaves, sum((n - 1) * len) AS saved
           FROM up GROUP BY 1)
 SELECT node.conv_id, node.depth::BIGINT AS depth, above.conv_id AS parent_conv_id, node.n AS n_convs,
        coalesce(kids, 0) AS n_children, n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(node.ends, '')) AS ends_sha256

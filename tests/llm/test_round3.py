@@ -58,12 +58,13 @@ def turn_rows():
     rows = [r for r in rows if r[0] not in (100, -100) and (r[0] != 300 or r[1] < 1)]  # absent and short donors
     rows += [(500, None, "user", "null turn first"), (500, 0, "user", "x"), (500, 0, "bot", "x"), (500, 0, "bot", "x"),
              (None, 1, "user", "nobody"), (501, 3, None, "long " * 30_000)]
-    rows += [(777, t, "user", f"step {t % 3}") for t in range(9000)] + [(778, t, "user", f"step {t % 3}") for t in range(8700)]
+    rows += [(777, t, "user", f"step {t % 3}") for t in range(90)] + [(778, t, "user", f"step {t % 3}") for t in range(87)]
     return rows
 
 
 @pytest.mark.parametrize("heavy, queue", [(3, 4), (50, 1), (1000, 200_000)])
-def test_trie_equals_plain_version(spark, heavy, queue):
+def test_trie_equals_plain_version(spark, monkeypatch, heavy, queue):
+    monkeypatch.setattr(trie, "CHUNK_TURNS", 8 if heavy < 1000 else 4096)
     rows = turn_rows()
     df = spark.createDataFrame([(*r, 1, "x", 2, 3, "y") for r in rows], TURNS).repartition(5)
     got = trie.prefix_trie(df, rule=trie.splice, heavy=heavy, queue_messages=queue).collect()
