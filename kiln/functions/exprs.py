@@ -177,3 +177,16 @@ def pyround(c: Column | str, digits: int = 0) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     s = float(10 ** digits)
     return F.rint(c * s) / s
+
+
+def comparable(c: Column, dt: T.DataType) -> Column:
+    """A value with every map inside replaced by its entries in order of keys, so that Spark can compare and group it."""
+    if isinstance(dt, T.MapType):
+        entries = F.array_sort(F.map_entries(c), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+        return F.transform(entries, lambda e: F.struct(comparable(e["key"], dt.keyType).alias("k"),
+                                                       comparable(e["value"], dt.valueType).alias("v")))
+    if isinstance(dt, T.ArrayType) and "map<" in dt.simpleString():
+        return F.transform(c, lambda x: comparable(x, dt.elementType))
+    if isinstance(dt, T.StructType) and "map<" in dt.simpleString():
+        return F.when(c.isNotNull(), F.struct(*[comparable(c[f.name], f.dataType).alias(f"f{i}") for i, f in enumerate(dt.fields)]))
+    return c

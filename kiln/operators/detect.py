@@ -1,8 +1,8 @@
 """Feature-type detection (DET-1 .. DET-4, R8, R13, R19).
 
 One aggregate job gathers every per-column number the rules need; the
-near-constant test adds one unpivoted value count restricted to columns that
-*can* be near-constant (distinct <= 2 % of values + 1), and the sequential-ID
+near-constant test adds a frequent-items summary of the columns that *can* be
+near-constant (distinct <= 2 % of values + 1), and the sequential-ID
 test adds a left-semi self-join on distinct values only for integer columns
 that are already >= 95 % unique. Rules then run on the driver over
 O(columns) numbers.
@@ -23,13 +23,13 @@ from kiln.functions.exprs import (
     round_value,
     BOOLEAN_LITERALS,
     NUMERIC_TEXT,
-    as_text,
     col,
     is_numeric_type,
     is_string_type,
     is_timestamp_type,
     strip,
 )
+from kiln.operators.dominant import dominant_counts
 from kiln.operators.quality import _orderable, text_ratios
 from kiln.operators.stats import distinct_counts, missing, numeric_view
 
@@ -142,14 +142,10 @@ def _top_shares(df: DataFrame, facts: dict[str, ColumnFacts]) -> None:
             f.top_share = None if f.non_null == 0 else (1.0 if f.distinct == 1 else 0.0)
     if not cands:
         return
-    pairs = F.array(*[F.struct(F.lit(i).alias("gi"), as_text(col(f.name), f.dtype).alias("v"))
-                      for i, f in enumerate(cands)])
-    counts = (df.select(F.inline(pairs)).where(F.col("v").isNotNull())
-              .groupBy("gi", "v").agg(F.count(F.lit(1)).alias("k"))
-              .groupBy("gi").agg(F.max("k").alias("top")))
-    for r in counts.collect():  # one row per candidate column
-        f = cands[r["gi"]]
-        f.top_share = r["top"] / f.non_null
+    for f in cands:
+        f.top_share = 0.0  # below any share that a rule asks for
+    for name, (k, _) in dominant_counts(df, [f.name for f in cands], 0.5, rest=False).items():
+        facts[name].top_share = k / facts[name].non_null
 
 
 def _sequential(df: DataFrame, facts: dict[str, ColumnFacts]) -> None:

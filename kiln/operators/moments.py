@@ -1,8 +1,10 @@
-"""Pairwise moments of many numeric columns in one scan.
+"""Pairwise moments of many numeric columns by blocks of columns.
 
-Every task multiplies its batches' value and presence matrices, so k columns cost
-one scan instead of k^2 / 2 aggregates; the partial sums (matrices of k x k
-numbers) are added in a tree of tasks before one of them reaches the driver.
+Columns are cut into blocks of ``BLOCK``. One scan per block multiplies its value and
+presence matrices with those of all columns from that block on, so a task holds
+6 x BLOCK x k numbers however many columns there are, and up to BLOCK columns need
+one scan. The partial sums are added in a tree of tasks before one of them reaches
+the driver, which turns each strip into correlations at once and keeps no moments.
 """
 
 from __future__ import annotations
@@ -17,29 +19,31 @@ from pyspark.sql import functions as F
 from kiln.operators.stats import numeric_view
 
 FAN_IN = 16
+BLOCK = 256
 
 
-class PairMoments:
-    """Counts, means and (co)variances of column pairs over the rows where both are present."""
+class Strip:
+    """Moments of the pairs of a block of columns with all columns from the block's first on.
 
-    def __init__(self, names: list[str], sums: np.ndarray):
-        self.names = names
-        self.n, self.x, self.xx, self.xy = sums  # x[i, j]: sum of column i where j is present
+    Sums are over the rows where both columns of a pair are present; ``at`` is the
+    block's first column.
+    """
 
-    def covariance(self) -> np.ndarray:
-        with np.errstate(invalid="ignore", divide="ignore"):
-            return self.xy / self.n - (self.x / self.n) * (self.x.T / self.n)
+    def __init__(self, at: int, sums: np.ndarray):
+        self.at = at
+        self.n, self.x, self.y, self.xx, self.yy, self.xy = sums
 
-    def variance(self) -> np.ndarray:
-        """Of column i over the rows where j is present too."""
+    def variances(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of the block's column and of the other one."""
         with np.errstate(invalid="ignore", divide="ignore"):
-            return np.maximum(self.xx / self.n - (self.x / self.n) ** 2, 0.0)
+            return (np.maximum(self.xx / self.n - (self.x / self.n) ** 2, 0.0),
+                    np.maximum(self.yy / self.n - (self.y / self.n) ** 2, 0.0))
 
     def correlation(self) -> np.ndarray:
-        v = self.variance()
+        a, b = self.variances()
         with np.errstate(invalid="ignore", divide="ignore"):
-            r = self.covariance() / np.sqrt(v * v.T)
-        return np.where((v > 0) & (v.T > 0), r, np.nan)
+            r = (self.xy / self.n - (self.x / self.n) * (self.y / self.n)) / np.sqrt(a * b)
+        return np.where((a > 0) & (b > 0), r, np.nan)
 
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,8 +56,8 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
 
 
-def pair_moments(df: DataFrame, names: list[str], complete: bool = False) -> PairMoments | None:
-    """Moments of all pairs; with ``complete`` only over rows where every column is present. None without rows."""
+def pair_moments(df: DataFrame, names: list[str], complete: bool = False, block: int = BLOCK) -> Iterator[Strip]:
+    """The strips of all pairs; with ``complete`` only over rows where every column is present. None without rows."""
     k = len(names)
     view = df.select(*[numeric_view(df, n).alias(f"c{i}") for i, n in enumerate(names)])
     if complete:
@@ -61,9 +65,17 @@ def pair_moments(df: DataFrame, names: list[str], complete: bool = False) -> Pai
     # values are shifted by the columns' means, which keeps squares of large numbers apart
     means = view.agg(*[F.avg(c) for c in view.columns]).first()
     shift = np.array([m if m is not None else 0.0 for m in means], float)
+    n = max(1, view.rdd.getNumPartitions())
+    for at in range(0, k, block):
+        got = _tree_sum(view.select(*view.columns[at:]).mapInArrow(_partial(shift[at:], min(block, k - at)), "v binary"), n)
+        if got is not None:
+            yield Strip(at, got.reshape(6, min(block, k - at), k - at))
+
 
+def _partial(shift: np.ndarray, width: int):
+    """Sums of one task: the first ``width`` columns against all."""
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((4, k, k))
+        total = np.zeros((6, width, len(shift)))
         seen = False
         for b in batches:
             if not b.num_rows:
@@ -72,15 +84,17 @@ def pair_moments(df: DataFrame, names: list[str], complete: bool = False) -> Pai
             x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]).astype(float) - shift
             there = ~np.isnan(x)
             x = np.where(there, x, 0.0)
-            p = there.astype(float)
-            total += [p.T @ p, x.T @ p, (x * x).T @ p, x.T @ x]
+            p, q, own, here = there.astype(float), x * x, x[:, :width].T, there[:, :width].T.astype(float)
+            total += [here @ p, own @ p, here @ x, q[:, :width].T @ p, here @ q, own @ x]
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
 
-    parts = view.mapInArrow(part, "v binary")
-    n = max(1, view.rdd.getNumPartitions())
+    return part
+
+
+def _tree_sum(parts: DataFrame, n: int) -> np.ndarray | None:
     while n > FAN_IN:
         n = -(-n // FAN_IN)
         parts = parts.repartition(n).mapInArrow(_sum, "v binary")
-    got = parts.repartition(1).mapInArrow(_sum, "v binary").collect()  # one row of 4 k x k numbers
-    return PairMoments(names, np.frombuffer(bytes(got[0]["v"])).reshape(4, k, k)) if got else None
+    got = parts.repartition(1).mapInArrow(_sum, "v binary").collect()  # one row of fixed size
+    return np.frombuffer(bytes(got[0]["v"])) if got else None

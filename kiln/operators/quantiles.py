@@ -1,26 +1,39 @@
-"""Exact quantiles with bounded memory (linear interpolation, as ``percentile``).
+"""Exact quantiles through sketch brackets (linear interpolation, as ``percentile``).
 
 One way for columns of any size:
 
-1. unpivot the columns to (column, value) and count: partial counts collapse
-   repeated values before the shuffle, so a hot value is one row per partition;
-2. range-partition the (column, value, count) rows by (column, value) with sampled
-   splitters and write them once; every row is distinct, so partitions stay even;
-3. the counts per (partition, column) - at most one row per partition plus one per
-   column - say in which partition each wanted rank lies and how many values
-   precede it;
-4. running counts inside those partitions pick the wanted values; only they reach
-   the driver.
+1. one scan feeds a mergeable KLL sketch per column; sketches are merged in a tree of
+   tasks. The sketch's values a little below and above each wanted rank bracket it;
+2. one more scan counts, per column, what lies between the brackets (one number per
+   partition) and the values inside them: only (column, value, count) of those are
+   shuffled, so most values never leave their task and a hot value is one row;
+3. the counted values are range-partitioned and written once; the totals per
+   (segment, partition) say where each wanted rank lies, and running counts inside
+   that partition pick the value;
+4. a rank that lies outside its bracket (a sketch keeps its error bound in all but a
+   few cases in a hundred thousand) is looked for again in the segment that holds it,
+   so the result is exact whatever the sketch said.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kiln.session import staged
+from kiln.session import scratch, staged
+
+#: Sketch size, and the share of ranks on either side of a wanted one that its bracket
+#: takes in (several times the sketch's error at that size).
+SKETCH_K = 2048
+MARGIN = 0.005
+#: Groups of partitions whose sketches are merged before the last task merges the groups.
+FAN_IN = 64
+
+Bracket = tuple[float, float]
 
 
 def exact_quantiles(df: DataFrame, values: dict[str, Column], probs: tuple[float, ...]
@@ -29,53 +42,107 @@ def exact_quantiles(df: DataFrame, values: dict[str, Column], probs: tuple[float
     return value_quantiles(df, values, probs)[0]
 
 
-def value_quantiles(df: DataFrame, values: dict[str, Column], probs: tuple[float, ...]
-                    ) -> tuple[dict[str, dict[float, float | None]], dict[str, int], dict[str, int]]:
-    """(quantiles, distinct doubles, non-null values) per name."""
+def value_quantiles(df: DataFrame, values: dict[str, Column], probs: tuple[float, ...], sketch_k: int = SKETCH_K,
+                    margin: float = MARGIN) -> tuple[dict[str, dict[float, float | None]], dict[str, int]]:
+    """(quantiles, number of non-null values) per name."""
     names = list(values)
     if not names:
-        return {}, {}, {}
-    cells = F.array(*[F.struct(F.lit(i).alias("i"), values[n].cast("double").alias("v")) for i, n in enumerate(names)])
-    counts = (df.select(F.inline(cells)).where(F.col("v").isNotNull())
-              .groupBy("i", "v").agg(F.count(F.lit(1)).alias("k")))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = staged(counts.repartitionByRange(parts, "i", "v").withColumn("pid", F.spark_partition_id()), "ranks")
-    totals = (ordered.groupBy("i", "pid").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("d"))
-              .orderBy("i", "pid").collect())  # one row per partition, and one more per column
-    before: dict[tuple[int, int], int] = {}
-    size = {i: 0 for i in range(len(names))}
-    distinct = {i: 0 for i in range(len(names))}
+        return {}, {}
+    cells = df.select(*[values[n].cast("double").alias(f"v{i}") for i, n in enumerate(names)])
+    size, brackets = _brackets(cells, len(names), probs, sketch_k, margin)
+    places = {(i, p): p * (size[i] - 1) for i in range(len(names)) if size[i] for p in probs}
+    want = sorted({(i, r) for (i, _), h in places.items() for r in (math.floor(h), math.ceil(h))})
+    found: dict[tuple[int, int], float] = {}
+    while want:
+        with scratch(df.sparkSession):  # the counted values are not needed any longer
+            got, brackets = _pick(cells, {i: brackets[i] for i in {i for i, _ in want}}, want)
+        found |= got
+        want = [w for w in want if w not in got]
+    out: dict[str, dict[float, float | None]] = {n: dict.fromkeys(probs) for n in names}
+    for (i, p), h in places.items():
+        lo, hi = math.floor(h), math.ceil(h)
+        a, b = found[i, lo], found[i, hi]
+        out[names[i]][p] = a if a == b else (hi - h) * a + (h - lo) * b
+    return out, {n: size[i] for i, n in enumerate(names)}
+
+
+def _brackets(cells: DataFrame, n: int, probs: tuple[float, ...], sketch_k: int, margin: float
+              ) -> tuple[list[int], dict[int, list[Bracket]]]:
+    """Values per column, and disjoint brackets around the wanted ranks, in order."""
+    group = F.pmod(F.spark_partition_id(), F.lit(FAN_IN)).alias("g")
+    merged = cells.select(group, "*").groupBy("g").agg(
+        *[F.count(f"v{i}").alias(f"n{i}") for i in range(n)],
+        *[F.kll_sketch_agg_double(f"v{i}", F.lit(sketch_k)).alias(f"s{i}") for i in range(n)]).agg(
+        *[F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"n{i}") for i in range(n)],
+        *[F.kll_merge_agg_double(f"s{i}", F.lit(sketch_k)).alias(f"s{i}") for i in range(n)])
+    ranks = [r for p in probs for r in (max(0.0, p - margin), min(1.0, p + margin))]
+    row = merged.select(*[f"n{i}" for i in range(n)], *[F.when(F.col(f"n{i}") > 0, F.kll_sketch_get_quantile_double(
+        f"s{i}", F.array(*map(F.lit, ranks)))).alias(f"q{i}") for i in range(n)]).first()
+    brackets = {}
+    for i in range(n):
+        own: list[Bracket] = []
+        for lo, hi in sorted(zip(row[f"q{i}"][::2], row[f"q{i}"][1::2])) if row[f"n{i}"] else ():
+            if own and lo <= own[-1][1]:
+                own[-1] = (own[-1][0], max(hi, own[-1][1]))
+            else:
+                own.append((lo, hi))
+        brackets[i] = own
+    return [int(row[f"n{i}"]) for i in range(n)], brackets
+
+
+@dataclass
+class _Segments:
+    """The parts that a column's brackets cut the number line into; odd ones are inside."""
+    brackets: list[Bracket]
+
+    def of(self, v: Column) -> Column:
+        edges = F.lit(2 * len(self.brackets))
+        for k in range(len(self.brackets) - 1, -1, -1):
+            lo, hi = self.brackets[k]
+            edges = F.when(v < F.lit(lo), 2 * k).when(v <= F.lit(hi), 2 * k + 1).otherwise(edges)
+        return edges
+
+    def outside(self, segment: int) -> Bracket:
+        """A bracket that holds every value of an even segment."""
+        k = segment // 2
+        return (self.brackets[k - 1][1] if k else -math.inf, self.brackets[k][0] if k < len(self.brackets) else math.inf)
+
+
+def _pick(cells: DataFrame, brackets: dict[int, list[Bracket]], want: list[tuple[int, int]]
+          ) -> tuple[dict[tuple[int, int], float], dict[int, list[Bracket]]]:
+    """Values of the wanted (column, rank)s that lie inside their column's brackets, and brackets for the others."""
+    spark = cells.sparkSession
+    parts = {i: _Segments(b) for i, b in brackets.items()}
+    located = cells.select(*[F.struct(F.lit(i).alias("i"), s.of(F.col(f"v{i}")).alias("seg"), F.col(f"v{i}").alias("v")).alias(f"c{i}")
+                             for i, s in parts.items()])
+    counts = (located.select(F.inline(F.array(*[f"c{i}" for i in parts]))).where("v IS NOT NULL")
+              .select("i", "seg", F.when(F.col("seg") % 2 == 1, F.col("v")).alias("v"))
+              .groupBy("i", "seg", "v").agg(F.count(F.lit(1)).alias("k")))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = staged(counts.repartitionByRange(n, "i", "seg", "v").withColumn("pid", F.spark_partition_id()), "ranks")
+    totals = (ordered.groupBy("i", "seg", "pid").agg(F.sum("k").alias("n"))
+              .orderBy("i", "seg", "pid").collect())  # one row per partition, and one more per segment
+    starts: dict[int, list[int]] = {i: [] for i in parts}  # per column: values before each piece
+    pieces: dict[int, list[tuple[int, int]]] = {i: [] for i in parts}
+    seen = dict.fromkeys(parts, 0)
     for r in totals:
-        before[r["i"], r["pid"]] = size[r["i"]]
-        size[r["i"]] += r["n"]
-        distinct[r["i"]] += r["d"]
-    places: dict[tuple[int, float], tuple[int, int, float]] = {}
-    for i in range(len(names)):
-        for p in probs if size[i] else ():
-            h = p * (size[i] - 1)
-            places[i, p] = (math.floor(h), math.ceil(h), h)
-    want = sorted({(i, rank) for (i, _), (lo, hi, _) in places.items() for rank in (lo, hi)})
-    inside = {(r["i"], r["pid"]): (before[r["i"], r["pid"]], r["n"]) for r in totals}
-    targets = [(i, pid, rank - b, rank) for i, rank in want for (j, pid), (b, n) in inside.items()
-               if i == j and b <= rank < b + n]
+        starts[r["i"]].append(seen[r["i"]])
+        pieces[r["i"]].append((r["seg"], r["pid"]))
+        seen[r["i"]] += r["n"]
+    targets, again = [], {}
+    for i, rank in want:
+        at = bisect_right(starts[i], rank) - 1
+        seg, pid = pieces[i][at]
+        if seg % 2:
+            targets.append((i, seg, pid, rank - starts[i][at], rank))
+        else:
+            again.setdefault(i, set()).add(parts[i].outside(seg))
     found: dict[tuple[int, int], float] = {}
     if targets:
-        spark = df.sparkSession
-        wanted = F.broadcast(spark.createDataFrame(targets, "i int, pid int, r long, rank long"))  # two rows per quantile
-        pids = sorted({t[1] for t in targets})
-        upto = F.sum("k").over(Window.partitionBy("i", "pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-        # the window sees the rows of one partition of step 2
-        running = ordered.where(F.col("pid").isin(pids)).select("i", "pid", "v", "k", upto.alias("upto"))
-        rows = running.join(wanted, ["i", "pid"]).where((F.col("r") < F.col("upto")) & (F.col("r") >= F.col("upto") - F.col("k")))
+        wanted = F.broadcast(spark.createDataFrame(targets, "i int, seg int, pid int, r long, rank long"))  # two rows per quantile
+        upto = F.sum("k").over(Window.partitionBy("i", "seg", "pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+        # the window sees the rows of one partition of the write
+        running = ordered.where(F.col("pid").isin(sorted({t[2] for t in targets}))).select("i", "seg", "pid", "v", "k", upto.alias("upto"))
+        rows = running.join(wanted, ["i", "seg", "pid"]).where((F.col("r") < F.col("upto")) & (F.col("r") >= F.col("upto") - F.col("k")))
         found = {(r["i"], r["rank"]): r["v"] for r in rows.select("i", "rank", "v").collect()}
-    out: dict[str, dict[float, float | None]] = {}
-    for i, n in enumerate(names):
-        out[n] = {}
-        for p in probs:
-            if (i, p) not in places:
-                out[n][p] = None
-                continue
-            lo, hi, h = places[i, p]
-            a, b = found[i, lo], found[i, hi]
-            out[n][p] = a if a == b else (hi - h) * a + (h - lo) * b
-    return out, {n: distinct[i] for i, n in enumerate(names)}, {n: size[i] for i, n in enumerate(names)}
+    return found, {i: sorted(b) for i, b in again.items()}

@@ -8,8 +8,6 @@ sums, so its work is distributed across features and bins.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,11 +15,11 @@ from pyspark.sql import functions as F
 from kiln.functions import names as N
 from kiln.functions.exprs import as_text, col, is_numeric_type, is_string_type, is_timestamp_type, pyround, round_value
 from kiln.operators.detect import column_facts, is_identifier
+from kiln.operators.dominant import dominant_values
 from kiln.operators.moments import pair_moments
-from kiln.operators.opportunity import top_values
 from kiln.operators.quality import duplicate_column_map
 from kiln.operators.quantiles import value_quantiles
-from kiln.operators.stats import distinct_counts, missing, numeric_view
+from kiln.operators.stats import distinct_counts, distinct_up_to, missing, numeric_view
 
 # ---- fixed values: thresholds ----------------------------------------------
 NEAR_CONSTANT_THRESHOLD = 0.99
@@ -37,6 +35,7 @@ MI_MAX_BINS = 10
 MI_MEANINGFUL = 0.02
 CLASSIFICATION_MAX_DISTINCT = 20
 R2_CAP = 0.999999
+RELATED_MIN = CORRELATION_THRESHOLD
 # ---- end of fixed values ----------------------------------------------------
 
 
@@ -60,27 +59,13 @@ def feature_quality(df: DataFrame, target: str | None = None) -> DataFrame:
     facts = column_facts(df)
     dup_of = duplicate_column_map(df)
     names = list(facts)
-    # most frequent value per column: unpivot to (column index, text value) and
-    # count; all-distinct columns skip that shuffle (each value occurs once, so
-    # the tie rule picks the smallest value)
+    # in all-distinct columns each value occurs once, so the tie rule picks the smallest value
     unique = [c for c in names if facts[c].non_null > 0 and facts[c].distinct == facts[c].non_null]
-    counted = [c for c in names if c not in unique]
-    idx = {c: i for i, c in enumerate(names)}
     spark = df.sparkSession
-    tops = []
-    if counted:
-        pairs = F.array(*[F.struct(F.lit(idx[c]).alias("gi"), as_text(col(c), df.schema[c].dataType).alias("v"))
-                          for c in counted])
-        counts = (df.select(F.inline(pairs)).where(F.col("v").isNotNull())
-                  .groupBy("gi", "v").agg(F.count(F.lit(1)).alias("k")))
-        tops.append(counts.groupBy("gi").agg(F.min_by("v", F.struct(-F.col("k"), F.col("v"))).alias("top_value"),
-                                             F.max("k").alias("top_count")))
+    top = dominant_values(df, [c for c in names if c not in unique])
     if unique:
-        mins = df.agg(*[F.min(as_text(col(c), df.schema[c].dataType)).alias(f"m{idx[c]}") for c in unique])
-        tops.append(mins.select(F.inline(F.array(*[
-            F.struct(F.lit(idx[c]).alias("gi"), F.col(f"m{idx[c]}").alias("top_value"),
-                     F.lit(1).cast("long").alias("top_count")) for c in unique]))))
-    top = tops[0] if len(tops) == 1 else tops[0].unionByName(tops[1])
+        mins = df.agg(*[F.min(as_text(col(c), df.schema[c].dataType)).alias(f"m{i}") for i, c in enumerate(unique)]).first()
+        top |= {c: (mins[f"m{i}"], 1) for i, c in enumerate(unique)}
     # mean text length (reference: first 30 values; here the full column)
     lens = {}
     texts = [c for c in names if is_string_type(df.schema[c].dataType)]
@@ -110,12 +95,11 @@ def feature_quality(df: DataFrame, target: str | None = None) -> DataFrame:
             sem = "categorical"
         meta.append((i, c, dt.simpleString(), sem, round_value((1 - f.non_null / n) * 100.0, 2) if n else 0.0,
                      f.distinct, round_value(f.distinct / n * 100.0, 2) if n else 0.0, is_id, c in dup_of,
-                     dup_of.get(c), f.non_null))
-    m = spark.createDataFrame(meta, "gi int, feature string, datatype string, semantic_type string, "
+                     dup_of.get(c), f.non_null, *top.get(c, (None, None))))
+    j = spark.createDataFrame(meta, "gi int, feature string, datatype string, semantic_type string, "
                                     "missing_pct double, unique_count long, unique_pct double, "
                                     "is_identifier boolean, is_exact_duplicate boolean, duplicate_of string, "
-                                    "non_null long")
-    j = m.join(top, "gi", "left")  # both sides are one row per column
+                                    "non_null long, top_value string, top_count long")
     share = F.col("top_count") / F.col("non_null")
     const = (F.col("non_null") > 0) & (F.col("unique_count") <= 1)
     near = (F.col("non_null") > 0) & ~const & (share >= NEAR_CONSTANT_THRESHOLD)
@@ -143,10 +127,12 @@ def correlated_pairs(df: DataFrame, target: str | None = None, threshold: float
     schema = "feature_a string, feature_b string, correlation double"
     if len(nums) < 2:
         return spark.createDataFrame([], schema)
-    moments = pair_moments(df, nums)
-    r = moments.correlation() if moments is not None else np.full((len(nums), len(nums)), np.nan)
-    rows = [(nums[i], nums[j], round_value(float(r[i, j]), 4)) for i, j in combinations(range(len(nums)), 2)
-            if abs(r[i, j]) >= threshold]
+    rows = []
+    for strip in pair_moments(df, nums):
+        r = strip.correlation()
+        r[np.tril_indices(len(r), 0, r.shape[1])] = np.nan  # each pair once
+        rows += [(nums[strip.at + i], nums[strip.at + j], round_value(float(r[i, j]), 4))
+                 for i, j in np.argwhere(np.abs(r) >= threshold).tolist()]
     rows.sort(key=lambda t: abs(t[2]), reverse=True)
     return spark.createDataFrame(rows, schema)
 
@@ -156,42 +142,54 @@ def vif(df: DataFrame, target: str | None = None, exclude: set[str] | None = Non
         preferred: list[str] | None = None) -> DataFrame:
     """Variance inflation of every numeric feature on complete rows.
 
-    One scan sums the co-moments over rows without missing values; the driver
-    inverts the features' correlation matrix (pseudo-inverse), which equals
-    per-column least squares with intercept. ``preferred`` features come first.
+    Blocked scans sum the co-moments over rows without missing values. One
+    eigendecomposition of the features' correlation matrix gives the diagonal of its
+    (pseudo-)inverse, which is what per-column least squares with intercept gives.
+    ``preferred`` features come first. ``related`` names the other features with
+    |r| >= ``RELATED_MIN``, strongest first.
     """
     exclude = exclude or set()
     spark = df.sparkSession
-    schema = "feature string, vif double, status string"
+    schema = "feature string, vif double, status string, related string"
     cands = [c for c in df.columns if is_numeric_type(df.schema[c].dataType) and c != target
              and c not in exclude]
     sel = list(dict.fromkeys([c for c in (preferred or []) if c in cands] + cands))
-    moments = pair_moments(df, sel, complete=True) if len(sel) > 1 else None
-    if moments is None or moments.n[0, 0] < MIN_ROWS_FOR_VIF:
+    full = np.full((len(sel), len(sel)), np.nan)
+    n = 0
+    for strip in pair_moments(df, sel, complete=True) if len(sel) > 1 else ():
+        n, r = strip.n[0, 0], strip.correlation()
+        still = np.sqrt(strip.variances()[0].diagonal()) <= 1e-12
+        r[still] = np.nan
+        full[strip.at:strip.at + len(r), strip.at:] = r
+        full[strip.at:, strip.at:strip.at + len(r)] = r.T
+    keep = [i for i in range(len(sel)) if not np.isnan(full[i, i])]
+    if n < MIN_ROWS_FOR_VIF or len(keep) < 2:
         return spark.createDataFrame([], schema)
-    keep = [i for i in range(len(sel)) if np.sqrt(moments.variance()[i, i]) > 1e-12]
-    if len(keep) < 2:
-        return spark.createDataFrame([], schema)
-    full = moments.correlation()[np.ix_(keep, keep)]
+    full = full[np.ix_(keep, keep)]
     np.fill_diagonal(full, 1.0)
     rows = []
-    for a, i in enumerate(keep):
-        others = [b for b in range(len(keep)) if b != a]
-        r = full[others, a]
-        r2 = min(max(float(r @ np.linalg.pinv(full[np.ix_(others, others)]) @ r), 0.0), R2_CAP)
-        val = min(1.0 / (1.0 - r2), 1e6)
+    for a, value in enumerate(inverse_diagonal(full)):
+        val = min(float(value), 1.0 / (1.0 - R2_CAP), 1e6)
         status = "HIGH" if val > VIF_HIGH else ("REVIEW" if val >= VIF_REVIEW else "GOOD")
-        rows.append((sel[i], round_value(val, 2), status))
+        near = sorted((b for b in range(len(keep)) if b != a and abs(full[a, b]) >= RELATED_MIN),
+                      key=lambda b: (-round_value(abs(float(full[a, b])), 4), b))
+        rows.append((sel[keep[a]], round_value(val, 2), status, ",".join(sel[keep[b]] for b in near)))
     return spark.createDataFrame(rows, schema)
 
 
+def inverse_diagonal(r: np.ndarray) -> np.ndarray:
+    """The diagonal of a correlation matrix's inverse; huge for columns that others determine."""
+    value, vector = np.linalg.eigh(r)
+    return np.maximum((vector ** 2 / np.maximum(value, 1e-14)).sum(axis=1), 1.0)
+
+
 # ------------------------------------------------------------------- AGG-17
 def target_task(df: DataFrame, target: str) -> str:
     dt = df.schema[target].dataType
     if not is_numeric_type(dt) or dt.typeName() == "boolean":
         return "classification"
-    d = distinct_counts(df, [target])[target]
-    return "classification" if d <= CLASSIFICATION_MAX_DISTINCT else "regression"
+    d = distinct_up_to(df, [target], CLASSIFICATION_MAX_DISTINCT)[target]
+    return "classification" if d is not None and d <= CLASSIFICATION_MAX_DISTINCT else "regression"
 
 
 def _equal_width_bins(v: Column, lo: float, hi: float, distinct: int) -> Column:
@@ -227,12 +225,12 @@ def mutual_information(df: DataFrame, target: str, features: list[str] | None =
     nums = [c for c in feats if is_numeric_type(df.schema[c].dataType)]
     cats = [c for c in feats if c not in nums]
     view = {c: numeric_view(df, c) for c in nums}  # NaN counts as missing
-    found, _, _ = value_quantiles(base, view, (0.0, 0.5, 1.0))
+    found, _ = value_quantiles(base, view, (0.0, 0.5, 1.0))
     median = {c: found[c][0.5] if found[c][0.5] is not None else 0.0 for c in nums}
     filled = {c: F.coalesce(view[c], F.lit(median[c])) for c in nums}
     # bin count follows the distinct values *after* the median fill
     distinct = distinct_counts(base, nums, values=filled)
-    tops = top_values(base, cats)
+    tops = dominant_values(base, cats)
     xs = []
     for c in nums:
         lo, hi = (median[c] if found[c][p] is None else found[c][p] for p in (0.0, 1.0))
@@ -260,6 +258,9 @@ def mutual_information(df: DataFrame, target: str, features: list[str] | None =
 
 
 # ------------------------------------------------------------------ PIP-12
+DECISION_SCHEMA = "feature string, decision string, status string, mi_score double, mi_meaningful boolean"
+
+
 def decisions(quality: DataFrame, corr: DataFrame, vif_df: DataFrame, mi: DataFrame,
               target: str | None) -> DataFrame:
     """KEEP / REVIEW / REMOVE per feature (rule R6); all inputs are per-column tables."""
@@ -292,7 +293,7 @@ def decisions(quality: DataFrame, corr: DataFrame, vif_df: DataFrame, mi: DataFr
 def analyze_selection(df: DataFrame, target: str | None = None) -> dict[str, DataFrame]:
     """PIP-13: target -> quality -> MI -> correlation -> VIF -> decisions."""
     target = detect_target(df, target)
-    q = feature_quality(df, target).cache()
+    q = feature_quality(df, target)  # a local table already
     qrows = q.select("feature", "is_constant", "is_identifier").collect()  # one row per column
     constants = {r["feature"] for r in qrows if r["is_constant"]}
     ids = {r["feature"] for r in qrows if r["is_identifier"]}
@@ -304,8 +305,27 @@ def analyze_selection(df: DataFrame, target: str | None = None) -> dict[str, Dat
     for r in corr.collect():
         pref += [r["feature_a"], r["feature_b"]]
     v = vif(df, target, exclude=constants | ids, preferred=list(dict.fromkeys(pref)))
-    dec = decisions(q, corr, v, mi, target)
-    return {"quality": q, "mutual_information": mi, "correlation": corr, "vif": v, "decisions": dec}
+    dec = spark.createDataFrame(decisions(q, corr, v, mi, target).collect(), DECISION_SCHEMA)  # one row per column
+    return {"quality": q, "mutual_information": mi, "correlation": corr, "vif": v, "decisions": dec,
+            "summary": selection_summary(q, corr, v, dec, target)}
+
+
+def selection_summary(quality: DataFrame, corr: DataFrame, vif_df: DataFrame, dec: DataFrame,
+                      target: str | None) -> DataFrame:
+    """PIP-13: rows (item, count) over the analysed features; inputs are per-column tables."""
+    q = quality.where(F.col("feature") != F.lit(target)) if target else quality
+    counts = q.agg(F.count(F.lit(1)).alias("features"), F.count_if("is_constant").alias("constant"),
+                   F.count_if("is_near_constant").alias("near_constant"), F.count_if("is_identifier").alias("identifier"),
+                   F.count_if("is_exact_duplicate").alias("exact_duplicate"),
+                   F.count_if(F.col("semantic_type") == "high_cardinality_categorical").alias("high_cardinality"),
+                   F.count_if(F.exists("quality_flags", lambda f: f.endswith("_missing"))).alias("missing")).first()
+    kinds = dict.fromkeys(("KEEP", "REVIEW", "REMOVE"), 0)
+    d = dec.where(F.col("feature") != F.lit(target)) if target else dec
+    kinds |= {r["decision"]: r["n"] for r in d.groupBy("decision").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = [*counts.asDict().items(), ("correlated_pairs", corr.count()),
+            ("high_vif", vif_df.where("status = 'HIGH'").count()), ("review_vif", vif_df.where("status = 'REVIEW'").count()),
+            *((k.lower(), n) for k, n in kinds.items())]
+    return quality.sparkSession.createDataFrame(rows, "item string, count long")
 
 
 def apply_selection(df: DataFrame, decisions_df: DataFrame, target: str | None = None,

@@ -5,9 +5,9 @@ Every statistic here is an aggregate over the whole table: a single
 only ever sees O(columns) values. Aggregates are partial (map-side combine)
 so the shuffle carries one small buffer per partition, not rows.
 
-Quantiles are exact (see ``quantiles``) and count doubles on the way; whole
-numbers and decimals are counted as they are, since doubles merge them beyond
-2^53. ``exact=False`` uses ``percentile_approx`` (rank error 1/accuracy).
+Quantiles are exact (see ``quantiles``). ``exact=False`` uses ``percentile_approx``
+(rank error 1/accuracy). Distinct counts are exact; callers that compare them with a
+limit use ``distinct_up_to``, which counts only columns that a sketch cannot rule out.
 """
 
 from __future__ import annotations
@@ -27,6 +27,9 @@ from kiln.functions.exprs import (
 )
 
 APPROX_ACCURACY = 100_000
+#: Registers of a distinct sketch (as a power of two) and its standard error, 0.83 / 2^(k / 2).
+SKETCH_LOG_K = 12
+SKETCH_ERROR = 0.013
 
 
 def _k(i: int, name: str) -> str:
@@ -97,17 +100,15 @@ def numeric_stats(df: DataFrame, names: list[str], coerce: bool = False,
     nd: dict[str, int] = {}
     if quantiles and exact:
         from kiln.operators.quantiles import value_quantiles
-        qv, nd, _ = value_quantiles(df, views, tuple(quantiles))
+        qv, _ = value_quantiles(df, views, tuple(quantiles))
     elif quantiles:
         probs = F.array(*[F.lit(float(p)) for p in quantiles])
         qrow = proj.agg(*[F.percentile_approx(F.col(f"__v{i}"), probs, APPROX_ACCURACY).alias(f"q{i}")
                           for i in range(len(names))]).first()
         qv = {n: dict(zip(quantiles, qrow[f"q{i}"] or [None] * len(quantiles))) for i, n in enumerate(names)}
-    if distinct:
-        # doubles were counted with the quantiles; other types are counted as they are
-        rest = [n for n in names if n not in nd or not is_double_type(df.schema[n].dataType)]
-        nd = nd | distinct_counts(df, rest, values={n: views[n] for n in rest
-                                                    if not is_numeric_type(df.schema[n].dataType)})
+    if distinct:  # numbers as they are, since doubles merge long ones beyond 2^53
+        nd = distinct_counts(df, names, values={n: views[n] for n in names
+                                                if not is_numeric_type(df.schema[n].dataType)})
     n_rows = int(row["n_rows"])
     out: dict[str, NumericStats] = {}
     for i, name in enumerate(names):
@@ -137,10 +138,10 @@ def quartile_stats(df: DataFrame, names: list[str], coerce: bool = False,
     from kiln.operators.quantiles import value_quantiles
     if not names:
         return {}
-    qs, nd, nn = value_quantiles(df, {n: numeric_view(df, n, coerce) for n in names}, tuple(quantiles))
+    qs, nn = value_quantiles(df, {n: numeric_view(df, n, coerce) for n in names}, tuple(quantiles))
     out = {}
     for n in names:
-        st = NumericStats(name=n, n_rows=-1, non_null=nn[n], distinct=nd[n])
+        st = NumericStats(name=n, n_rows=-1, non_null=nn[n])
         if nn[n]:
             st.quantiles = {p: float(qs[n][p]) for p in quantiles}
         out[n] = st
@@ -178,6 +179,26 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*exprs)
 
 
+def distinct_up_to(df: DataFrame, names: list[str], limit: int) -> dict[str, int | None]:
+    """Exact distinct counts of the columns that may have ``limit`` values or fewer; None for those with more.
+
+    A mergeable HyperLogLog sketch per column (one scan, no shuffle of values) rules
+    out columns whose estimate lies ten standard errors above the limit. The others
+    hold few values, which partial aggregation leaves as few rows per task.
+    """
+    if not names:
+        return {}
+    row = df.agg(*[F.hll_sketch_estimate(F.hll_sketch_agg(_sketched(df, n), F.lit(SKETCH_LOG_K))).alias(_k(i, "nd"))
+                   for i, n in enumerate(names)]).first()
+    near = [n for i, n in enumerate(names) if (row[_k(i, "nd")] or 0) <= limit * (1 + 10 * SKETCH_ERROR) + 10]
+    return dict.fromkeys(names) | distinct_counts(df, near)
+
+
+def _sketched(df: DataFrame, name: str) -> Column:
+    """What a distinct sketch takes of a column: a hash of its non-missing value."""
+    return F.when(~missing(df, name), F.xxhash64(col(name)))
+
+
 def distinct_counts(df: DataFrame, names: list[str], exact: bool = True,
                     values: dict[str, Column] | None = None) -> dict[str, int]:
     """Distinct non-null values per column (NaN counts as missing).

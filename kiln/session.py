@@ -9,7 +9,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -67,9 +72,55 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return value
 
 
+@dataclass
+class _Scope:
+    """What ``staged`` made inside a ``scratch`` block."""
+    write: bool
+    paths: list[str] = field(default_factory=list)
+    kept: list[DataFrame] = field(default_factory=list)
+
+
+_SCOPES: ContextVar[tuple[_Scope, ...]] = ContextVar("kiln_scratch", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession, write: bool = True) -> Iterator[None]:
+    """Tables staged inside the block are gone after it; results that read them must be written inside.
+
+    With ``write=False`` (dry runs) nothing is written at all: staged tables are blocks
+    that Spark keeps on the executors' disks, and computes again if one is lost.
+    """
+    scope = _Scope(write)
+    token = _SCOPES.set((*_SCOPES.get(), scope))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        for df in scope.kept:
+            df.unpersist()
+        for path in scope.paths:
+            delete_path(spark, path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder below a shared root, through the file system that Spark uses for it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once below the shared folder and read it back: cuts the lineage, computes it once."""
+    """Write ``df`` once below the shared folder and read it back: cuts the lineage, computes it once.
+
+    Inside a ``scratch`` block the innermost one says what becomes of the table.
+    """
     spark = df.sparkSession
+    scopes = _SCOPES.get()
+    if scopes and not all(s.write for s in scopes):
+        df = df.persist(StorageLevel.DISK_ONLY)
+        scopes[-1].kept.append(df)
+        return df
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kiln-{label}-{uuid.uuid4().hex}"
+    if scopes:
+        scopes[-1].paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

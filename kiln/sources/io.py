@@ -10,13 +10,18 @@ written as JSON next to the stage.
 from __future__ import annotations
 
 import csv
+import hashlib
+import json
 from collections import Counter
+from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kiln.functions.exprs import col, is_string_type
+from kiln.functions.exprs import col
 from kiln.operators.stats import nan_to_null
+from kiln.session import delete_path, staged
 
 STAGES = ("raw", "cleaned", "feature_engineered", "feature_selected")
 STAGE_LABELS = {
@@ -36,39 +41,36 @@ class PipelineStateError(Exception):
 
 
 # --------------------------------------------------------------------- SRC-1
+#: Type lattice of CSV columns, narrowest first: a column has the first type whose test all its values pass.
+_ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+_ISO_TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,9})?)?(Z|[+-][0-9]{2}:?[0-9]{2})?$"
+_LATTICE = (("int", r"^[+-]?[0-9]{1,10}$"), ("bigint", r"^[+-]?[0-9]{1,19}$"),
+            ("double", r"^([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|NaN|[+-]?Infinity)$"),
+            ("date", _ISO_DATE), ("timestamp", f"({_ISO_DATE})|({_ISO_TIME})"), ("boolean", "^(?i:true|false)$"))
+
+
+def _typed(c: Column, kind: str) -> Column:
+    """A text as a type of the lattice, null where it does not pass."""
+    test = dict(_LATTICE).get(kind)
+    return F.when(c.rlike(test), c).try_cast(kind) if test else c
+
+
 def read_table(spark: SparkSession, path: str, fmt: str | None = None,
-               encoding: str = "UTF-8", nan_as_null: bool = True, validate: bool = True,
-               schema: str | None = None) -> DataFrame:
+               encoding: str = "UTF-8", nan_as_null: bool = True, schema: str | None = None) -> DataFrame:
     """Read Parquet (default) or CSV with header and inferred types.
 
-    CSV uses ``mode=FAILFAST`` so malformed rows raise one clean error instead
-    of silently becoming nulls; an empty file raises too, and so does text that
-    the encoding cannot decode (Spark puts U+FFFD for it). Spark parses CSV
-    lazily and only the columns a query needs, so with ``validate`` one pass
-    that touches every column runs here; ``validate=False`` defers errors to the
-    first action. ``schema`` (DDL) skips the scan that infers types. NaN becomes
-    null unless ``nan_as_null`` is off.
+    A CSV file is scanned once: its records are staged as text below the shared
+    folder, and the same write counts, per column, the values that pass each type of
+    the lattice, broken records and undecodable text (Spark puts U+FFFD for it). Columns
+    are then cast from the staged table. ``schema`` (DDL) gives the types instead.
+    Records whose number of fields is not the header's, bytes that the encoding cannot
+    decode and values that are not of a given type raise an error that names line and
+    column, as an empty file does. NaN becomes null unless ``nan_as_null`` is off.
     """
     fmt = fmt or ("csv" if path.lower().endswith(".csv") else "parquet")
     try:
         if fmt == "csv":
-            first = spark.read.option("encoding", encoding).text(path).limit(1).collect()  # the header line only
-            if not first or not first[0][0].strip():
-                raise SourceError("The CSV file is empty.")
-            header = next(csv.reader([first[0][0]]))
-            reader = spark.read.option("header", True).option("mode", "FAILFAST").option("encoding", encoding)
-            reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
-            df = reader.csv(path)
-            if not schema and len(header) == len(df.columns):
-                # Spark renames repeated headers itself; apply the x__dupk rule to the real names
-                df = df.toDF(*unique_names([h.strip() for h in header]))
-            if validate:
-                # max() needs every value, so no column can be pruned from the parse
-                texts = [col(f.name) for f in df.schema.fields if is_string_type(f.dataType)]
-                bad = df.select(F.xxhash64(*[col(c) for c in df.columns]).alias("h"),
-                                F.concat_ws("", *texts).contains("\ufffd").alias("u")).agg(F.max("h"), F.max("u")).first()
-                if bad[1]:
-                    raise SourceError(f"The file holds bytes that are not {encoding}.")
+            df = _read_csv(spark, path, encoding, schema)
         elif fmt == "parquet":
             df = spark.read.parquet(path)
         else:
@@ -81,6 +83,62 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None,
     return nan_to_null(df) if nan_as_null else df
 
 
+def _read_csv(spark: SparkSession, path: str, encoding: str, schema: str | None) -> DataFrame:
+    first = spark.read.option("encoding", encoding).text(path).limit(1).collect()  # the header line only
+    if not first or not first[0][0].strip():
+        raise SourceError("The CSV file is empty.")
+    header = [h.strip() for h in next(csv.reader([first[0][0]]))]
+    wanted = T._parse_datatype_string(schema).fields if schema else None
+    if wanted is not None and len(wanted) != len(header):
+        raise SourceError(f"The schema has {len(wanted)} columns, the file's header {len(header)}.")
+    names = [f.name for f in wanted] if wanted is not None else unique_names(header)
+    at = [f"v{i}" for i in range(len(names))]
+    texts = T.StructType([T.StructField(c, T.StringType()) for c in (*at, "broken")])
+    rows = (spark.read.schema(texts).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", "broken").option("encoding", encoding).csv(path))
+    bad = lambda c: F.col(c).contains("\ufffd")
+    aggs = [F.count("broken").alias("broken"), F.min("broken").alias("record")]
+    for i, c in enumerate(at):
+        aggs += [F.count(c).alias(f"n{i}"), F.count_if(bad(c)).alias(f"u{i}")]
+        if wanted is None:
+            aggs += [F.count(_typed(F.col(c), k)).alias(f"{k}{i}") for k, _ in _LATTICE]
+        else:
+            fails = F.when(F.col(c).try_cast(wanted[i].dataType).isNull(), F.col(c))
+            aggs += [F.count(fails).alias(f"f{i}"), F.min(fails).alias(f"m{i}")]
+    seen = Observation()
+    out = staged(rows.observe(seen, *aggs), "csv")
+    facts = seen.get
+    if facts["broken"]:
+        record = facts["record"]
+        fields = len(next(csv.reader([record]), []))
+        last = header[min(fields, len(header)) - 1]
+        raise SourceError(f"Line {_line(spark, path, encoding, F.col('value') == record)}, column {last!r}: the record has "
+                          f"{fields} fields, the header {len(header)}.")
+    for i, c in enumerate(header):
+        if facts[f"u{i}"]:
+            line = _line(spark, path, encoding, ~F.is_valid_utf8("value") | F.col("value").contains("\ufffd"))
+            raise SourceError(f"Line {line}, column {c!r}: bytes that are not {encoding}.")
+        if wanted is not None and facts[f"f{i}"]:
+            value = facts[f"m{i}"]
+            line = _line(spark, path, encoding, F.col("value").contains(value))
+            raise SourceError(f"Line {line}, column {c!r}: {value!r} is not {wanted[i].dataType.simpleString()}.")
+    if wanted is not None:
+        return out.select(*[F.col(c).try_cast(f.dataType).alias(f.name) for c, f in zip(at, wanted)])
+    kinds = [next((k for k, _ in _LATTICE if facts[f"n{i}"] and facts[f"{k}{i}"] == facts[f"n{i}"]), "string")
+             for i in range(len(at))]
+    return out.select(*[_typed(F.col(c), k).alias(n) for c, k, n in zip(at, kinds, names)])
+
+
+def _line(spark: SparkSession, path: str, encoding: str, wrong: Column) -> int:
+    """Number (from 1) of the first line for which ``wrong`` (over ``value``) holds; only errors ask for it."""
+    lines = spark.read.option("encoding", encoding).text(path).select(
+        "value", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id"))
+    hit = lines.where(wrong).agg(F.min(F.struct("id", "part")).alias("h")).first()["h"]
+    if hit is None:
+        return 0
+    return lines.where((F.col("part") <= hit["part"]) & (F.col("id") <= hit["id"])).count()
+
+
 # --------------------------------------------------------------------- SRC-2
 def unique_names(names: list[str]) -> list[str]:
     """The k-th repeat of ``x`` becomes ``x__dup{k}`` (first keeps its name)."""
@@ -123,23 +181,82 @@ def stage_path(root: str, stage: str) -> str:
     return f"{root.rstrip('/')}/{stage}"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
-    return bool(fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")))
+def _exists(spark: SparkSession, path: str, mark: str = "/_SUCCESS") -> bool:
+    fs, p = _fs(spark, path + mark)
+    return bool(fs.exists(p))
 
 
-def write_stage(df: DataFrame, root: str, stage: str, csv_copy: bool = False) -> str:
-    """Write a checkpoint once; an existing checkpoint is an error, never overwritten."""
-    path = stage_path(root, stage)
-    df.write.mode("errorifexists").parquet(path)
+@dataclass(frozen=True)
+class Manifest:
+    """What a stage was made of and what it holds; written after the stage, so a stage without one is not whole."""
+    stage: str
+    plan: str           # hash of the step and its parameters
+    input_hash: str     # content hash of the stage before
+    rows: int
+    content_hash: str
+    kept_hash: str      # content hash of the columns that the step had to leave alone
+    columns: list[str]
+    files: str          # names and lengths of the stage's files
+
+
+def write_stage(df: DataFrame, root: str, stage: str, csv_copy: bool = False, plan: str = "", input_hash: str = "",
+                keep: list[str] | None = None) -> str:
+    """Write a checkpoint once; an existing checkpoint is an error, never overwritten.
+
+    The write itself observes row count and content hashes for the manifest: no other scan.
+    """
+    path, spark = stage_path(root, stage), df.sparkSession
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), content_hash(df.columns).alias("all"),
+               content_hash(keep or []).alias("kept")).write.mode("errorifexists").parquet(path)
+    got = seen.get
+    manifest = Manifest(stage, plan, input_hash, int(got["rows"]), str(got["all"]), str(got["kept"]), df.columns,
+                        _files(spark, path))
+    _write_text(spark, _manifest_path(root, stage), json.dumps(asdict(manifest)))
     if csv_copy:
         df.write.mode("errorifexists").option("header", True).csv(path + "_csv")
     return path
 
 
+def read_manifest(spark: SparkSession, root: str, stage: str) -> Manifest | None:
+    """The manifest of a stage that is whole and whose files are as they were written, else None."""
+    if not _exists(spark, stage_path(root, stage)) or not _exists(spark, _manifest_path(root, stage), ""):
+        return None
+    text = spark.read.text(_manifest_path(root, stage), wholetext=True).first()[0]
+    manifest = Manifest(**json.loads(text))
+    return manifest if manifest.files == _files(spark, stage_path(root, stage)) else None
+
+
+def drop_stage(spark: SparkSession, root: str, stage: str) -> None:
+    for path in (_manifest_path(root, stage), stage_path(root, stage)):
+        delete_path(spark, path)
+
+
+def _manifest_path(root: str, stage: str) -> str:
+    return f"{root.rstrip('/')}/manifests/{stage}.json"
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, p = _fs(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def _files(spark: SparkSession, path: str) -> str:
+    """Hash of the names and lengths of a folder's files."""
+    fs, p = _fs(spark, path)
+    found = sorted((f.getPath().getName(), f.getLen()) for f in fs.listStatus(p) if not f.getPath().getName().startswith(("_", ".")))
+    return hashlib.sha256(json.dumps(found).encode()).hexdigest()
+
+
 def read_stage(spark: SparkSession, root: str, stage: str) -> DataFrame:
     """Read a required checkpoint; the error names the missing prior stage."""
     path = stage_path(root, stage)
@@ -169,6 +286,11 @@ def write_report(report: DataFrame, root: str, name: str) -> str:
     return path
 
 
+def drop_report(spark: SparkSession, root: str, name: str | None) -> None:
+    if name is not None:
+        delete_path(spark, f"{root.rstrip('/')}/reports/{name}")
+
+
 def read_report(spark: SparkSession, root: str, name: str, schema) -> DataFrame:
     return spark.read.schema(schema).json(f"{root.rstrip('/')}/reports/{name}")
 
@@ -181,7 +303,11 @@ def frame_fingerprint(df: DataFrame) -> DataFrame:
     partitioning, so it proves that an operator left its input unchanged. A
     flag per column goes into the hash, since it skips nulls.
     """
-    cols = [x for c in df.columns for x in (col(c).isNull(), col(c))]
-    h = F.xxhash64(*cols).cast("decimal(38,0)") if cols else F.lit(0)
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(h).cast("string").alias("content_hash")) \
+    return df.agg(F.count(F.lit(1)).alias("rows"), content_hash(df.columns).cast("string").alias("content_hash")) \
              .select("rows", F.lit(",".join(df.columns)).alias("columns"), "content_hash")
+
+
+def content_hash(columns: list[str]) -> Column:
+    """The aggregate behind ``frame_fingerprint``, over some columns."""
+    parts = [x for c in columns for x in (col(c).isNull(), col(c))]
+    return F.sum(F.xxhash64(*parts).cast("decimal(38,0)") if parts else F.lit(0).cast("decimal(38,0)"))
