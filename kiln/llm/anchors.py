@@ -378,10 +378,16 @@ def gathered(spans: DataFrame) -> DataFrame:
                         (F.col("place") + F.col("span").bitwiseAND(0xFFFF)).alias("hi")).groupBy("doc", "tie")
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
-    """Compressed documents joined with a per-document table (doc, tie, ...)."""
+def with_spans(docs: DataFrame, spans: DataFrame, how: str, once: bool = False) -> DataFrame:
+    """Compressed documents joined with a per-document table (doc, tie, ...); ``once``: repeated rows as one.
+
+    Repeated rows meet in a partial aggregate before the shuffle that the join needs anyway.
+    """
     s = spans.withColumnsRenamed({"doc": "s_doc", "tie": "s_tie"})
-    return packed(docs).join(s.hint("merge"), (F.col("doc") == F.col("s_doc")) & (F.col("tie") == F.col("s_tie")),
+    rows = packed(docs)
+    if once:
+        rows = rows.groupBy("doc", "tie").agg(F.first("blob").alias("blob"))
+    return rows.join(s.hint("merge"), (F.col("doc") == F.col("s_doc")) & (F.col("tie") == F.col("s_tie")),
                              how).drop("s_doc", "s_tie")
 
 

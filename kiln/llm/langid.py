@@ -7,8 +7,9 @@ discounts n1 / (n1 + 2 n2) and the interpolated probabilities follow by grouping
 and joining in Spark. A language's model is stored as sorted arrays of n-gram
 keys with log probabilities, and of context keys with log back-off weights. Keys
 are whole (16 bits a code, 64 in all), so no n-grams merge and none that was not
-learned is found. An entry takes 12 bytes, and the broadcast grows with the number
-of different n-grams.
+learned is found: letters beyond 16 bits are two codes, the halves of their UTF-16
+form, which no other letter has. An entry takes 12 bytes, and the broadcast grows
+with the number of different n-grams; tasks sort arrays of ``ARRAY_KEYS`` keys or so.
 
 *Predict.* The language with the lowest cross-entropy per character wins.
 Rejection is calibrated on the learning documents: the excess of a document's
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 from kiln.llm.common import stage, with_columns
 
 ORDER = 4
-HASH_BITS = 20
 CHUNK_CHARS = 2_000_000
+ARRAY_KEYS = 1_000_000
 REJECT_QUANTILE = 0.999
 REJECT_MARGIN = 2.0
 REJECT_CHARS = 400
@@ -47,19 +48,21 @@ _BITS = 16
 
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    """Which 16-bit codes are letters; the private area stands for letters beyond them."""
+    """Which 16-bit codes are letters by Unicode category, or halves of letters beyond them."""
     table = np.array([chr(c).isalpha() for c in range(1 << _BITS)])
-    table[0xE000:0xF900] = True
+    table[0xD800:0xE000] = True
     return table
 
 
 def _codes(text: str) -> np.ndarray:
-    """16-bit codes; characters beyond 16 bits fold into the private area if they are letters."""
-    c = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
-    if len(c) and int(c.max()) >> _BITS:
-        c = c.copy()
-        high = np.flatnonzero(c >> _BITS)
-        c[high] = [0xE000 + x % 0x1900 if chr(x).isalpha() else _SPACE for x in c[high].tolist()]
+    """UTF-16 codes; both halves of a character that is no letter become spaces."""
+    c = np.frombuffer(text.encode("utf-16-le", "replace"), "<u2").astype(np.uint32)
+    high = np.flatnonzero((c >= 0xD800) & (c < 0xDC00))
+    if len(high):
+        whole = 0x10000 + ((c[high] - 0xD800) << 10) + (c[high + 1] - 0xDC00)
+        kinds, at = np.unique(whole, return_inverse=True)
+        other = high[~np.array([chr(x).isalpha() for x in kinds.tolist()])[at]]
+        c[other] = c[other + 1] = _SPACE
     return c
 
 
@@ -189,7 +192,8 @@ def kneser_ney(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
                                          F.count(F.lit(1)).alias("kinds"))
         context = F.shiftrightunsigned("key", _BITS)
         sums = t.groupBy("lang", context.alias("ctx")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("types"))
-        sums = sums.join(discount, "lang").withColumn("gamma", F.col("d") * F.col("types") / F.col("total"))
+        sums = sums.join(F.broadcast(discount), "lang").withColumn(  # one row per language
+            "gamma", F.col("d") * F.col("types") / F.col("total"))
         p = t.withColumn("ctx", context).join(sums, ["lang", "ctx"])
         if lower is None:
             below = F.lit(1.0) / (F.col("kinds") + 1)
@@ -207,23 +211,6 @@ def kneser_ney(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return union(probs), union(weights)
 
 
-def _rotate(x: np.ndarray, bits: int) -> np.ndarray:
-    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
-
-
-def hash_keys(keys: np.ndarray) -> np.ndarray:
-    """The top HASH_BITS bits of XXH64 (seed 42) of 64-bit keys, as Spark's ``xxhash64`` gives them."""
-    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
-                                                 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    with np.errstate(over="ignore"):
-        h = (np.uint64(42) + p5 + np.uint64(8)) ^ (_rotate(keys.astype(np.uint64) * p2, 31) * p1)
-        h = _rotate(h, 27) * p1 + p4
-        h = (h ^ (h >> np.uint64(33))) * p2
-        h = (h ^ (h >> np.uint64(29))) * p3
-        h ^= h >> np.uint64(32)
-    return (h >> np.uint64(64 - HASH_BITS)).astype(np.uint32)
-
-
 class KeyArray:
     """A sorted array of n-gram keys with a value each."""
 
@@ -274,7 +261,7 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> list
 
 
 def _key_arrays(t: DataFrame) -> dict[tuple[str, int], KeyArray]:
-    """The sorted key array of each (lang, size); the driver gets two packed arrays per group."""
+    """The sorted key array of each (lang, size), from sorted pieces that tasks pack and the driver merges."""
     def pack(group: pa.Table) -> pa.Table:
         k, v = group.column("key").to_numpy().view(np.uint64), group.column("value").to_numpy()
         order = np.argsort(k)
@@ -282,9 +269,20 @@ def _key_arrays(t: DataFrame) -> dict[tuple[str, int], KeyArray]:
                          "keys": pa.array([k[order].tobytes()], pa.binary()),
                          "values": pa.array([v[order].astype(np.float32).tobytes()], pa.binary())})
 
-    rows = t.groupBy("lang", "size").applyInArrow(pack, "lang string, size int, keys binary, values binary").collect()
-    return {(r["lang"], r["size"]): KeyArray(np.frombuffer(bytes(r["keys"]), np.uint64),
-                                             np.frombuffer(bytes(r["values"]), np.float32)) for r in rows}
+    t = stage(t, "model")
+    pieces = F.pmod(F.xxhash64("key"), F.lit(-(-t.count() // ARRAY_KEYS) or 1)).alias("piece")
+    rows = t.select("*", pieces).groupBy("lang", "size", "piece").applyInArrow(
+        pack, "lang string, size int, keys binary, values binary").collect()
+    parts: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+    for r in rows:
+        parts.setdefault((r["lang"], r["size"]), []).append(
+            (np.frombuffer(bytes(r["keys"]), np.uint64), np.frombuffer(bytes(r["values"]), np.float32)))
+    out = {}
+    for at, own in parts.items():
+        k, v = (np.concatenate(x) for x in zip(*own))
+        order = np.argsort(k, kind="stable")  # merges sorted runs
+        out[at] = KeyArray(k[order], v[order])
+    return out
 
 
 _SCORED = "lang_best string, bits double, margin double, chars long"
@@ -339,8 +337,8 @@ def identify(df: DataFrame, learns: Column, text_col: str = "text", lang_col: st
     known = facts
     if keep is None:  # whole rows are scored again rather than written once more
         keep, known = df.columns, score_languages(df, models, text_col)
-    known = known.join(F.broadcast(limits), F.col("__lang_best") == F.col("c_lang"), "left")  # one row per language
-    over = F.coalesce(_excess() > F.greatest(F.col("c_limit"), F.lit(1.0)) * REJECT_MARGIN, F.lit(False))
+    known = known.join(F.broadcast(limits), F.col("__lang_best") == F.col("__langid_lang"), "left")  # one row per language
+    over = F.coalesce(_excess() > F.greatest(F.col("__langid_limit"), F.lit(1.0)) * REJECT_MARGIN, F.lit(False))
     others = F.exp(-F.coalesce("__margin", F.lit(0.0)) * F.log(F.lit(2.0)) * F.least(F.col("__chars"), F.lit(32)))
     return (known.withColumn("__lang_pred", F.coalesce("__lang_best", F.lit(UNDETERMINED)))
             .withColumn("__score", F.when(F.col("__lang_best").isNull(), 0.0).otherwise(1 / (1 + others)))
@@ -349,14 +347,15 @@ def identify(df: DataFrame, learns: Column, text_col: str = "text", lang_col: st
 
 
 def _excess() -> Column:
-    return (F.col("__bits") - F.col("c_mean")) * F.sqrt(F.least(F.col("__chars"), F.lit(REJECT_CHARS)))
+    return (F.col("__bits") - F.col("__langid_mean")) * F.sqrt(F.least(F.col("__chars"), F.lit(REJECT_CHARS)))
 
 
 def _limits(taught: DataFrame) -> DataFrame:
     """Per language: mean cross-entropy of its learning documents and the quantile of their excess over it."""
-    mean = taught.groupBy(F.col("__lang_best").alias("c_lang")).agg(F.avg("__bits").alias("c_mean"))
-    return taught.join(mean, F.col("__lang_best") == F.col("c_lang")).groupBy("c_lang", "c_mean").agg(
-        F.percentile_approx(_excess(), REJECT_QUANTILE, 10_000).alias("c_limit"))
+    mean = taught.groupBy(F.col("__lang_best").alias("__langid_lang")).agg(F.avg("__bits").alias("__langid_mean"))
+    # one row per language
+    return taught.join(F.broadcast(mean), F.col("__lang_best") == F.col("__langid_lang")).groupBy("__langid_lang", "__langid_mean").agg(
+        F.percentile_approx(_excess(), REJECT_QUANTILE, 10_000).alias("__langid_limit"))
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:

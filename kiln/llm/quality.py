@@ -9,7 +9,7 @@ other half's rows are binned (fixed bins) and fitted by pool-adjacent-violators;
 the full model's scores pass through that curve.
 
 Defined cases: a null text is empty; empty texts have statistics (zeros) and are
-scored like others; null labels and null ids are not learned from; several labels
+scored like others; null and non-finite labels and null ids are not learned from; several labels
 of one id count with their mean; with nothing to learn from every score is 0.5;
 repeated rows are scored once each; an empty table gives no rows.
 """
@@ -216,7 +216,7 @@ def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     """One row per document: doc_id, held_out, score, predicted."""
     rows = stage(with_statistics(documents(df, id_col, text_col), "text", ["doc_id"]), "statistics")
     marks = labels.select(F.col(f"`{id_col}`").cast("long").alias("l_id"), F.col(f"`{label_col}`").cast("double").alias("y")
-                          ).filter("l_id IS NOT NULL AND y IS NOT NULL").groupBy("l_id").agg(F.avg("y").alias("y"))
+                          ).filter(F.col("l_id").isNotNull() & (F.abs("y") < float("inf"))).groupBy("l_id").agg(F.avg("y").alias("y"))
     train = stage(rows.filter(~held_out("doc_id", folds, rest)).join(marks, F.col("doc_id") == F.col("l_id"))
                   .select("__x", "y", F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(2)).cast("int").alias("half")),
                   "quality-train")

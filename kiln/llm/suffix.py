@@ -202,7 +202,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
     listed = listed.groupBy("doc", "tie").agg(
         F.collect_list(F.when(~F.col("hot"), F.col("l"))).alias("leaders"),
         F.collect_list(F.when(F.col("hot"), F.col("l"))).alias("hot_leaders"))
-    opened = stage(with_spans(docs, listed, "inner").select("doc", "tie", "blob", "leaders", "hot_leaders"), "leaders")
+    opened = stage(with_spans(docs, listed, "inner", once=True).select("doc", "tie", "blob", "leaders", "hot_leaders"), "leaders")
     cells = (opened.select("doc", "tie", "blob", "leaders").mapInArrow(lambda b: _contexts(b, window), _CONTEXT)
              .repartition("h").sortWithinPartitions("h"))
     shared = cells.mapInArrow(lambda b: _shared_windows(b, window), _SHARED)

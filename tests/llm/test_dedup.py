@@ -138,6 +138,19 @@ def test_window_overlapping_itself(spark):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute.byte_repeats(docs)
 
 
+@pytest.mark.parametrize("cells", [1, 8192])
+def test_suffix_repeated_rows_are_one_document(spark, cells):
+    """Two texts that share pieces shorter than the window share no window, however often a row is given."""
+    pieces = ["".join(chr(97 + (i * i * (k + 3) + 7 * i + k) % 26) for i in range(170)) for k in range(12)]
+    one, two = ("".join(p + f"<{tag}{k:03d}>" * 9 for k, p in enumerate(pieces)) for tag in ("a", "b"))
+    rows = [(1, one), (2, two), (1, one), (1, one), (3, two[:300] + "x"), (3, two[:300] + "x"), (None, one[500:900]), (None, one[500:900])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute.byte_repeats({1: one, 2: two, 3: two[:300] + "x", None: one[500:900]})
+    got = suffix.remove_repeats(df, cell_contexts=cells).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == {(d, *v) for d, v in want.items()}
+
+
 def test_suffix_array_by_grouping():
     rng = random.Random(1)
     for _ in range(800):

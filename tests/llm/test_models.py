@@ -129,11 +129,37 @@ def test_unseen_grams_are_not_found(spark):
     assert len(other) > 190_000 and not model.grams[4].get(other)[0].any()
 
 
-def test_hashes_are_those_of_spark(spark):
-    keys = np.array([0, 1, 2**63, 2**64 - 1, 123456789012345], np.uint64)
-    df = spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "k long")
-    want = [r[0] for r in df.select(F.shiftrightunsigned(F.xxhash64("k"), 64 - langid.HASH_BITS)).collect()]
-    assert langid.hash_keys(keys).tolist() == want
+def test_letters_go_by_unicode_category(spark):
+    """Private-use characters are no letters; letters beyond 16 bits never merge."""
+    texts = ["\ue000 12", "\ue000\uf8ff", "😀 12", "𝒳", "𐐨", None, "", "12 34"]
+    codes, sizes = langid.letter_stream(texts)
+    assert sizes.tolist() == [0, 0, 0, 2, 2, 0, 0, 0]
+    old = [chr(c) for c in range(0x10428, 0x10450)] + [chr(c) for c in range(0x20000, 0x2A000, 7)]
+    streams = {tuple(langid._codes(c).tolist()) for c in old}
+    assert len(streams) == len(old)
+    rows = [(i, "𐐨𐐩𐐪 𐐫𐐬𐐭 " * 9, "deseret") for i in range(20)] + [(20 + i, "abc def ghi " * 9, "en") for i in range(20)]
+    rows += [(100 + i, t, None) for i, t in enumerate(texts)] + [(200, "𐐨𐐩𐐪 𐐫𐐬", None)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify_documents(
+        spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[100 + i] == ("und", 0.0) for i in (0, 1, 2, 5, 6, 7))
+    assert got[200][0] == got[0][0] == "deseret" and got[20][0] == "en"
+
+
+def test_kept_rows_may_have_any_column_names(spark):
+    rows = [(i, "abc def ghi " * 9, "en", "x", 1.5, 2, "y") for i in range(20)] + [(50, None, "en", "x", 1.5, 2, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, c_lang string, c_mean double, c_limit int, size string")
+    got = langid.keep_identified(df)
+    assert got.columns == df.columns and {r.doc_id for r in got.collect()} == set(range(20))
+
+
+def test_labels_that_are_no_numbers_are_not_learned(spark):
+    docs = spark.createDataFrame([(i, "word " * (i % 7) + "end!" * (i % 2)) for i in range(60)], "doc_id long, text string")
+    marks = [(i, float(i % 2)) for i in range(60)]
+    odd = [(3, float("nan")), (4, float("inf")), (5, None), (None, 1.0), (7, -float("inf"))]
+    clean, dirty = (quality.score_quality(docs, spark.createDataFrame(m, "doc_id long, quality double")).collect()
+                    for m in (marks, marks + odd))
+    want = {r.doc_id: r.score for r in clean}
+    assert all(0 <= r.score <= 1 and abs(r.score - want[r.doc_id]) < 1e-9 for r in dirty)
 
 
 def test_language_id_on_held_out_documents(spark):
