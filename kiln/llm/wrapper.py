@@ -1,23 +1,31 @@
 """Main-text extraction by wrapper induction over the pages of a host.
 
-Pages are grouped by host. In each group the trees of the first ``EXAMPLES``
-different pages (in hash order) are aligned by simple tree matching: two nodes
-match if their labels agree, and the children of matched nodes are paired, in
-order, so that most nodes match. A block that is matched in every example and
-whose own text (inline elements included) is always the same is template; text
-that varies is a content slot. A page's tree is then aligned with the wrapper: text in template blocks goes, and the
-content lies in the page's article (or main) element, or else in the smallest
-region of the wrapper that holds nearly all varying text. Inside it, regions whose
-element, role or name marks them as menu, header, footer, sidebar, notice, advert,
-form, script, style or reader comments go too. A name (a class or id all of whose words
+Pages are grouped by host. All different pages of a group take part in the
+induction: a page joins the layout whose blocks its own resemble most (shared label
+paths), or begins a new one. Its tree is aligned with the layout's tree by simple
+tree matching: two nodes match if their labels agree, and the children of matched
+nodes are paired, in order, so that most nodes match; children of a kind that the
+layout's tree does not have there are added to it. Labels are tags with those classes
+that ``CLASS_SHARE`` of the group's pages use, so page-specific classes do not matter.
+A node of the layout is template where one text (inline elements included) makes up
+``CONSTANT_SHARE`` of its texts and stands on ``PRESENT_SHARE`` of the layout's pages;
+other texts vary: they are content slots.
+
+A page is then aligned with its layout: blocks that say what a template node says go.
+Content lies in the page's article (or main) element, or else in the smallest region
+of the layout that holds nearly all varying text. Inside it, regions whose element,
+role or name marks them as menu, header, footer, sidebar, notice, advert, form,
+script, style or reader comments go too. A name (a class or id all of whose words
 are such names) counts only for an element that does not hold most of the article and
-main text, or on pages without those most of the varying text. A group with fewer than
-``LEAST_EXAMPLES`` different pages has no template.
+main text, or on pages without those most of the varying text. A layout with fewer
+than ``LEAST_EXAMPLES`` different pages has no template, and an article that would
+nearly vanish as template is a copied article and stays.
 
 Groups hold one host; a host with more than ``GROUP_PAGES`` pages (or than a
-ten-thousandth of all, if that is more) is split evenly by page hash, so at most
-10 000 hosts are split, which bounds the broadcast that says so. Groups are
-streamed: a task holds the examples and one batch.
+500 000th of all, if that is more) is split evenly by page hash into parts of at
+least half as many, each with enough pages to tell constant from varying text; at
+most 500 000 hosts are split, which bounds the broadcast that says so. A task holds
+the compressed pages of one group and the trees of its layouts.
 
 Defined cases: null html is empty and gives an empty text; pages with a null or
 odd url share the empty host; repeated rows are extracted once each; markup that
@@ -28,15 +36,21 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Callable, Iterator
+import zlib
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GROUP_PAGES = 2_000
-EXAMPLES = 8
 LEAST_EXAMPLES = 4
+CLASS_SHARE = 0.1
+SIMILAR = 0.5
+CONSTANT_SHARE = 0.6
+PRESENT_SHARE = 0.3
+LEAST_KEPT = 0.1  # of an article: with less it is a copy of other pages' articles
 REGION_SHARE = 0.8
 HELD_SHARE = 0.5  # an element with more of the main text is not noise by name
 MAX_DEPTH = 200  # deeper elements become siblings, as in browsers
@@ -64,11 +78,14 @@ NOISE_NAMES = frozenset("""ad ads advert adverts advertisement advertising adslo
     breadcrumb breadcrumbs header masthead footer comment comments commentlist disqus respond reply replies share sharing
     social related recommended newsletter subscribe subscription signup login widget pagination pager toolbar""".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks that are part of a text, and so never all of it.
+PARAGRAPHS = HEADINGS | frozenset("p li dt dd pre blockquote tr".split())
 
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<![^>]*>?|<\?[^>]*>?"
                     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|([^<]+|<)", re.S)
 _NAMED = re.compile(r"(?:^|[\s/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _NAME_PART = re.compile(r"[a-z]+")
+_CLASSES = re.compile(r"\sclass\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 
 
 class Node:
@@ -84,14 +101,14 @@ def _noise_name(token: str) -> bool:
     return bool(parts) and NOISE_NAMES.issuperset(parts)
 
 
-def _noisy(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """The label (tag and class), whether the element marks a region that is not main text, and whether only its name does."""
+def _noisy(tag: str, attributes: str, classes: frozenset | None) -> tuple[str, bool, bool]:
+    """The label (tag and classes), whether the element marks a region that is not main text, and whether only its name does."""
     noise, named, cls = tag in NOISE_TAGS, False, ""
     if attributes:
         for name, value in _NAMED.findall(attributes):
             value, name = value.strip("\"'").lower(), name.lower()
             if name == "class":
-                cls = value
+                cls = value if classes is None else " ".join(t for t in value.split() if t in classes or _noise_name(t))
             if name in ("class", "id"):
                 named = named or any(map(_noise_name, value.split()))
             elif name == "role":
@@ -103,8 +120,11 @@ def _noisy(tag: str, attributes: str) -> tuple[str, bool, bool]:
     return (f"{tag}.{cls}" if cls else tag), some and (noise or named), some and named and not noise
 
 
-def parse(text: str) -> Node:
-    """The element tree of a page; text is decoded and kept as strings among the children."""
+def parse(text: str, classes: frozenset | None = None) -> Node:
+    """The element tree of a page; text is decoded and kept as strings among the children.
+
+    Labels hold the ``classes`` given (default: all) and those that name noise.
+    """
     root = Node("#root", "#root", False)
     stack = [root]
     at, end, size = 0, len(text), _TOKEN.match
@@ -129,7 +149,7 @@ def parse(text: str) -> Node:
             _close(stack, frozenset(("p",)), P_SCOPE)
         if tag in CLOSES:
             _close(stack, *CLOSES[tag])
-        label, noise, named = _noisy(tag, m.group(3))
+        label, noise, named = _noisy(tag, m.group(3), classes)
         node = Node(tag, label, noise, named)
         stack[-1].children.append(node)
         if tag in RAW:
@@ -250,36 +270,79 @@ def match_trees(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     return size + best[len(x)][len(y)], pairs
 
 
-class Wrapper:
-    """What the pages of a group share: the first example's tree with its template nodes."""
+def block_paths(root: Node) -> frozenset:
+    """Hashes of the label paths of a tree's blocks."""
+    out, todo = set(), [(root, 0)]
+    while todo:
+        node, path = todo.pop()
+        for c in _elements(node):
+            own = hash((path, c.label))
+            if c.tag in BLOCK:
+                out.add(own)
+            todo.append((c, own))
+    return frozenset(out)
 
-    def __init__(self, examples: list[Node]):
-        self.base = examples[0] if examples else None
-        self.template: dict[int, str] = {}
-        self.region: list[str] = []
+
+class Wrapper:
+    """What the pages of a layout share: an aligned tree with its template nodes."""
+
+    def __init__(self, base: Node):
+        self.base, self.paths, self.pages = base, block_paths(base), 0
+        self.seen: dict[int, Counter] = {}  # texts of each node, by hash
+        self.length: Counter = Counter()    # characters of a node's texts, by (node, text)
+        self.template: dict[int, set[int]] = {}
+        self.region: list[Node] = []
         self.holders: set[tuple[str, ...]] | None = None  # without a template every page has its own
-        if len(examples) < LEAST_EXAMPLES:
-            return
-        seen: dict[int, list[str]] = {}
-        for other in examples[1:]:
-            for a, b in match_trees(self.base, other)[1]:
-                if a.tag in BLOCK:
-                    seen.setdefault(id(a), []).append(block_text(b))
-        varying: dict[int, int] = {}
-        for node in _blocks(self.base):
-            text, others = block_text(node), seen.get(id(node), [])
-            if text and len(others) == len(examples) - 1 and all(t == text for t in others):
-                self.template[id(node)] = text
-            else:
-                varying[id(node)] = len(text)
-        self.holders = _holders(self.base, lambda n: varying.get(id(n), 0))
-        _release(self.base, self.holders)
-        self.region = self._region(varying)
 
-    def _region(self, varying: dict[int, int]) -> list[str]:
-        """Labels from the root down to the smallest region with nearly all varying text."""
+    def add(self, page: Node) -> None:
+        """Align a page and count its blocks' texts; children of a new kind join the tree."""
+        self.pages += 1
+        pairs = match_trees(self.base, page)[1]
+        partner = {id(b): a for a, b in pairs}
+        for a, b in pairs:
+            kinds = {c.label for c in _elements(a)}
+            before = None
+            for c in _elements(b):
+                if id(c) in partner:
+                    before = partner[id(c)]
+                elif c.label not in kinds:
+                    a.children.insert(a.children.index(before) + 1 if before else 0, c)
+                    kinds.add(c.label)
+                    before = c
+                    for n in _blocks(c):
+                        self._count(n, n)
+            if a.tag in BLOCK:
+                self._count(a, b)
+
+    def _count(self, node: Node, block: Node) -> None:
+        text = block_text(block)
+        if text:
+            own = hash(text)
+            self.seen.setdefault(id(node), Counter())[own] += 1
+            self.length[id(node), own] += len(text)
+
+    def close(self) -> Wrapper:
+        """Tell constant nodes from slots."""
+        varying: Counter = Counter()
+        enough = self.pages >= LEAST_EXAMPLES
+        for node, texts in self.seen.items():
+            present = texts.total()
+            constant = {t for t, n in texts.items() if enough and n >= max(
+                LEAST_EXAMPLES, CONSTANT_SHARE * present, PRESENT_SHARE * self.pages)}
+            if constant:
+                self.template[node] = constant
+            varying[node] = sum(self.length[node, t] for t in texts if t not in constant)
+        if enough:
+            self.holders = _holders(self.base, lambda n: varying[id(n)])
+            _release(self.base, self.holders)
+            self.region = self._region(varying)
+        self.seen, self.length = {}, Counter()
+        return self
+
+    def _region(self, varying: Counter) -> list[Node]:
+        """The nodes from the root down to the smallest region with nearly all varying text."""
         def weigh(node: Node) -> int:
-            total = 0 if node.noise else varying.get(id(node), 0) + sum(weigh(c) for c in _elements(node))
+            total = 0 if node.noise else varying[id(node)] + sum(weigh(c) for c in _elements(node))
             weight[id(node)] = total
             return total
 
@@ -287,39 +350,77 @@ class Wrapper:
         whole, node, path = weigh(self.base), self.base, []
         while True:
             inner = [c for c in _elements(node) if weight.get(id(c), 0) >= REGION_SHARE * whole > 0]
-            if not inner or inner[0].tag in HEADINGS or inner[0].tag not in BLOCK:
+            if not inner or inner[0].tag in PARAGRAPHS or inner[0].tag not in BLOCK:
                 return path
             node = inner[0]
-            path.append(node.label)
-
-    def template_nodes(self, page: Node) -> set[int]:
-        """Blocks of a page that match template blocks and say the same."""
-        if not self.template:
-            return set()
-        return {id(b) for a, b in match_trees(self.base, page)[1]
-                if id(a) in self.template and block_text(b) == self.template[id(a)]}
+            path.append(node)
 
-    def content(self, page: Node) -> list[Node]:
-        """The page's content regions."""
+    def content(self, page: Node, partner: dict[int, Node]) -> list[Node]:
+        """The page's content regions; ``partner`` has the page's node for each matched node of the layout."""
         for tag in ("article", "main"):
             found = _outermost(page, tag)
             if found:
                 return found
-        node = page
-        for label in self.region:
-            inner = next((c for c in _elements(node) if c.label == label), None)
-            if inner is None:
-                break
-            node = inner
-        return [node]
+        return [next((partner[id(n)] for n in reversed(self.region) if id(n) in partner), page)]
 
     def extract(self, page: Node) -> str:
         if not _has_main_text(page):
             own = lambda n: sum(len(c.strip()) for c in n.children if c.__class__ is str)
             _release(page, _holders(page, own) if self.holders is None else self.holders)
-        regions = self.content(page)
-        text = _text(regions, self.template_nodes(page))
-        return text or _text(regions, set())
+        pairs = match_trees(self.base, page)[1] if self.template else []
+        template = {id(b) for a, b in pairs if id(a) in self.template and hash(block_text(b)) in self.template[id(a)]}
+        regions = self.content(page, {id(a): b for a, b in pairs})
+        text = _text(regions, template)
+        if not text or regions[0].tag in ("article", "main"):
+            whole = _text(regions, set())
+            return text if len(text) >= LEAST_KEPT * len(whole) else whole
+        return text
+
+
+def choose(wrappers: list[Wrapper], page: Node) -> Wrapper | None:
+    """The layout with the largest share of common block paths, if that is ``SIMILAR`` or more."""
+    paths, best, most = block_paths(page), None, SIMILAR
+    for w in wrappers:
+        union = len(paths | w.paths)
+        share = len(paths & w.paths) / union if union else 1.0
+        if share >= most and (best is None or share > most):
+            best, most = w, share
+    return best
+
+
+def induce(pages: Iterable[Node]) -> list[Wrapper]:
+    """The layouts of a group's pages; pages with the same text count once."""
+    wrappers: list[Wrapper] = []
+    known: set[int] = set()
+    for page in pages:
+        text = hash(_text([page], set()))
+        if text in known:
+            continue
+        known.add(text)
+        w = choose(wrappers, page)
+        if w is None:
+            wrappers.append(w := Wrapper(page))
+        w.add(page)
+    return [w.close() for w in wrappers]
+
+
+def stable_classes(sources: Iterable[str], n: int) -> frozenset:
+    """Class names on ``CLASS_SHARE`` of n pages, and on two at least."""
+    count: Counter = Counter()
+    for s in sources:
+        count.update({t for c in _CLASSES.findall(s) for t in c.strip("\"'").lower().split()})
+    return frozenset(t for t, k in count.items() if k >= max(2, CLASS_SHARE * n))
+
+
+def extract_group(sources: list[str]) -> Iterator[str]:
+    """The main text of each page of a group."""
+    different = list(dict.fromkeys(sources))
+    classes = stable_classes(different, len(different))
+    wrappers = induce(parse(s, classes) for s in different)
+    for s in sources:
+        page = parse(s, classes)
+        w = choose(wrappers, page)
+        yield (w if w is not None else Wrapper(page)).extract(page)
 
 
 def _holders(root: Node, own: Callable[[Node], int]) -> set[tuple[str, ...]]:
@@ -395,55 +496,25 @@ def _text(regions: list[Node], template: set[int]) -> str:
 
 
 def _extract_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (host, part, order): the wrapper from the first pages, then page by page."""
-    now, waiting, wrapper = None, [], None
-    sources: set[str] = set()
-
-    def rows(done: list[tuple], w: Wrapper) -> list[tuple]:
-        out = []
-        for page_id, url, tree in done:
-            text = w.extract(tree)
-            out.append((page_id, url, text, len(text)))
-        return out
-
-    def batch(out: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*out))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-            cols, (pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["page_id", "url", "text", "n_chars"])
+    """Rows sorted by (host, part, order): each group's pages are kept compressed until it is whole."""
+    now, held = None, []
+
+    def group() -> Iterator[pa.RecordBatch]:
+        texts = extract_group([zlib.decompress(z).decode() for _, _, z in held])
+        for a in range(0, len(held), 512):
+            rows = [(i, u, t, len(t)) for (i, u, _), t in zip(held[a:a + 512], texts)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
+                zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["page_id", "url", "text", "n_chars"])
 
     for b in batches:
-        out: list[tuple] = []
         for host, part, page_id, url, source in zip(*(c.to_pylist() for c in b.columns)):
-            if (host, part) != now:
-                if waiting:
-                    out += rows(waiting, Wrapper(_distinct(waiting)))
-                now, waiting, wrapper, sources = (host, part), [], None, set()
-            tree = parse(source or "")
-            if wrapper is None:
-                waiting.append((page_id, url, tree))
-                sources.add(source or "")
-                # copies of one page wait for others only so long
-                if len(sources) == EXAMPLES or len(waiting) == 8 * EXAMPLES:
-                    wrapper = Wrapper(_distinct(waiting))
-                    out += rows(waiting, wrapper)
-                    waiting = []
-            else:
-                out += rows([(page_id, url, tree)], wrapper)
-            if len(out) >= 512:
-                yield batch(out)
-                out = []
-        if out:
-            yield batch(out)
-    if waiting:
-        yield batch(rows(waiting, Wrapper(_distinct(waiting))))
-
-
-def _distinct(waiting: list[tuple]) -> list[Node]:
-    """At most EXAMPLES trees whose texts differ."""
-    seen: dict[str, Node] = {}
-    for _, _, tree in waiting:
-        seen.setdefault(_text([tree], set()), tree)
-    return list(seen.values())[:EXAMPLES]
+            if (host, part) != now and held:
+                yield from group()
+                held = []
+            now = (host, part)
+            held.append((page_id, url, zlib.compress((source or "").encode(), 1)))
+    if held:
+        yield from group()
 
 
 def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
@@ -454,11 +525,12 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
                       F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
     counts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    limit = max(group_pages, total // 10_000)
+    limit = max(group_pages, total // 500_000)
     large = counts.filter(F.col("n") > limit).select(F.col("host").alias("l_host"),
                                                      F.ceil(F.col("n") / limit).alias("parts"))
     order = F.xxhash64("page_id", "url")
-    dealt = pages.join(F.broadcast(large), F.col("host") == F.col("l_host"), "left").select(  # at most 10 000 hosts
+    dealt = pages.join(F.broadcast(large), F.col("host") == F.col("l_host"), "left").select(  # at most 500 000 hosts
         "host", F.pmod(order, F.coalesce("parts", F.lit(1))).alias("part"), "page_id", "url", "html")
-    return (dealt.repartition("host", "part").sortWithinPartitions("host", "part", order)
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // group_pages)
+    return (dealt.repartition(n, "host", "part").sortWithinPartitions("host", "part", order)
             .mapInArrow(_extract_group, "page_id long, url string, text string, n_chars long"))

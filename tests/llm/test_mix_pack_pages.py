@@ -1,6 +1,7 @@
 """Mixing, packing, HTML extraction, the pipeline."""
 
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -213,13 +214,53 @@ def test_region_without_article():
     page = ("<body><div class=top>Fixed words</div><div class=x><div class=body>"
             "<p>Text number {0} is here and long enough</p><p>And {0} more</p></div></div><div class=tail>Fixed end</div></body>")
     trees = [wrapper.parse(page.format(i)) for i in range(6)]
-    w = wrapper.Wrapper(trees)
-    assert w.region[-1] == "div.body"
+    w, = wrapper.induce(trees)
+    assert w.region[-1].label == "div.body"
     assert w.extract(wrapper.parse(page.format(99))) == "Text number 99 is here and long enough And 99 more"
-    few = wrapper.Wrapper(trees[:2])
+    few, = wrapper.induce(trees[:2])
     assert few.extract(trees[0]).startswith("Fixed words")
 
 
+def plain_content(pages, words):
+    """Words of each page that are not among the fixed ones, by position in page order."""
+    return [" ".join(w for w in re.sub(r"<[^>]*>", " ", p).split() if w not in words) for p in pages]
+
+
+def test_wrappers_without_speaking_names():
+    """Menus and boxes that nothing names: page-specific classes, two layouts on a host, optional boxes, no article element."""
+    one = ("<html><body class='page-{0} postid-{1}'><div><ul><li>HOME<li>ABOUT<li>CONTACT</ul></div><div><h1>Title {0}</h1>"
+           "<p>Body number {0} with words {1}</p>{2}<p>{3}{0}</p></div>{4}<div>COPYRIGHT EXAMPLE</div></body></html>")
+    pages = [one.format(i, 7 * i, "<p>an extra paragraph %d</p>" % i if i % 3 == 0 else "", "more " * (i % 5 + 1),
+                        "<section>OFFERS NOW</section>" if i % 2 else "") for i in range(30)]
+    fixed = {"HOME", "ABOUT", "CONTACT", "COPYRIGHT", "EXAMPLE", "OFFERS", "NOW"}
+    assert list(wrapper.extract_group(pages)) == plain_content(pages, fixed)
+    first = "<body><div><ul><li>HOME<li>SHOP</ul></div><div><h1>A {0}</h1><p>Article text {0} here</p></div><div>READ ALSO THESE</div></body>"
+    second = ("<body><table><tr><td>START<td>LIST</table><section><h2>Listing {0}</h2><ol><li>item {0}<li>thing {0} x</ol></section>"
+              "<section>BOX ALWAYS SAME</section></body>")
+    both = [t.format(i) for i in range(30) for t in (first, second)]
+    fixed = {"HOME", "SHOP", "READ", "ALSO", "THESE", "START", "LIST", "BOX", "ALWAYS", "SAME"}
+    assert list(wrapper.extract_group(both)) == plain_content(both, fixed)
+    shuffled = random.Random(3).sample(both, len(both))
+    assert dict(zip(shuffled, wrapper.extract_group(shuffled))) == dict(zip(both, plain_content(both, fixed)))
+
+
+def test_copied_articles_stay():
+    """Pages whose article most other pages copy keep it; the menu still goes."""
+    page = "<body><div>MENU ITEMS</div><article><h1>Same head</h1><p>Same text on nearly all pages</p><p>{0}</p></article></body>"
+    pages = [page.format(f"note {i}") for i in range(20)]
+    got = list(wrapper.extract_group(pages))
+    assert got == [f"Same head Same text on nearly all pages note {i}" for i in range(20)] or all("note" in t for t in got)
+
+
+def test_pages_of_a_split_host(spark):
+    page = "<body class=p{0}><div>MENU {1}</div><div><p>Words of page {0} here</p><p>and {0} again</p></div></body>"
+    rows = [(i, f"http://big/{i}", page.format(i, "ITEMS")) for i in range(120)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    want = {i: f"Words of page {i} here and {i} again" for i in range(120)}
+    for size in (20, 2000):
+        assert {r.page_id: r.text for r in wrapper.extract_pages(df, group_pages=size).collect()} == want
+
+
 def test_tree_matching_counts():
     a = wrapper.parse("<ul><li>1<li>2<li>3</ul><p>x</p>")
     b = wrapper.parse("<p>y</p><ul><li>1<li>2</ul><p>x</p>")
