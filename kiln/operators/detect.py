@@ -2,9 +2,8 @@
 
 One aggregate job gathers every per-column number the rules need; the
 near-constant test adds a frequent-items summary of the columns that *can* be
-near-constant (distinct <= 2 % of values + 1), and the sequential-ID
-test adds a left-semi self-join on distinct values only for integer columns
-that are already >= 95 % unique. Rules then run on the driver over
+near-constant (distinct <= 2 % of values + 1), and the sequential-ID test one job
+that walks the distinct values of all integer columns that are >= 95 % unique. Rules then run on the driver over
 O(columns) numbers.
 """
 
@@ -12,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +28,7 @@ from kiln.functions.exprs import (
     is_timestamp_type,
     strip,
 )
+from kiln.functions.rules import Rule, decide
 from kiln.operators.dominant import dominant_counts
 from kiln.operators.quality import _orderable, text_ratios
 from kiln.operators.stats import distinct_counts, missing, numeric_view
@@ -66,6 +66,47 @@ class ColumnFacts:
     def uniqueness(self) -> float:
         return self.distinct / self.n_rows if self.n_rows else 0.0
 
+    # what the rule tables ask for
+    @property
+    def string(self) -> bool:
+        return is_string_type(self.dtype)
+
+    @property
+    def numeric(self) -> bool:
+        return is_numeric_type(self.dtype)
+
+    @property
+    def timestamp(self) -> bool:
+        return is_timestamp_type(self.dtype)
+
+    @property
+    def id_named(self) -> bool:
+        return N.is_identifier_name(self.name)
+
+    @property
+    def person_named(self) -> bool:
+        return bool(N.matches(N.FE_PERSON_NAME, self.name))
+
+    @property
+    def text_named(self) -> bool:
+        return bool(N.matches(N.FE_TEXT, self.name))
+
+    @property
+    def mostly_distinct(self) -> bool:
+        return self.distinct > max(5, int(0.5 * self.n_rows))
+
+    @property
+    def text_like(self) -> bool:
+        return decide(TEXT_LIKE_RULES, self) is True
+
+    @property
+    def identifier(self) -> bool:
+        return is_identifier(self)
+
+    @property
+    def text(self) -> bool:
+        return text_kind(self) is not None
+
 
 def column_facts(df: DataFrame, names: list[str] | None = None) -> dict[str, ColumnFacts]:
     names = [c for c in (names or df.columns) if _orderable(df.schema[c].dataType)]
@@ -149,85 +190,99 @@ def _top_shares(df: DataFrame, facts: dict[str, ColumnFacts]) -> None:
 
 
 def _sequential(df: DataFrame, facts: dict[str, ColumnFacts]) -> None:
-    """R8: median of sorted differences in {0, 1}, from counts (no global sort)."""
-    for f in facts.values():
-        if not (is_numeric_type(f.dtype) and f.integer_like and f.non_null >= 3
-                and f.distinct >= max(10, int(0.9 * f.n_rows)) and f.uniqueness >= HIGH_UNIQUENESS_RATIO):
-            continue
-        # whole numbers keep their value (doubles merge them beyond 2^53)
-        exact = numeric_view(df, f.name) if is_double_type(f.dtype) else col(f.name).cast("decimal(38,0)")
-        vals = df.select(exact.alias("v")).where(F.col("v").isNotNull()).distinct()
-        nxt = vals.select((F.col("v") - 1).cast(vals.schema["v"].dataType).alias("v"))
-        d1 = vals.join(nxt, "v", "left_semi").count()  # distinct v with v+1 present
-        d0 = f.non_null - f.distinct
-        m = f.non_null - 1
+    """R8: median of sorted differences in {0, 1}, for all candidate columns in one job.
+
+    Distinct (column, value) pairs are range-partitioned and walked in order; values that
+    follow their neighbour by one are counted within a partition, and across two by
+    the partitions' edge rows. Repeats are differences of zero.
+    """
+    cands = [f for f in facts.values() if decide(SEQUENCE_CANDIDATE, f) and f.distinct >= max(10, int(0.9 * f.n_rows))]
+    if not cands:
+        return
+    # whole numbers keep their value (doubles merge them beyond 2^53)
+    cells = F.array(*[F.struct(
+        F.lit(i).alias("i"),
+        (F.lit(None) if is_double_type(f.dtype) else col(f.name)).cast("decimal(38,0)").alias("a"),
+        (numeric_view(df, f.name) if is_double_type(f.dtype) else F.lit(None)).cast("double").alias("d"))
+        for i, f in enumerate(cands)])
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = (df.select(F.inline(cells)).where("a IS NOT NULL OR d IS NOT NULL").distinct()
+              .repartitionByRange(n, "i", "a", "d").withColumn("pid", F.spark_partition_id()))
+    walk = Window.partitionBy("i", "pid").orderBy("a", "d")  # one partition's values of a column
+    one = (F.col("a") - F.lag("a").over(walk) == 1) | (F.col("d") - F.lag("d").over(walk) == 1)
+    edges = values.select("i", "pid", "a", "d", one.alias("one")).groupBy("i", "pid").agg(
+        F.count_if("one").alias("ones"), F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("d").alias("d0"),
+        F.max("d").alias("d1")).orderBy("i", "pid").collect()  # one row per partition, and one more per column
+    for i, f in enumerate(cands):
+        own = [e for e in edges if e["i"] == i]
+        ones = sum(e["ones"] for e in own)
+        ones += sum((y["a0"] - x["a1"] if x["a1"] is not None else y["d0"] - x["d1"]) == 1 for x, y in zip(own, own[1:]))
+        zeros, steps = f.non_null - f.distinct, f.non_null - 1
+        middle = {(steps - 1) // 2, steps // 2}
+        f.sequential = len({(m >= zeros) + (m >= zeros + ones) for m in middle}) == 1 and max(middle) < zeros + ones
 
-        def at(i: int) -> int:
-            return 0 if i < d0 else (1 if i < d0 + d1 else 2)
 
-        mids = [(m - 1) // 2] if m % 2 else [m // 2 - 1, m // 2]
-        vals_mid = {at(i) for i in mids}
-        f.sequential = len(vals_mid) == 1 and vals_mid <= {0, 1}
+#: Columns whose values may be a sequence of whole numbers.
+SEQUENCE_CANDIDATE = (Rule(True, {"numeric": True, "integer_like": True}, {"non_null": 3, "uniqueness": HIGH_UNIQUENESS_RATIO}),)
+
+#: DET-1: what makes a column an identifier; False ends the search.
+IDENTIFIER_RULES = (
+    Rule(False, {"person_named": True, "id_named": False}),
+    Rule("name", {"id_named": True}, {"uniqueness": 0.5}),
+    Rule("distinct values", {"numeric": False, "mostly_distinct": True}, {"uniqueness": HIGH_UNIQUENESS_RATIO}),
+    Rule("sequence", {"sequential": True}, {"uniqueness": HIGH_UNIQUENESS_RATIO}),
+    Rule("e-mails", {"string": True}, {"email_ratio": 0.8, "uniqueness": 0.9}),
+)
+
+TEXT_LIKE_RULES = (
+    Rule(True, {"text_named": True}),
+    Rule(True, least={"mean_len": LONG_TEXT_MEAN_LEN}),
+    Rule(True, least={"mean_len": SHORT_TEXT_MEAN_LEN, "uniqueness": 0.7}),
+)
+#: DET-3 (R13): what free text a column holds; False: none.
+TEXT_RULES = (
+    Rule(False, {"string": False}),
+    Rule(False, below={"non_null": 1}),
+    Rule(False, {"text_named": False},
+         below={"distinct": MEDIUM_CARDINALITY_MAX + 1, "uniqueness": 0.5, "mean_len": SHORT_TEXT_MEAN_LEN}),
+    Rule("names", {"person_named": True}, below={"mean_len": LONG_TEXT_MEAN_LEN}),
+    Rule(False, {"text_like": False}),
+    Rule("long/free-form text", least={"mean_len": LONG_TEXT_MEAN_LEN}),
+    Rule("short text"),
+)
+# fixed values: what a part of a text column's name says about its kind
+TEXT_NAMES = {"review": "reviews", "address": "addresses", "comment": "comments", "note": "comments", "desc": "descriptions"}
+
+#: DET-4: the type of a column.
+TYPE_RULES = (
+    Rule("constant / near-constant", least={"non_null": 1}, below={"distinct": 2}),
+    Rule("constant / near-constant", {"bool_like": False}, {"top_share": NEAR_CONSTANT_SHARE, "distinct": 2}),
+    Rule("identifier", {"identifier": True}),
+    Rule("boolean", {"bool_like": True}),
+    Rule("datetime", {"timestamp": True}),
+    Rule("datetime", {"numeric": False}, {"dt_ratio": DATETIME_PARSE_RATIO}),
+    Rule("text", {"text": True}),
+    Rule("numerical", {"numeric": True}),
+    Rule("numerical", {"string": True}, {"non_null": 1, "num_ratio": NUMERIC_TEXT_RATIO}),
+    Rule("categorical", {"string": True}),
+    Rule("unknown / other"),
+)
 
 
 def is_identifier(f: ColumnFacts) -> bool:
-    name_hit = N.is_identifier_name(f.name)
-    if N.matches(N.FE_PERSON_NAME, f.name) and not name_hit:
-        return False
-    u = f.uniqueness
-    numeric = is_numeric_type(f.dtype)
-    if name_hit and u >= 0.5:
-        return True
-    if not numeric and u >= HIGH_UNIQUENESS_RATIO and f.distinct > max(5, int(0.5 * f.n_rows)):
-        return True
-    if f.sequential and u >= HIGH_UNIQUENESS_RATIO:
-        return True
-    if is_string_type(f.dtype) and f.email_ratio >= 0.8 and u >= 0.9:
-        return True
-    return False
+    return bool(decide(IDENTIFIER_RULES, f))
 
 
 def text_kind(f: ColumnFacts) -> str | None:
-    """R13 text detection; returns the kind or None."""
-    if not is_string_type(f.dtype) or f.non_null == 0 or f.mean_len is None:
-        return None
-    u, L, name = f.uniqueness, f.mean_len, f.name
-    text_name = N.matches(N.FE_TEXT, name)
-    if f.distinct <= MEDIUM_CARDINALITY_MAX and u < 0.5 and not text_name and L < SHORT_TEXT_MEAN_LEN:
-        return None
-    if N.matches(N.FE_PERSON_NAME, name) and L < LONG_TEXT_MEAN_LEN:
-        return "names"
-    if text_name or L >= LONG_TEXT_MEAN_LEN or (u >= 0.7 and L >= SHORT_TEXT_MEAN_LEN):
-        low = name.lower()
-        for key, kind in (("review", "reviews"), ("address", "addresses"), ("comment", "comments"),
-                          ("note", "comments"), ("desc", "descriptions")):
-            if key in low:
-                return kind
-        return "long/free-form text" if L >= LONG_TEXT_MEAN_LEN else "short text"
-    return None
+    """The kind of free text, or None."""
+    kind = decide(TEXT_RULES, f) or None
+    if kind in (None, "names"):
+        return kind
+    return next((named for part, named in TEXT_NAMES.items() if part in f.name.lower()), kind)
 
 
 def feature_type(f: ColumnFacts) -> str:
-    """DET-4 order: constant -> identifier -> boolean -> datetime -> text -> numerical -> categorical."""
-    if f.non_null > 0 and f.distinct <= 1:
-        return "constant / near-constant"
-    if f.top_share is not None and f.top_share >= NEAR_CONSTANT_SHARE and f.distinct > 1 and not f.bool_like:
-        return "constant / near-constant"
-    if is_identifier(f):
-        return "identifier"
-    if f.bool_like:
-        return "boolean"
-    if is_timestamp_type(f.dtype) or (not is_numeric_type(f.dtype) and f.dt_ratio >= DATETIME_PARSE_RATIO):
-        return "datetime"
-    if text_kind(f):
-        return "text"
-    if is_numeric_type(f.dtype):
-        return "numerical"
-    if is_string_type(f.dtype):
-        if f.non_null and f.num_ratio >= NUMERIC_TEXT_RATIO:
-            return "numerical"
-        return "categorical"
-    return "unknown / other"
+    return decide(TYPE_RULES, f)
 
 
 def feature_types(df: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ schema; value rules are aggregates. Nothing here collects data rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -183,8 +185,9 @@ def column_types(profile: DataFrame) -> DataFrame:
 
 
 def profile(df: DataFrame) -> dict[str, DataFrame]:
-    """PIP-1: the whole profile from one shared summary pass (cached report)."""
-    summary = profile_columns(df).cache()
+    """PIP-1: the whole profile from one shared summary pass."""
+    report = profile_columns(df)
+    summary = df.sparkSession.createDataFrame(report.collect(), report.schema)  # one row per column
     return {
         "column_summaries": summary,
         "column_types": column_types(summary),
@@ -195,6 +198,17 @@ def profile(df: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def profile_report(parts: dict[str, DataFrame]) -> DataFrame:
+    """PIP-1 as one table: (section, item, detail), one row per column and finding."""
+    lines = {"column_types": ("semantic_type", "columns"), "identifier_columns": ("column_name", None),
+             "potential_target_columns": ("column_name", None), "constant_columns": ("column_name", None),
+             "high_cardinality_columns": ("column_name", "unique_count")}
+    frames = [parts[k].select(F.lit(k).alias("section"), F.col(item).alias("item"),
+                              (F.col(detail).cast("string") if detail else F.lit(None).cast("string")).alias("detail"))
+              for k, (item, detail) in lines.items()]
+    return reduce(DataFrame.unionByName, frames)
+
+
 # -------------------------------------------------------------------- AGG-21
 def datetime_profile(df: DataFrame, names: list[str]) -> DataFrame:
     """Per datetime column: min/max date, distinct dates, range days, time part, parse counts."""

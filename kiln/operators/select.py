@@ -234,12 +234,14 @@ def mutual_information(df: DataFrame, target: str, features: list[str] | None =
     xs = []
     for c in nums:
         lo, hi = (median[c] if found[c][p] is None else found[c][p] for p in (0.0, 1.0))
-        xs.append(F.struct(F.lit(c).alias("feature"), _equal_width_bins(
-            filled[c], lo, hi, max(distinct[c], 1)).cast("string").alias("x")))
+        xs.append(F.struct(F.lit(c).alias("feature"), F.struct(_equal_width_bins(
+            filled[c], lo, hi, max(distinct[c], 1)).cast("long").alias("a"), F.lit(0).cast("long").alias("b")).alias("x")))
     for c in cats:
         fill = tops[c][0] if c in tops else None
-        xs.append(F.struct(F.lit(c).alias("feature"),
-                           F.coalesce(as_text(col(c), df.schema[c].dataType), F.lit(fill).cast("string")).alias("x")))
+        # categories travel as 128 hash bits, however long their texts are
+        t = F.coalesce(as_text(col(c), df.schema[c].dataType), F.lit(fill).cast("string"))
+        xs.append(F.struct(F.lit(c).alias("feature"), F.struct(
+            F.xxhash64(t).alias("a"), F.xxhash64(F.lit("2"), t).alias("b")).alias("x")))
     long = base.select(y.alias("y"), F.inline(F.array(*xs)))
     joint = long.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("k"))
     n = float(n_y["n"])

@@ -66,7 +66,10 @@ SELECT l.l_orderkey AS order_id, l.l_linenumber AS line_no,
        THEN concat(CAST(month(l.l_shipdate) AS STRING), '/', CAST(day(l.l_shipdate) AS STRING),
                    '/', CAST(year(l.l_shipdate) AS STRING))
        ELSE substr(CAST(l.l_shipdate AS STRING), 1, 10) END AS ship_date,
-  l.l_quantity AS quantity, l.l_extendedprice AS price
+  l.l_quantity AS quantity, l.l_extendedprice AS price, l.l_partkey AS part_key, l.l_suppkey AS supplier_key,
+  l.l_discount AS discount, l.l_tax AS tax, l.l_returnflag AS return_flag, l.l_linestatus AS line_status,
+  o.o_custkey AS customer_key, o.o_orderstatus AS order_status, o.o_totalprice AS order_total,
+  o.o_orderpriority AS order_priority
 FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey
 """
 
@@ -76,11 +79,27 @@ FROM {documents} d LEFT JOIN {labels} lb ON d.doc_id = lb.doc_id
 """
 CATEGORICAL_CUSTOMER = ("SELECT customer_id, customer_name, city, gender, segment, near_constant FROM ("
                         + DIRTY_CUSTOMER + ") dc")
-CUSTOMER_AGE_COPY = ("SELECT customer_id, customer_name, age, salary, city, age * 2 AS age_copy, churn FROM ("
-                     + DIRTY_CUSTOMER + ") dc")
+CUSTOMER_AGE_COPY = "SELECT dc.*, age * 2 AS age_copy FROM (" + DIRTY_CUSTOMER + ") dc"
+
+#: Orders as people with dates of birth, terms, money and quantities (some zero), dates as text.
+PEOPLE = """
+SELECT o_orderkey AS person_id,
+  CASE WHEN o_orderkey % 29 = 0 THEN 'unknown'
+       ELSE concat(CAST(1950 + o_custkey % 60 AS STRING), '-0', CAST(1 + o_custkey % 9 AS STRING), '-1',
+                   CAST(o_custkey % 10 AS STRING)) END AS date_of_birth,
+  substr(CAST(o_orderdate AS STRING), 1, 10) AS reference_date,
+  concat(CAST(2000 + o_custkey % 20 AS STRING), '-03-0', CAST(1 + o_custkey % 9 AS STRING)) AS start_date,
+  concat(CAST(2005 + o_custkey % 13 AS STRING), '-1', CAST(o_custkey % 3 AS STRING), '-2', CAST(o_custkey % 8 AS STRING))
+    AS end_date,
+  18 + o_custkey % 60 AS age, CAST(1 + o_custkey % 41 AS DOUBLE) AS years_experience,
+  o_totalprice AS revenue, CAST(o_custkey % 7 AS DOUBLE) AS quantity,
+  o_totalprice * o_totalprice * o_totalprice AS salary, o_orderpriority AS grade
+FROM {orders}
+"""
 # ---- end of fixed values ----------------------------------------------------
 
 VIEWS = {
+    "people": (PEOPLE, ("orders",)),
     "customer_age_copy": (CUSTOMER_AGE_COPY, ("customer",)),
     "categorical_customer": (CATEGORICAL_CUSTOMER, ("customer",)),
     "dirty_customer": (DIRTY_CUSTOMER, ("customer",)),

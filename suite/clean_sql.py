@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kiln.functions import names as N
+from suite import names as N
 from suite import sqlgen as G
 from suite.schemas import INT32, cols, source_sql
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from kiln.functions import names as N
-from kiln.functions.exprs import BOOLEAN_LITERALS
+from suite import names as N
+from suite.names import BOOLEAN_LITERALS
 from suite import sqlgen as G
 from suite.schemas import cols, source_sql
 

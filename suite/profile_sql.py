@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from suite import names as N
 from suite import sqlgen as G
 from suite.schemas import cols, source_sql
 
@@ -63,7 +64,6 @@ def datetime_profile(table: str, names: list[str]) -> str:
 
 def identifier_columns(table: str) -> str:
     """ID-like name, or more than one distinct value with distinct/rows >= 0.95."""
-    from kiln.functions import names as N
     src = source_sql(table)
     parts = []
     for c, k in cols(table):
@@ -83,7 +83,7 @@ _SPARK_TYPE = ("CASE typeof({c}) WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN
 
 def profile_columns(table: str) -> str:
     """dtype, counts, distinct, smallest value as text (<= 80 chars), semantic type."""
-    from kiln.functions.exprs import BOOLEAN_LITERALS
+    BOOLEAN_LITERALS = N.BOOLEAN_LITERALS
     src = source_sql(table)
     lits = ", ".join(G.lit(x) for x in BOOLEAN_LITERALS)
     parts = []
@@ -135,3 +135,24 @@ def overview(table: str, target: str | None, target_kind: str | None) -> str:
     cnt = lambda t: f"CAST(count(*) FILTER (WHERE semantic_type = '{t}') AS BIGINT) AS {t}"
     return (f"SELECT {cnt('numerical')}, {cnt('categorical')}, {cnt('datetime')}, {cnt('text')}, {cnt('boolean')}, "
             f"{G.lit(target) if target else 'CAST(NULL AS VARCHAR)'} AS target, {prob} AS problem_type FROM ({p}) x")
+
+
+def column_types(table: str) -> str:
+    return (f"SELECT semantic_type, count(*) AS n_columns, string_agg(column_name, ',' ORDER BY column_name) AS columns "
+            f"FROM ({profile_columns(table)}) p GROUP BY semantic_type")
+
+
+def target_candidates(table: str) -> str:
+    names = ", ".join(G.lit(c) for c, _ in cols(table))
+    return (f"SELECT c AS column_name FROM (SELECT unnest([{names}]) AS c) x "
+            f"WHERE regexp_matches(replace(c, ' ', '_'), {G.lit(N.TARGET.pattern)}, 'i')")
+
+
+def profile_report(table: str) -> str:
+    none = "CAST(NULL AS VARCHAR) AS detail"
+    return f"""
+SELECT 'column_types' AS section, semantic_type AS item, columns AS detail FROM ({column_types(table)}) a
+UNION ALL SELECT 'identifier_columns', column_name, {none} FROM ({identifier_columns(table)}) b
+UNION ALL SELECT 'potential_target_columns', column_name, {none} FROM ({target_candidates(table)}) c
+UNION ALL SELECT 'constant_columns', column_name, {none} FROM ({profile_columns(table)}) d WHERE unique_values <= 1
+UNION ALL SELECT 'high_cardinality_columns', column_name, CAST(unique_count AS VARCHAR) FROM ({high_cardinality(table)}) e"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from kiln.functions import names as N
+from suite import names as N
 from suite import sqlgen as G
 from suite.schemas import cols, source_sql
 

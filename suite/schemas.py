@@ -10,14 +10,16 @@ TABLES: dict[str, list[tuple[str, str]]] = {
         ("city_copy", "str"), ("gender", "str"), ("segment", "str"), ("constant_col", "str"),
         ("near_constant", "str"), ("age_text", "str"), ("email", "str"), ("churn", "int"),
     ],
-    "customer_age_copy": [("customer_id", "int"), ("customer_name", "str"), ("age", "int"), ("salary", "dbl"), ("city", "str"),
-                          ("age_copy", "int"), ("churn", "int")],
     "categorical_customer": [("customer_id", "int"), ("customer_name", "str"), ("city", "str"), ("gender", "str"), ("segment", "str"),
                              ("near_constant", "str")],
     "dirty_events": [("event_id", "int"), ("ts", "ts"), ("user_id", "int"), ("props", "str"), ("event_type", "str"),
                      ("value", "dbl")],
     "dirty_dates": [("order_id", "int"), ("line_no", "int"), ("order_date", "str"),
-                    ("ship_date", "str"), ("quantity", "dbl"), ("price", "dbl")],
+                    ("ship_date", "str"), ("quantity", "dbl"), ("price", "dbl"), ("part_key", "int"), ("supplier_key", "int"),
+                    ("discount", "dbl"), ("tax", "dbl"), ("return_flag", "str"), ("line_status", "str"), ("customer_key", "int"),
+                    ("order_status", "str"), ("order_total", "dbl"), ("order_priority", "str")],
+    "people": [("person_id", "int"), ("date_of_birth", "str"), ("reference_date", "str"), ("start_date", "str"), ("end_date", "str"),
+               ("age", "int"), ("years_experience", "dbl"), ("revenue", "dbl"), ("quantity", "dbl"), ("salary", "dbl"), ("grade", "str")],
     "labelled_documents": [("doc_id", "int"), ("text", "str"), ("lang", "str"), ("source", "str"),
                            ("n_chars", "int"), ("quality", "int"), ("toxic", "int")],
     "lineitem": [("l_orderkey", "int"), ("l_partkey", "int"), ("l_suppkey", "int"),
@@ -39,13 +41,15 @@ TABLES: dict[str, list[tuple[str, str]]] = {
     "benchmark": [("item_id", "int"), ("text", "str")],
 }
 
+TABLES["customer_age_copy"] = [*TABLES["dirty_customer"], ("age_copy", "int")]
+
 # integral columns stored as 32-bit INTEGER (the rest of kind "int" are BIGINT)
 INT32 = {("dirty_customer", "churn"), ("customer_age_copy", "churn"), ("labelled_documents", "quality"),
          ("labelled_documents", "toxic"), ("lineitem", "l_linenumber"), ("customer", "c_nationkey"),
          ("part", "p_size")}
 
 DERIVED = {"dirty_customer", "dirty_events", "dirty_dates", "labelled_documents", "categorical_customer",
-           "customer_age_copy"}
+           "customer_age_copy", "people"}
 
 
 def source_sql(table: str) -> str:

@@ -7,9 +7,9 @@ from itertools import combinations
 from suite import sqlgen as G
 from suite.schemas import source_sql
 
-NET_PRICE = ("(SELECT l_orderkey, l_quantity, l_extendedprice, l_discount, l_tax, "
-             "l_extendedprice * (1 - l_discount) AS net_price FROM lineitem)")
-NET_PRICE_COLS = ["l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "net_price"]
+NET_PRICE = "(SELECT *, l_extendedprice * (1 - l_discount) AS net_price FROM lineitem)"
+NET_PRICE_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                  "net_price"]
 
 
 def correlated_pairs(src: str, names: list[str], thr: float = 0.9) -> str:
@@ -39,9 +39,9 @@ def vif3(src: str, names: list[str]) -> str:
             f"c AS (SELECT {q} FROM d) {G.union_all(parts)}")
 
 
-def mutual_information(table: str, target: str, nums: list[str], cats: list[str]) -> str:
+def mutual_information(table: str, target: str, nums: list[str], cats: list[str], regression: bool = False) -> str:
     """Histogram MI: categorical x by value (mode fill), numeric x in clamp(distinct,2,10)
-    equal-width bins over [min, max + 1e-12] after a median fill; y = class label."""
+    equal-width bins over [min, max + 1e-12] after a median fill; y = class label, or such a bin."""
     src = source_sql(table)
     st = ", ".join([f"quantile_cont(CAST({G.q(c)} AS DOUBLE), 0.5) AS med_{c}" for c in nums]
                    + [f"(SELECT v FROM (SELECT CAST({G.q(c)} AS VARCHAR) AS v, count(*) AS k FROM base "
@@ -57,10 +57,16 @@ def mutual_information(table: str, target: str, nums: list[str], cats: list[str]
         longs.append(f"SELECT {G.lit(c)} AS feature, CAST({idx} AS VARCHAR) AS x, f.y FROM f, bd")
     for c in cats:
         longs.append(f"SELECT {G.lit(c)} AS feature, f.v_{c} AS x, f.y FROM f")
+    y = f"CAST(b.{G.q(target)} AS VARCHAR)"
+    if regression:
+        step = "((yb.hi + 1e-12 - yb.lo) / yb.nb)"
+        y = (f"CAST(len(list_filter(range(1, yb.nb), lambda k: CAST(b.{G.q(target)} AS DOUBLE) >= k * {step} + yb.lo)) AS VARCHAR)")
     return f"""
 WITH base AS (SELECT * FROM {src} t WHERE {G.q(target)} IS NOT NULL),
+yb AS (SELECT min(try_cast({G.q(target)} AS DOUBLE)) AS lo, max(try_cast({G.q(target)} AS DOUBLE)) AS hi,
+              greatest(2, least(10, count(DISTINCT {G.q(target)}))) AS nb FROM base),
 st AS (SELECT {st} FROM base),
-f AS (SELECT CAST(b.{G.q(target)} AS VARCHAR) AS y, {fl} FROM base b, st),
+f AS (SELECT {y} AS y, {fl} FROM base b, st, yb),
 bd AS (SELECT {bd} FROM f),
 j AS (SELECT feature, x, y, count(*) AS k FROM ({G.union_all(longs)}) l GROUP BY feature, x, y),
 p AS (SELECT feature, k, sum(k) OVER (PARTITION BY feature) AS n, sum(k) OVER (PARTITION BY feature, x) AS kx,

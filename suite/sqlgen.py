@@ -7,7 +7,7 @@ numeric parse, date parse, strip) in DuckDB's dialect.
 
 from __future__ import annotations
 
-from kiln.functions.exprs import NUMERIC_TEXT, WHITESPACE
+from suite.names import NUMERIC_TEXT, WHITESPACE
 
 # fixed values: the datetime formats of the library that strptime can say (zones are left to unit tests)
 STRPTIMES = ("%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M", "%Y-%m-%dT%H:%M:%S", "%Y/%m/%d", "%m/%d/%Y",
