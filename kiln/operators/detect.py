@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -185,43 +185,53 @@ def _top_shares(df: DataFrame, facts: dict[str, ColumnFacts]) -> None:
         return
     for f in cands:
         f.top_share = 0.0  # below any share that a rule asks for
-    for name, (k, _) in dominant_counts(df, [f.name for f in cands], 0.5, rest=False).items():
+    for name, (k, _) in dominant_counts(
+            df, [f.name for f in cands], 0.5, rest=False, n_rows=cands[0].n_rows,
+            distinct={f.name: f.distinct for f in cands}).items():
         facts[name].top_share = k / facts[name].non_null
 
 
 def _sequential(df: DataFrame, facts: dict[str, ColumnFacts]) -> None:
     """R8: median of sorted differences in {0, 1}, for all candidate columns in one job.
 
-    Distinct (column, value) pairs are range-partitioned and walked in order; values that
-    follow their neighbour by one are counted within a partition, and across two by
-    the partitions' edge rows. Repeats are differences of zero.
+    Values are grouped into stretches of ``STRETCH`` whole numbers; a stretch is a set
+    of offsets, in which neighbours that differ by one are counted. Where a stretch
+    ends and the next one begins, their edge values meet under the number of the next.
+    Repeats are differences of zero.
     """
     cands = [f for f in facts.values() if decide(SEQUENCE_CANDIDATE, f) and f.distinct >= max(10, int(0.9 * f.n_rows))]
     if not cands:
         return
-    # whole numbers keep their value (doubles merge them beyond 2^53)
-    cells = F.array(*[F.struct(
-        F.lit(i).alias("i"),
-        (F.lit(None) if is_double_type(f.dtype) else col(f.name)).cast("decimal(38,0)").alias("a"),
-        (numeric_view(df, f.name) if is_double_type(f.dtype) else F.lit(None)).cast("double").alias("d"))
-        for i, f in enumerate(cands)])
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    values = (df.select(F.inline(cells)).where("a IS NOT NULL OR d IS NOT NULL").distinct()
-              .repartitionByRange(n, "i", "a", "d").withColumn("pid", F.spark_partition_id()))
-    walk = Window.partitionBy("i", "pid").orderBy("a", "d")  # one partition's values of a column
-    one = (F.col("a") - F.lag("a").over(walk) == 1) | (F.col("d") - F.lag("d").over(walk) == 1)
-    edges = values.select("i", "pid", "a", "d", one.alias("one")).groupBy("i", "pid").agg(
-        F.count_if("one").alias("ones"), F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("d").alias("d0"),
-        F.max("d").alias("d1")).orderBy("i", "pid").collect()  # one row per partition, and one more per column
+    # whole numbers keep their value (doubles merge them beyond 2^53, where none differ by one)
+    kind = "decimal(38,0)" if any(isinstance(f.dtype, T.DecimalType) for f in cands) else "long"
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), (numeric_view(df, f.name) if is_double_type(f.dtype) else col(f.name))
+                               .try_cast(kind).alias("v")) for i, f in enumerate(cands)])
+    rows = df.select(F.inline(cells)).where("v IS NOT NULL")
+    stretch = F.floor(F.col("v") / STRETCH) if kind != "long" else F.shiftright("v", STRETCH.bit_length() - 1)
+    sets = rows.withColumn("s", stretch).groupBy("i", "s").agg(
+        F.array_sort(F.collect_set((F.col("v") - F.col("s") * STRETCH).cast("int"))).alias("at"))  # at most STRETCH numbers
+    follow = _steps_of_one(F.col("at"))
+    marks = F.array(F.struct(F.col("s").alias("edge"), F.array_contains("at", 0).alias("begins"), F.lit(False).alias("ends"), follow.alias("ones")),
+                    F.struct((F.col("s") + 1).alias("edge"), F.lit(False).alias("begins"), F.array_contains("at", STRETCH - 1).alias("ends"),
+                             F.lit(0).alias("ones")))
+    edges = sets.select("i", F.inline(marks)).groupBy("i", "edge").agg(
+        F.sum("ones").alias("ones"), (F.bool_or("begins") & F.bool_or("ends")).cast("int").alias("joined"))
+    found = {r["i"]: r["ones"] for r in edges.groupBy("i").agg(F.sum(F.col("ones") + F.col("joined")).alias("ones")).collect()}
     for i, f in enumerate(cands):
-        own = [e for e in edges if e["i"] == i]
-        ones = sum(e["ones"] for e in own)
-        ones += sum((y["a0"] - x["a1"] if x["a1"] is not None else y["d0"] - x["d1"]) == 1 for x, y in zip(own, own[1:]))
+        ones = found.get(i, 0)
         zeros, steps = f.non_null - f.distinct, f.non_null - 1
         middle = {(steps - 1) // 2, steps // 2}
         f.sequential = len({(m >= zeros) + (m >= zeros + ones) for m in middle}) == 1 and max(middle) < zeros + ones
 
 
+def _steps_of_one(at: Column) -> Column:
+    """How many neighbours of a sorted array of numbers differ by one."""
+    pairs = F.zip_with(F.slice(at, 2, STRETCH), F.slice(at, 1, F.size(at) - 1), lambda y, x: F.when(y - x == 1, 1))
+    return F.when(F.size(at) > 1, F.size(F.array_compact(pairs))).otherwise(0)
+
+
+#: Whole numbers of a stretch, a power of two.
+STRETCH = 1024
 #: Columns whose values may be a sequence of whole numbers.
 SEQUENCE_CANDIDATE = (Rule(True, {"numeric": True, "integer_like": True}, {"non_null": 3, "uniqueness": HIGH_UNIQUENESS_RATIO}),)
 

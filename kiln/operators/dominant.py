@@ -3,7 +3,8 @@
 1. One scan feeds a mergeable frequent-items summary per column (hashes, at most
    ``1 / SHARE`` of them): every value on more than that share of the rows is in it.
 2. One scan counts the survivors exactly: a few rows per task and column. A column
-   whose best survivor lies above the share is settled, with all that tie with it.
+   whose best survivor lies above the share is settled, with all that tie with it; so
+   are columns known to hold few values, which need no summary.
 3. Of the other columns, 128 hash bits per value are counted, with the first
    ``PREFIX`` characters of its text.
 4. Ties are told apart by their text: winners with the smallest prefix go on, by
@@ -26,13 +27,14 @@ PREFIX = 64
 FEW = 1_000
 
 
-def dominant_values(df: DataFrame, names: list[str], share: float = SHARE, few: int = FEW) -> dict[str, tuple[str, int]]:
+def dominant_values(df: DataFrame, names: list[str], share: float = SHARE, few: int = FEW,
+                    distinct: dict[str, int] | None = None) -> dict[str, tuple[str, int]]:
     """(value as text, count) of the most frequent non-missing value per column that has one."""
     texts = _texts(df, names)
     direct: dict[int, list[tuple[int, int]]] = {}
     out: dict[str, tuple[str, int]] = {}
     with scratch(df.sparkSession):
-        counts = dominant_counts(df, names, share)
+        counts = dominant_counts(df, names, share, distinct=distinct)
         for c, (n, winners) in counts.items():
             if isinstance(winners, DataFrame):
                 out[c] = (_smallest(texts, names.index(c), winners, few), n)
@@ -52,30 +54,35 @@ def _hashes(i: int) -> tuple[Column, Column]:
     return F.when(t.isNotNull(), F.xxhash64(t)), F.when(t.isNotNull(), F.xxhash64(F.lit("2"), t))
 
 
-def dominant_counts(df: DataFrame, names: list[str], share: float = SHARE, rest: bool = True
+def dominant_counts(df: DataFrame, names: list[str], share: float = SHARE, rest: bool = True,
+                    n_rows: int | None = None, distinct: dict[str, int] | None = None
                     ) -> dict[str, tuple[int, list[tuple[int, int]] | DataFrame]]:
     """Per column that has a value: the largest count, and the hashes of the values that reach it.
 
     The hashes are a list for columns that the summary settles, else a table (h1, h2, prefix).
-    Without ``rest`` columns with no value above the share are left out.
+    Without ``rest`` columns with no value above the share are left out. ``n_rows`` and
+    numbers of ``distinct`` values may be known: columns with few need no summary.
     """
     if not names:
         return {}
     texts = _texts(df, names)
-    summary = texts.select(*[_hashes(i)[0].alias(f"h{i}") for i in range(len(names))], F.lit(1).alias("one"))
-    row = summary.freqItems([f"h{i}" for i in range(len(names))], share).first()
-    kept = {i: [h for h in row[i] if h is not None] for i in range(len(names))}
+    small = {i for i, c in enumerate(names) if (distinct or {}).get(c, FEW + 1) <= FEW}
+    many = [i for i in range(len(names)) if i not in small]
+    kept: dict[int, list[int]] = {}
+    if many:
+        row = texts.select(*[_hashes(i)[0].alias(f"h{i}") for i in many]).freqItems([f"h{i}" for i in many], share).first()
+        kept = {i: [h for h in row[k] if h is not None] for k, i in enumerate(many)}
     cells = F.array(*[F.struct(F.lit(i).alias("i"), _hashes(i)[0].alias("h1"), _hashes(i)[1].alias("h2"),
                                F.col(f"t{i}").isNotNull().alias("has")) for i in range(len(names))])
-    wanted = F.lit(False)
+    wanted = F.col("i").isin(sorted(small)) if small else F.lit(False)
     for i, h in kept.items():
         if h:
             wanted = wanted | ((F.col("i") == i) & F.col("h1").isin(h))
     # what no survivor is counts into one row per column, which gives the number of values
     rows = texts.select(F.inline(cells)).where("has").withColumn("kept", wanted).groupBy(
         "i", F.when(F.col("kept"), F.col("h1")).alias("h1"), F.when(F.col("kept"), F.col("h2")).alias("h2")).agg(
-        F.count(F.lit(1)).alias("k")).collect()  # at most 1 / share rows per column
-    n = df.count() if rows else 0
+        F.count(F.lit(1)).alias("k")).collect()  # at most 1 / share rows per column, or FEW
+    n = 0 if not rows else df.count() if n_rows is None else n_rows
     best: dict[int, tuple[int, list[tuple[int, int]]]] = {}
     for r in rows:
         if r["h1"] is None:
@@ -84,7 +91,7 @@ def dominant_counts(df: DataFrame, names: list[str], share: float = SHARE, rest:
         k, own = best.get(r["i"], (0, []))
         if r["k"] >= k:
             best[r["i"]] = (r["k"], [*(own if r["k"] == k else []), (r["h1"], r["h2"])])
-    open_ = sorted(i for i, (k, _) in best.items() if k <= share * n)
+    open_ = sorted(i for i, (k, _) in best.items() if k <= share * n and i not in small)
     out: dict[str, tuple[int, list | DataFrame]] = {names[i]: b for i, b in best.items() if i not in open_}
     return out | {names[i]: w for i, w in (_counted(texts, open_) if rest else {}).items()}
 

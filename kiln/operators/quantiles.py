@@ -7,9 +7,9 @@ One way for columns of any size:
 2. one more scan counts, per column, what lies between the brackets (one number per
    partition) and the values inside them: only (column, value, count) of those are
    shuffled, so most values never leave their task and a hot value is one row;
-3. the counted values are range-partitioned and written once; the totals per
-   (segment, partition) say where each wanted rank lies, and running counts inside
-   that partition pick the value;
+3. brackets are cut into ``BUCKETS`` stretches of values. The totals of segments and
+   stretches say which stretch holds a wanted rank, and running counts inside it pick
+   the value: a task sees the values of one stretch;
 4. a rank that lies outside its bracket (a sketch keeps its error bound in all but a
    few cases in a hundred thousand) is looked for again in the segment that holds it,
    so the result is exact whatever the sketch said.
@@ -18,20 +18,18 @@ One way for columns of any size:
 from __future__ import annotations
 
 import math
-from bisect import bisect_right
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kiln.session import scratch, staged
-
 #: Sketch size, and the share of ranks on either side of a wanted one that its bracket
 #: takes in (several times the sketch's error at that size).
 SKETCH_K = 2048
 MARGIN = 0.005
 #: Groups of partitions whose sketches are merged before the last task merges the groups.
 FAN_IN = 64
+BUCKETS = 512
 
 Bracket = tuple[float, float]
 
@@ -45,32 +43,51 @@ def exact_quantiles(df: DataFrame, values: dict[str, Column], probs: tuple[float
 def value_quantiles(df: DataFrame, values: dict[str, Column], probs: tuple[float, ...], sketch_k: int = SKETCH_K,
                     margin: float = MARGIN) -> tuple[dict[str, dict[float, float | None]], dict[str, int]]:
     """(quantiles, number of non-null values) per name."""
+    found, size, _ = _quantiles(df, values, probs, sketch_k, margin, None)
+    return found, size
+
+
+def quantiles_and_distinct(df: DataFrame, values: dict[str, Column], probs: tuple[float, ...], keys: dict[str, Column]
+                           ) -> tuple[dict[str, dict[float, float | None]], dict[str, int], dict[str, int]]:
+    """(quantiles, non-null values, distinct values) per name from one count of (column, value).
+
+    Distinct counts need every value once, so here values outside the brackets are
+    shuffled too. ``keys`` (long) tell values apart that are equal as doubles.
+    """
+    return _quantiles(df, values, probs, SKETCH_K, MARGIN, keys)
+
+
+def _quantiles(df: DataFrame, values: dict[str, Column], probs: tuple[float, ...], sketch_k: int, margin: float,
+               keys: dict[str, Column] | None) -> tuple[dict, dict, dict]:
     names = list(values)
     if not names:
-        return {}, {}
-    cells = df.select(*[values[n].cast("double").alias(f"v{i}") for i, n in enumerate(names)])
+        return {}, {}, {}
+    cells = df.select(*[values[n].cast("double").alias(f"v{i}") for i, n in enumerate(names)],
+                      *[keys[n].cast("long").alias(f"a{i}") for i, n in enumerate(names) if keys is not None and n in keys])
     size, brackets = _brackets(cells, len(names), probs, sketch_k, margin)
     places = {(i, p): p * (size[i] - 1) for i in range(len(names)) if size[i] for p in probs}
     want = sorted({(i, r) for (i, _), h in places.items() for r in (math.floor(h), math.ceil(h))})
     found: dict[tuple[int, int], float] = {}
+    distinct: dict[int, int] = {}
+    every = keys is not None
     while want:
-        with scratch(df.sparkSession):  # the counted values are not needed any longer
-            got, brackets = _pick(cells, {i: brackets[i] for i in {i for i, _ in want}}, want)
+        got, brackets, counted = _pick(cells, {i: brackets[i] for i in sorted({i for i, _ in want})}, want, every)
         found |= got
-        want = [w for w in want if w not in got]
+        distinct = counted if every else distinct
+        every, want = False, [w for w in want if w not in got]
     out: dict[str, dict[float, float | None]] = {n: dict.fromkeys(probs) for n in names}
     for (i, p), h in places.items():
         lo, hi = math.floor(h), math.ceil(h)
         a, b = found[i, lo], found[i, hi]
         out[names[i]][p] = a if a == b else (hi - h) * a + (h - lo) * b
-    return out, {n: size[i] for i, n in enumerate(names)}
+    return out, {n: size[i] for i, n in enumerate(names)}, {n: distinct.get(i, 0) for i, n in enumerate(names)}
 
 
 def _brackets(cells: DataFrame, n: int, probs: tuple[float, ...], sketch_k: int, margin: float
               ) -> tuple[list[int], dict[int, list[Bracket]]]:
     """Values per column, and disjoint brackets around the wanted ranks, in order."""
     group = F.pmod(F.spark_partition_id(), F.lit(FAN_IN)).alias("g")
-    merged = cells.select(group, "*").groupBy("g").agg(
+    merged = cells.select(group, *[f"v{i}" for i in range(n)]).groupBy("g").agg(
         *[F.count(f"v{i}").alias(f"n{i}") for i in range(n)],
         *[F.kll_sketch_agg_double(f"v{i}", F.lit(sketch_k)).alias(f"s{i}") for i in range(n)]).agg(
         *[F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"n{i}") for i in range(n)],
@@ -96,11 +113,20 @@ class _Segments:
     brackets: list[Bracket]
 
     def of(self, v: Column) -> Column:
-        edges = F.lit(2 * len(self.brackets))
+        """The segment of a value."""
+        out = F.lit(2 * len(self.brackets))
         for k in range(len(self.brackets) - 1, -1, -1):
             lo, hi = self.brackets[k]
-            edges = F.when(v < F.lit(lo), 2 * k).when(v <= F.lit(hi), 2 * k + 1).otherwise(edges)
-        return edges
+            out = F.when(v < F.lit(lo), 2 * k).when(v <= F.lit(hi), 2 * k + 1).otherwise(out)
+        return out
+
+    def bucket(self, segment: Column, v: Column) -> Column:
+        """The stretch of its bracket that a value inside lies in."""
+        wide = [math.isfinite(lo) and math.isfinite(hi) and 0 < hi - lo < math.inf for lo, hi in self.brackets]
+        start = F.array(*[F.lit(lo if w else 0.0) for (lo, _), w in zip(self.brackets, wide)])
+        scale = F.array(*[F.lit(BUCKETS / (hi - lo) if w else 0.0) for (lo, hi), w in zip(self.brackets, wide)])
+        at = F.shiftright(segment, 1)
+        return F.floor(F.least((v - F.get(start, at)) * F.get(scale, at), F.lit(float(BUCKETS)))).cast("int")
 
     def outside(self, segment: int) -> Bracket:
         """A bracket that holds every value of an even segment."""
@@ -108,41 +134,46 @@ class _Segments:
         return (self.brackets[k - 1][1] if k else -math.inf, self.brackets[k][0] if k < len(self.brackets) else math.inf)
 
 
-def _pick(cells: DataFrame, brackets: dict[int, list[Bracket]], want: list[tuple[int, int]]
-          ) -> tuple[dict[tuple[int, int], float], dict[int, list[Bracket]]]:
-    """Values of the wanted (column, rank)s that lie inside their column's brackets, and brackets for the others."""
+def _pick(cells: DataFrame, brackets: dict[int, list[Bracket]], want: list[tuple[int, int]], every: bool
+          ) -> tuple[dict[tuple[int, int], float], dict[int, list[Bracket]], dict[int, int]]:
+    """Values of the wanted (column, rank)s that lie inside their column's brackets, brackets for the others,
+    and with ``every`` the distinct values of each column."""
     spark = cells.sparkSession
     parts = {i: _Segments(b) for i, b in brackets.items()}
-    located = cells.select(*[F.struct(F.lit(i).alias("i"), s.of(F.col(f"v{i}")).alias("seg"), F.col(f"v{i}").alias("v")).alias(f"c{i}")
-                             for i, s in parts.items()])
-    counts = (located.select(F.inline(F.array(*[f"c{i}" for i in parts]))).where("v IS NOT NULL")
-              .select("i", "seg", F.when(F.col("seg") % 2 == 1, F.col("v")).alias("v"))
-              .groupBy("i", "seg", "v").agg(F.count(F.lit(1)).alias("k")))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = staged(counts.repartitionByRange(n, "i", "seg", "v").withColumn("pid", F.spark_partition_id()), "ranks")
-    totals = (ordered.groupBy("i", "seg", "pid").agg(F.sum("k").alias("n"))
-              .orderBy("i", "seg", "pid").collect())  # one row per partition, and one more per segment
-    starts: dict[int, list[int]] = {i: [] for i in parts}  # per column: values before each piece
-    pieces: dict[int, list[tuple[int, int]]] = {i: [] for i in parts}
-    seen = dict.fromkeys(parts, 0)
-    for r in totals:
-        starts[r["i"]].append(seen[r["i"]])
-        pieces[r["i"]].append((r["seg"], r["pid"]))
-        seen[r["i"]] += r["n"]
-    targets, again = [], {}
-    for i, rank in want:
-        at = bisect_right(starts[i], rank) - 1
-        seg, pid = pieces[i][at]
-        if seg % 2:
-            targets.append((i, seg, pid, rank - starts[i][at], rank))
+    keyed = {i for i in parts if f"a{i}" in cells.columns and every}
+    located = cells.select(*[f"v{i}" for i in parts], *[f"a{i}" for i in keyed],
+                           *[p.of(F.col(f"v{i}")).alias(f"s{i}") for i, p in parts.items()])
+    inside = lambda i, x: F.when(F.col(f"s{i}") % 2 == 1, x)
+    counts = located.select(F.inline(F.array(*[F.struct(
+        F.lit(i).alias("i"), F.when(F.col(f"v{i}").isNotNull(), F.col(f"s{i}")).alias("seg"),
+        F.coalesce(inside(i, p.bucket(F.col(f"s{i}"), F.col(f"v{i}"))), F.lit(0)).alias("bucket"),
+        (F.col(f"v{i}") if every else inside(i, F.col(f"v{i}"))).alias("v"),
+        (F.col(f"a{i}") if i in keyed else F.lit(None).cast("long")).alias("a")) for i, p in parts.items()]))).where(
+        "seg IS NOT NULL").groupBy("i", "seg", "bucket", "v", "a").agg(F.count(F.lit(1)).alias("k"))
+    wanted = F.broadcast(spark.createDataFrame(want, "w int, rank long"))  # two rows per quantile
+    place = ["i", "seg", "bucket"]
+    totals = counts.groupBy(*place).agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("d"))  # BUCKETS rows per bracket, one per gap
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("i").orderBy("seg", "bucket").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0))
+    hit = totals.withColumn("before", before).join(wanted, (F.col("i") == F.col("w")) & (F.col("before") <= F.col("rank"))
+                                                   & (F.col("rank") < F.col("before") + F.col("n")))
+    hit = hit.select(*[F.col(c).alias(f"h_{c}") for c in place], "rank", "before")
+    # of a gap one row says that the rank lies there
+    near = counts.join(F.broadcast(hit), [F.col(c) == F.col(f"h_{c}") for c in place])  # one row per wanted rank
+    near = near.withColumn("v", F.when(F.col("seg") % 2 == 1, F.col("v"))).groupBy(*place, "rank", "before", "v").agg(F.sum("k").alias("k"))
+    upto = F.col("before") + F.sum("k").over(Window.partitionBy(*place, "rank").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    rows = near.withColumn("upto", upto).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("k")))
+    rows = rows.select("i", "rank", "seg", "v", F.lit(None).cast("long").alias("d"))
+    if every:
+        none = F.lit(None)
+        rows = rows.unionByName(totals.groupBy("i").agg(F.sum("d").alias("d")).select(
+            "i", none.cast("long").alias("rank"), none.cast("int").alias("seg"), none.cast("double").alias("v"), "d"))
+    found, again, distinct = {}, {}, {}
+    for r in rows.collect():
+        if r["rank"] is None:
+            distinct[r["i"]] = r["d"]
+        elif r["seg"] % 2:
+            found[r["i"], r["rank"]] = r["v"]
         else:
-            again.setdefault(i, set()).add(parts[i].outside(seg))
-    found: dict[tuple[int, int], float] = {}
-    if targets:
-        wanted = F.broadcast(spark.createDataFrame(targets, "i int, seg int, pid int, r long, rank long"))  # two rows per quantile
-        upto = F.sum("k").over(Window.partitionBy("i", "seg", "pid").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-        # the window sees the rows of one partition of the write
-        running = ordered.where(F.col("pid").isin(sorted({t[2] for t in targets}))).select("i", "seg", "pid", "v", "k", upto.alias("upto"))
-        rows = running.join(wanted, ["i", "seg", "pid"]).where((F.col("r") < F.col("upto")) & (F.col("r") >= F.col("upto") - F.col("k")))
-        found = {(r["i"], r["rank"]): r["v"] for r in rows.select("i", "rank", "v").collect()}
-    return found, {i: sorted(b) for i, b in again.items()}
+            again.setdefault(r["i"], set()).add(parts[r["i"]].outside(r["seg"]))
+    return found, {i: sorted(b) for i, b in again.items()}, distinct

@@ -62,7 +62,7 @@ def feature_quality(df: DataFrame, target: str | None = None) -> DataFrame:
     # in all-distinct columns each value occurs once, so the tie rule picks the smallest value
     unique = [c for c in names if facts[c].non_null > 0 and facts[c].distinct == facts[c].non_null]
     spark = df.sparkSession
-    top = dominant_values(df, [c for c in names if c not in unique])
+    top = dominant_values(df, [c for c in names if c not in unique], distinct={c: facts[c].distinct for c in names})
     if unique:
         mins = df.agg(*[F.min(as_text(col(c), df.schema[c].dataType)).alias(f"m{i}") for i, c in enumerate(unique)]).first()
         top |= {c: (mins[f"m{i}"], 1) for i, c in enumerate(unique)}

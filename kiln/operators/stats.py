@@ -98,7 +98,13 @@ def numeric_stats(df: DataFrame, names: list[str], coerce: bool = False,
     views = {n: numeric_view(df, n, coerce) for n in names}
     qv: dict[str, dict[float, float | None]] = {}
     nd: dict[str, int] = {}
-    if quantiles and exact:
+    if quantiles and exact and distinct:
+        from kiln.operators.quantiles import quantiles_and_distinct
+        # doubles merge long whole numbers and decimals beyond 2^53: a key beside them tells those apart
+        keys = {n: col(n) if is_integral_type(t) else F.xxhash64(col(n)) for n in names
+                if is_numeric_type(t := df.schema[n].dataType) and not is_double_type(t) and t.typeName() != "boolean"}
+        qv, _, nd = quantiles_and_distinct(df, views, tuple(quantiles), keys)
+    elif quantiles and exact:
         from kiln.operators.quantiles import value_quantiles
         qv, _ = value_quantiles(df, views, tuple(quantiles))
     elif quantiles:
@@ -106,7 +112,7 @@ def numeric_stats(df: DataFrame, names: list[str], coerce: bool = False,
         qrow = proj.agg(*[F.percentile_approx(F.col(f"__v{i}"), probs, APPROX_ACCURACY).alias(f"q{i}")
                           for i in range(len(names))]).first()
         qv = {n: dict(zip(quantiles, qrow[f"q{i}"] or [None] * len(quantiles))) for i, n in enumerate(names)}
-    if distinct:  # numbers as they are, since doubles merge long ones beyond 2^53
+    if distinct and not nd:  # numbers as they are, since doubles merge long ones beyond 2^53
         nd = distinct_counts(df, names, values={n: views[n] for n in names
                                                 if not is_numeric_type(df.schema[n].dataType)})
     n_rows = int(row["n_rows"])

@@ -93,12 +93,21 @@ SELECT o_orderkey AS person_id,
     AS end_date,
   18 + o_custkey % 60 AS age, CAST(1 + o_custkey % 41 AS DOUBLE) AS years_experience,
   o_totalprice AS revenue, CAST(o_custkey % 7 AS DOUBLE) AS quantity,
-  o_totalprice * o_totalprice * o_totalprice AS salary, o_orderpriority AS grade
+  o_totalprice * o_totalprice * o_totalprice / 1e9 AS salary, o_orderpriority AS grade
 FROM {orders}
 """
+#: Customers with generated features as validation meets them: a copy, a constant, infinities, gaps, odd months.
+GENERATED = """
+SELECT dc.*, churn AS copy_Gen, 1 AS const_Gen,
+  CASE WHEN customer_id % 10 = 0 THEN CAST('Infinity' AS DOUBLE) WHEN customer_id % 10 = 1 THEN CAST('-Infinity' AS DOUBLE)
+       ELSE salary / 2 END AS bad_Ratio,
+  CASE WHEN customer_id % 3 = 0 THEN CAST(customer_id % 5 AS DOUBLE) END AS sparse_Gen,
+  customer_id % 15 AS odd_Month, CAST(customer_id % 7 AS DOUBLE) AS due_DayOfWeek
+FROM (""" + DIRTY_CUSTOMER + ") dc"
 # ---- end of fixed values ----------------------------------------------------
 
 VIEWS = {
+    "generated": (GENERATED, ("customer",)),
     "people": (PEOPLE, ("orders",)),
     "customer_age_copy": (CUSTOMER_AGE_COPY, ("customer",)),
     "categorical_customer": (CATEGORICAL_CUSTOMER, ("customer",)),

@@ -44,7 +44,7 @@ _SQL: dict[str, str] = {}
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     configure(spark)
     if table in ("dirty_customer", "dirty_events", "dirty_dates", "labelled_documents", "categorical_customer",
-                 "customer_age_copy", "people"):
+                 "customer_age_copy", "people", "generated"):
         return derived(spark, sf_dir, table)
     return read_table(spark, f"{sf_dir}/{table}.parquet")
 
@@ -209,7 +209,8 @@ register("clean_summary_customer", _on("dirty_customer", lambda d: PL.clean_summ
     d, *PL.clean(d, key="customer_id"))), None)
 register("clean_imputation_report_customer", lambda spark, sf: I.imputation_report(
     spark, PL.clean(load(spark, sf, "dirty_customer"), key="customer_id")[1]), None)
-register("features_candidates_events", _on("events", PL.candidates), None)
+register("features_candidates_events", _on("events", PL.candidates), FS.candidates(
+    "events", {"ts": "Year Month Day DayOfWeek IsWeekend Hour Minute"}, ["user_id", "value"]))
 register("clean_impute_categorical_ladder",
          _on("categorical_customer",
              lambda d: I.impute_missing(C.normalize_empty_strings(d)[0], key="customer_id")[0]),
@@ -240,10 +241,32 @@ register("features_text_benchmark", _on("benchmark", _first(FE.engineer_text)),
          FS.unchanged_if_identifier("benchmark", "text"))
 register("features_numeric_documents", _on("documents", _first(FE.engineer_numeric)),
          FS.log_feature("documents", "n_chars"))
-register("features_pipeline_events", _on("events", _first(FE.engineer)), None)
+register("features_pipeline_events", _on("events", _first(FE.engineer)),
+         FS.with_features("events", FS.parts("events", "ts", "Day DayOfWeek IsWeekend Hour Minute"), FS.log("value")))
 register("features_pipeline_dates",
          _on("dirty_dates", _first(lambda d: FE.engineer(d, pairs=[("order_date", "ship_date", "duration")]))),
-         None)
+         FS.with_features("dirty_dates", FS.parts("dirty_dates", "order_date"), FS.parts("dirty_dates", "ship_date"),
+                          FS.duration("dirty_dates", "order_date", "ship_date"), FS.ratio("price", "quantity"),
+                          FS.ratio("price", "discount")))
+register("features_datetime_people", _on("people", _first(FE.engineer_datetime)), FS.with_features("people", *FS.people_dates()))
+register("features_numeric_people", _on("people", _first(FE.engineer_numeric)), FS.with_features("people", *FS.people_numbers()))
+_AGE_YEARS = FS.age("people", "date_of_birth", "reference_date")[0]
+register("features_pipeline_people", _on("people", _first(FE.engineer)),
+         FS.with_features("people", *FS.people_dates(), *FS.people_numbers(), FS.binned(FS.source_sql("people"), *_AGE_YEARS)))
+register("features_issues_people", _on("people", lambda d: FE.engineer(d)[1].frame(d.sparkSession).where("kind = 'issue'").selectExpr(
+    "feature AS issue", "source AS columns", "detail AS cells")), FS.people_issues())
+register("features_log_statistics_people", _on("people", lambda d: FE.log_statistics(d.sparkSession, FE.engineer_numeric(d)[1])),
+         FS.log_statistics("people", "salary"))
+
+
+def _validated(d: DataFrame):
+    originals = d.columns[:-6]
+    return FE.validate_features(d, originals, d.columns[-6:])
+
+
+register("features_validate_customer", _on("generated", lambda d: _validated(d)[0]), FS.validated())
+register("features_validation_report_customer", _on("generated", lambda d: _validated(d)[1].frame(d.sparkSession).select(
+    "kind", "feature", "detail")), FS.validation_report())
 
 
 # ---- feature selection -------------------------------------------------------

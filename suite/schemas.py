@@ -42,6 +42,8 @@ TABLES: dict[str, list[tuple[str, str]]] = {
 }
 
 TABLES["customer_age_copy"] = [*TABLES["dirty_customer"], ("age_copy", "int")]
+TABLES["generated"] = [*TABLES["dirty_customer"], ("copy_Gen", "int"), ("const_Gen", "int"), ("bad_Ratio", "dbl"),
+                       ("sparse_Gen", "dbl"), ("odd_Month", "int"), ("due_DayOfWeek", "dbl")]
 
 # integral columns stored as 32-bit INTEGER (the rest of kind "int" are BIGINT)
 INT32 = {("dirty_customer", "churn"), ("customer_age_copy", "churn"), ("labelled_documents", "quality"),
@@ -49,7 +51,7 @@ INT32 = {("dirty_customer", "churn"), ("customer_age_copy", "churn"), ("labelled
          ("part", "p_size")}
 
 DERIVED = {"dirty_customer", "dirty_events", "dirty_dates", "labelled_documents", "categorical_customer",
-           "customer_age_copy", "people"}
+           "customer_age_copy", "people", "generated"}
 
 
 def source_sql(table: str) -> str:
