@@ -13,7 +13,7 @@
    due, so that a source takes its target, rounded to a word, however small it
    is. The draws of a source are dealt over the output shards by one seeded
    multinomial, so that each shard's mixture is a multinomial sample while the
-   source's total stays exact.
+   source's total stays exact; ``shard_layout`` lists each shard's slots in order.
 4. *Map and join.* Draw ``k`` of a source is block ``perm(k mod blocks)`` of pass
    ``k div blocks``, with ``perm`` a keyed Feistel permutation of the source's
    block numbers for that pass: no block repeats within a pass. Draws and blocks
@@ -79,7 +79,7 @@ def _streams(docs: DataFrame) -> DataFrame:
     per_source = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     keyed = (docs.join(per_source, docs["source"].eqNullSafe(per_source["source"]), "inner")
              .select(docs["*"], F.ceil(F.col("n") / CHUNK_ROWS).alias("chunks"))
-             .withColumn("order", F.xxhash64("doc_id", F.lit(7)))
+             .withColumn("order", F.xxhash64("k1", F.lit(7)))
              .withColumn("chunk", F.pmod(F.col("order"), F.col("chunks"))).drop("chunks"))
     within = Window.partitionBy("source", "chunk").orderBy("order", "doc_id", "size", "k1", "k2")
     keyed = keyed.withColumn("inner", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0))
@@ -173,7 +173,11 @@ def _draws(targets: DataFrame, block_words: int, seed: int) -> DataFrame:
 
 
 def _slots(draws: DataFrame, block_words: int, seed: int) -> DataFrame:
-    """One row per draw: (rank, shard, pass, block, words taken from the block's start)."""
+    """One row per draw: (rank, shard, place in the shard, pass, block, words taken from the block's start)."""
+    # a shard's sources follow each other by rank: at most SHARD_SLOTS rows of a shard, or one per source
+    lower = Window.partitionBy("shard").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    draws = draws.withColumn("base", F.coalesce(F.sum("count").over(lower), F.lit(0)))
+
     def map_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for r in f.itertuples(index=False):
@@ -184,11 +188,11 @@ def _slots(draws: DataFrame, block_words: int, seed: int) -> DataFrame:
                     block[at] = permute(k[at] % int(r.blocks), int(r.blocks), _pass_key(seed, int(r.rank), p))
                 words = np.full(len(k), block_words, np.int64)
                 words[-1] = int(r.cut)
-                yield pd.DataFrame({"rank": int(r.rank), "shard": int(r.shard), "turn": turn, "block": block,
-                                    "words": words})
+                yield pd.DataFrame({"rank": int(r.rank), "shard": int(r.shard), "place": int(r.base) + np.arange(len(k)),
+                                    "turn": turn, "block": block, "words": words})
 
     return draws.repartition(F.col("rank"), F.col("shard")).mapInPandas(
-        map_blocks, "rank long, shard long, turn long, block long, words long")
+        map_blocks, "rank long, shard long, place long, turn long, block long, words long")
 
 
 def _row_key(df: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple[Column, Column]:
@@ -204,7 +208,7 @@ def plan_mixture(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(documents, targets, slots), all staged or one row per source.
 
     documents: doc_id, source, size, k1, k2, start; targets: source, source_size,
-    rank, target; slots: rank, shard, turn, block, words - one row per drawn block.
+    rank, target; slots: rank, shard, place, turn, block, words - one row per drawn block.
     """
     text = F.col(f"`{text_col}`").cast("string")
     base = stage(df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
@@ -235,23 +239,37 @@ def _taken(pieces: DataFrame, slots: DataFrame, block_words: int) -> DataFrame:
         F.col("upto") > F.col("from"))
 
 
+def shard_layout(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                 weights: tuple[float, ...] = (5, 2, 1), amount: float = 1.5, max_repeat: float = 2.0,
+                 block_words: int = BLOCK_WORDS, seed: int = 11) -> DataFrame:
+    """What the output shards hold: shard, place (gapless from 0), doc_id, source, block, pass, and the words
+    ``from`` .. ``upto`` of the document that the slot's block takes; a slot has a row per document in its block.
+    """
+    docs, targets, slots = plan_mixture(df, id_col, text_col, source_col, weights, amount, max_repeat, block_words, seed)
+    return _taken(_pieces(stage(docs, "mix-stream"), targets, block_words), slots, block_words).select(
+        "shard", "place", "doc_id", "source", "block", F.col("turn").alias("pass"), "from", "upto")
+
+
 def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 weights: tuple[float, ...] = (5, 2, 1), amount: float = 1.5, max_repeat: float = 2.0,
                 block_words: int = BLOCK_WORDS, seed: int = 11) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken."""
+    """One row per document: doc_id, source, size, source_size, target, taken, shards (output shards with words of it)."""
     docs, targets, slots = plan_mixture(df, id_col, text_col, source_col, weights, amount, max_repeat,
                                         block_words, seed)
     docs = stage(docs, "mix-stream")
-    times = slots.groupBy("rank", "block", "words").agg(F.count(F.lit(1)).alias("times"))
+    times = slots.groupBy("rank", "block", "words").agg(F.count(F.lit(1)).alias("times"), F.collect_set("shard").alias("to"))
     taken = (_taken(_pieces(docs, targets, block_words), times, block_words)
-             .groupBy("rank", "start").agg(F.sum((F.col("upto") - F.col("from")) * F.col("times")).alias("taken"))
+             .groupBy("rank", "start").agg(
+                 F.sum((F.col("upto") - F.col("from")) * F.col("times")).alias("taken"),
+                 F.array_sort(F.array_distinct(F.flatten(F.collect_list("to")))).alias("shards"))  # one document's blocks
              .withColumnRenamed("start", "k_start").withColumnRenamed("rank", "k_rank"))
     t = targets.select(F.col("source").alias("t_source"), "rank", "source_size", "target")
     return (docs.join(t, F.col("source").eqNullSafe(F.col("t_source")))
             .join(taken, (F.col("rank") == F.col("k_rank")) & (F.col("start") == F.col("k_start"))
                   & (F.col("size") > 0), "left")
             .select("doc_id", "source", "size", "source_size", "target",
-                    F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))
+                    F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+                    F.coalesce("shards", F.array().cast("array<bigint>")).alias("shards")))
 
 
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",

@@ -531,6 +531,6 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     order = F.xxhash64("page_id", "url")
     dealt = pages.join(F.broadcast(large), F.col("host") == F.col("l_host"), "left").select(  # at most 500 000 hosts
         "host", F.pmod(order, F.coalesce("parts", F.lit(1))).alias("part"), "page_id", "url", "html")
-    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // group_pages)
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * total // group_pages)
     return (dealt.repartition(n, "host", "part").sortWithinPartitions("host", "part", order)
             .mapInArrow(_extract_group, "page_id long, url string, text string, n_chars long"))

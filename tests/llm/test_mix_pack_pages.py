@@ -69,6 +69,40 @@ def test_small_sources_take_their_targets(spark):
     assert all(abs(taken[s] - want[s]) <= 0.5 + 1e-6 for s in want) and +taken == held
 
 
+def test_shards_hold_the_drawn_counts(sample, edge_docs, monkeypatch):
+    """Slots of a shard are gapless; its sources' slots are those that the multinomial drew; digests agree."""
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 16)
+    for df in (sample, edge_docs):
+        options = {"block_words": 64}
+        layout = mixing.shard_layout(df, **options).collect()
+        places, words, shards = {}, Counter(), {}
+        for r in layout:
+            assert places.setdefault((r.shard, r.place), (r.source, r.block, r["pass"])) == (r.source, r.block, r["pass"])
+            words[r.doc_id] += r.upto - r["from"]
+            shards.setdefault(r.doc_id, set()).add(r.shard)
+        top = Counter(s for s, _ in places)
+        assert len(top) > 1 and set(places) == {(s, p) for s, n in top.items() for p in range(n)}
+        got = mixing.mix_sources(df, **options).collect()
+        taken = Counter()
+        for r in got:
+            taken[r.doc_id] += r.taken
+            assert r.shards == sorted(shards.get(r.doc_id, ())) if r.taken else r.shards == []
+        assert +words == +taken
+        _, targets, _ = mixing.plan_mixture(df, **options)
+        drawn = {(r.rank, r.shard): r["count"] for r in mixing._draws(targets, 64, 11).collect()}
+        rank = {r.source: r.rank for r in targets.collect()}
+        seen = Counter((rank[source], shard) for (shard, _), (source, _, _) in places.items())
+        assert seen == drawn
+
+
+def test_rows_without_id_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK_ROWS", 50)
+    df = spark.createDataFrame([row(None, f"text {i}") for i in range(2000)], SCHEMA)
+    docs, _, _ = mixing.plan_mixture(df)
+    starts = sorted((r.start, r["size"]) for r in docs.collect())
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
+
+
 def test_draws_add_up_to_the_target():
     rng = random.Random(3)
     for _ in range(400):
