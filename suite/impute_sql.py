@@ -56,10 +56,10 @@ def _step(prev: str, out: str, target: str, cands: list[str], all_cols: list[str
   FROM {prev} p LEFT JOIN {out}_best b ON b.rk = p.{G.q(key)})"""
 
 
-def _numeric_fills(prev: str, out: str, table: str) -> str:
+def _numeric_fills(prev: str, out: str, table: str, columns: list[tuple[str, str]] | None = None) -> str:
     """Mean, or median when |G1| >= 1 with >= 8 values; integral columns rounded half-even."""
     stats, items = [], []
-    for i, (c, k) in enumerate(cols(table)):
+    for i, (c, k) in enumerate(columns or cols(table)):
         q = G.q(c)
         if k not in ("int", "dbl"):
             items.append(f"p.{q}")
@@ -96,3 +96,36 @@ def categorical_imputation(table: str, key: str, targets: list[str], exclude: tu
         prev = f"s{i}"
     cols_out = ", ".join(G.q(c) for c in names)
     return "WITH " + ",\n".join(ctes) + f"\nSELECT {cols_out} FROM {prev}"
+
+
+def clean_pipeline(table: str, key: str, numbers_as_text: list[str], targets: list[str], copies: tuple[str, ...]) -> str:
+    """Blanks -> types -> domain rules -> copies out -> numeric and categorical fills -> distinct rows.
+
+    A text column is parsed where 95 % of its values are numbers, and whole numbers come out as such.
+    """
+    kinds = {c: "int" if c in numbers_as_text else k for c, k in cols(table) if c not in copies}
+    blank = lambda c, k: (f"CASE WHEN {G.strip(G.q(c))} <> '' THEN {G.q(c)} END AS {G.q(c)}" if k == "str" else G.q(c))
+    ctes = [f"s0 AS (SELECT {', '.join(blank(c, k) for c, k in cols(table))} FROM {source_sql(table)} t)"]
+    parsed = []
+    for c, k in cols(table):
+        if c in numbers_as_text:
+            v = G.num(c, "str")
+            enough = f"(SELECT count({v}) >= 0.95 * count({G.q(c)}) FROM s0)"
+            whole = f"(SELECT bool_and({v} = round({v})) FROM s0 WHERE {v} IS NOT NULL)"
+            parsed.append(f"CASE WHEN {enough} AND {whole} THEN CAST({v} AS BIGINT) END AS {G.q(c)}")
+        elif c not in copies:
+            parsed.append(G.q(c))
+    ctes.append(f"s1 AS (SELECT {', '.join(parsed)} FROM s0)")
+    ruled = []
+    for c, k in kinds.items():
+        high = f" OR {G.q(c)} > 120" if N.matches(N.CLEAN_AGE, c) else ""
+        domain = k in ("int", "dbl") and any(N.matches(p, c) for p in (N.CLEAN_AGE, N.CLEAN_SALARY, N.CLEAN_QUANTITY))
+        ruled.append(f"CASE WHEN NOT coalesce({G.q(c)} < 0{high}, false) THEN {G.q(c)} END AS {G.q(c)}" if domain else G.q(c))
+    ctes.append(f"s2 AS (SELECT {', '.join(ruled)} FROM s1)")
+    ctes.append(_numeric_fills("s2", "s3", table, list(kinds.items())))
+    prev = "s3"
+    for i, target in enumerate(targets):
+        cands = [c for c, k in kinds.items() if k == "str" and c != target and not N.is_identifier_name(c)]
+        ctes.append(_step(prev, f"f{i}", target, cands, list(kinds), key).strip())
+        prev = f"f{i}"
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT DISTINCT {', '.join(G.q(c) for c in kinds)} FROM {prev}"

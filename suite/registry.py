@@ -204,7 +204,8 @@ register("clean_impute_categorical_customer",
          IS.categorical_imputation("dirty_customer", "customer_id", ["gender", "segment", "age_text"],
                                    exclude=("city_copy",), numeric=True))
 register("clean_pipeline_customer",
-         _on("dirty_customer", lambda d: PL.clean(d, key="customer_id")[0]), None)
+         _on("dirty_customer", lambda d: PL.clean(d, key="customer_id")[0]),
+         IS.clean_pipeline("dirty_customer", "customer_id", ["age_text"], ["gender", "segment"], ("city_copy",)))
 register("clean_summary_customer", _on("dirty_customer", lambda d: PL.clean_summary(
     d, *PL.clean(d, key="customer_id"))), None)
 register("clean_imputation_report_customer", lambda spark, sf: I.imputation_report(
