@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from kiln.functions import names as N
 from kiln.functions.exprs import (
     col,
+    comparable,
     is_numeric_type,
     is_string_type,
     parse_number,
