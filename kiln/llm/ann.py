@@ -5,7 +5,8 @@ Vectors are dealt into blocks of bounded size, and every block is indexed whole:
 array. A query is projected on the same lines and puts a window around its own
 value on each. Windows start at ``width`` and grow by virtual rehashing
 (``ratio`` times wider each round); a vector in the windows of at least a
-``threshold`` share of the lines is a candidate and is verified by its exact distance. A block
+``threshold`` share of the lines is a candidate and is verified by its exact distance. Until
+the first candidate windows grow by ``first_ratio``. A block
 stops for a query when the k-th verified distance is within the radius that the
 windows stand for, or when its vectors are all verified. No round is cut short,
 so vectors at equal distance are found together.
@@ -41,6 +42,7 @@ from kiln.llm.common import runs_of, stage
 BLOCK_ROWS = 16_384
 PROJECTIONS = 192
 RATIO = 1.04
+FIRST_RATIO = 1.2
 THRESHOLD = 0.77
 MARGIN = 0.03
 START_SHARE = 0.7
@@ -70,7 +72,7 @@ class BlockIndex:
         rng = np.random.default_rng([seed, vectors.shape[1]])
         self.lines = rng.normal(size=(projections, vectors.shape[1]))
         values = self.vectors @ self.lines.T
-        self.order = np.argsort(values, axis=0, kind="stable").astype(np.int32).T.copy()
+        self.order = np.argsort(values, axis=0, kind="stable").astype(np.intp).T.copy()
         self.values = np.take_along_axis(values, self.order.T, axis=0).T.copy()
         self.spread = float(np.median(values.std(axis=0))) or 1.0
         self.met = self.verified = 0  # vectors in all searches so far, and those of them that were verified
@@ -81,20 +83,21 @@ class BlockIndex:
         n, m = len(self.ids), len(self.lines)
         need = math.ceil(threshold * m)
         own = self.lines @ query
-        hits = np.zeros(n, np.int16)
-        lo = np.array([np.searchsorted(self.values[j], own[j]) for j in range(m)])
-        hi = lo.copy()
+        hits = np.zeros(n, np.intp)
+        lo = [int(self.values[j].searchsorted(own[j])) for j in range(m)]
+        hi = list(lo)
         verified = np.zeros(n, bool)
         ids, dist = np.zeros(0, np.int64), np.zeros(0)
         half = START_SHARE * self.spread
+        ends = np.empty(2)
         while True:
             parts = []
-            for j in range(m):
-                a = np.searchsorted(self.values[j], own[j] - half, "left")
-                b = np.searchsorted(self.values[j], own[j] + half, "right")
-                parts += [self.order[j, a:lo[j]], self.order[j, hi[j]:b]]
+            for j, (values, order, at) in enumerate(zip(self.values, self.order, own.tolist())):
+                ends[:] = at - half, at + half
+                a, b = values.searchsorted(ends).tolist()  # a value on an edge has chance zero
+                parts += [order[a:lo[j]], order[hi[j]:b]]
                 lo[j], hi[j] = min(a, lo[j]), max(b, hi[j])
-            hits += np.bincount(np.concatenate(parts), minlength=n).astype(np.int16)
+            hits += np.bincount(np.concatenate(parts), minlength=n)
             new = np.flatnonzero((hits >= need) & ~verified)
             verified[new] = True
             new = new[self.ids[new] != query_id]
@@ -107,7 +110,7 @@ class BlockIndex:
             if (len(ids) == k and dist[-1] * _reach(threshold) <= half) or verified.all():
                 self.met, self.verified = self.met + n, self.verified + int(verified.sum())
                 return ids, dist
-            half *= ratio
+            half *= ratio if len(ids) else FIRST_RATIO
 
 
 def _reach(threshold: float) -> float:
