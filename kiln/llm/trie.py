@@ -250,13 +250,14 @@ def prefix_trie(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     """One row per node: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
     turns, convs = spliced_turns(ordered_turns(df, conv, turn, role, text), rule)
     zero = F.lit(0).cast("long")
-    root = convs.select("c", zero.alias("d"), zero.alias("f1"), zero.alias("f2"), zero.alias("n_code"),
-                        (F.col("length") == 0).alias("last"))
-    rows = stage(_prefixes(turns).unionByName(root), "prefixes")
-    nodes = rows.groupBy("d", "f1", "f2").agg(F.min("c").alias("own"), F.count(F.lit(1)).alias("n"))
-    # a node with many members has as many rows here: AQE splits its partition
-    rows = stage(rows.join(nodes.hint("merge"), ["d", "f1", "f2"]).select(
-        "c", "d", F.col("f1").alias("f"), "own", "n", "n_code", "last"), "members")
+    rows = stage(_prefixes(turns), "prefixes")
+    # written, so that a node with many members, which has as many rows here, meets them in a join that AQE can split
+    nodes = stage(rows.groupBy("d", "f1", "f2").agg(F.min("c").alias("own"), F.count(F.lit(1)).alias("n")), "nodes")
+    below = rows.join(nodes.hint("merge"), ["d", "f1", "f2"]).select("c", "d", F.col("f1").alias("f"), "own", "n", "n_code", "last")
+    top = convs.agg(F.min("c").alias("own"), F.count(F.lit(1)).alias("n")).first()  # the root has all conversations
+    root = convs.select("c", zero.alias("d"), zero.alias("f"), F.lit(top["own"]).cast("long").alias("own"),
+                        F.lit(top["n"]).cast("long").alias("n"), zero.alias("n_code"), (F.col("length") == 0).alias("last"))
+    rows = stage(below.unionByName(root), "members")
     # per conversation: where its path leaves the nodes of smaller owners, and the heavy nodes
     paths = rows.groupBy("c").agg(
         F.max(F.when(F.col("own") < F.col("c"), F.struct("d", "own", "n"))).alias("hang"),
