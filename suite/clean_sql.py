@@ -142,3 +142,23 @@ def outlier_flags(table: str, flagged: list[str]) -> str:
     kinds = dict(cols(table))
     flags = ", ".join(f"{_mask(c, kinds[c])[0]} AS {G.q(c + '__is_outlier')}" for c in flagged)
     return f"SELECT t.*, {flags} FROM {source_sql(table)} t, {_fences(table, nums)} f"
+
+
+def whole(table: str) -> str:
+    return f"SELECT * FROM {source_sql(table)} t"
+
+
+def as_csv(table: str) -> str:
+    """The table as its CSV file tells it: whole numbers that fit are INTEGER, blank fields are null."""
+    items = [f"CAST({G.q(c)} AS INTEGER) AS {G.q(c)}" if k == "int" else f"nullif({G.q(c)}, '') AS {G.q(c)}" if k == "str" else G.q(c)
+             for c, k in cols(table)]
+    return f"SELECT {', '.join(items)} FROM {source_sql(table)} t"
+
+
+def convert_dates(table: str, columns: list[str]) -> str:
+    """Text columns of which 90 % parse as dates become timestamps."""
+    repl = {}
+    for c in columns:
+        enough = f"(SELECT count({G.ts(c, 'str')}) >= 0.90 * count({G.q(c)}) FROM {source_sql(table)} t)"
+        repl[c] = f"CASE WHEN {enough} THEN {G.ts(c, 'str')} END"
+    return _select(table, repl)

@@ -6,12 +6,14 @@ that Spark derives from them) and returns the operator's DataFrame.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kiln.session import configure
+from kiln.session import configure, ensure_checkpoint_dir
 from kiln.sources.derived import derived
+from kiln.sources import io
 from kiln.sources.io import read_table
 from kiln.operators import quality as Q
 from kiln.operators import clean as C
@@ -62,6 +64,41 @@ def _on(table: str, op: Callable[[DataFrame], DataFrame]) -> SparkFn:
     return run
 
 
+# ---- sources and stages ------------------------------------------------------
+def _scratch_path(spark: SparkSession, label: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/kiln-{label}-{uuid.uuid4().hex}"
+
+
+def _through_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dirty_customer as CSV files, read back with inferred types."""
+    path = _scratch_path(spark, "source") + ".csv"
+    keep = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    load(spark, sf_dir, "dirty_customer").write.options(header="true", **keep).csv(path)
+    return read_table(spark, path)
+
+
+def _through_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dirty_events as the raw stage, read back through its gate."""
+    root = _scratch_path(spark, "stages")
+    io.write_stage(load(spark, sf_dir, "dirty_events"), root, "raw")
+    return io.read_stage(spark, root, "raw")
+
+
+def _repeated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their customers under headers that repeat."""
+    o, c = load(spark, sf_dir, "orders"), load(spark, sf_dir, "customer")
+    both = o.join(c, o["o_custkey"] == c["c_custkey"]).select("o_orderkey", "c_name", "o_orderstatus", "c_mktsegment")
+    return io.dedup_column_names(both.toDF("key", "name", "key", "name"))
+
+
+register("source_csv_customer", _through_csv, CS.as_csv("dirty_customer"))
+register("source_unique_names", _repeated_names,
+         'SELECT o_orderkey AS "key", c_name AS "name", o_orderstatus AS "key__dup1", c_mktsegment AS "name__dup1" '
+         "FROM orders JOIN customer ON o_custkey = c_custkey")
+register("source_preview_orders", _on("orders", lambda d: io.preview(d, 10, "o_orderkey")),  # a preview is its limit
+         "SELECT * FROM orders ORDER BY o_orderkey LIMIT 10")
+register("stage_read_events", _through_stage, CS.whole("dirty_events"))
+
 # ---- profiling ---------------------------------------------------------------
 register("profile_numeric_lineitem", _on("lineitem", P.numeric_report), PS.numeric_report("lineitem"))
 register("profile_numeric_events", _on("events", P.numeric_report), PS.numeric_report("events"))
@@ -182,6 +219,7 @@ register("clean_empty_strings", _on("dirty_customer", _first(C.normalize_empty_s
          CS.empty_strings("dirty_customer"))
 register("clean_convert_numeric", _on("dirty_customer", _first(C.convert_types)),
          CS.convert_numeric("dirty_customer", ["age_text"]))
+register("clean_convert_dates", _on("dirty_dates", _first(C.convert_types)), CS.convert_dates("dirty_dates", ["order_date"]))
 register("clean_domain_invalid",
          _on("dirty_customer", lambda d: C.null_domain_invalid(C.convert_types(d)[0])[0]),
          CS.domain_invalid("dirty_customer", ["age_text"]))
