@@ -114,7 +114,7 @@ def occurrences(found: DataFrame) -> DataFrame:
         F.col("base") | ((F.col("kind") == "candidate") & (F.length("match") >= MIN_CANDIDATE)))
     # one text's spans, forwards and backwards: running values, since frames that end at the last row are quadratic
     onward, back = (Window.partitionBy("__doc", "__tie").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0) for by in (
-        ["start", "end"], [F.col("start").desc(), F.col("end").desc()]))
+        ["start", "end", F.col("base").desc()], [F.col("start").desc(), F.col("end").desc(), F.col("base").desc()]))
     reach = F.max(F.when(F.col("base"), F.col("end"))).over(onward)
     following = F.min(F.when(F.col("base"), F.col("start"))).over(back)
     free = (F.coalesce(reach, F.lit(0)) <= F.col("start")) & F.coalesce(following >= F.col("end"), F.lit(True))
