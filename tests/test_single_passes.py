@@ -23,3 +23,47 @@ def test_dates_alone_are_cast_and_other_texts_meet_one_test(spark):
     got = {r["i"]: r["t"] and r["t"][:10] for r in parsed.collect()}
     assert got == {0: "2020-01-05", 1: None, 2: "2020-01-02", 3: "2020-02-13", 4: None, 5: None, 6: None, 7: "2020-01-05", 8: None}
     assert r"^\d{4}-\d{2}-\d{2}$" in _plan(parsed)  # the test of a date alone
+
+
+def test_datetime_profile_parses_each_value_once(spark):
+    df = spark.createDataFrame([("2020-01-05", "1/2/2020"), ("x", "1/2/2020"), (None, None)], "a string, b string")
+    rep = P.datetime_profile(df, ["a", "b"])
+    assert "Expand" not in _plan(rep)
+    rows = {r["column_name"]: (r["unique_dates"], r["parseable_count"], r["invalid_count"], r["has_time"]) for r in rep.collect()}
+    assert rows == {"a": (1, 1, 1, False), "b": (1, 2, 0, False)}
+    none = P.datetime_profile(df.where("a = 'none'"), ["a"]).collect()
+    assert [tuple(r) for r in none] == [("a", None, None, 0, None, False, 0, 0)]
+
+
+def test_numeric_features_count_values_with_the_facts_only(spark, monkeypatch):
+    monkeypatch.setattr(QT, "quantiles_and_distinct", lambda *a: pytest.fail("values counted again"))
+    df = spark.range(200).selectExpr("cast(id % 37 as double) AS age", "cast(id % 25 AS string) AS text_number", "exp(id / 20.0) AS fee")
+    out, _ = FE.engineer_numeric(df)
+    assert {"age_Binned", "fee_Log"} <= set(out.columns)
+
+
+def test_bins_need_no_count_of_every_value(spark, monkeypatch):
+    counted = []
+    real = stats.distinct_counts
+    monkeypatch.setattr(stats, "distinct_counts", lambda df, names, **k: counted.extend(names) or real(df, names, **k))
+    df = spark.range(500).selectExpr("cast(id AS double) AS y", "id * 7 % 501 AS x", "id % 3 AS few")
+    rows = {r["feature"]: r["mi_score"] for r in S.mutual_information(df, "y").collect()}
+    assert counted == ["few"] and rows["x"] > rows["few"]
+
+
+def test_signatures_of_columns_are_sums_of_long(spark):
+    df = spark.range(50).selectExpr("id AS a", "cast(id AS string) AS b", "49 - id AS c", "id + 1 AS d")
+    got = Q.column_signatures(df, df.columns)
+    assert got["a"] == got["b"] == got["c"] != got["d"] and all(isinstance(x, int) for v in got.values() for x in v)
+    assert Q.duplicate_column_map(df) == {"b": "a"}
+
+
+def test_quantile_places_are_looked_up_per_cell(spark):
+    df = spark.range(1, 1002).selectExpr("cast(id AS double) a", "cast(id * id AS double) b", "CASE WHEN id < 3 THEN double('inf') ELSE 1.5D END AS c",
+                                         "cast(null AS double) d")
+    qs, n = QT.value_quantiles(df, {c: F.col(c) for c in df.columns}, (0.0, 0.25, 0.5, 1.0))
+    assert qs["a"] == {0.0: 1.0, 0.25: 251.0, 0.5: 501.0, 1.0: 1001.0} and qs["b"][0.5] == 501.0 ** 2
+    assert qs["c"] == {0.0: 1.5, 0.25: 1.5, 0.5: 1.5, 1.0: float("inf")} and n["d"] == 0
+    few = QT._segment({0: QT._Segments([(0.0, 1.0)]), 1: QT._Segments([(0.0, 1.0), (2.0, 3.0)])})
+    got = spark.createDataFrame([(0, 2.5), (1, 2.5), (1, 1.5)], "i int, v double").select(few.alias("s")).collect()
+    assert [r["s"] for r in got] == [2, 3, 2]
