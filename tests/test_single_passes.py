@@ -2,14 +2,17 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from kiln.functions.exprs import parse_timestamp
+from kiln.operators import detect as D
 from kiln.operators import features as FE
 from kiln.operators import profile as P
 from kiln.operators import quality as Q
 from kiln.operators import quantiles as QT
 from kiln.operators import select as S
 from kiln.operators import stats
+from kiln.session import ensure_checkpoint_dir
 
 
 def _plan(df):
@@ -67,3 +70,58 @@ def test_quantile_places_are_looked_up_per_cell(spark):
     few = QT._segment({0: QT._Segments([(0.0, 1.0)]), 1: QT._Segments([(0.0, 1.0), (2.0, 3.0)])})
     got = spark.createDataFrame([(0, 2.5), (1, 2.5), (1, 1.5)], "i int, v double").select(few.alias("s")).collect()
     assert [r["s"] for r in got] == [2, 3, 2]
+
+
+def test_feature_pipeline_parses_each_text_column_once_for_its_type(spark, monkeypatch):
+    asked = []
+    real = Q.text_ratios
+    for module in (FE, D):
+        monkeypatch.setattr(module, "text_ratios", lambda df, names: asked.extend(names) or real(df, names))
+    df = spark.range(60).selectExpr("concat('2020-01-', 10 + id % 19) AS start_date", "concat('a', id % 3) AS kind", "id % 40 AS age")
+    out, _ = FE.engineer(df)
+    assert {"start_date_Day", "age_Binned"} <= set(out.columns)
+    assert sorted(asked) == sorted(set(asked)) and {"start_date", "kind"} <= set(asked)
+
+
+def _longest_methods(spark, monkeypatch, work):
+    """Bytes of the longest generated method of every query that ``work`` collects."""
+    ran, nested = [], []
+
+    def recorded(real):
+        def run(self, *a):
+            nested.append(1)
+            out = real(self, *a)
+            nested.pop()
+            if not nested:
+                ran.append(self)
+            return out
+        return run
+    with monkeypatch.context() as m:
+        for name in ("collect", "first"):
+            m.setattr(DataFrame, name, recorded(getattr(DataFrame, name)))
+        work()
+    parts = [df._jdf.queryExecution().debug().codegenToSeq() for df in ran]
+    return [p.apply(k)._3().maxMethodCodeSize() for p in parts for k in range(p.size())]
+
+
+def test_code_for_many_columns_is_short_enough_to_be_compiled(spark, monkeypatch):
+    longest = 8000  # bytes: the JVM interprets methods beyond that
+    wide = spark.range(50).select(*[(F.col("id") * k % 7).cast("double").alias(f"n{k}") for k in range(12)],
+                                  *[F.concat(F.lit("2020-01-1"), (F.col("id") * k % 7).cast("string")).alias(f"s{k}") for k in range(12)])
+    path = ensure_checkpoint_dir(spark) + "/wide_code"
+    wide.write.mode("overwrite").parquet(path)
+    df = spark.read.parquet(path)
+    numbers, texts = df.columns[:12], df.columns[12:]
+    for work in (lambda: stats.numeric_stats(df, numbers, distinct=False), lambda: Q.column_signatures(df, df.columns),
+                 lambda: Q.text_ratios(df, texts)):
+        sizes = _longest_methods(spark, monkeypatch, work)
+        assert sizes and max(sizes) <= longest
+
+
+def test_quantiles_count_the_cells_once(spark, monkeypatch):
+    ran = []
+    real = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: ran.append(self) or real(self))
+    df = spark.range(500).selectExpr("cast(id AS double) a", "cast(id * id AS double) b")
+    QT.value_quantiles(df, {c: F.col(c) for c in df.columns}, (0.0, 0.5, 1.0))
+    assert any("ReusedExchange" in d._jdf.queryExecution().executedPlan().toString() for d in ran)
