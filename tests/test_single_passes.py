@@ -125,3 +125,12 @@ def test_quantiles_count_the_cells_once(spark, monkeypatch):
     df = spark.range(500).selectExpr("cast(id AS double) a", "cast(id * id AS double) b")
     QT.value_quantiles(df, {c: F.col(c) for c in df.columns}, (0.0, 0.5, 1.0))
     assert any("ReusedExchange" in d._jdf.queryExecution().executedPlan().toString() for d in ran)
+
+
+def test_information_reads_its_input_once(spark):
+    df = spark.range(300).selectExpr("id % 2 AS y", "CASE WHEN id % 11 > 0 THEN id % 3 END AS few", "cast(null AS void) AS none",
+                                     "concat('k', id % 2) AS same", "id % 300 AS `a.b`")
+    out = S.mutual_information(df, "y")
+    assert "Range" not in _plan(out)  # the plan of the input ran for the staged table
+    rows = {r["feature"]: (r["mi_score"], r["rank"]) for r in out.collect()}
+    assert rows["same"] == (0.693147, 1) and rows["none"][0] == 0.0 and set(rows) == {"few", "none", "same", "a.b"}
