@@ -100,6 +100,8 @@ def _longest_methods(spark, monkeypatch, work):
         for name in ("collect", "first"):
             m.setattr(DataFrame, name, recorded(getattr(DataFrame, name)))
         work()
+    for df in ran:
+        df.collect()  # the plan of a frame is final when it ran itself
     parts = [df._jdf.queryExecution().debug().codegenToSeq() for df in ran]
     return [p.apply(k)._3().maxMethodCodeSize() for p in parts for k in range(p.size())]
 
